@@ -1 +1,242 @@
-"""Registered queries."""
+"""Queries of steps 2-4: row/column cleaning, imputation, outliers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tabsense.functions.columns import q
+from tabsense.operators import cleaning as C
+from tabsense.plans.catalog import (DIRTY_LINEITEM_COLS, DIRTY_LINEITEM_NUMERIC,
+                                    DIRTY_ORDERS_COLS, DIRTY_ORDERS_NUMERIC, register)
+from tabsense.sources.tables import (DIRTY_LINEITEM_SQL, DIRTY_ORDERS_SQL, GAPPY_EVENTS_SQL,
+                                     dirty_lineitem, dirty_orders, gappy_events, sql_with, table)
+
+
+def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Presentation rounding (half-even) of floating columns for value hashes."""
+    return df.select(*[F.bround(q(f.name), digits).alias(f.name)
+                       if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else q(f.name)
+                       for f in df.schema.fields])
+
+
+def _sel(cols, override=None, rnd=None):
+    override = override or {}
+    out = []
+    for c in cols:
+        e = override.get(c, c)
+        if rnd and c in rnd:
+            e = f"round_even(CAST({e} AS DOUBLE), 4)"
+        out.append(f"{e} AS {c}")
+    return ", ".join(out)
+
+
+_DO_DOUBLES = ["o_totalprice", "o_amount", "o_blank"]
+
+# --- step 2 -----------------------------------------------------------------
+
+
+@register("drop_duplicates", sql_with("SELECT DISTINCT * FROM dirty_orders", DIRTY_ORDERS_SQL))
+def q_drop_duplicates(spark, sf):
+    return C.drop_duplicates(dirty_orders(spark, sf))
+
+
+@register("drop_any_missing", sql_with(
+    "SELECT * FROM dirty_lineitem WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in DIRTY_LINEITEM_COLS),
+    DIRTY_LINEITEM_SQL))
+def q_drop_any_missing(spark, sf):
+    return C.drop_missing(dirty_lineitem(spark, sf))
+
+
+@register("drop_sparse_rows", sql_with(
+    "SELECT * FROM dirty_orders WHERE (" + " + ".join(f"CAST({c} IS NULL AS INTEGER)" for c in DIRTY_ORDERS_COLS)
+    + ") <= 2", DIRTY_ORDERS_SQL))
+def q_drop_sparse_rows(spark, sf):
+    # 30 % of 9 columns -> at most int(2.7) = 2 missing cells per row
+    return C.drop_sparse_rows(dirty_orders(spark, sf), 30)
+
+
+@register("drop_constant_columns", sql_with(
+    "SELECT " + ", ".join(c for c in DIRTY_ORDERS_COLS if c != "o_channel") + " FROM dirty_orders",
+    DIRTY_ORDERS_SQL))
+def q_drop_constant_columns(spark, sf):
+    return C.drop_constant_columns(dirty_orders(spark, sf))
+
+
+@register("drop_high_cardinality",
+          "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def q_drop_high_cardinality(spark, sf):
+    return C.drop_high_cardinality(table(spark, sf, "customer"), 100)
+
+
+_MESSY = [(" Order Key", "o_orderkey", "order_key"), ("Cust-Key", "o_custkey", "cust_key"),
+          ("Order Status ", "o_orderstatus", "order_status"), ("TOTAL price", "o_totalprice", "total_price"),
+          ("order-date", "o_orderdate", "order_date"), ("Order_Priority", "o_orderpriority", "order_priority"),
+          ("order status", "o_orderstatus", "order_status_2")]
+
+
+@register("standardize_names", "SELECT " + ", ".join(f"{src} AS {dst}" for _, src, dst in _MESSY) + " FROM orders")
+def q_standardize_names(spark, sf):
+    o = table(spark, sf, "orders")
+    messy = o.select(*[q(src).alias(name) for name, src, _ in _MESSY])
+    return C.standardize_names(messy)
+
+
+@register("drop_index_columns", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def q_drop_index_columns(spark, sf):
+    o = table(spark, sf, "orders")
+    framed = o.select(F.col("o_orderkey").alias("index"), F.col("o_custkey").alias("Unnamed: 0"),
+                      "o_orderkey", "o_orderstatus", "o_totalprice")
+    return C.drop_index_columns(framed)
+
+
+@register("training_rows", sql_with(
+    "SELECT l_quantity, l_discount, l_linestatus, l_returnflag FROM dirty_lineitem WHERE l_returnflag IS NOT NULL",
+    DIRTY_LINEITEM_SQL))
+def q_training_rows(spark, sf):
+    return C.select_features(dirty_lineitem(spark, sf), "l_returnflag",
+                             ["l_quantity", "l_discount", "l_linestatus"])
+
+
+# --- step 3 -----------------------------------------------------------------
+
+def _fill_sql(agg: str) -> str:
+    """``agg`` is a template with ``{c}`` for the column."""
+    return sql_with("SELECT " + _sel(DIRTY_ORDERS_COLS, {
+        c: f"coalesce({c}, (SELECT {agg.format(c=c)} FROM dirty_orders))" for c in ("o_totalprice", "o_blank")
+    }, _DO_DOUBLES) + " FROM dirty_orders", DIRTY_ORDERS_SQL)
+
+
+@register("impute_median", _fill_sql("quantile_cont({c}, 0.5)"))
+def q_impute_median(spark, sf):
+    return round_doubles(C.impute_numeric(dirty_orders(spark, sf), "median"))
+
+
+@register("impute_mean", _fill_sql("avg({c})"))
+def q_impute_mean(spark, sf):
+    return round_doubles(C.impute_numeric(dirty_orders(spark, sf), "mean"))
+
+
+@register("impute_zero", sql_with("SELECT " + _sel(DIRTY_ORDERS_COLS, {
+    "o_totalprice": "coalesce(o_totalprice, 0)", "o_blank": "coalesce(o_blank, 0)"}, _DO_DOUBLES)
+    + " FROM dirty_orders", DIRTY_ORDERS_SQL))
+def q_impute_zero(spark, sf):
+    return round_doubles(C.impute_numeric(dirty_orders(spark, sf), "zero"))
+
+
+_EV = ["event_id", "user_id", "value", "event_type"]
+_FWD = "OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_BWD = "OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+
+
+@register("impute_ffill", sql_with("SELECT " + _sel(_EV, {
+    "value": f"last_value(value IGNORE NULLS) {_FWD}"}) + " FROM gappy_events", GAPPY_EVENTS_SQL))
+def q_impute_ffill(spark, sf):
+    return C.impute_numeric(gappy_events(spark, sf), "ffill", order_by=["event_id"])
+
+
+@register("impute_bfill", sql_with("SELECT " + _sel(_EV, {
+    "value": f"first_value(value IGNORE NULLS) {_BWD}"}) + " FROM gappy_events", GAPPY_EVENTS_SQL))
+def q_impute_bfill(spark, sf):
+    return C.impute_numeric(gappy_events(spark, sf), "bfill", order_by=["event_id"])
+
+
+@register("impute_cat_ffill", sql_with("SELECT " + _sel(_EV, {
+    "event_type": f"last_value(event_type IGNORE NULLS) {_FWD}"}) + " FROM gappy_events", GAPPY_EVENTS_SQL))
+def q_impute_cat_ffill(spark, sf):
+    return C.impute_categorical(gappy_events(spark, sf), "ffill", order_by=["event_id"])
+
+
+@register("impute_cat_bfill", sql_with("SELECT " + _sel(_EV, {
+    "event_type": f"first_value(event_type IGNORE NULLS) {_BWD}"}) + " FROM gappy_events", GAPPY_EVENTS_SQL))
+def q_impute_cat_bfill(spark, sf):
+    return C.impute_categorical(gappy_events(spark, sf), "bfill", order_by=["event_id"])
+
+
+def _mode_sql(c):
+    return (f"(SELECT {c} FROM dirty_orders WHERE {c} IS NOT NULL GROUP BY {c} "
+            f"ORDER BY count(*) DESC, {c} ASC LIMIT 1)")
+
+
+@register("impute_mode", sql_with("SELECT " + _sel(DIRTY_ORDERS_COLS, {
+    "o_orderstatus": f"coalesce(o_orderstatus, {_mode_sql('o_orderstatus')})",
+    "o_orderpriority": f"coalesce(o_orderpriority, {_mode_sql('o_orderpriority')})"}, _DO_DOUBLES)
+    + " FROM dirty_orders", DIRTY_ORDERS_SQL))
+def q_impute_mode(spark, sf):
+    return round_doubles(C.impute_categorical(dirty_orders(spark, sf), "mode"))
+
+
+@register("impute_unknown", sql_with("SELECT " + _sel(DIRTY_ORDERS_COLS, {
+    "o_orderstatus": "coalesce(o_orderstatus, 'Unknown')",
+    "o_orderpriority": "coalesce(o_orderpriority, 'Unknown')"}, _DO_DOUBLES)
+    + " FROM dirty_orders", DIRTY_ORDERS_SQL))
+def q_impute_unknown(spark, sf):
+    return round_doubles(C.impute_categorical(dirty_orders(spark, sf), "unknown"))
+
+
+# --- step 4 -----------------------------------------------------------------
+
+def _cap_sql(bounds_cte: str) -> str:
+    over = {}
+    for c in DIRTY_ORDERS_NUMERIC:
+        over[c] = (f"CASE WHEN {c} IS NULL OR (SELECT lo_{c} FROM b) IS NULL THEN {c} "
+                   f"ELSE least(greatest({c}, (SELECT lo_{c} FROM b)), (SELECT hi_{c} FROM b)) END")
+    return sql_with("SELECT " + _sel(DIRTY_ORDERS_COLS, over, DIRTY_ORDERS_NUMERIC) + " FROM dirty_orders",
+                    DIRTY_ORDERS_SQL, bounds_cte)
+
+
+_STD_B = "b AS (SELECT " + ", ".join(
+    f"avg({c}) - 3 * stddev_samp({c}) AS lo_{c}, avg({c}) + 3 * stddev_samp({c}) AS hi_{c}"
+    for c in DIRTY_ORDERS_NUMERIC) + " FROM dirty_orders)"
+_IQR_B = "b AS (SELECT " + ", ".join(
+    f"quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lo_{c}, "
+    f"quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS hi_{c}"
+    for c in DIRTY_ORDERS_NUMERIC) + " FROM dirty_orders)"
+
+
+@register("cap_std3", _cap_sql(_STD_B))
+def q_cap_std3(spark, sf):
+    return round_doubles(C.cap_outliers(dirty_orders(spark, sf), "std3"))
+
+
+@register("cap_iqr", _cap_sql(_IQR_B))
+def q_cap_iqr(spark, sf):
+    return round_doubles(C.cap_outliers(dirty_orders(spark, sf), "iqr"))
+
+
+def _remove_sql() -> str:
+    ctes = [DIRTY_LINEITEM_SQL, "r0 AS (SELECT * FROM dirty_lineitem)"]
+    for i, c in enumerate(DIRTY_LINEITEM_NUMERIC):
+        ctes.append(f"s{i} AS (SELECT avg({c}) AS m, stddev_samp({c}) AS s FROM r{i})")
+        ctes.append(f"r{i + 1} AS (SELECT r{i}.* FROM r{i}, s{i} "
+                    f"WHERE {c} BETWEEN m - 3 * s AND m + 3 * s)")
+    n = len(DIRTY_LINEITEM_NUMERIC)
+    return sql_with(f"SELECT * FROM r{n}", *ctes)
+
+
+@register("remove_outliers", _remove_sql())
+def q_remove_outliers(spark, sf):
+    return C.remove_outliers(dirty_lineitem(spark, sf), sequential=True)
+
+
+def _outlier_report_sql() -> str:
+    parts = []
+    for c in DIRTY_ORDERS_NUMERIC:
+        parts.append(f"""
+SELECT '{c}' AS column_name, CAST(count(*) FILTER (WHERE x < lo OR x > hi) AS BIGINT) AS outlier_count,
+  round_even(count(*) FILTER (WHERE x < lo OR x > hi) / count(x) * 100, 2) AS outlier_percentage,
+  round_even(any_value(lo), 4) AS lower_bound, round_even(any_value(hi), 4) AS upper_bound,
+  round_even(min(x) FILTER (WHERE x < lo OR x > hi), 4) AS min_outlier,
+  round_even(max(x) FILTER (WHERE x < lo OR x > hi), 4) AS max_outlier
+FROM (SELECT CAST({c} AS DOUBLE) AS x, lo, hi FROM dirty_orders,
+      (SELECT quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lo,
+              quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS hi
+       FROM dirty_orders)) t
+WHERE x IS NOT NULL HAVING count(x) > 0""")
+    return sql_with(" UNION ALL ".join(parts), DIRTY_ORDERS_SQL)
+
+
+@register("outlier_report", _outlier_report_sql())
+def q_outlier_report(spark, sf):
+    return C.outlier_report(dirty_orders(spark, sf))
