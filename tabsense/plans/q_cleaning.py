@@ -240,3 +240,105 @@ WHERE x IS NOT NULL HAVING count(x) > 0""")
 @register("outlier_report", _outlier_report_sql())
 def q_outlier_report(spark, sf):
     return C.outlier_report(dirty_orders(spark, sf))
+
+
+# --- cleaning plan (F1, F2, B11) --------------------------------------------
+
+from tabsense.plans.cleaning_plan import CleanOptions, clean, preview_cleaning  # noqa: E402
+
+CLEAN_OPTS = CleanOptions(remove_duplicates=True, missing_threshold=30, fill_numeric="median",
+                          fill_categorical="mode", handle_outliers=True, outlier_method="std3",
+                          remove_constant_columns=True)
+
+_NUM = DIRTY_ORDERS_NUMERIC
+_CAT = ["o_orderstatus", "o_orderpriority", "o_channel"]
+
+
+def _clean_ctes() -> list[str]:
+    nulls = " + ".join(f"CAST({c} IS NULL AS INTEGER)" for c in DIRTY_ORDERS_COLS)
+    ctes = [DIRTY_ORDERS_SQL,
+            "d AS (SELECT DISTINCT * FROM dirty_orders)",
+            f"f AS (SELECT * FROM d WHERE ({nulls}) <= 2)"]
+    med = {c: f"coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont({c}, 0.5) FROM f))"
+           for c in ("o_totalprice", "o_blank")}
+    ctes.append("n AS (SELECT " + _sel(DIRTY_ORDERS_COLS, med) + " FROM f)")
+    modes = {c: f"coalesce({c}, (SELECT {c} FROM n WHERE {c} IS NOT NULL GROUP BY {c} "
+                f"ORDER BY count(*) DESC, {c} LIMIT 1))" for c in ("o_orderstatus", "o_orderpriority")}
+    ctes.append("c AS (SELECT " + _sel(DIRTY_ORDERS_COLS, modes) + " FROM n)")
+    ctes.append("b AS (SELECT " + ", ".join(
+        f"avg({c}) - 3 * stddev_samp({c}) AS lo_{c}, avg({c}) + 3 * stddev_samp({c}) AS hi_{c}" for c in _NUM)
+        + " FROM c)")
+    capped = {c: (f"CASE WHEN {c} IS NULL OR (SELECT lo_{c} FROM b) IS NULL THEN CAST({c} AS DOUBLE) "
+                  f"ELSE least(greatest({c}, (SELECT lo_{c} FROM b)), (SELECT hi_{c} FROM b)) END") for c in _NUM}
+    ctes.append("o AS (SELECT " + _sel(DIRTY_ORDERS_COLS, capped) + " FROM c)")
+    return ctes
+
+
+_CLEAN_COLS = [c for c in DIRTY_ORDERS_COLS if c != "o_channel"]
+
+
+@register("clean_table", sql_with("SELECT " + _sel(_CLEAN_COLS, None, _NUM) + " FROM o", *_clean_ctes()))
+def q_clean_table(spark, sf):
+    out, _, _ = clean(dirty_orders(spark, sf), CLEAN_OPTS)
+    return round_doubles(out)
+
+
+def _cnt_nulls(t, cols):
+    return " + ".join(f"(SELECT count(*) - count({c}) FROM {t})" for c in cols)
+
+
+_OUTSIDE = " + ".join(
+    f"(SELECT count(*) FROM c, b WHERE {c} > hi_{c} OR {c} < lo_{c})" for c in _NUM)
+_LOG_SQL = sql_with(f"""
+SELECT * FROM (
+  SELECT 1 AS step_no, 'duplicates' AS step, (SELECT count(*) FROM dirty_orders) - (SELECT count(*) FROM d) AS affected
+  UNION ALL SELECT 2, 'missing_rows', (SELECT count(*) FROM d) - (SELECT count(*) FROM f)
+  UNION ALL SELECT 3, 'numeric_fill', ({_cnt_nulls('f', _NUM)}) - ({_cnt_nulls('n', _NUM)})
+  UNION ALL SELECT 4, 'categorical_fill', ({_cnt_nulls('n', _CAT)}) - ({_cnt_nulls('c', _CAT)})
+  UNION ALL SELECT 5, 'outliers', {_OUTSIDE}
+  UNION ALL SELECT 6, 'constant_columns', 1)
+""", *_clean_ctes())
+_LOG_SQL = sql_with(f"""
+SELECT CAST(step_no AS INTEGER) AS step_no, step, CAST(affected AS BIGINT) AS affected,
+  CASE step
+    WHEN 'duplicates' THEN 'Removed ' || format('{{:,}}', affected) || ' duplicate rows'
+    WHEN 'missing_rows' THEN 'Removed ' || format('{{:,}}', affected) || ' rows with >30% missing values'
+    WHEN 'numeric_fill' THEN 'Filled ' || format('{{:,}}', affected) || ' missing numeric values'
+    WHEN 'categorical_fill' THEN 'Filled ' || format('{{:,}}', affected) || ' missing categorical values'
+    WHEN 'outliers' THEN 'Handled ' || format('{{:,}}', affected) || ' outliers'
+    WHEN 'constant_columns' THEN 'Removed ' || affected || ' constant columns' END AS message
+FROM steps WHERE affected > 0""", *_clean_ctes(), "steps AS (" + _LOG_SQL.split("\nSELECT * FROM (", 1)[1].rsplit(")", 1)[0] + ")")
+
+
+@register("cleaning_report", _LOG_SQL)
+def q_cleaning_report(spark, sf):
+    _, log, _ = clean(dirty_orders(spark, sf), CLEAN_OPTS)
+    return log
+
+
+@register("cleaning_summary", sql_with("""
+SELECT (SELECT count(*) FROM dirty_orders) AS rows_before, CAST(9 AS BIGINT) AS cols_before,
+       (SELECT count(*) FROM o) AS rows_after, CAST(8 AS BIGINT) AS cols_after,
+       (SELECT count(*) FROM dirty_orders) - (SELECT count(*) FROM o) AS rows_removed,
+       round_even(((SELECT count(*) FROM dirty_orders) - (SELECT count(*) FROM o)) / (SELECT count(*) FROM dirty_orders) * 100, 1) AS removed_pct,
+       CAST(6 AS BIGINT) AS steps""", *_clean_ctes()))
+def q_cleaning_summary(spark, sf):
+    _, _, summary = clean(dirty_orders(spark, sf), CLEAN_OPTS)
+    return summary
+
+
+_PREVIEW_OPTS = CleanOptions(remove_duplicates=True, missing_threshold=30, fill_numeric="median",
+                             fill_categorical="mode")
+
+
+@register("cleaning_preview", sql_with(f"""
+SELECT (SELECT count(*) FROM dirty_orders) AS rows_before,
+       (SELECT count(*) FROM dirty_orders) - (SELECT count(*) FROM d) AS duplicate_rows,
+       (SELECT count(*) FROM d) - (SELECT count(*) FROM f) AS missing_rows_removed,
+       CAST({_cnt_nulls('f', _NUM)} AS BIGINT) AS numeric_to_fill,
+       CAST({_cnt_nulls('f', _CAT)} AS BIGINT) AS categorical_to_fill,
+       (SELECT count(*) FROM dirty_orders) - (SELECT count(*) FROM f) AS rows_removed,
+       round_even(((SELECT count(*) FROM dirty_orders) - (SELECT count(*) FROM f)) / (SELECT count(*) FROM dirty_orders) * 100, 1) AS removed_pct""",
+    *_clean_ctes()[:3]))
+def q_cleaning_preview(spark, sf):
+    return preview_cleaning(dirty_orders(spark, sf), _PREVIEW_OPTS)
