@@ -61,45 +61,64 @@ def _below(c, lo):
     return F.count(F.when(c < F.lit(lo), 1))
 
 
+def _grid_round(df, brackets, probs, accuracy):
+    """One scan: for each distinct (col, lo, hi) bracket, the number of values
+    below it, inside it, and a percentile grid of the values inside it."""
+    exprs = []
+    keys = list(brackets)
+    for i, (col, lo, hi) in enumerate(keys):
+        c = q(col).cast("double")
+        inb = _in_bracket(c, lo, hi)
+        exprs += [_below(c, lo).alias(f"b{i}"),
+                  F.count(F.when(inb, 1)).alias(f"n{i}"),
+                  F.percentile_approx(F.when(inb, c), probs, accuracy).alias(f"g{i}")]
+    row = df.agg(*exprs).first()
+    return {k: (row[f"b{i}"], row[f"n{i}"], row[f"g{i}"]) for i, k in enumerate(keys)}
+
+
+def _narrow(t, below, inb, g, grid):
+    """Shrink target ``t``'s bracket around its rank using the grid."""
+    if not (below <= t.k < below + inb):
+        # the approximate grid missed: back to the last verified bracket
+        t.lo, t.hi = t.verified
+        t.margin *= 4
+        t.est = math.inf
+        return
+    t.verified = (t.lo, t.hi)
+    f = (t.k - below) / inb
+    j_lo = math.floor((f - t.margin) * grid)
+    j_hi = math.ceil((f + t.margin) * grid)
+    if j_lo > 0:
+        t.lo = float(g[j_lo])
+    if j_hi < grid:
+        t.hi = float(g[j_hi])
+    t.est = inb * ((min(j_hi, grid) - max(j_lo, 0)) / grid + 2 * t.margin)
+
+
 def exact_order_stats(df: DataFrame, targets: list[tuple[str, int]], counts: dict[str, int],
                       *, grid: int = GRID, accuracy: int = ACCURACY,
-                      collect_bound: int = COLLECT_BOUND) -> dict[tuple[str, int], float]:
-    """Value at each 0-based rank ``k`` of the sorted non-null values of ``col``."""
+                      collect_bound: int = COLLECT_BOUND,
+                      first_round: dict | None = None) -> dict[tuple[str, int], float]:
+    """Value at each 0-based rank ``k`` of the sorted non-null values of ``col``.
+
+    ``first_round`` may carry an already computed full-range grid per column
+    ({col: (0, n, grid_values)}), saving one scan."""
     open_t = [_Target(c, k, est=float(counts[c]), margin=2.0 / accuracy) for c, k in targets]
     result: dict[tuple[str, int], float] = {}
     probs = [j / grid for j in range(grid + 1)]
+    if first_round:
+        for t in open_t:
+            if t.est > collect_bound and t.col in first_round:
+                _narrow(t, *first_round[t.col], grid)
     for _round in range(64):
         if not open_t:
             break
         big = [t for t in open_t if t.est > collect_bound and not (t.lo is not None and t.lo == t.hi)]
         small = [t for t in open_t if t not in big]
         if big:
-            # one scan refines every large bracket
-            exprs = []
-            for i, t in enumerate(big):
-                c = q(t.col).cast("double")
-                inb = _in_bracket(c, t.lo, t.hi)
-                exprs += [_below(c, t.lo).alias(f"b{i}"),
-                          F.count(F.when(inb, 1)).alias(f"n{i}"),
-                          F.percentile_approx(F.when(inb, c), probs, accuracy).alias(f"g{i}")]
-            row = df.agg(*exprs).first()
-            for i, t in enumerate(big):
-                below, inb, g = row[f"b{i}"], row[f"n{i}"], row[f"g{i}"]
-                if not (below <= t.k < below + inb):
-                    # approximate grid missed: fall back to the last verified bracket
-                    t.lo, t.hi = t.verified
-                    t.margin *= 4
-                    t.est = math.inf
-                    continue
-                t.verified = (t.lo, t.hi)
-                f = (t.k - below) / inb
-                j_lo = math.floor((f - t.margin) * grid)
-                j_hi = math.ceil((f + t.margin) * grid)
-                if j_lo > 0:
-                    t.lo = float(g[j_lo])
-                if j_hi < grid:
-                    t.hi = float(g[j_hi])
-                t.est = inb * ((min(j_hi, grid) - max(j_lo, 0)) / grid + 2 * t.margin)
+            stats = _grid_round(df, {(t.col, t.lo, t.hi): None for t in big}, probs, accuracy)
+            for t in big:
+                _narrow(t, *stats[(t.col, t.lo, t.hi)], grid)
         if small:
             _finish(df, small, result, collect_bound)
             for t in small:
@@ -119,7 +138,9 @@ def _finish(df, small, result, collect_bound):
         keep = c.isNotNull() if hi is None else (c.isNotNull() & (c <= F.lit(hi)))
         val = c if lo is None else F.when(c >= F.lit(lo), c)
         structs.append(F.struct(F.lit(bid).alias("bid"), val.alias("v"), keep.alias("keep")))
-    rows = (df.select(F.explode(F.filter(F.array(*structs), lambda s: s["keep"])).alias("s"))
+    # explode + where stays in generated code (a filter lambda would be interpreted)
+    rows = (df.select(F.explode(F.array(*structs)).alias("s"))
+            .where(F.col("s.keep"))
             .select("s.bid", "s.v")
             .groupBy("bid", "v").count()
             .collect())
@@ -154,9 +175,13 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     """
     if not cols:
         return {}
+    first_round = None
     if counts is None:
-        row = df.agg(*[F.count(q(c)).alias(f"c{i}") for i, c in enumerate(cols)]).first()
-        counts = {c: row[f"c{i}"] for i, c in enumerate(cols)}
+        grid = kw.get("grid", GRID)
+        probs_g = [j / grid for j in range(grid + 1)]
+        full = _grid_round(df, {(c, None, None): None for c in cols}, probs_g, kw.get("accuracy", ACCURACY))
+        counts = {c: full[(c, None, None)][1] for c in cols}
+        first_round = {c: full[(c, None, None)] for c in cols}
     targets = set()
     plan = {}
     for c in cols:
@@ -170,7 +195,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
             plan[(c, p)] = (lo_k, hi_k, h - lo_k)
             targets.add((c, lo_k))
             targets.add((c, hi_k))
-    stats = exact_order_stats(df, sorted(targets), counts, **kw) if targets else {}
+    stats = exact_order_stats(df, sorted(targets), counts, first_round=first_round, **kw) if targets else {}
     out = {}
     for (c, p), spec in plan.items():
         if spec is None:

@@ -26,6 +26,21 @@ def round_half_even(c: Column, digits: int) -> Column:
     return F.bround(c, digits)
 
 
+SIG_DIGITS = 12
+MAX_EXP = 22   # magnitudes from 1e22 on are left unrounded
+
+
+def round_sig(c: Column, digits: int, sig: int = SIG_DIGITS) -> Column:
+    """Half-even rounding to ``digits`` decimals, but to no more than ``sig``
+    significant digits (moments of large magnitude carry summation-order
+    noise in their last binary digits)."""
+    expr = F.when(c.isNull(), F.lit(None).cast("double"))
+    expr = expr.when(F.abs(c) < F.lit(float(10 ** (sig - digits))), F.bround(c, digits))
+    for e in range(sig - digits, MAX_EXP):
+        expr = expr.when(F.abs(c) < F.lit(float(f"1e{e + 1}")), F.bround(c, sig - 1 - e))
+    return expr.otherwise(c)
+
+
 def sample_skewness(x: Column, n: Column) -> Column:
     """Bias-corrected skewness (pandas ``skew``): g1*sqrt(n(n-1))/(n-2).
 
@@ -70,3 +85,12 @@ def strength_label(r: Column, strict: bool = False) -> Column:
     if strict:
         return F.when(a > 0.7, "Strong").when(a > 0.4, "Moderate").otherwise("Weak")
     return F.when(a >= 0.7, "Strong").when(a >= 0.4, "Moderate").otherwise("Weak")
+
+
+def merge_rows(*frames):
+    """Combine one-row aggregate frames with disjoint columns into one row
+    (union + ``max``; no join)."""
+    from functools import reduce
+    cols = [c for f in frames for c in f.columns]
+    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return u.agg(*[F.max(c).alias(c) for c in cols])

@@ -318,12 +318,12 @@ def outlier_report(df: DataFrame, only_positive: bool = False, exact: bool = Tru
     spark = df.sparkSession
     schema = ("column_name string, outlier_count bigint, outlier_percentage double, "
               "lower_bound double, upper_bound double, min_outlier double, max_outlier double")
-    counts_row = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first() if cols else None
-    present = [c for i, c in enumerate(cols) if counts_row[f"n{i}"] > 0] if cols else []
+    if not cols:
+        return spark.createDataFrame([], schema)
+    qs = quantiles(df, cols, [0.25, 0.75], exact=exact)
+    present = [c for c in cols if qs[(c, 0.25)] is not None]
     if not present:
         return spark.createDataFrame([], schema)
-    counts = {c: counts_row[f"n{cols.index(c)}"] for c in present}
-    qs = quantiles(df, present, [0.25, 0.75], counts=counts, exact=exact)
     exprs = []
     for i, c in enumerate(present):
         q1, q3 = qs[(c, 0.25)], qs[(c, 0.75)]

@@ -1 +1,248 @@
-"""Registered queries."""
+"""Queries of step 5 and the documented-only profile measures."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabsense.operators import profile as P
+from tabsense.plans.catalog import (DIRTY_LINEITEM_NUMERIC, DIRTY_ORDERS_COLS, register,
+                                    sql_duplicates, sql_missing_cells)
+from tabsense.sources.tables import (DIRTY_LINEITEM_SQL, DIRTY_ORDERS_SQL, dirty_lineitem,
+                                     dirty_orders, sql_with, table)
+
+_DO_NUM_PRESENT = ["o_orderkey", "o_custkey", "o_totalprice", "o_amount"]
+_DO_CAT = ["o_orderstatus", "o_orderpriority", "o_channel"]
+
+
+def _skew_sql(x, d):
+    return (f"round_even(CASE WHEN count({x}) < 3 THEN NULL WHEN stddev_pop({x}) = 0 THEN 0 "
+            f"ELSE skewness({x}) END, {d})")
+
+
+def _kurt_sql(x, d):
+    return (f"round_even(CASE WHEN count({x}) < 4 THEN NULL WHEN stddev_pop({x}) = 0 THEN 0 "
+            f"ELSE kurtosis({x}) END, {d})")
+
+
+def _profile_numeric_sql():
+    parts = []
+    for c in _DO_NUM_PRESENT:
+        x = f"CAST({c} AS DOUBLE)"
+        parts.append(f"""
+SELECT '{c}' AS column_name, count({c}) AS count, count(*) - count({c}) AS missing,
+  round_even((count(*) - count({c})) / count(*) * 100, 2) AS missing_pct,
+  round_even_sig(avg({x}), 4) AS mean, round_even_sig(quantile_cont({x}, 0.5), 4) AS median,
+  round_even_sig(stddev_samp({x}), 4) AS std, round_even_sig(var_samp({x}), 4) AS var,
+  round_even_sig(min({x}), 4) AS min, round_even_sig(max({x}), 4) AS max,
+  round_even_sig(max({x}) - min({x}), 4) AS range,
+  round_even_sig(quantile_cont({x}, 0.25), 4) AS q1, round_even_sig(quantile_cont({x}, 0.75), 4) AS q3,
+  round_even_sig(quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25), 4) AS iqr,
+  {_skew_sql(x, 4)} AS skewness, {_kurt_sql(x, 4)} AS kurtosis,
+  count(DISTINCT {c}) AS unique_values,
+  count(*) FILTER (WHERE {x} = 0) AS zero_count, count(*) FILTER (WHERE {x} < 0) AS negative_count,
+  count(*) FILTER (WHERE {x} > 0) AS positive_count
+FROM dirty_orders""")
+    return sql_with(" UNION ALL ".join(parts), DIRTY_ORDERS_SQL)
+
+
+@register("profile_numeric", _profile_numeric_sql())
+def q_profile_numeric(spark, sf):
+    return P.profile_numeric(dirty_orders(spark, sf))
+
+
+def _describe_sql():
+    parts = []
+    for c in DIRTY_LINEITEM_NUMERIC:
+        x = f"CAST({c} AS DOUBLE)"
+        parts.append(f"""
+SELECT '{c}' AS column_name, CAST(count({c}) AS DOUBLE) AS count, round_even_sig(avg({x}), 3) AS mean,
+  round_even_sig(stddev_samp({x}), 3) AS std, round_even_sig(min({x}), 3) AS min,
+  round_even_sig(quantile_cont({x}, 0.25), 3) AS p25, round_even_sig(quantile_cont({x}, 0.5), 3) AS p50,
+  round_even_sig(quantile_cont({x}, 0.75), 3) AS p75, round_even_sig(max({x}), 3) AS max,
+  {_skew_sql(x, 3)} AS skewness, {_kurt_sql(x, 3)} AS kurtosis,
+  CAST(count(*) - count({c}) AS DOUBLE) AS missing,
+  round_even(round_even((count(*) - count({c})) / count(*) * 100, 2), 3) AS missing_pct
+FROM dirty_lineitem""")
+    return sql_with(" UNION ALL ".join(parts), DIRTY_LINEITEM_SQL)
+
+
+@register("describe_numeric", _describe_sql())
+def q_describe_numeric(spark, sf):
+    return P.describe_numeric(dirty_lineitem(spark, sf))
+
+
+def _profile_categorical_sql():
+    parts = []
+    for c in _DO_CAT:
+        parts.append(f"""
+SELECT '{c}' AS column_name, count({c}) AS count, count(*) - count({c}) AS missing,
+  round_even((count(*) - count({c})) / count(*) * 100, 2) AS missing_pct,
+  (SELECT count(DISTINCT {c}) FROM dirty_orders) AS unique_values,
+  (SELECT v FROM vc WHERE col = '{c}' AND rk = 1) AS most_frequent,
+  (SELECT n FROM vc WHERE col = '{c}' AND rk = 1) AS most_frequent_count,
+  round_even((SELECT n FROM vc WHERE col = '{c}' AND rk = 1) / count({c}) * 100, 2) AS most_frequent_pct,
+  (SELECT string_agg(v || '=' || CAST(n AS VARCHAR), '; ' ORDER BY rk) FROM vc WHERE col = '{c}' AND rk <= 5) AS top_values
+FROM dirty_orders HAVING count({c}) > 0""")
+    vc = "vc AS (SELECT col, v, n, row_number() OVER (PARTITION BY col ORDER BY n DESC, v) AS rk FROM (" + \
+        " UNION ALL ".join(f"SELECT '{c}' AS col, {c} AS v, count(*) AS n FROM dirty_orders WHERE {c} IS NOT NULL "
+                           f"GROUP BY {c}" for c in _DO_CAT) + "))"
+    return sql_with(" UNION ALL ".join(parts), DIRTY_ORDERS_SQL, vc)
+
+
+@register("profile_categorical", _profile_categorical_sql())
+def q_profile_categorical(spark, sf):
+    return P.profile_categorical(dirty_orders(spark, sf))
+
+
+_TOPV = ["p_brand", "p_type"]
+
+
+@register("top_values", """
+SELECT column_name, CAST(rank AS INTEGER) AS rank, value, count FROM (
+  SELECT column_name, value, count, row_number() OVER (PARTITION BY column_name ORDER BY count DESC, value) AS rank
+  FROM (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS count FROM part "
+    f"WHERE {c} IS NOT NULL GROUP BY {c}" for c in _TOPV) + ")) WHERE rank <= 10")
+def q_top_values(spark, sf):
+    return P.top_values(table(spark, sf, "part"), _TOPV, 10)
+
+
+@register("frequency_table", """
+SELECT CAST(rank AS INTEGER) AS rank, value, count, round_even(count / (SELECT count(*) FROM part) * 100, 2) AS percentage
+FROM (SELECT CAST(p_type AS VARCHAR) AS value, count(*) AS count,
+             row_number() OVER (ORDER BY count(*) DESC, CAST(p_type AS VARCHAR)) AS rank
+      FROM part WHERE p_type IS NOT NULL GROUP BY p_type) WHERE rank <= 20""")
+def q_frequency_table(spark, sf):
+    return P.frequency_table(table(spark, sf, "part"), "p_type", 20)
+
+
+@register("frequency_summary", sql_with("""
+SELECT 'o_orderpriority' AS column_name, count(DISTINCT o_orderpriority) AS unique_values,
+  (SELECT o_orderpriority FROM dirty_orders WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority
+   ORDER BY count(*) DESC, o_orderpriority LIMIT 1) AS most_common,
+  CAST(count(*) - count(o_orderpriority) AS BIGINT) AS missing
+FROM dirty_orders""", DIRTY_ORDERS_SQL))
+def q_frequency_summary(spark, sf):
+    return P.frequency_summary(dirty_orders(spark, sf), "o_orderpriority")
+
+
+_LI = DIRTY_LINEITEM_NUMERIC
+_PAIRS_CTE = "pairs AS (" + " UNION ALL ".join(
+    f"SELECT {i} AS i, {j} AS j, '{_LI[i]}' AS variable_1, '{_LI[j]}' AS variable_2, "
+    f"CASE WHEN stddev_pop(CASE WHEN {_LI[j]} IS NOT NULL THEN {_LI[i]} END) * "
+    f"stddev_pop(CASE WHEN {_LI[i]} IS NOT NULL THEN {_LI[j]} END) > 0 "
+    f"THEN corr({_LI[i]}, {_LI[j]}) END AS r FROM dirty_lineitem"
+    for i in range(len(_LI)) for j in range(i + 1, len(_LI))) + ")"
+
+
+@register("top_correlations", sql_with("""
+SELECT variable_1, variable_2, round_even(r, 4) AS correlation,
+  CASE WHEN abs(round_even(r, 4)) >= 0.7 THEN 'Strong' WHEN abs(round_even(r, 4)) >= 0.4 THEN 'Moderate' ELSE 'Weak' END AS strength
+FROM pairs WHERE r IS NOT NULL ORDER BY abs(round_even(r, 4)) DESC, i, j LIMIT 10""", DIRTY_LINEITEM_SQL, _PAIRS_CTE))
+def q_top_correlations(spark, sf):
+    return P.top_correlations(dirty_lineitem(spark, sf), 10)
+
+
+@register("top_correlations_strict", sql_with("""
+SELECT variable_1, variable_2, round_even(r, 4) AS correlation,
+  CASE WHEN abs(round_even(r, 4)) > 0.7 THEN 'Strong' WHEN abs(round_even(r, 4)) > 0.4 THEN 'Moderate' ELSE 'Weak' END AS strength
+FROM pairs ORDER BY abs(round_even(r, 4)) DESC NULLS LAST, i, j LIMIT 10""", DIRTY_LINEITEM_SQL, _PAIRS_CTE))
+def q_top_correlations_strict(spark, sf):
+    return P.top_correlations(dirty_lineitem(spark, sf), 10, strict=True, keep_undefined=True)
+
+
+@register("correlation_matrix", sql_with("""
+SELECT variable_1 AS var_a, variable_2 AS var_b, round_even(r, 4) AS r FROM pairs
+UNION ALL SELECT variable_2, variable_1, round_even(r, 4) FROM pairs
+UNION ALL """ + " UNION ALL ".join(
+    f"SELECT '{c}', '{c}', CASE WHEN stddev_pop({c}) > 0 AND count({c}) > 1 THEN 1.0 END FROM dirty_lineitem"
+    for c in _LI), DIRTY_LINEITEM_SQL, _PAIRS_CTE))
+def q_correlation_matrix(spark, sf):
+    return P.correlation_matrix(dirty_lineitem(spark, sf))
+
+
+@register("strongest_pair", sql_with("""
+SELECT variable_1, variable_2, round_even(abs(r), 3) AS abs_correlation FROM pairs
+WHERE abs(r) > 0 AND abs(r) < 1 ORDER BY abs(r) DESC, i, j LIMIT 1""", DIRTY_LINEITEM_SQL, _PAIRS_CTE))
+def q_strongest_pair(spark, sf):
+    return P.strongest_pair(dirty_lineitem(spark, sf))
+
+
+_N = len(DIRTY_ORDERS_COLS)
+
+
+def _outlier_pct_sql():
+    parts = []
+    for c in _DO_NUM_PRESENT:
+        parts.append(f"""
+SELECT round_even(count(*) FILTER (WHERE x < lo OR x > hi) / count(x) * 100, 2) AS pct
+FROM (SELECT CAST({c} AS DOUBLE) AS x, lo, hi FROM dirty_orders,
+      (SELECT quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lo,
+              quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS hi
+       FROM dirty_orders)) WHERE x IS NOT NULL""")
+    return "op AS (" + " UNION ALL ".join(parts) + ")"
+
+
+@register("profile_quality", sql_with(f"""
+SELECT round_even(c, 2) AS completeness_score, round_even(u, 2) AS uniqueness_score,
+  round_even((c + u - (SELECT avg(pct) FROM op)) / 2, 2) AS overall_quality_score,
+  CASE WHEN c > 95 THEN 'Excellent' WHEN c > 80 THEN 'Good' WHEN c > 60 THEN 'Fair' ELSE 'Poor' END AS quality_grade
+FROM (SELECT (1 - {sql_missing_cells(DIRTY_ORDERS_COLS)} / (count(*) * {_N})) * 100 AS c,
+             (1 - {sql_duplicates('dirty_orders', DIRTY_ORDERS_COLS)} / count(*)) * 100 AS u
+      FROM dirty_orders)""", DIRTY_ORDERS_SQL, _outlier_pct_sql()))
+def q_profile_quality(spark, sf):
+    return P.profile_quality(dirty_orders(spark, sf))
+
+
+def _normality_sql():
+    parts = []
+    for c in _LI:
+        parts.append(f"""
+SELECT '{c}' AS column_name, n, round_even(jb, 4) AS jarque_bera, round_even(exp(-jb / 2), 6) AS p_value,
+  exp(-jb / 2) >= 0.05 AS normal_at_5pct
+FROM (SELECT n, CASE WHEN n >= 3 AND m2 > 0 THEN n / 6 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / pow(m2, 2) - 3, 2) / 4) END AS jb
+      FROM (SELECT count(x) AS n, avg(pow(x - mu, 2)) AS m2, avg(pow(x - mu, 3)) AS m3, avg(pow(x - mu, 4)) AS m4
+            FROM (SELECT CAST({c} AS DOUBLE) AS x, avg(CAST({c} AS DOUBLE)) OVER () AS mu FROM dirty_lineitem)))""")
+    return sql_with(" UNION ALL ".join(parts), DIRTY_LINEITEM_SQL)
+
+
+@register("normality", _normality_sql())
+def q_normality(spark, sf):
+    return P.normality(dirty_lineitem(spark, sf))
+
+
+def mixed_orders(spark, sf):
+    """dirty_orders plus a text column mixing numbers and words."""
+    d = dirty_orders(spark, sf)
+    return d.withColumn("o_mixed", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey").cast("string"))
+                        .otherwise(F.col("o_orderstatus")))
+
+
+_MIXED_SQL = ("mixed AS (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey AS VARCHAR) "
+              "ELSE o_orderstatus END AS o_mixed FROM dirty_orders)")
+_MCOLS = DIRTY_ORDERS_COLS + ["o_mixed"]
+
+
+def _weighted_sql():
+    beyond = " OR ".join(
+        f"coalesce(abs({c} - (SELECT avg({c}) FROM mixed)) > 3 * (SELECT stddev_samp({c}) FROM mixed), false)"
+        for c in _DO_NUM_PRESENT)
+    mixed_cnt = " + ".join(
+        f"CAST(count(*) FILTER (WHERE {c} IS NOT NULL AND TRY_CAST({c} AS DOUBLE) IS NOT NULL) > 0 AND "
+        f"count(*) FILTER (WHERE {c} IS NOT NULL AND TRY_CAST({c} AS DOUBLE) IS NULL) > 0 AS INTEGER)"
+        for c in _DO_CAT + ["o_mixed"])
+    n = len(_MCOLS)
+    return sql_with(f"""
+SELECT round_even(comp, 2) AS completeness, round_even(valid, 2) AS validity, round_even(cons, 2) AS consistency,
+  round_even(dup, 2) AS uniqueness,
+  round_even(0.35 * comp + 0.25 * valid + 0.2 * cons + 0.2 * dup, 2) AS weighted_score
+FROM (SELECT (1 - {sql_missing_cells(_MCOLS)} / (count(*) * {n})) * 100 AS comp,
+             count(*) FILTER (WHERE NOT ({beyond})) / count(*) * 100 AS valid,
+             (1 - ({mixed_cnt}) / {n}) * 100 AS cons,
+             (1 - {sql_duplicates('mixed', _MCOLS)} / count(*)) * 100 AS dup
+      FROM mixed)""", DIRTY_ORDERS_SQL, _MIXED_SQL)
+
+
+@register("weighted_quality", _weighted_sql())
+def q_weighted_quality(spark, sf):
+    return P.weighted_quality(mixed_orders(spark, sf))
