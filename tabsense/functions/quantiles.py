@@ -66,12 +66,19 @@ def _grid_round(df, brackets, probs, accuracy):
     below it, inside it, and a percentile grid of the values inside it."""
     exprs = []
     keys = list(brackets)
+    plist = "array(" + ", ".join(repr(float(p)) for p in probs) + ")"
     for i, (col, lo, hi) in enumerate(keys):
-        c = q(col).cast("double")
-        inb = _in_bracket(c, lo, hi)
-        exprs += [_below(c, lo).alias(f"b{i}"),
-                  F.count(F.when(inb, 1)).alias(f"n{i}"),
-                  F.percentile_approx(F.when(inb, c), probs, accuracy).alias(f"g{i}")]
+        # SQL text: one parse per column instead of one Py4J call per probability
+        c = "CAST(`" + col.replace("`", "``") + "` AS DOUBLE)"
+        inb = f"{c} IS NOT NULL"
+        if lo is not None:
+            inb += f" AND {c} >= {float(lo)!r}D"
+        if hi is not None:
+            inb += f" AND {c} <= {float(hi)!r}D"
+        below = "CAST(0 AS BIGINT)" if lo is None else f"count(CASE WHEN {c} < {float(lo)!r}D THEN 1 END)"
+        exprs.append(F.expr(f"{below} AS b{i}"))
+        exprs.append(F.expr(f"count(CASE WHEN {inb} THEN 1 END) AS n{i}"))
+        exprs.append(F.expr(f"percentile_approx(CASE WHEN {inb} THEN {c} END, {plist}, {int(accuracy)}) AS g{i}"))
     row = df.agg(*exprs).first()
     return {k: (row[f"b{i}"], row[f"n{i}"], row[f"g{i}"]) for i, k in enumerate(keys)}
 

@@ -30,15 +30,21 @@ SIG_DIGITS = 12
 MAX_EXP = 22   # magnitudes from 1e22 on are left unrounded
 
 
-def round_sig(c: Column, digits: int, sig: int = SIG_DIGITS) -> Column:
-    """Half-even rounding to ``digits`` decimals, but to no more than ``sig``
-    significant digits (moments of large magnitude carry summation-order
-    noise in their last binary digits)."""
-    expr = F.when(c.isNull(), F.lit(None).cast("double"))
-    expr = expr.when(F.abs(c) < F.lit(float(10 ** (sig - digits))), F.bround(c, digits))
+def round_sig_sql(x: str, digits: int, sig: int = SIG_DIGITS) -> str:
+    """SQL text of :func:`round_sig` for the SQL expression ``x``."""
+    parts = [f"WHEN abs({x}) < 1e{sig - digits} THEN bround({x}, {digits})"]
     for e in range(sig - digits, MAX_EXP):
-        expr = expr.when(F.abs(c) < F.lit(float(f"1e{e + 1}")), F.bround(c, sig - 1 - e))
-    return expr.otherwise(c)
+        parts.append(f"WHEN abs({x}) < 1e{e + 1} THEN bround({x}, {sig - 1 - e})")
+    return f"CASE WHEN {x} IS NULL THEN CAST(NULL AS DOUBLE) " + " ".join(parts) + f" ELSE {x} END"
+
+
+def round_sig(name: str, digits: int, sig: int = SIG_DIGITS) -> Column:
+    """Half-even rounding of column ``name`` to ``digits`` decimals, but to no
+    more than ``sig`` significant digits (moments of large magnitude carry
+    summation-order noise in their last binary digits).  Built as SQL text:
+    one expression parse instead of dozens of Py4J calls."""
+    ref = "`" + name.replace("`", "``") + "`"
+    return F.expr(round_sig_sql(ref, digits, sig))
 
 
 def sample_skewness(x: Column, n: Column) -> Column:

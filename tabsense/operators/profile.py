@@ -34,26 +34,31 @@ def _numeric_moments(df: DataFrame, cols: list[str], digits: int) -> DataFrame:
 
     The aggregate produces raw values; rounding is applied once per
     statistic on the exploded rows, which keeps generated code small."""
-    rows = F.count(F.lit(1))
     structs = []
     for i, c in enumerate(cols):
-        x = q(c).cast("double")
-        n = F.count(x)
-        structs.append(F.struct(
-            F.lit(i).alias("position"), F.lit(c).alias("column_name"),
-            n.alias("count"), null_count(c).alias("missing"),
-            (null_count(c) / rows * 100).alias("missing_pct"),
-            F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.var_samp(x).alias("var"),
-            F.min(x).alias("min"), F.max(x).alias("max"), (F.max(x) - F.min(x)).alias("range"),
-            sample_skewness(x, n).alias("skewness"), sample_kurtosis(x, n).alias("kurtosis"),
-            F.count(F.when(x == 0, 1)).alias("zero_count"),
-            F.count(F.when(x < 0, 1)).alias("negative_count"),
-            F.count(F.when(x > 0, 1)).alias("positive_count"),
-        ).alias(f"s{i}"))
+        ref = "`" + c.replace("`", "``") + "`"
+        lit = "'" + c.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        x = f"CAST({ref} AS DOUBLE)"
+        n = f"count({x})"
+        sd = f"stddev_pop({x})"
+        skew = (f"CASE WHEN {n} < 3 THEN CAST(NULL AS DOUBLE) WHEN {sd} = 0 THEN 0D "
+                f"ELSE skewness({x}) * sqrt({n} * ({n} - 1D)) / ({n} - 2D) END")
+        kurt = (f"CASE WHEN {n} < 4 THEN CAST(NULL AS DOUBLE) WHEN {sd} = 0 THEN 0D "
+                f"ELSE ({n} - 1D) / (({n} - 2D) * ({n} - 3D)) * (({n} + 1D) * kurtosis({x}) + 6D) END")
+        nulls = f"CAST(count(*) - count({ref}) AS BIGINT)"
+        # one SQL struct per column: a single parse instead of dozens of Py4J calls
+        structs.append(F.expr(
+            f"named_struct('position', {i}, 'column_name', {lit}, 'count', {n}, 'missing', {nulls}, "
+            f"'missing_pct', {nulls} / count(*) * 100D, 'mean', avg({x}), 'std', stddev_samp({x}), "
+            f"'var', var_samp({x}), 'min', min({x}), 'max', max({x}), 'range', max({x}) - min({x}), "
+            f"'skewness', {skew}, 'kurtosis', {kurt}, "
+            f"'zero_count', count(CASE WHEN {x} = 0 THEN 1 END), "
+            f"'negative_count', count(CASE WHEN {x} < 0 THEN 1 END), "
+            f"'positive_count', count(CASE WHEN {x} > 0 THEN 1 END)) AS s{i}"))
     raw = _explode_structs(df.agg(*structs), [f"s{i}" for i in range(len(cols))])
     return raw.select(
         "position", "column_name", "count", "missing", F.bround("missing_pct", 2).alias("missing_pct"),
-        *[round_sig(F.col(k), digits).alias(k) for k in ("mean", "std", "var", "min", "max", "range")],
+        *[round_sig(k, digits).alias(k) for k in ("mean", "std", "var", "min", "max", "range")],
         F.bround("skewness", digits).alias("skewness"), F.bround("kurtosis", digits).alias("kurtosis"),
         "zero_count", "negative_count", "positive_count")
 
@@ -66,7 +71,7 @@ def _quantile_frame(df: DataFrame, cols: list[str], exact: bool, digits: int) ->
         rows.append((c, q1, med, q3, None if q1 is None else q3 - q1))
     return df.sparkSession.createDataFrame(
         rows, "column_name string, q1 double, median double, q3 double, iqr double").select(
-        "column_name", *[round_sig(F.col(c), digits).alias(c) for c in ("q1", "median", "q3", "iqr")])
+        "column_name", *[round_sig(c, digits).alias(c) for c in ("q1", "median", "q3", "iqr")])
 
 
 def profile_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
