@@ -1 +1,393 @@
-"""Registered queries."""
+"""Queries of steps 7-8: features, metrics, model ranking and recommendation.
+
+Metric queries evaluate deterministic stand-in predictors (plain SQL
+expressions over the whole ``lineitem`` table) so that DuckDB can check the
+evaluation logic; the trained ``pyspark.ml`` models are registered as
+rows-only queries.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabsense.functions.stats import round_sig
+from tabsense.operators import features as FE
+from tabsense.operators import metrics as M
+from tabsense.operators.chartdata import md5_rank
+from tabsense.plans.catalog import register
+from tabsense.sources.tables import DIRTY_LINEITEM_SQL, dirty_lineitem, sql_with, table
+
+# Stand-in predictors: (model name, prediction expression valid in Spark SQL and DuckDB)
+CLS_MODELS = [
+    ("Quantity rule", "CASE WHEN l_quantity < 20 THEN 'A' WHEN l_linestatus = 'F' THEN 'R' ELSE 'N' END"),
+    ("Status rule", "CASE WHEN l_linestatus = 'O' THEN 'N' ELSE 'R' END"),
+    ("Majority", "'N'"),
+    ("Discount rule", "CASE WHEN l_discount >= 0.05 THEN 'A' ELSE 'N' END"),
+]
+REG_MODELS = [
+    ("Quantity x1500", "l_quantity * 1500"),
+    ("Rounded price", "round(l_extendedprice, -3)"),
+    ("Quantity x1000", "l_quantity * 1000"),
+]
+FOLDS = 3
+FOLD_SQL = "CAST(('0x' || substr(md5(concat(CAST(l_orderkey AS VARCHAR), '42')), 1, 8)) AS BIGINT) % 3"
+
+
+def _long_predictions(spark, sf, models, label):
+    li = table(spark, sf, "lineitem")
+    arr = F.array(*[F.struct(F.lit(name).alias("model"), F.lit(i).alias("position"),
+                             F.expr(expr).alias("prediction")) for i, (name, expr) in enumerate(models)])
+    return li.select(F.explode(arr).alias("m"), F.col(label).alias("label"),
+                     (md5_rank("l_orderkey") % FOLDS).alias("fold"),
+                     F.year("l_shipdate").alias("ship_year")) \
+        .select("m.model", "m.position", "m.prediction", "label", "fold", "ship_year")
+
+
+def _sql_long(models, label):
+    return "preds AS (" + " UNION ALL ".join(
+        f"SELECT '{name}' AS model, {i} AS position, {expr} AS prediction, {label} AS label, "
+        f"{FOLD_SQL} AS fold, year(l_shipdate) AS ship_year FROM lineitem"
+        for i, (name, expr) in enumerate(models)) + ")"
+
+
+def classification_table(spark, sf, by_year=False):
+    """Metrics table of the stand-in classifiers with 3-fold CV accuracy."""
+    p = _long_predictions(spark, sf, CLS_MODELS, "l_returnflag")
+    keys = ["model", "position"] + (["ship_year"] if by_year else [])
+    met = M.classification_metrics(p, by=keys)
+    folds = M.classification_metrics(p, by=keys + ["fold"])
+    cv = folds.groupBy(*keys).agg(F.avg("accuracy").alias("cv_mean"), F.stddev_pop("accuracy").alias("cv_std"))
+    return met.join(cv, keys)
+
+
+def regression_table(spark, sf):
+    p = _long_predictions(spark, sf, REG_MODELS, "l_extendedprice")
+    keys = ["model", "position"]
+    met = M.regression_metrics(p, by=keys)
+    folds = M.regression_metrics(p, by=keys + ["fold"])
+    cv = folds.groupBy(*keys).agg(F.avg("r2").alias("cv_mean"), F.stddev_pop("r2").alias("cv_std"))
+    return met.join(cv, keys)
+
+
+def _cls_metrics_sql(keys: str) -> list[str]:
+    return [
+        f"cm AS (SELECT {keys}, label, prediction, count(*) AS n FROM preds GROUP BY ALL)",
+        f"truth AS (SELECT {keys}, label AS c, sum(n) AS support, sum(CASE WHEN label = prediction THEN n END) AS tp "
+        f"FROM cm GROUP BY ALL)",
+        f"predc AS (SELECT {keys}, prediction AS c, sum(n) AS predicted FROM cm GROUP BY ALL)",
+        "per AS (SELECT " + ", ".join(f"coalesce(t.{k}, p.{k}) AS {k}" for k in keys.split(", "))
+        + ", coalesce(t.c, p.c) AS c, coalesce(support, 0) AS support, coalesce(tp, 0) AS tp, "
+        "coalesce(predicted, 0) AS predicted FROM truth t FULL OUTER JOIN predc p ON "
+        + " AND ".join(f"t.{k} = p.{k}" for k in keys.split(", ")) + " AND t.c = p.c)",
+        "per2 AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS pr, "
+        "CASE WHEN support > 0 THEN tp / support ELSE 0 END AS rc FROM per)",
+        "per3 AS (SELECT *, CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END AS f FROM per2)",
+        f"met AS (SELECT {keys}, sum(tp) / sum(support) AS accuracy, sum(support * pr) / sum(support) AS precision, "
+        f"sum(support * rc) / sum(support) AS recall, sum(support * f) / sum(support) AS f1, "
+        f"CAST(sum(support) AS BIGINT) AS n FROM per3 GROUP BY ALL)",
+    ]
+
+
+def _rename(ctes: list[str], suffix: str) -> list[str]:
+    """Copy of a CTE chain with every CTE name suffixed (for a second use)."""
+    names = ["cm", "truth", "predc", "per3", "per2", "per", "met", "preds"]
+    out = []
+    import re
+    for c in ctes:
+        for n in names:
+            c = re.sub(rf"\b{n}\b", n + suffix, c)
+        out.append(c)
+    return out
+
+
+def _cls_table_sql(by_year=False):
+    keys = "model, position" + (", ship_year" if by_year else "")
+    main = _cls_metrics_sql(keys)
+    fold = _rename(_cls_metrics_sql(keys + ", fold"), "_f")
+    cv = (f"cv AS (SELECT {keys}, avg(accuracy) AS cv_mean, stddev_pop(accuracy) AS cv_std FROM met_f GROUP BY ALL)")
+    tab = (f"mt AS (SELECT met.*, cv.cv_mean, cv.cv_std FROM met JOIN cv USING ({keys}))")
+    return [_sql_long(CLS_MODELS, "l_returnflag"), *main,
+            _sql_long(CLS_MODELS, "l_returnflag").replace("preds AS", "preds_f AS", 1), *fold, cv, tab]
+
+
+def _reg_table_sql():
+    parts = []
+    for suffix, keys in (("", "model, position"), ("_f", "model, position, fold")):
+        parts.append(
+            f"rm{suffix} AS (SELECT {keys}, CASE WHEN var_pop(CAST(label AS DOUBLE)) > 0 THEN "
+            f"1 - avg((label - prediction) * (label - prediction)) / var_pop(CAST(label AS DOUBLE)) "
+            f"WHEN avg((label - prediction) * (label - prediction)) = 0 THEN 1.0 ELSE 0.0 END AS r2, "
+            f"avg(abs(label - prediction)) AS mae, avg((label - prediction) * (label - prediction)) AS mse, "
+            f"sqrt(avg((label - prediction) * (label - prediction))) AS rmse, count(*) AS n "
+            f"FROM rpreds WHERE label IS NOT NULL AND prediction IS NOT NULL GROUP BY ALL)")
+    return [_sql_long(REG_MODELS, "l_extendedprice").replace("preds AS", "rpreds AS", 1), *parts,
+            "rcv AS (SELECT model, position, avg(r2) AS cv_mean, stddev_pop(r2) AS cv_std FROM rm_f GROUP BY ALL)",
+            "rt AS (SELECT rm.*, rcv.cv_mean, rcv.cv_std FROM rm JOIN rcv USING (model, position))"]
+
+
+def _r4(cols):
+    return ", ".join(f"round_even({c}, 4) AS {c}" for c in cols)
+
+
+# --- J1 ----------------------------------------------------------------------
+
+_RULE_A = CLS_MODELS[0][1]
+
+
+@register("classification_metrics", sql_with(
+    "SELECT " + _r4(["accuracy", "precision", "recall", "f1"]) + ", n FROM met",
+    f"preds AS (SELECT 'Quantity rule' AS model, 0 AS position, {_RULE_A} AS prediction, l_returnflag AS label FROM lineitem)",
+    *_cls_metrics_sql("model, position")))
+def q_classification_metrics(spark, sf):
+    li = table(spark, sf, "lineitem")
+    pred = li.select(F.col("l_returnflag").alias("label"), F.expr(_RULE_A).alias("prediction"))
+    m = M.classification_metrics(pred)
+    return m.select(*[F.bround(c, 4).alias(c) for c in ("accuracy", "precision", "recall", "f1")], "n")
+
+
+@register("classification_table", sql_with(
+    "SELECT model, position, " + _r4(["accuracy", "precision", "recall", "f1", "cv_mean", "cv_std"]) + ", n FROM mt",
+    *_cls_table_sql()))
+def q_classification_table(spark, sf):
+    t = classification_table(spark, sf)
+    return t.select("model", "position", *[F.bround(c, 4).alias(c) for c in
+                                           ("accuracy", "precision", "recall", "f1", "cv_mean", "cv_std")], "n")
+
+
+# --- J2 ----------------------------------------------------------------------
+
+def _rsig(cols):
+    return ", ".join(f"round_even_sig({c}, 4) AS {c}" for c in cols)
+
+
+@register("regression_metrics", sql_with(
+    "SELECT " + _rsig(["r2", "mae", "mse", "rmse"]) + ", n FROM rm",
+    "rpreds AS (SELECT 'Quantity x1500' AS model, 0 AS position, l_quantity * 1500 AS prediction, "
+    "l_extendedprice AS label FROM lineitem)",
+    _reg_table_sql()[1]))
+def q_regression_metrics(spark, sf):
+    li = table(spark, sf, "lineitem")
+    pred = li.select(F.col("l_extendedprice").alias("label"), (F.col("l_quantity") * 1500).alias("prediction"))
+    m = M.regression_metrics(pred)
+    return m.select(*[round_sig(c, 4).alias(c) for c in ("r2", "mae", "mse", "rmse")], "n")
+
+
+@register("regression_table", sql_with(
+    "SELECT model, position, " + _rsig(["r2", "mae", "mse", "rmse", "cv_mean", "cv_std"]) + ", n FROM rt",
+    *_reg_table_sql()))
+def q_regression_table(spark, sf):
+    t = regression_table(spark, sf)
+    return t.select("model", "position", *[round_sig(c, 4).alias(c) for c in
+                                           ("r2", "mae", "mse", "rmse", "cv_mean", "cv_std")], "n")
+
+
+# --- J4 ----------------------------------------------------------------------
+
+@register("confusion_matrix", f"""
+WITH cm AS (SELECT CAST(l_returnflag AS VARCHAR) AS actual, CAST({_RULE_A} AS VARCHAR) AS predicted, count(*) AS n
+            FROM lineitem GROUP BY ALL),
+     cls AS (SELECT actual AS c FROM cm UNION SELECT predicted FROM cm)
+SELECT a.c AS actual, b.c AS predicted, CAST(coalesce(cm.n, 0) AS BIGINT) AS count
+FROM cls a, cls b LEFT JOIN cm ON cm.actual = a.c AND cm.predicted = b.c""")
+def q_confusion_matrix(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return M.confusion_matrix(li.select(F.col("l_returnflag").alias("label"), F.expr(_RULE_A).alias("prediction")))
+
+
+# --- J5 / J8 / L4 --------------------------------------------------------------
+
+@register("best_model", sql_with("""
+SELECT ship_year, model, position, round_even(accuracy, 4) AS accuracy FROM (
+  SELECT *, row_number() OVER (PARTITION BY ship_year ORDER BY accuracy DESC NULLS LAST, position) AS rk FROM mt)
+WHERE rk = 1""", *_cls_table_sql(by_year=True)))
+def q_best_model(spark, sf):
+    t = classification_table(spark, sf, by_year=True)
+    b = M.best_model(t, "accuracy", by=["ship_year"])
+    return b.select("ship_year", "model", "position", F.bround("accuracy", 4).alias("accuracy"))
+
+
+@register("model_comparison", sql_with("""
+SELECT model, position, metric, value FROM (
+  SELECT model, position, 'Accuracy' AS metric, round_even(accuracy, 4) AS value FROM mt
+  UNION ALL SELECT model, position, 'Precision', round_even(precision, 4) FROM mt
+  UNION ALL SELECT model, position, 'Recall', round_even(recall, 4) FROM mt
+  UNION ALL SELECT model, position, 'F1-Score', round_even(f1, 4) FROM mt)""", *_cls_table_sql()))
+def q_model_comparison(spark, sf):
+    return M.model_comparison(classification_table(spark, sf), "classification", long=True)
+
+
+@register("comparison_table", sql_with("""
+SELECT model, position, round_even(accuracy, 4) AS accuracy, round_even(precision, 4) AS precision,
+  round_even(recall, 4) AS recall, round_even(f1, 4) AS f1,
+  CASE WHEN cv_mean IS NOT NULL AND cv_mean <> 0 THEN round_even(cv_mean, 4) END AS cv_score FROM mt""",
+    *_cls_table_sql()))
+def q_comparison_table(spark, sf):
+    return M.model_comparison(classification_table(spark, sf), "classification", long=False)
+
+
+# --- J9 ----------------------------------------------------------------------
+
+def _pct1(x):
+    return f"printf('%.1f', round_even({x}, 1))"
+
+
+def _fmt(x, d):
+    return f"printf('%.{d}f', round_even({x}, {d}))"
+
+
+def _recommend_cls_sql():
+    size = ("CASE WHEN (SELECT count(*) FROM lineitem) < 1000 THEN 'Small dataset detected - consider simpler models or data augmentation' "
+            "WHEN (SELECT count(*) FROM lineitem) > 100000 THEN 'Large dataset - gradient boosting or deep learning could improve results' END")
+    pct = _pct1("b.accuracy * 100")
+    perf = (f"CASE WHEN b.accuracy >= 0.9 THEN 'Excellent predictive power (' || {pct} || '% accuracy)' "
+            f"WHEN b.accuracy >= 0.8 THEN 'Strong predictive power (' || {pct} || '% accuracy)' "
+            f"WHEN b.accuracy >= 0.7 THEN 'Moderate predictive power (' || {pct} || '% accuracy)' "
+            f"ELSE 'Room for improvement (' || {pct} || '% accuracy)' END")
+    bal = (f"CASE WHEN abs(b.precision - b.recall) < 0.05 THEN 'Well-balanced between precision and recall' "
+           f"ELSE 'Trade-off detected: Precision=' || {_fmt('b.precision', 3)} || ', Recall=' || {_fmt('b.recall', 3)} END")
+    f1 = ("CASE WHEN b.f1 >= 0.85 THEN 'Excellent F1-score - great overall performance' "
+          "WHEN b.f1 >= 0.7 THEN 'Good F1-score - reliable predictions' END")
+    truthy = "(b.cv_mean IS NOT NULL AND b.cv_mean <> 0 AND b.cv_std IS NOT NULL AND b.cv_std <> 0)"
+    cv = (f"CASE WHEN {truthy} AND b.cv_std < 0.05 THEN 'Highly stable across 3-fold CV (std = ' || {_fmt('b.cv_std', 4)} || ')' "
+          f"WHEN {truthy} AND b.cv_std < 0.1 THEN 'Moderately stable across CV folds (std = ' || {_fmt('b.cv_std', 4)} || ')' "
+          f"WHEN {truthy} THEN 'High variance detected - consider more data or regularization' END")
+    return sql_with(f"""
+SELECT b.model AS best_model, round_even(b.accuracy, 4) AS best_score, 'Accuracy' AS primary_metric,
+  concat_ws(' | ', {perf}, {bal}, {f1}, {cv}, {size}) AS reasoning,
+  coalesce((SELECT string_agg(model || ' (within ' || {_pct1('(b.accuracy - accuracy) * 100')} || '% of best)', '; ' ORDER BY position)
+            FROM (SELECT * FROM mt o WHERE o.position <> b.position AND o.accuracy IS NOT NULL
+                  AND (b.accuracy - o.accuracy) * 100 < 5 ORDER BY o.position LIMIT 3)), '') AS alternatives
+FROM (SELECT * FROM mt WHERE accuracy > -1 ORDER BY accuracy DESC, position LIMIT 1) b""", *_cls_table_sql())
+
+
+@register("recommendation", _recommend_cls_sql())
+def q_recommendation(spark, sf):
+    n = table(spark, sf, "lineitem").count()
+    return M.recommend(classification_table(spark, sf), "classification", n_rows=n, folds=FOLDS)
+
+
+def _recommend_reg_sql():
+    size = ("CASE WHEN (SELECT count(*) FROM lineitem) < 1000 THEN 'Small dataset detected - consider simpler models or data augmentation' "
+            "WHEN (SELECT count(*) FROM lineitem) > 100000 THEN 'Large dataset - gradient boosting or deep learning could improve results' END")
+    v = _fmt("b.r2", 3)
+    perf = (f"CASE WHEN b.r2 >= 0.9 THEN 'Excellent fit (R² = ' || {v} || ')' "
+            f"WHEN b.r2 >= 0.7 THEN 'Strong fit (R² = ' || {v} || ')' "
+            f"WHEN b.r2 >= 0.5 THEN 'Moderate fit (R² = ' || {v} || ')' "
+            f"ELSE 'Weak fit (R² = ' || {v} || ') - consider feature engineering' END")
+    truthy = "(b.cv_mean IS NOT NULL AND b.cv_mean <> 0 AND b.cv_std IS NOT NULL AND b.cv_std <> 0)"
+    cv = (f"CASE WHEN {truthy} AND b.cv_std < 0.05 THEN 'Highly stable across 3-fold CV (std = ' || {_fmt('b.cv_std', 4)} || ')' "
+          f"WHEN {truthy} AND b.cv_std < 0.1 THEN 'Moderately stable across CV folds (std = ' || {_fmt('b.cv_std', 4)} || ')' "
+          f"WHEN {truthy} THEN 'High variance detected - consider more data or regularization' END")
+    return sql_with(f"""
+SELECT b.model AS best_model, round_even(b.r2, 4) AS best_score, 'R2 Score' AS primary_metric,
+  concat_ws(' | ', {perf}, 'Prediction error: RMSE = ' || {_fmt('b.rmse', 4)}, {cv}, {size}) AS reasoning,
+  coalesce((SELECT string_agg(model || ' (within ' || {_pct1('(b.r2 - r2) * 100')} || '% of best)', '; ' ORDER BY position)
+            FROM (SELECT * FROM rt o WHERE o.position <> b.position AND o.r2 IS NOT NULL
+                  AND (b.r2 - o.r2) * 100 < 5 ORDER BY o.position LIMIT 3)), '') AS alternatives
+FROM (SELECT * FROM rt WHERE r2 > -1 ORDER BY r2 DESC, position LIMIT 1) b""", *_reg_table_sql())
+
+
+@register("recommendation_regression", _recommend_reg_sql())
+def q_recommendation_regression(spark, sf):
+    n = table(spark, sf, "lineitem").count()
+    return M.recommend(regression_table(spark, sf), "regression", n_rows=n, folds=FOLDS)
+
+
+# --- J7 ----------------------------------------------------------------------
+
+_ORD_RULE = "CASE WHEN o_totalprice > 250000 THEN '1-URGENT' ELSE '5-LOW' END"
+
+
+@register("prediction_sample", f"""
+SELECT o_orderkey, o_orderpriority AS actual, {_ORD_RULE} AS predicted FROM orders ORDER BY o_orderkey LIMIT 100""")
+def q_prediction_sample(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("label"),
+                                           F.expr(_ORD_RULE).alias("prediction"))
+    return M.prediction_sample(o, ["o_orderkey"], 100)
+
+
+# --- step 7: features --------------------------------------------------------
+
+_TARGETS = ["l_returnflag", "l_extendedprice", "l_linenumber"]
+
+
+@register("detect_task", " UNION ALL ".join(
+    f"SELECT '{t}' AS target, {str(t != 'l_returnflag').lower()} AS is_numeric, count(DISTINCT {t}) AS unique_values, "
+    f"CASE WHEN {str(t != 'l_returnflag').lower()} AND count(DISTINCT {t}) > 12 THEN 'regression' ELSE 'classification' END AS task "
+    f"FROM lineitem" for t in _TARGETS))
+def q_detect_task(spark, sf):
+    li = table(spark, sf, "lineitem")
+    out = None
+    for t in _TARGETS:
+        d = FE.detect_task(li, t)
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@register("encode_labels", sql_with("""
+SELECT l_orderkey, l_linenumber,
+  CAST(dense_rank() OVER (ORDER BY coalesce(l_returnflag, 'Missing')) - 1 AS DOUBLE) AS l_returnflag,
+  CAST(dense_rank() OVER (ORDER BY l_linestatus) - 1 AS DOUBLE) AS l_linestatus
+FROM dirty_lineitem""", DIRTY_LINEITEM_SQL))
+def q_encode_labels(spark, sf):
+    d = dirty_lineitem(spark, sf).select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    return FE.encode_labels(d, ["l_returnflag", "l_linestatus"])
+
+
+_SPLIT_SQL = ("CASE WHEN CAST(('0x' || substr(md5(concat(CAST(o_orderkey AS VARCHAR), '42')), 1, 8)) AS BIGINT) "
+              "< 858993459 THEN 'test' ELSE 'train' END")
+
+
+@register("train_test_split", f"SELECT o_orderkey, o_orderstatus, {_SPLIT_SQL} AS split FROM orders")
+def q_train_test_split(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return FE.train_test_split(o, "o_orderkey", 0.2, 42)
+
+
+@register("split_counts", f"""
+SELECT o_orderstatus, split, count(*) AS n FROM (SELECT o_orderstatus, {_SPLIT_SQL} AS split FROM orders) GROUP BY ALL""")
+def q_split_counts(spark, sf):
+    o = FE.train_test_split(table(spark, sf, "orders"), "o_orderkey", 0.2, 42)
+    return o.groupBy("o_orderstatus", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SCALE_COLS = ["o_totalprice", "o_custkey"]
+
+
+def _scale_sql(kind):
+    sel = []
+    for c in _SCALE_COLS:
+        if kind == "standard":
+            e = (f"(CAST({c} AS DOUBLE) - (SELECT avg({c}) FROM s WHERE split = 'train')) / "
+                 f"coalesce(nullif((SELECT stddev_pop({c}) FROM s WHERE split = 'train'), 0), 1)")
+        else:
+            e = (f"(CAST({c} AS DOUBLE) - (SELECT min({c}) FROM s WHERE split = 'train')) / "
+                 f"CASE WHEN (SELECT max({c}) - min({c}) FROM s WHERE split = 'train') > 0 "
+                 f"THEN (SELECT max({c}) - min({c}) FROM s WHERE split = 'train') ELSE 1 END")
+        sel.append(f"round_even({e}, 6) AS {c}")
+    return (f"WITH s AS (SELECT o_orderkey, o_totalprice, o_custkey, {_SPLIT_SQL} AS split FROM orders) "
+            f"SELECT o_orderkey, {', '.join(sel)}, split FROM s")
+
+
+def _scaled(spark, sf, kind):
+    o = FE.train_test_split(table(spark, sf, "orders").select("o_orderkey", *_SCALE_COLS), "o_orderkey")
+    s = FE.scale(o, _SCALE_COLS, kind)
+    return s.select("o_orderkey", *[F.bround(c, 6).alias(c) for c in _SCALE_COLS], "split")
+
+
+@register("scale_standard", _scale_sql("standard"))
+def q_scale_standard(spark, sf):
+    return _scaled(spark, sf, "standard")
+
+
+@register("scale_minmax", _scale_sql("minmax"))
+def q_scale_minmax(spark, sf):
+    return _scaled(spark, sf, "minmax")
+
+
+@register("smote_class_counts", f"""
+SELECT o_orderpriority AS class, count(*) AS count_before, max(count(*)) OVER () AS count_after
+FROM (SELECT *, {_SPLIT_SQL} AS split FROM orders) WHERE split = 'train' GROUP BY o_orderpriority""")
+def q_smote_class_counts(spark, sf):
+    o = FE.train_test_split(table(spark, sf, "orders"), "o_orderkey").where(F.col("split") == "train")
+    return FE.class_balance(o, "o_orderpriority")
