@@ -69,3 +69,12 @@ def materialize(df: DataFrame) -> DataFrame:
     if checkpoint_dir(df.sparkSession):
         return df.checkpoint(eager=True)
     return df
+
+
+def shared_scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the cluster's shared checkpoint dir (else the
+    warehouse dir) for jobs that write and re-read data."""
+    import uuid
+    base = checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
+    base = base.rstrip("/")
+    return f"{base}/tabsense-{name}-{uuid.uuid4().hex}"
