@@ -391,3 +391,49 @@ FROM (SELECT *, {_SPLIT_SQL} AS split FROM orders) WHERE split = 'train' GROUP B
 def q_smote_class_counts(spark, sf):
     o = FE.train_test_split(table(spark, sf, "orders"), "o_orderkey").where(F.col("split") == "train")
     return FE.class_balance(o, "o_orderpriority")
+
+
+# --- trained models (rows-only) -----------------------------------------------
+
+from tabsense.operators import models as ML  # noqa: E402
+
+_CLS_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus"]
+_REG_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+
+
+def _li_keyed(spark, sf):
+    li = table(spark, sf, "lineitem")
+    # (l_orderkey, l_linenumber) repeats; the split key hashes the whole row
+    return li.withColumn("row_key", F.xxhash64(*li.columns))
+
+
+@register("train_classifier")
+def q_train_classifier(spark, sf):
+    # forests (100 trees) and boosting (one-vs-rest: 300 rounds) stay available
+    # through the API; the registered run keeps to the single-pass models
+    run = ML.train_models(_li_keyed(spark, sf), "l_returnflag", _CLS_FEATURES, "classification",
+                          ["Logistic Regression", "Decision Tree"], key="row_key")
+    return run.metrics.select("model", "position", *[F.bround(c, 4).alias(c) for c in
+                                                     ("accuracy", "precision", "recall", "f1", "cv_mean", "cv_std")], "n")
+
+
+@register("train_regressor")
+def q_train_regressor(spark, sf):
+    run = ML.train_models(_li_keyed(spark, sf), "l_extendedprice", _REG_FEATURES, "regression",
+                          ["Linear Regression", "Ridge Regression", "Decision Tree"], key="row_key")
+    return run.metrics.select("model", "position", *[round_sig(c, 4).alias(c) for c in
+                                                     ("r2", "mae", "mse", "rmse", "cv_mean", "cv_std")], "n")
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    run = ML.train_models(_li_keyed(spark, sf), "l_returnflag", _CLS_FEATURES, "classification",
+                          ["Decision Tree"], key="row_key")
+    return ML.feature_importance(run, "Decision Tree")
+
+
+@register("cross_validate")
+def q_cross_validate(spark, sf):
+    run = ML.train_models(_li_keyed(spark, sf), "l_extendedprice", _REG_FEATURES, "regression",
+                          ["Linear Regression"], key="row_key", cv_folds=5)
+    return run.metrics.select("model", "cv_mean", "cv_std")
