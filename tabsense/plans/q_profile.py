@@ -246,3 +246,57 @@ FROM (SELECT (1 - {sql_missing_cells(_MCOLS)} / (count(*) * {n})) * 100 AS comp,
 @register("weighted_quality", _weighted_sql())
 def q_weighted_quality(spark, sf):
     return P.weighted_quality(mixed_orders(spark, sf))
+
+
+# --- M1 (dataset part) and N6 ----------------------------------------------------
+
+from tabsense.operators import reporting as RP  # noqa: E402
+
+_DO_NUM = ["o_orderkey", "o_custkey", "o_totalprice", "o_amount", "o_blank"]
+
+
+def _summary_sql():
+    pairs = [(i, j) for i in range(len(_DO_NUM)) for j in range(i + 1, len(_DO_NUM))]
+    pair_rows = " UNION ALL ".join(
+        f"SELECT {i} AS i, {j} AS j, '{_DO_NUM[i]}' AS a, '{_DO_NUM[j]}' AS b, "
+        f"CASE WHEN stddev_pop(CASE WHEN {_DO_NUM[j]} IS NOT NULL THEN {_DO_NUM[i]} END) * "
+        f"stddev_pop(CASE WHEN {_DO_NUM[i]} IS NOT NULL THEN {_DO_NUM[j]} END) > 0 "
+        f"THEN round_even(corr({_DO_NUM[i]}, {_DO_NUM[j]}), 3) END AS r FROM dirty_orders" for i, j in pairs)
+    cats = " UNION ALL ".join(
+        f"SELECT {k} AS pos, '{c}' AS col, {c} AS v, count(*) AS n FROM dirty_orders WHERE {c} IS NOT NULL GROUP BY {c}"
+        for k, c in enumerate(_DO_CAT))
+    return sql_with(f"""
+SELECT CAST(line_no AS INTEGER) AS line_no, line FROM (
+  SELECT 1 AS line_no, 'Dataset shape: ' || CAST(count(*) AS VARCHAR) || ' rows x 9 columns' AS line FROM dirty_orders
+  UNION ALL SELECT 2, 'Numeric columns: o_orderkey, o_custkey, o_totalprice, o_amount, o_blank'
+  UNION ALL SELECT 3, 'Categorical columns: o_orderstatus, o_orderpriority, o_channel'
+  UNION ALL SELECT 4, 'Missing values: ' || CAST({sql_missing_cells(DIRTY_ORDERS_COLS)} AS VARCHAR) || ' total cells' FROM dirty_orders
+  UNION ALL SELECT 100 + pos, col || ': {{' || string_agg('''' || v || ''': ' || CAST(n AS VARCHAR), ', ' ORDER BY rk) || '}}'
+            FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC, v) AS rk FROM ({cats})) WHERE rk <= 5
+            GROUP BY pos, col
+  UNION ALL SELECT 200 + row_number() OVER (ORDER BY abs(r) DESC, i, j), '  ' || a || ' <-> ' || b || ': ' || CAST(r AS VARCHAR)
+            FROM (SELECT * FROM ({pair_rows}) WHERE r IS NOT NULL ORDER BY abs(r) DESC, i, j LIMIT 5))""",
+        DIRTY_ORDERS_SQL)
+
+
+@register("summary_lines", _summary_sql())
+def q_summary_lines(spark, sf):
+    return RP.summary_lines(dirty_orders(spark, sf))
+
+
+def _prof_sql(tab, cols, s):
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count({c}) AS count_{s}, round_even_sig(avg(CAST({c} AS DOUBLE)), 4) AS mean_{s}, "
+        f"round_even_sig(stddev_samp(CAST({c} AS DOUBLE)), 4) AS std_{s}, "
+        f"round_even((count(*) - count({c})) / count(*) * 100, 2) AS missing_pct_{s} FROM {tab}" for c in cols)
+
+
+@register("compare_profiles", sql_with(f"""
+SELECT coalesce(pa.column_name, pb.column_name) AS column_name, count_a IS NOT NULL AS in_a, count_b IS NOT NULL AS in_b,
+  count_a, count_b, mean_a, mean_b, round_even(mean_b - mean_a, 4) AS mean_diff, std_a, std_b,
+  missing_pct_a, missing_pct_b, round_even(missing_pct_b - missing_pct_a, 2) AS missing_pct_diff
+FROM ({_prof_sql('orders', ['o_orderkey', 'o_custkey', 'o_totalprice'], 'a')}) pa
+FULL OUTER JOIN ({_prof_sql('dirty_orders', _DO_NUM, 'b')}) pb ON pa.column_name = pb.column_name""",
+    DIRTY_ORDERS_SQL))
+def q_compare_profiles(spark, sf):
+    return RP.compare_profiles(table(spark, sf, "orders"), dirty_orders(spark, sf))
