@@ -79,3 +79,71 @@ def compare_profiles(a: DataFrame, b: DataFrame) -> DataFrame:
                     "std_a", "std_b", "missing_pct_a", "missing_pct_b",
                     F.bround(F.col("missing_pct_b") - F.col("missing_pct_a"), 2).alias("missing_pct_diff"))
 
+
+
+# Markdown report wording (decoration dropped).
+REPORT_TITLE = "# Data Analysis Report"
+REPORT_FOOTER = "*Report generated by tabsense · {ts}*"
+
+
+def _n(c):
+    """Thousands-separated integer text."""
+    return F.format_number(c.cast("bigint"), 0)
+
+
+def _lines(frame: DataFrame, section: int, items: list) -> DataFrame:
+    """(section, line_no, line) rows from (line_no, Column) items over a one-row frame."""
+    return frame.select(F.explode(F.array(*[
+        F.struct(F.lit(section).alias("section"), F.lit(section * 100 + k).alias("line_no"), c.alias("line"))
+        for k, c in items])).alias("s")).select("s.*")
+
+
+def report_frame(df: DataFrame, file_name: str, generated_at: str, scorecard: DataFrame | None = None,
+                 cleaning_summary: DataFrame | None = None, cleaning_log: DataFrame | None = None) -> DataFrame:
+    """M2: Markdown report as (section, line_no, line): header, dataset
+    overview, quality assessment (if a scorecard is given) and cleaning
+    summary (if a cleaning summary is given), numbered by what is present."""
+    nums, cats = numeric_columns(df), categorical_columns(df)
+    ncols = len(df.columns)
+    base = df.agg(F.count(F.lit(1)).alias("rows"),
+                  sum((null_count(c) for c in df.columns), F.lit(0)).alias("missing"))
+    L = F.lit
+    parts = [_lines(base, 0, [
+        (0, L(REPORT_TITLE)), (1, L("")), (2, L(f"**File:** `{file_name}`  ")),
+        (3, L(f"**Generated:** {generated_at}  ")),
+        (4, F.concat(L("**Dataset Size:** "), _n(F.col("rows")), L(f" rows × {ncols} columns"))),
+        (5, L("")), (6, L("---")), (7, L(""))]),
+        _lines(base, 1, [
+            (0, L("## 1. Dataset Overview")), (1, L("")), (2, L("| Metric | Value |")), (3, L("|--------|-------|")),
+            (4, F.concat(L("| Total Rows | **"), _n(F.col("rows")), L("** |"))),
+            (5, L(f"| Total Columns | **{ncols}** |")), (6, L(f"| Numeric Columns | **{len(nums)}** |")),
+            (7, L(f"| Categorical Columns | **{len(cats)}** |")),
+            (8, F.concat(L("| Missing Cells | **"), _n(F.col("missing")), L("** |"))), (9, L(""))])]
+    section = 2
+    if scorecard is not None:
+        parts.append(_lines(scorecard, section, [
+            (0, L(f"## {section}. Data Quality Assessment")), (1, L("")),
+            (2, F.concat(L("### Overall Quality Score: **"), F.col("score").cast("string"), L("/100**"))),
+            (3, L("")), (4, L("| Dimension | Score |")), (5, L("|-----------|-------|")),
+            (6, F.concat(L("| Completeness | "), F.col("completeness").cast("string"), L("% |"))),
+            (7, F.concat(L("| Duplicate Rate | "), F.col("duplicate_rate").cast("string"), L("% |"))), (8, L(""))]))
+        section += 1
+    if cleaning_summary is not None:
+        parts.append(_lines(cleaning_summary, section, [
+            (0, L(f"## {section}. Data Cleaning Summary")), (1, L("")),
+            (2, F.concat(L("- **Rows before cleaning:** "), _n(F.col("rows_before")))),
+            (3, F.concat(L("- **Rows after cleaning:** "), _n(F.col("rows_after")))),
+            (4, F.concat(L("- **Rows removed:** "), _n(F.col("rows_removed")))), (5, L(""))]))
+        if cleaning_log is not None:
+            s = section
+            head = _lines(cleaning_summary.where(F.col("steps") > 0), s,
+                          [(6, L("### Cleaning Operations Performed:")), (7, L("")), (99, L(""))])
+            body = cleaning_log.select(F.lit(s).alias("section"), (F.lit(s * 100 + 10) + F.col("step_no")).alias("line_no"),
+                                       F.concat(L("- "), F.col("message")).alias("line"))
+            parts += [head, body]
+        section += 1
+    parts.append(_lines(base, 9, [(0, L("---")), (1, L(REPORT_FOOTER.format(ts=generated_at)))]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(F.col("section").cast("int"), F.col("line_no").cast("int"), "line")

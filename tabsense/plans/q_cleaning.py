@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tabsense.functions.columns import q
 from tabsense.operators import cleaning as C
-from tabsense.plans.catalog import (DIRTY_LINEITEM_COLS, DIRTY_LINEITEM_NUMERIC,
+from tabsense.plans.catalog import (DIRTY_LINEITEM_COLS, DIRTY_LINEITEM_NUMERIC, sql_missing_cells,
                                     DIRTY_ORDERS_COLS, DIRTY_ORDERS_NUMERIC, register)
 from tabsense.sources.tables import (DIRTY_LINEITEM_SQL, DIRTY_ORDERS_SQL, GAPPY_EVENTS_SQL,
                                      dirty_lineitem, dirty_orders, gappy_events, sql_with, table)
@@ -342,3 +342,65 @@ SELECT (SELECT count(*) FROM dirty_orders) AS rows_before,
     *_clean_ctes()[:3]))
 def q_cleaning_preview(spark, sf):
     return preview_cleaning(dirty_orders(spark, sf), _PREVIEW_OPTS)
+
+
+# --- M2: Markdown report frame ---------------------------------------------------
+
+from tabsense.operators.quality import quality_scorecard  # noqa: E402
+from tabsense.operators.reporting import report_frame  # noqa: E402
+
+_TS = "2024-01-01 00:00:00"
+
+
+def _report_sql() -> str:
+    from tabsense.plans.q_quality import _COUNTS, _SC
+    n = len(DIRTY_ORDERS_COLS)
+    steps = _LOG_SQL.split("\nSELECT CAST(step_no AS INTEGER) AS step_no", 1)
+    log_ctes = steps[0]  # WITH ... CTE list incl. steps
+    body = f"""
+, qsc AS (SELECT * FROM sc),
+lg AS (SELECT step_no, CASE step
+    WHEN 'duplicates' THEN 'Removed ' || format('{{:,}}', affected) || ' duplicate rows'
+    WHEN 'missing_rows' THEN 'Removed ' || format('{{:,}}', affected) || ' rows with >30% missing values'
+    WHEN 'numeric_fill' THEN 'Filled ' || format('{{:,}}', affected) || ' missing numeric values'
+    WHEN 'categorical_fill' THEN 'Filled ' || format('{{:,}}', affected) || ' missing categorical values'
+    WHEN 'outliers' THEN 'Handled ' || format('{{:,}}', affected) || ' outliers'
+    WHEN 'constant_columns' THEN 'Removed ' || affected || ' constant columns' END AS message FROM steps WHERE affected > 0),
+base AS (SELECT count(*) AS rows, {sql_missing_cells(DIRTY_ORDERS_COLS)} AS missing FROM dirty_orders),
+rb AS (SELECT (SELECT count(*) FROM dirty_orders) AS rows_before, (SELECT count(*) FROM o) AS rows_after)
+SELECT CAST(section AS INTEGER) AS section, CAST(line_no AS INTEGER) AS line_no, line FROM (
+  SELECT 0 AS section, 0 AS line_no, '# Data Analysis Report' AS line
+  UNION ALL SELECT 0, 1, '' UNION ALL SELECT 0, 2, '**File:** `dirty_orders`  '
+  UNION ALL SELECT 0, 3, '**Generated:** {_TS}  '
+  UNION ALL SELECT 0, 4, '**Dataset Size:** ' || format('{{:,}}', rows) || ' rows × {n} columns' FROM base
+  UNION ALL SELECT 0, 5, '' UNION ALL SELECT 0, 6, '---' UNION ALL SELECT 0, 7, ''
+  UNION ALL SELECT 1, 100, '## 1. Dataset Overview' UNION ALL SELECT 1, 101, ''
+  UNION ALL SELECT 1, 102, '| Metric | Value |' UNION ALL SELECT 1, 103, '|--------|-------|'
+  UNION ALL SELECT 1, 104, '| Total Rows | **' || format('{{:,}}', rows) || '** |' FROM base
+  UNION ALL SELECT 1, 105, '| Total Columns | **{n}** |' UNION ALL SELECT 1, 106, '| Numeric Columns | **5** |'
+  UNION ALL SELECT 1, 107, '| Categorical Columns | **3** |'
+  UNION ALL SELECT 1, 108, '| Missing Cells | **' || format('{{:,}}', missing) || '** |' FROM base
+  UNION ALL SELECT 1, 109, ''
+  UNION ALL SELECT 2, 200, '## 2. Data Quality Assessment' UNION ALL SELECT 2, 201, ''
+  UNION ALL SELECT 2, 202, '### Overall Quality Score: **' || CAST(score AS VARCHAR) || '/100**' FROM qsc
+  UNION ALL SELECT 2, 203, '' UNION ALL SELECT 2, 204, '| Dimension | Score |' UNION ALL SELECT 2, 205, '|-----------|-------|'
+  UNION ALL SELECT 2, 206, '| Completeness | ' || CAST(completeness AS VARCHAR) || '% |' FROM qsc
+  UNION ALL SELECT 2, 207, '| Duplicate Rate | ' || CAST(duplicate_rate AS VARCHAR) || '% |' FROM qsc
+  UNION ALL SELECT 2, 208, ''
+  UNION ALL SELECT 3, 300, '## 3. Data Cleaning Summary' UNION ALL SELECT 3, 301, ''
+  UNION ALL SELECT 3, 302, '- **Rows before cleaning:** ' || format('{{:,}}', rows_before) FROM rb
+  UNION ALL SELECT 3, 303, '- **Rows after cleaning:** ' || format('{{:,}}', rows_after) FROM rb
+  UNION ALL SELECT 3, 304, '- **Rows removed:** ' || format('{{:,}}', rows_before - rows_after) FROM rb
+  UNION ALL SELECT 3, 305, ''
+  UNION ALL SELECT 3, 306, '### Cleaning Operations Performed:' UNION ALL SELECT 3, 307, ''
+  UNION ALL SELECT 3, 399, ''
+  UNION ALL SELECT 3, 310 + step_no, '- ' || message FROM lg
+  UNION ALL SELECT 9, 900, '---' UNION ALL SELECT 9, 901, '*Report generated by tabsense · {_TS}*')"""
+    return log_ctes + ",\n" + _COUNTS.strip() + ",\n" + _SC.strip() + body
+
+
+@register("report_frame", _report_sql())
+def q_report_frame(spark, sf):
+    d = dirty_orders(spark, sf)
+    _, log, summary = clean(d, CLEAN_OPTS)
+    return report_frame(d, "dirty_orders", _TS, quality_scorecard(d), summary, log)
