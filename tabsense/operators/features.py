@@ -115,3 +115,60 @@ def class_balance(train: DataFrame, label: str) -> DataFrame:
     counts = train.groupBy(q(label).alias("class")).agg(F.count(F.lit(1)).alias("count_before"))
     w = Window.partitionBy()  # one row per class: bounded
     return counts.select("class", "count_before", F.max("count_before").over(w).alias("count_after"))
+
+
+def smote(train: DataFrame, label: str, features: list[str], k: int = 5, seed: int = DEFAULT_SEED,
+          buckets: int | None = None) -> DataFrame:
+    """Synthetic rows until every class has the majority count (exact).
+
+    Rows of the minority classes are ordered along a seeded random
+    projection of the features and cut into range buckets (cut points from
+    ``percentile_approx``), so no class is gathered into one task however
+    large it is.  A row's partners are the ``k`` rows before and after it in
+    that order inside its bucket (window functions, no pair join).  Each row
+    of a class with n rows and deficit d seeds d // n synthetic rows, plus
+    one for the rows whose exact rank along the projection is below d % n
+    (rank = rows of the class in earlier buckets + position in its bucket).
+    A synthetic row is x + u * (partner - x) with u and the partner chosen
+    by hash; a row without partners (a class of one) is replicated.
+    Returns (features..., label, synthetic)."""
+    from tabsense.functions.ordered_fill import _bucket_column
+    quotas = {r["class"]: r["count_before"] for r in class_balance(train, label).collect() if r["class"] is not None}
+    base_cols = [q(f).cast("double").alias(f) for f in features] + [q(label).alias(label)]
+    out = train.select(*base_cols, F.lit(False).alias("synthetic"))
+    if not quotas:
+        return out
+    top = max(quotas.values())
+    minority = {c: n for c, n in quotas.items() if n < top}
+    if not minority:
+        return out
+    rng = __import__("random").Random(seed)
+    proj = sum((F.coalesce(q(f).cast("double"), F.lit(0.0)) * F.lit(rng.uniform(-1, 1)) for f in features),
+               F.lit(0.0))
+    m = train.where(q(label).isin(list(minority))).select(*base_cols) \
+        .withColumn("_proj", proj).withColumn("_id", F.xxhash64(*[q(f) for f in features], q(label), F.lit(seed)))
+    b = _bucket_column(m, "_proj", buckets)
+    lab = q(label)
+    per = b.groupBy(lab.alias("_c"), "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w_cum = Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select("_c", "_b", F.coalesce(F.sum("_n").over(w_cum), F.lit(0)).alias("_off"))
+    w_in = Window.partitionBy(lab, "_b").orderBy("_proj", "_id")
+    ranked = b.join(F.broadcast(offsets), (lab == F.col("_c")) & (b["_b"] == offsets["_b"])) \
+        .drop(offsets["_b"]).withColumn("_rank", F.col("_off") + F.row_number().over(w_in) - 1)
+    partners = []
+    for d in list(range(1, k + 1)) + list(range(-k, 0)):
+        first = F.lag(q(features[0]), d).over(w_in)
+        partners.append(F.when(F.lag(F.col("_id"), d).over(w_in).isNotNull(),
+                               F.struct(*[F.lag(q(f), d).over(w_in).alias(f) for f in features])))
+    ranked = ranked.withColumn("_nb", F.array_compact(F.array(*partners)))
+    deficit = {c: top - n for c, n in minority.items()}
+    per_row = F.create_map(*[x for c in minority for x in (F.lit(c), F.lit(deficit[c] // minority[c]))])
+    rem = F.create_map(*[x for c in minority for x in (F.lit(c), F.lit(deficit[c] % minority[c]))])
+    copies = per_row[lab] + F.when(F.col("_rank") < rem[lab], 1).otherwise(0)
+    syn = ranked.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
+    h = F.xxhash64("_id", "_copy", F.lit(seed))
+    nb = F.when(F.size("_nb") > 0, F.element_at("_nb", (F.pmod(h, F.greatest(F.size("_nb"), F.lit(1))) + 1).cast("int")))
+    u = F.pmod(F.xxhash64(h, F.lit(seed + 1)), F.lit(1_000_000)) / 1_000_000.0
+    syn = syn.select(*[F.coalesce(q(f) + u * (nb[f] - q(f)), q(f)).alias(f) for f in features], lab.alias(label),
+                     F.lit(True).alias("synthetic"))
+    return out.unionByName(syn)

@@ -437,3 +437,11 @@ def q_cross_validate(spark, sf):
     run = ML.train_models(_li_keyed(spark, sf), "l_extendedprice", _REG_FEATURES, "regression",
                           ["Linear Regression"], key="row_key", cv_folds=5)
     return run.metrics.select("model", "cv_mean", "cv_std")
+
+
+@register("smote_rows")
+def q_smote_rows(spark, sf):
+    """Training rows of orders rebalanced on o_orderpriority (rows-only;
+    the class quotas themselves are checked by ``smote_class_counts``)."""
+    o = FE.train_test_split(table(spark, sf, "orders"), "o_orderkey").where(F.col("split") == "train")
+    return FE.smote(o, "o_orderpriority", ["o_totalprice", "o_custkey"], k=5)

@@ -58,3 +58,16 @@ def test_scalers_fit_on_train(spark):
     assert abs(s["train0"] + 1.0) < 1e-12 and abs(s["test2"] - 8.0) < 1e-12
     m = [r["x"] for r in FE.scale(df, ["x"], "minmax").collect()]
     assert m[:2] == [0.0, 1.0] and abs(m[2] - 4.5) < 1e-12
+
+
+def test_smote_exact_quotas_and_bounds(spark):
+    rows = [(float(i), float(i % 7), "big") for i in range(300)] + \
+           [(1000.0 + i, 3.0 * i, "mid") for i in range(70)] + [(5.0, 5.0, "one")]
+    df = spark.createDataFrame(rows, "x double, y double, cls string")
+    out = FE.smote(df, "cls", ["x", "y"], k=3, buckets=4)
+    counts = {r["cls"]: r["count"] for r in out.groupBy("cls").count().collect()}
+    assert counts == {"big": 300, "mid": 300, "one": 300}
+    mid = out.where("cls = 'mid' AND synthetic").agg(F.min("x"), F.max("x")).first()
+    assert mid[0] >= 1000.0 and mid[1] <= 1069.0
+    one = out.where("cls = 'one'").select("x", "y").distinct().collect()
+    assert [(r["x"], r["y"]) for r in one] == [(5.0, 5.0)]
