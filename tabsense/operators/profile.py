@@ -1,9 +1,10 @@
 """Profile and statistics.
 
-Every statistic family is one aggregation over the whole table (moments,
-counts, sign counts in one wide ``agg``; exact quantiles through bracket
-refinement; distinct values and frequencies through a single unpivot +
-``groupBy``).  Results are small long-form DataFrames, one row per column
+Every statistic family is one aggregation over the whole table: moments,
+counts and sign counts of all columns, and the correlations of all column
+pairs, come from one unpivot grouped by column (or pair) position; exact
+quantiles through bracket refinement; distinct values and frequencies through
+a single unpivot + ``groupBy``.  Results are small long-form DataFrames, one row per column
 or per column pair.
 """
 
@@ -12,52 +13,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsense.functions.columns import categorical_columns, numeric_columns, q
+from tabsense.functions.columns import (categorical_columns, name_of, numeric_columns, q,
+                                        unpivot_numeric, unpivot_pairs)
 from tabsense.functions.frequencies import distinct_counts, top_k, value_counts
 from tabsense.functions.quantiles import quantiles
-from tabsense.functions.stats import (merge_rows, null_count, pairwise_corr, round_sig,
-                                      sample_kurtosis, sample_skewness, strength_label)
+from tabsense.functions.stats import merge_rows, null_count, round_sig, strength_label
 from tabsense.operators.cleaning import IQR_FACTOR, STD_FACTOR, outlier_report
 from tabsense.operators.quality import table_counts
 
-# Expressions per aggregate before a new batch is started (keeps generated
-# code under the JVM method-size limit for very wide tables).
-EXPR_BATCH = 200
-
-
-def _explode_structs(df_one_row: DataFrame, names: list[str]) -> DataFrame:
-    return df_one_row.select(F.explode(F.array(*[F.col(n) for n in names])).alias("r")).select("r.*")
-
 
 def _numeric_moments(df: DataFrame, cols: list[str], digits: int) -> DataFrame:
     """One row per column: moments, extremes, sign counts, missing.
 
-    The aggregate produces raw values; rounding is applied once per
-    statistic on the exploded rows, which keeps generated code small."""
-    structs = []
-    for i, c in enumerate(cols):
-        ref = "`" + c.replace("`", "``") + "`"
-        lit = "'" + c.replace("\\", "\\\\").replace("'", "\\'") + "'"
-        x = f"CAST({ref} AS DOUBLE)"
-        n = f"count({x})"
-        sd = f"stddev_pop({x})"
-        skew = (f"CASE WHEN {n} < 3 THEN CAST(NULL AS DOUBLE) WHEN {sd} = 0 THEN 0D "
-                f"ELSE skewness({x}) * sqrt({n} * ({n} - 1D)) / ({n} - 2D) END")
-        kurt = (f"CASE WHEN {n} < 4 THEN CAST(NULL AS DOUBLE) WHEN {sd} = 0 THEN 0D "
-                f"ELSE ({n} - 1D) / (({n} - 2D) * ({n} - 3D)) * (({n} + 1D) * kurtosis({x}) + 6D) END")
-        nulls = f"CAST(count(*) - count({ref}) AS BIGINT)"
-        # one SQL struct per column: a single parse instead of dozens of Py4J calls
-        structs.append(F.expr(
-            f"named_struct('position', {i}, 'column_name', {lit}, 'count', {n}, 'missing', {nulls}, "
-            f"'missing_pct', {nulls} / count(*) * 100D, 'mean', avg({x}), 'std', stddev_samp({x}), "
-            f"'var', var_samp({x}), 'min', min({x}), 'max', max({x}), 'range', max({x}) - min({x}), "
-            f"'skewness', {skew}, 'kurtosis', {kurt}, "
-            f"'zero_count', count(CASE WHEN {x} = 0 THEN 1 END), "
-            f"'negative_count', count(CASE WHEN {x} < 0 THEN 1 END), "
-            f"'positive_count', count(CASE WHEN {x} > 0 THEN 1 END)) AS s{i}"))
-    raw = _explode_structs(df.agg(*structs), [f"s{i}" for i in range(len(cols))])
+    The statistics come from the unpivoted values grouped by column position
+    (small aggregation buffer, whole-stage codegen at any width); rounding is
+    applied once per statistic on the grouped rows."""
+    n = "count(x)"
+    sd = "stddev_pop(x)"
+    skew = (f"CASE WHEN {n} < 3 THEN CAST(NULL AS DOUBLE) WHEN {sd} = 0 THEN 0D "
+            f"ELSE skewness(x) * sqrt({n} * ({n} - 1D)) / ({n} - 2D) END")
+    kurt = (f"CASE WHEN {n} < 4 THEN CAST(NULL AS DOUBLE) WHEN {sd} = 0 THEN 0D "
+            f"ELSE ({n} - 1D) / (({n} - 2D) * ({n} - 3D)) * (({n} + 1D) * kurtosis(x) + 6D) END")
+    nulls = "CAST(count(*) - count(x) AS BIGINT)"
+    raw = unpivot_numeric(df, cols).groupBy("position").agg(
+        F.expr(f"{n} AS count"), F.expr(f"{nulls} AS missing"),
+        F.expr(f"{nulls} / count(*) * 100D AS missing_pct"), F.expr("avg(x) AS mean"),
+        F.expr("stddev_samp(x) AS std"), F.expr("var_samp(x) AS var"), F.expr("min(x) AS min"),
+        F.expr("max(x) AS max"), F.expr("max(x) - min(x) AS range"), F.expr(f"{skew} AS skewness"),
+        F.expr(f"{kurt} AS kurtosis"), F.expr("count(CASE WHEN x = 0 THEN 1 END) AS zero_count"),
+        F.expr("count(CASE WHEN x < 0 THEN 1 END) AS negative_count"),
+        F.expr("count(CASE WHEN x > 0 THEN 1 END) AS positive_count"))
     return raw.select(
-        "position", "column_name", "count", "missing", F.bround("missing_pct", 2).alias("missing_pct"),
+        "position", name_of(F.col("position"), cols).alias("column_name"), "count", "missing",
+        F.bround("missing_pct", 2).alias("missing_pct"),
         *[round_sig(k, digits).alias(k) for k in ("mean", "std", "var", "min", "max", "range")],
         F.bround("skewness", digits).alias("skewness"), F.bround("kurtosis", digits).alias("kurtosis"),
         "zero_count", "negative_count", "positive_count")
@@ -176,27 +164,22 @@ def frequency_summary(df: DataFrame, col: str) -> DataFrame:
 
 def correlation_pairs(df: DataFrame, cols: list[str] | None = None, digits: int | None = 4) -> DataFrame:
     """(i, j, variable_1, variable_2, correlation) for every pair i<j of
-    numeric columns; NULL when undefined (constant or too few pairs)."""
+    numeric columns; NULL when undefined (constant or too few pairs).
+
+    One scan: the pairwise-complete values of every pair are unpivoted and
+    grouped by pair, so the aggregation buffer stays small (codegen) and the
+    map side emits one partial row per pair."""
     cols = cols if cols is not None else numeric_columns(df)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     schema = "i int, j int, variable_1 string, variable_2 string, correlation double"
     if not pairs:
         return df.sparkSession.createDataFrame([], schema)
-    frames = []
-    for start in range(0, len(pairs), EXPR_BATCH):
-        batch = pairs[start:start + EXPR_BATCH]
-        structs = []
-        for n, (i, j) in enumerate(batch):
-            r = pairwise_corr(cols[i], cols[j])
-            structs.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                                    F.lit(cols[i]).alias("variable_1"), F.lit(cols[j]).alias("variable_2"),
-                                    (F.bround(r, digits) if digits is not None else r).alias("correlation"))
-                           .alias(f"p{n}"))
-        frames.append(_explode_structs(df.agg(*structs), [f"p{n}" for n in range(len(batch))]))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    g = unpivot_pairs(df, cols, pairs).groupBy("i", "j").agg(
+        F.covar_pop("a", "b").alias("cov"), (F.stddev_pop("a") * F.stddev_pop("b")).alias("den"))
+    r = F.when(F.col("den") > 0, F.try_divide(F.col("cov"), F.col("den")))
+    return g.select("i", "j", name_of(F.col("i"), cols).alias("variable_1"),
+                    name_of(F.col("j"), cols).alias("variable_2"),
+                    (F.bround(r, digits) if digits is not None else r).alias("correlation"))
 
 
 def top_correlations(df: DataFrame, k: int = 10, strict: bool = False, keep_undefined: bool = False,
@@ -216,12 +199,11 @@ def correlation_matrix(df: DataFrame, digits: int = 4) -> DataFrame:
     """H7 / L2 long form (var_a, var_b, r): both triangles and the diagonal."""
     cols = numeric_columns(df)
     p = correlation_pairs(df, cols, digits=None)
-    stds = df.agg(*[F.stddev_pop(q(c)).alias(f"s{i}") for i, c in enumerate(cols)],
-                  *[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(cols)])
-    diag = _explode_structs(stds.select(*[F.struct(
-        F.lit(c).alias("var_a"), F.lit(c).alias("var_b"),
-        F.when((F.col(f"s{i}") > 0) & (F.col(f"n{i}") > 1), F.lit(1.0)).alias("r")).alias(f"d{i}")
-        for i, c in enumerate(cols)]), [f"d{i}" for i in range(len(cols))])
+    stds = unpivot_numeric(df, cols).groupBy("position").agg(
+        F.stddev_pop("x").alias("s"), F.count("x").alias("n"))
+    name = name_of(F.col("position"), cols)
+    diag = stds.select(name.alias("var_a"), name.alias("var_b"),
+                       F.when((F.col("s") > 0) & (F.col("n") > 1), F.lit(1.0)).alias("r"))
     upper = p.select(F.col("variable_1").alias("var_a"), F.col("variable_2").alias("var_b"),
                      F.col("correlation").alias("r"))
     lower = p.select(F.col("variable_2").alias("var_a"), F.col("variable_1").alias("var_b"),
@@ -267,17 +249,15 @@ def normality(df: DataFrame) -> DataFrame:
     if not cols:
         return df.sparkSession.createDataFrame([], "column_name string, n bigint, jarque_bera double, "
                                                    "p_value double, normal_at_5pct boolean")
-    structs = []
-    for i, c in enumerate(cols):
-        x = q(c).cast("double")
-        n = F.count(x)
-        jb = n / 6 * (F.pow(F.skewness(x), 2) + F.pow(F.kurtosis(x), 2) / 4)
-        jb = F.when((n >= 3) & (F.stddev_pop(x) > 0), jb)
-        structs.append(F.struct(F.lit(c).alias("column_name"), n.alias("n"),
-                                F.bround(jb, 4).alias("jarque_bera"),
-                                F.bround(F.exp(-jb / 2), 6).alias("p_value"),
-                                (F.exp(-jb / 2) >= 0.05).alias("normal_at_5pct")).alias(f"s{i}"))
-    return _explode_structs(df.agg(*structs), [f"s{i}" for i in range(len(cols))])
+    x = F.col("x")
+    n = F.count(x)
+    jb = n / 6 * (F.pow(F.skewness(x), 2) + F.pow(F.kurtosis(x), 2) / 4)
+    jb = F.when((n >= 3) & (F.stddev_pop(x) > 0), jb)
+    g = unpivot_numeric(df, cols).groupBy("position").agg(n.alias("n"), jb.alias("jb"))
+    return g.select(name_of(F.col("position"), cols).alias("column_name"), "n",
+                    F.bround("jb", 4).alias("jarque_bera"),
+                    F.bround(F.exp(-F.col("jb") / 2), 6).alias("p_value"),
+                    (F.exp(-F.col("jb") / 2) >= 0.05).alias("normal_at_5pct"))
 
 
 # Weights of the documented weighted quality score.
