@@ -19,18 +19,26 @@ def _by(by):
 
 
 def classification_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction",
-                           by: list[str] | None = None) -> DataFrame:
+                           by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Accuracy and support-weighted precision, recall and F1 (a class
-    with no predicted or no true rows scores 0, as with zero_division=0)."""
+    with no predicted or no true rows scores 0, as with zero_division=0).
+
+    ``weight`` names a row-count column when ``pred`` is already a table of
+    (label, prediction, count) cells, e.g. one confusion table shared by an
+    overall and a per-fold evaluation."""
     by = _by(by)
+    n_rows = F.count(F.lit(1)) if weight is None else F.sum(q(weight))
     cm = pred.groupBy(*[q(c) for c in by], q(label).alias("_l"), q(prediction).alias("_p")) \
-        .agg(F.count(F.lit(1)).alias("_n"))
-    truth = cm.groupBy(*by, F.col("_l").alias("_c")).agg(
-        F.sum("_n").alias("support"), F.sum(F.when(F.col("_l") == F.col("_p"), F.col("_n"))).alias("tp"))
-    predicted = cm.groupBy(*by, F.col("_p").alias("_c")).agg(F.sum("_n").alias("predicted"))
-    per = truth.join(predicted, by + ["_c"], "full_outer").select(
-        *by, "_c", F.coalesce("support", F.lit(0)).alias("support"),
-        F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("predicted", F.lit(0)).alias("predicted"))
+        .agg(n_rows.alias("_n"))
+    # each confusion cell counts once for its true class (support, hits) and
+    # once for its predicted class: one groupBy per class, no join
+    hit = F.when(F.col("_l") == F.col("_p"), F.col("_n")).otherwise(F.lit(0))
+    zero = F.lit(0).cast("bigint")
+    sides = F.array(
+        F.struct(F.col("_l").alias("_c"), F.col("_n").alias("s"), hit.alias("t"), zero.alias("d")),
+        F.struct(F.col("_p").alias("_c"), zero.alias("s"), zero.alias("t"), F.col("_n").alias("d")))
+    per = cm.select(*by, F.inline(sides)).groupBy(*by, "_c").agg(
+        F.sum("s").alias("support"), F.sum("t").alias("tp"), F.sum("d").alias("predicted"))
     p = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(F.lit(0.0))
     r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     per = per.withColumn("_p", p).withColumn("_r", r).withColumn(

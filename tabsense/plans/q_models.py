@@ -37,9 +37,11 @@ def _long_predictions(spark, sf, models, label):
     li = table(spark, sf, "lineitem")
     arr = F.array(*[F.struct(F.lit(name).alias("model"), F.lit(i).alias("position"),
                              F.expr(expr).alias("prediction")) for i, (name, expr) in enumerate(models)])
-    return li.select(F.explode(arr).alias("m"), F.col(label).alias("label"),
-                     (md5_rank("l_orderkey") % FOLDS).alias("fold"),
+    # row-level columns are computed below the explode (once per row, not
+    # once per model)
+    return li.select("*", (md5_rank("l_orderkey") % FOLDS).alias("fold"),
                      F.year("l_shipdate").alias("ship_year")) \
+        .select(F.explode(arr).alias("m"), F.col(label).alias("label"), "fold", "ship_year") \
         .select("m.model", "m.position", "m.prediction", "label", "fold", "ship_year")
 
 
@@ -54,8 +56,11 @@ def classification_table(spark, sf, by_year=False):
     """Metrics table of the stand-in classifiers with 3-fold CV accuracy."""
     p = _long_predictions(spark, sf, CLS_MODELS, "l_returnflag")
     keys = ["model", "position"] + (["ship_year"] if by_year else [])
-    met = M.classification_metrics(p, by=keys)
-    folds = M.classification_metrics(p, by=keys + ["fold"])
+    # one pass over the rows: the confusion cells per fold feed both the
+    # overall and the per-fold metrics (the shuffle is reused by both)
+    cells = p.groupBy(*keys, "fold", "label", "prediction").agg(F.count(F.lit(1)).alias("_w"))
+    met = M.classification_metrics(cells, by=keys, weight="_w")
+    folds = M.classification_metrics(cells, by=keys + ["fold"], weight="_w")
     cv = folds.groupBy(*keys).agg(F.avg("accuracy").alias("cv_mean"), F.stddev_pop("accuracy").alias("cv_std"))
     return met.join(cv, keys)
 
