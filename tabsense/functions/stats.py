@@ -100,3 +100,15 @@ def merge_rows(*frames):
     cols = [c for f in frames for c in f.columns]
     u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     return u.agg(*[F.max(c).alias(c) for c in cols])
+
+
+def null_counts(df, cols: list[str]) -> dict[str, int]:
+    """Missing cells per column in one pass: null flags unpivoted and summed
+    per column position (a small buffer per key at any table width)."""
+    if not cols:
+        return {}
+    flags = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("position"), q(c).isNull().cast("long").alias("m"))
+        for i, c in enumerate(cols)])))
+    got = {r["position"]: r["m"] for r in flags.groupBy("position").agg(F.sum("m").alias("m")).collect()}
+    return {c: int(got.get(i) or 0) for i, c in enumerate(cols)}

@@ -18,7 +18,7 @@ from tabsense.functions.columns import (INDEX_LIKE_NAMES, categorical_columns,
 from tabsense.functions.frequencies import distinct_counts, modes, value_counts
 from tabsense.functions.ordered_fill import ordered_fill
 from tabsense.functions.quantiles import quantiles
-from tabsense.functions.stats import null_count
+from tabsense.functions.stats import null_count, null_counts
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's.
@@ -174,15 +174,19 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
 
 # --- D1-D9 ------------------------------------------------------------------
 
-def columns_with_missing(df: DataFrame, cols: list[str]) -> list[str]:
+def columns_with_missing(df: DataFrame, cols: list[str], counts: dict[str, int] | None = None) -> list[str]:
+    """Columns of ``cols`` holding a missing cell; ``counts`` (column -> missing
+    cells, already computed by the caller) saves the pass over the table."""
     if not cols:
         return []
-    r = df.agg(*[null_count(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    return [c for i, c in enumerate(cols) if r[f"m{i}"] > 0]
+    if counts is None or any(c not in counts for c in cols):
+        counts = null_counts(df, cols)
+    return [c for c in cols if counts[c] > 0]
 
 
 def impute_numeric(df: DataFrame, method: str, order_by: list[str] | None = None,
-                   cols: list[str] | None = None, exact: bool = True) -> DataFrame:
+                   cols: list[str] | None = None, exact: bool = True,
+                   null_cells: dict[str, int] | None = None) -> DataFrame:
     """Fill numeric columns that have missing cells.
 
     ``median`` (linear-interpolated, exact by default) and ``mean`` turn
@@ -191,7 +195,7 @@ def impute_numeric(df: DataFrame, method: str, order_by: list[str] | None = None
     median/mean (there is nothing to fill with).
     """
     cand = cols if cols is not None else numeric_columns(df)
-    todo = columns_with_missing(df, cand)
+    todo = columns_with_missing(df, cand, null_cells)
     if not todo:
         return df
     if method in ("ffill", "bfill"):
@@ -213,12 +217,13 @@ def impute_numeric(df: DataFrame, method: str, order_by: list[str] | None = None
 
 
 def impute_categorical(df: DataFrame, method: str, order_by: list[str] | None = None,
-                       cols: list[str] | None = None, label: str = UNKNOWN_LABEL) -> DataFrame:
+                       cols: list[str] | None = None, label: str = UNKNOWN_LABEL,
+                       null_cells: dict[str, int] | None = None) -> DataFrame:
     """Fill text columns that have missing cells: ``mode`` (smallest
     value on ties; all-null columns untouched), ``unknown`` (a label),
     ``ffill``/``bfill`` along ``order_by``."""
     cand = cols if cols is not None else categorical_columns(df)
-    todo = columns_with_missing(df, cand)
+    todo = columns_with_missing(df, cand, null_cells)
     if not todo:
         return df
     if method in ("ffill", "bfill"):

@@ -5,10 +5,10 @@ duplicates -> rows with missing cells -> numeric fill -> categorical fill ->
 outliers -> constant columns -> high-cardinality columns -> column names.
 
 Statistics of a step are computed on the output of the steps before it.
-Where several later jobs re-read an intermediate table (after the dedup
-shuffle, after fills) the plan is cut with a reliable checkpoint when the
-session names a checkpoint dir, so a lost executor never forces the dedup
-shuffle to be recomputed.
+Where several later jobs re-read an intermediate table that carries a
+shuffle (after dedup, after forward/backward fills) the plan is cut with a
+reliable checkpoint when the session names a checkpoint dir, so a lost
+executor never forces that shuffle to be recomputed.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsense.functions.columns import categorical_columns, numeric_columns, q
-from tabsense.functions.stats import null_count
+from tabsense.functions.stats import null_counts
 from tabsense.operators import cleaning as C
 from tabsense.session import materialize
 
@@ -70,10 +70,11 @@ def _fmt(n: int) -> str:
     return f"{n:,}"
 
 
-def _nulls(df: DataFrame, cols: list[str]) -> int:
-    if not cols:
-        return 0
-    return df.agg(sum((null_count(c) for c in cols), F.lit(0)).alias("n")).first()["n"]
+def _cut_if_ordered(df: DataFrame, method: str) -> DataFrame:
+    """Forward/backward fills carry window shuffles in their lineage: cut it.
+    Statistic fills (median, mean, zero, mode, unknown) are narrow
+    projections with literal fill values; their lineage stays short."""
+    return materialize(df) if method in ("ffill", "bfill") else df
 
 
 def clean(df: DataFrame, opts: CleanOptions = CleanOptions()) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -109,24 +110,28 @@ def clean(df: DataFrame, opts: CleanOptions = CleanOptions()) -> tuple[DataFrame
             pct = opts.missing_threshold
             pct = int(pct) if float(pct).is_integer() else pct
             log.append((2, "missing_rows", n - nf, msg.format(n=_fmt(n - nf), pct=pct)))
-            cur, n = materialize(f), nf
-
-    if opts.fill_numeric:
-        cols = numeric_columns(cur)
-        before = _nulls(cur, cols)
-        cur = materialize(C.impute_numeric(cur, opts.fill_numeric, list(opts.order_by or []) or None,
-                                           exact=opts.exact))
-        filled = before - _nulls(cur, numeric_columns(cur))
-        if filled > 0:
+            # a narrow filter over the checkpointed dedup output: nothing to cut
+            cur, n = f, nf
+
+    if opts.fill_numeric or opts.fill_categorical:
+        nums, cats = numeric_columns(cur), categorical_columns(cur)
+        order = list(opts.order_by or []) or None
+        # missing cells of every column in one pass before the fills and one
+        # after both: a numeric fill leaves text columns as they are and the
+        # other way round, so each fill's count is a difference of the two
+        before = null_counts(cur, nums + cats)
+        if opts.fill_numeric:
+            cur = _cut_if_ordered(C.impute_numeric(cur, opts.fill_numeric, order, exact=opts.exact,
+                                                   null_cells=before), opts.fill_numeric)
+        if opts.fill_categorical:
+            cur = _cut_if_ordered(C.impute_categorical(cur, opts.fill_categorical, order, null_cells=before),
+                                  opts.fill_categorical)
+        after = null_counts(cur, nums + cats)
+        filled = sum(before[c] - after[c] for c in nums)
+        if opts.fill_numeric and filled > 0:
             log.append((3, "numeric_fill", filled, MSG_FILLED_NUMERIC.format(n=_fmt(filled))))
-
-    if opts.fill_categorical:
-        cols = categorical_columns(cur)
-        before = _nulls(cur, cols)
-        cur = materialize(C.impute_categorical(cur, opts.fill_categorical,
-                                               list(opts.order_by or []) or None))
-        filled = before - _nulls(cur, categorical_columns(cur))
-        if filled > 0:
+        filled = sum(before[c] - after[c] for c in cats)
+        if opts.fill_categorical and filled > 0:
             log.append((4, "categorical_fill", filled, MSG_FILLED_CATEGORICAL.format(n=_fmt(filled))))
 
     if opts.handle_outliers:
