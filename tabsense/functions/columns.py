@@ -97,3 +97,11 @@ def unpivot_pairs(df: DataFrame, cols: list[str], pairs: list[tuple[int, int]])
 def name_of(position: Column, cols: list[str]) -> Column:
     """Column name for a 0-based position, from a literal array of names."""
     return F.element_at(F.array(*[F.lit(c) for c in cols]), position + 1)
+
+
+def pick(values: list[float], position: Column) -> Column:
+    """Per-column constant (e.g. a bound) for a 0-based column position, from
+    a literal array: lets one grouped aggregate use different constants per
+    column of an unpivot."""
+    return F.element_at(F.array(*[F.lit(None if v is None else float(v)).cast("double") for v in values]),
+                        position + 1)

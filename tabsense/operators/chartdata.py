@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsense.functions.columns import q
+from tabsense.functions.columns import name_of, pick, q, unpivot_numeric
 from tabsense.functions.quantiles import quantiles
 from tabsense.operators.cleaning import IQR_FACTOR, analysis_numeric_columns
 
@@ -70,22 +70,24 @@ def box_stats(df: DataFrame, cols: list[str] | None = None, exact: bool = True)
     present = [c for c in cols if qs[(c, 0.5)] is not None]
     if not present:
         return spark.createDataFrame([], schema)
-    structs = []
-    for i, c in enumerate(present):
-        q1, med, q3 = qs[(c, 0.25)], qs[(c, 0.5)], qs[(c, 0.75)]
-        lo, hi = q1 - IQR_FACTOR * (q3 - q1), q3 + IQR_FACTOR * (q3 - q1)
-        x = q(c).cast("double")
-        inside = (x >= F.lit(lo)) & (x <= F.lit(hi))
-        structs.append(F.struct(
-            F.lit(c).alias("column_name"), F.count(x).alias("n"),
-            F.bround(F.lit(q1), 4).alias("q1"), F.bround(F.lit(med), 4).alias("median"),
-            F.bround(F.lit(q3), 4).alias("q3"), F.bround(F.lit(lo), 4).alias("lower_fence"),
-            F.bround(F.lit(hi), 4).alias("upper_fence"),
-            F.bround(F.min(F.when(inside, x)), 4).alias("whisker_low"),
-            F.bround(F.max(F.when(inside, x)), 4).alias("whisker_high"),
-            F.count(F.when(x.isNotNull() & ~inside, 1)).alias("outliers")).alias(f"s{i}"))
-    return (df.agg(*structs).select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(present))])).alias("r"))
-            .select("r.*"))
+    q1s = [qs[(c, 0.25)] for c in present]
+    meds = [qs[(c, 0.5)] for c in present]
+    q3s = [qs[(c, 0.75)] for c in present]
+    los = [a - IQR_FACTOR * (b - a) for a, b in zip(q1s, q3s)]
+    his = [b + IQR_FACTOR * (b - a) for a, b in zip(q1s, q3s)]
+    # one grouped aggregate over the unpivoted values (small buffer per column)
+    pos, x = F.col("position"), F.col("x")
+    lo, hi = pick(los, pos), pick(his, pos)
+    inside = (x >= lo) & (x <= hi)
+    g = unpivot_numeric(df, present).groupBy("position").agg(
+        F.count(x).alias("n"), F.min(F.when(inside, x)).alias("_wl"), F.max(F.when(inside, x)).alias("_wh"),
+        F.count(F.when(x.isNotNull() & ~inside, 1)).alias("outliers"))
+    return g.select(
+        name_of(pos, present).alias("column_name"), "n",
+        F.bround(pick(q1s, pos), 4).alias("q1"), F.bround(pick(meds, pos), 4).alias("median"),
+        F.bround(pick(q3s, pos), 4).alias("q3"), F.bround(lo, 4).alias("lower_fence"),
+        F.bround(hi, 4).alias("upper_fence"), F.bround("_wl", 4).alias("whisker_low"),
+        F.bround("_wh", 4).alias("whisker_high"), "outliers")
 
 
 def md5_rank(key: str, seed: int = 42):

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsense.functions.columns import (INDEX_LIKE_NAMES, categorical_columns,
-                                        numeric_columns, q)
+from tabsense.functions.columns import (INDEX_LIKE_NAMES, categorical_columns, name_of,
+                                        numeric_columns, pick, q, unpivot_numeric)
 from tabsense.functions.frequencies import distinct_counts, modes, value_counts
 from tabsense.functions.ordered_fill import ordered_fill
 from tabsense.functions.quantiles import quantiles
@@ -329,23 +329,20 @@ def outlier_report(df: DataFrame, only_positive: bool = False, exact: bool = Tru
     present = [c for c in cols if qs[(c, 0.25)] is not None]
     if not present:
         return spark.createDataFrame([], schema)
-    exprs = []
-    for i, c in enumerate(present):
-        q1, q3 = qs[(c, 0.25)], qs[(c, 0.75)]
-        lo, hi = q1 - IQR_FACTOR * (q3 - q1), q3 + IQR_FACTOR * (q3 - q1)
-        x = q(c).cast("double")
-        out = (x < F.lit(lo)) | (x > F.lit(hi))
-        exprs.append(F.struct(
-            F.lit(c).alias("column_name"),
-            F.count(F.when(out, 1)).alias("outlier_count"),
-            F.bround(F.count(F.when(out, 1)) / F.count(x) * 100, 2).alias("outlier_percentage"),
-            F.bround(F.lit(lo), 4).alias("lower_bound"),
-            F.bround(F.lit(hi), 4).alias("upper_bound"),
-            F.bround(F.min(F.when(out, x)), 4).alias("min_outlier"),
-            F.bround(F.max(F.when(out, x)), 4).alias("max_outlier"),
-        ).alias(f"r{i}"))
-    res = df.agg(*exprs).select(F.explode(F.array(*[F.col(f"r{i}") for i in range(len(present))])).alias("r")) \
-        .select("r.*")
+    los = [qs[(c, 0.25)] - IQR_FACTOR * (qs[(c, 0.75)] - qs[(c, 0.25)]) for c in present]
+    his = [qs[(c, 0.75)] + IQR_FACTOR * (qs[(c, 0.75)] - qs[(c, 0.25)]) for c in present]
+    # one grouped aggregate over the unpivoted values (small buffer per column)
+    pos, x = F.col("position"), F.col("x")
+    lo, hi = pick(los, pos), pick(his, pos)
+    out = (x < lo) | (x > hi)
+    g = unpivot_numeric(df, present).groupBy("position").agg(
+        F.count(F.when(out, 1)).alias("outlier_count"), F.count(x).alias("_n"),
+        F.min(F.when(out, x)).alias("_mn"), F.max(F.when(out, x)).alias("_mx"))
+    res = g.select(
+        name_of(pos, present).alias("column_name"), "outlier_count",
+        F.bround(F.col("outlier_count") / F.col("_n") * 100, 2).alias("outlier_percentage"),
+        F.bround(lo, 4).alias("lower_bound"), F.bround(hi, 4).alias("upper_bound"),
+        F.bround("_mn", 4).alias("min_outlier"), F.bround("_mx", 4).alias("max_outlier"))
     if only_positive:
         res = res.where(F.col("outlier_count") > 0)
     return res
