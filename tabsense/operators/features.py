@@ -117,6 +117,10 @@ def class_balance(train: DataFrame, label: str) -> DataFrame:
     return counts.select("class", "count_before", F.max("count_before").over(w).alias("count_after"))
 
 
+# Synthetic rows generated by one task from one chunk of a seed row's copies.
+SMOTE_CHUNK = 100_000
+
+
 def smote(train: DataFrame, label: str, features: list[str], k: int = 5, seed: int = DEFAULT_SEED,
           buckets: int | None = None) -> DataFrame:
     """Synthetic rows until every class has the majority count (exact).
@@ -165,7 +169,19 @@ def smote(train: DataFrame, label: str, features: list[str], k: int = 5, seed: i
     per_row = F.create_map(*[x for c in minority for x in (F.lit(c), F.lit(deficit[c] // minority[c]))])
     rem = F.create_map(*[x for c in minority for x in (F.lit(c), F.lit(deficit[c] % minority[c]))])
     copies = per_row[lab] + F.when(F.col("_rank") < rem[lab], 1).otherwise(0)
-    syn = ranked.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
+    # a seed row may owe millions of copies (a class of one next to a class
+    # holding a third of the rows): cut its copies into chunks, spread the
+    # chunk rows over the cluster (an explicit partition count, which AQE
+    # leaves as it is), then number the copies 1..copies inside each chunk
+    nparts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seeds = ranked.where(copies > 0).withColumn("_copies", copies.cast("long"))
+    nchunks = F.ceil(F.col("_copies") / F.lit(SMOTE_CHUNK)).cast("int")
+    seeds = seeds.withColumn("_chunk", F.explode(F.sequence(F.lit(0), nchunks - 1)))
+    seeds = seeds.repartition(nparts, F.xxhash64("_id", "_chunk"))
+    start = F.col("_chunk").cast("long") * SMOTE_CHUNK + 1
+    end = F.least(F.col("_copies"), start + SMOTE_CHUNK - 1)
+    syn = seeds.withColumn("_copy", F.explode(F.sequence(start, end))) \
+        .withColumn("_copy", F.col("_copy").cast("int"))
     h = F.xxhash64("_id", "_copy", F.lit(seed))
     nb = F.when(F.size("_nb") > 0, F.element_at("_nb", (F.pmod(h, F.greatest(F.size("_nb"), F.lit(1))) + 1).cast("int")))
     u = F.pmod(F.xxhash64(h, F.lit(seed + 1)), F.lit(1_000_000)) / 1_000_000.0

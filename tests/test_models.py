@@ -71,3 +71,13 @@ def test_smote_exact_quotas_and_bounds(spark):
     assert mid[0] >= 1000.0 and mid[1] <= 1069.0
     one = out.where("cls = 'one'").select("x", "y").distinct().collect()
     assert [(r["x"], r["y"]) for r in one] == [(5.0, 5.0)]
+
+
+def test_smote_chunked_copies_equal_unchunked(spark, monkeypatch):
+    """A seed row's copies split over chunks give the same synthetic rows."""
+    rows = [(float(i), float(i % 7), "big") for i in range(300)] + [(5.0, 5.0, "one"), (7.0, 1.0, "two")]
+    df = spark.createDataFrame(rows, "x double, y double, cls string")
+    whole = sorted(FE.smote(df, "cls", ["x", "y"], k=3, buckets=4).collect())
+    monkeypatch.setattr(FE, "SMOTE_CHUNK", 7)
+    chunked = sorted(FE.smote(df, "cls", ["x", "y"], k=3, buckets=4).collect())
+    assert chunked == whole and len(whole) == 900
