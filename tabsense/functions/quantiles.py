@@ -135,31 +135,63 @@ def exact_order_stats(df: DataFrame, targets: list[tuple[str, int]], counts: dic
 
 
 def _finish(df, small, result, collect_bound):
-    """Read exact order statistics from the (value, count) rows of each bracket."""
-    brackets: dict[tuple, int] = {}
+    """Read exact order statistics from the (value, count) rows of each bracket.
+
+    One record per row and column: the value itself when it lies inside one
+    of the column's brackets, else its gap id = the number of bracket lower
+    bounds at or below it.  A value outside the brackets is below bound
+    ``lows[m]`` exactly when its gap id is at most ``m``, so the counts below
+    every bracket come from the few gap rows plus the exact values."""
+    bycol: dict[str, list] = {}
     for t in small:
-        brackets.setdefault((t.col, t.lo, t.hi), len(brackets))
-    structs = []
-    for (col, lo, hi), bid in brackets.items():
-        c = q(col).cast("double")
-        keep = c.isNotNull() if hi is None else (c.isNotNull() & (c <= F.lit(hi)))
-        val = c if lo is None else F.when(c >= F.lit(lo), c)
-        structs.append(F.struct(F.lit(bid).alias("bid"), val.alias("v"), keep.alias("keep")))
-    # explode + where stays in generated code (a filter lambda would be interpreted)
-    rows = (df.select(F.explode(F.array(*structs)).alias("s"))
-            .where(F.col("s.keep"))
-            .select("s.bid", "s.v")
-            .groupBy("bid", "v").count()
+        bycol.setdefault(t.col, []).append(t)
+    cols = list(bycol)
+    lows_of = {}
+    pre, structs = [], []
+    for i, col in enumerate(cols):
+        # SQL text: one parse per column instead of hundreds of Py4J calls
+        c = "CAST(`" + col.replace("`", "``") + "` AS DOUBLE)"
+        brackets = {(t.lo, t.hi) for t in bycol[col]}
+        lows = sorted({lo for lo, _ in brackets if lo is not None})
+        lows_of[col] = lows
+        conds = []
+        for lo, hi in brackets:
+            parts = ([f"{c} >= {float(lo)!r}D"] if lo is not None else []) + \
+                    ([f"{c} <= {float(hi)!r}D"] if hi is not None else [])
+            conds.append("(" + (" AND ".join(parts) or "TRUE") + ")")
+        inside = f"({c} IS NOT NULL AND ({' OR '.join(conds)}))"
+        gap = " + ".join(f"CASE WHEN {c} >= {float(lo)!r}D THEN 1 ELSE 0 END" for lo in lows) or "0"
+        # value and gap id per column first: a plain projection, split into
+        # small generated methods; the array of structs below only moves them
+        pre += [F.expr(f"CASE WHEN {inside} THEN {c} END AS _v{i}"),
+                F.expr(f"CASE WHEN {c} IS NOT NULL AND NOT {inside} THEN {gap} END AS _g{i}")]
+        structs.append(f"named_struct('p', {i}, 'v', _v{i}, 'g', _g{i})")
+    # inline + where stays in generated code (a filter lambda would be interpreted)
+    rows = (df.select(*pre).select(F.expr(f"inline(array({', '.join(structs)}))"))
+            .where(F.col("v").isNotNull() | F.col("g").isNotNull())
+            .groupBy("p", "v", "g").count()
             .collect())
-    per: dict[int, list] = {}
-    for r in rows:
-        per.setdefault(r["bid"], []).append((r["v"], r["count"]))
+    vals: dict[int, list] = {}
+    gaps: dict[int, list] = {}
+    for p, v, g, n in rows:
+        if v is not None:
+            vals.setdefault(p, []).append((v, n))
+        else:
+            gaps.setdefault(p, []).append((g, n))
+    for p in vals:
+        vals[p].sort()
     for t in small:
-        bid = brackets[(t.col, t.lo, t.hi)]
-        items = per.get(bid, [])
-        below = sum(n for v, n in items if v is None)
-        vals = sorted((v, n) for v, n in items if v is not None)
-        total = sum(n for _, n in vals)
+        p = cols.index(t.col)
+        exact = vals.get(p, [])
+        if t.lo is None:
+            below = 0
+        else:
+            m = lows_of[t.col].index(t.lo)
+            below = (sum(n for g, n in gaps.get(p, []) if g <= m)
+                     + sum(n for v, n in exact if v < t.lo))
+        items = [(v, n) for v, n in exact
+                 if (t.lo is None or v >= t.lo) and (t.hi is None or v <= t.hi)]
+        total = sum(n for _, n in items)
         if not (below <= t.k < below + total):
             t.lo, t.hi = t.verified
             t.margin *= 4
@@ -167,7 +199,7 @@ def _finish(df, small, result, collect_bound):
             continue
         r = t.k - below
         acc = 0
-        for v, n in vals:
+        for v, n in items:
             acc += n
             if r < acc:
                 result[(t.col, t.k)] = v
