@@ -125,7 +125,13 @@ def exact_order_stats(df: DataFrame, targets: list[tuple[str, int]], counts: dic
         if big:
             stats = _grid_round(df, {(t.col, t.lo, t.hi): None for t in big}, probs, accuracy)
             for t in big:
+                before = (t.lo, t.hi)
                 _narrow(t, *stats[(t.col, t.lo, t.hi)], grid)
+                if (t.lo, t.hi) == before and t.est != math.inf:
+                    # the grid cannot split the bracket any more: it holds a
+                    # few values repeated many times, so grouping it by value
+                    # returns few rows however many values it holds
+                    t.est = 0.0
         if small:
             _finish(df, small, result, collect_bound)
             for t in small:

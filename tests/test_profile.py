@@ -48,6 +48,19 @@ def test_quantiles_hot_value(spark):
         assert abs(got[("v", p)] - pdf["v"].quantile(p)) < 1e-9
 
 
+def test_quantiles_overlapping_brackets_with_ties(spark):
+    # 41 targets close together on a column of few distinct values: the
+    # brackets overlap and the counts below them come from gap ids
+    df = spark.range(5000).select((F.col("id") * 7 % 97).cast("double").alias("v"),
+                                  F.when(F.col("id") % 4 == 0, None).otherwise(F.sqrt("id")).alias("w"))
+    pdf = df.toPandas()
+    probs = [i / 40 for i in range(41)]
+    got = exact_quantiles(df, ["v", "w"], probs, collect_bound=30, grid=8, accuracy=100)
+    for c in ["v", "w"]:
+        for p in probs:
+            assert abs(got[(c, p)] - pdf[c].dropna().quantile(p)) < 1e-9
+
+
 def test_correlation_constant_column_is_undefined(spark):
     df = spark.createDataFrame([(1.0, 5.0, 2.0), (2.0, 5.0, 4.1), (3.0, 5.0, 6.3)], "a double, b double, c double")
     pairs = {(r["variable_1"], r["variable_2"]): r["correlation"] for r in P.correlation_pairs(df).collect()}
