@@ -112,3 +112,19 @@ def null_counts(df, cols: list[str]) -> dict[str, int]:
         for i, c in enumerate(cols)])))
     got = {r["position"]: r["m"] for r in flags.groupBy("position").agg(F.sum("m").alias("m")).collect()}
     return {c: int(got.get(i) or 0) for i, c in enumerate(cols)}
+
+
+def column_stats(df, cols: list[str], **aggs) -> dict[str, dict]:
+    """Per-column statistics of numeric columns in one pass, e.g.
+    ``column_stats(df, cols, mean=F.avg, std=F.stddev_samp)`` ->
+    ``{col: {"mean": .., "std": ..}}``.  Each aggregate receives the column's
+    values as double; the values are unpivoted and grouped by column position,
+    so any number of columns keeps a small aggregation buffer (codegen)."""
+    from tabsense.functions.columns import unpivot_numeric
+    if not cols:
+        return {}
+    x = F.col("x")
+    rows = unpivot_numeric(df, cols).groupBy("position").agg(
+        *[fn(x).alias(name) for name, fn in aggs.items()]).collect()
+    got = {r["position"]: r.asDict() for r in rows}
+    return {c: {name: got.get(i, {}).get(name) for name in aggs} for i, c in enumerate(cols)}

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tabsense.functions.columns import name_of, pick, q, unpivot_numeric
 from tabsense.functions.quantiles import quantiles
+from tabsense.functions.stats import column_stats
 from tabsense.operators.cleaning import IQR_FACTOR, analysis_numeric_columns
 
 DEFAULT_BINS = 30          # fixed value: histogram bins
@@ -33,11 +34,10 @@ def histograms(df: DataFrame, cols: list[str] | None = None, bins: int = DEFAULT
     schema = "column_name string, bin int, bin_start double, bin_end double, count bigint"
     if not cols:
         return spark.createDataFrame([], schema)
-    r = df.agg(*[F.min(q(c).cast("double")).alias(f"a{i}") for i, c in enumerate(cols)],
-               *[F.max(q(c).cast("double")).alias(f"b{i}") for i, c in enumerate(cols)]).first()
+    st = column_stats(df, cols, a=F.min, b=F.max)
     grid, cases = [], []
-    for i, c in enumerate(cols):
-        mn, mx = r[f"a{i}"], r[f"b{i}"]
+    for c in cols:
+        mn, mx = st[c]["a"], st[c]["b"]
         if mn is None:
             continue
         w = (mx - mn) / bins

@@ -18,7 +18,7 @@ from tabsense.functions.columns import (INDEX_LIKE_NAMES, categorical_columns, n
 from tabsense.functions.frequencies import distinct_counts, modes, value_counts
 from tabsense.functions.ordered_fill import ordered_fill
 from tabsense.functions.quantiles import quantiles
-from tabsense.functions.stats import null_count, null_counts
+from tabsense.functions.stats import column_stats, null_count, null_counts
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's.
@@ -205,9 +205,8 @@ def impute_numeric(df: DataFrame, method: str, order_by: list[str] | None = None
     if method == "zero":
         fills = {c: F.coalesce(q(c), F.lit(0).cast(df.schema[c].dataType)) for c in todo}
     elif method == "mean":
-        r = df.agg(*[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(todo)]).first()
-        fills = {c: F.coalesce(q(c).cast("double"), F.lit(r[f"m{i}"]).cast("double"))
-                 for i, c in enumerate(todo)}
+        st = column_stats(df, todo, m=F.avg)
+        fills = {c: F.coalesce(q(c).cast("double"), F.lit(st[c]["m"]).cast("double")) for c in todo}
     elif method == "median":
         med = quantiles(df, todo, [0.5], exact=exact)
         fills = {c: F.coalesce(q(c).cast("double"), F.lit(med[(c, 0.5)]).cast("double")) for c in todo}
@@ -255,11 +254,10 @@ def std_bounds(df: DataFrame, cols: list[str]) -> dict[str, tuple]:
     """mean -+ 3 sample standard deviations per column (None if undefined)."""
     if not cols:
         return {}
-    r = df.agg(*[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(cols)],
-               *[F.stddev_samp(q(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    st = column_stats(df, cols, m=F.avg, s=F.stddev_samp)
     out = {}
-    for i, c in enumerate(cols):
-        m, s = r[f"m{i}"], r[f"s{i}"]
+    for c in cols:
+        m, s = st[c]["m"], st[c]["s"]
         out[c] = (None, None) if m is None or s is None else (m - STD_FACTOR * s, m + STD_FACTOR * s)
     return out
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsense.functions.columns import categorical_columns, numeric_columns, q
+from tabsense.functions.stats import column_stats
 from tabsense.operators.chartdata import md5_rank
 from tabsense.operators.cleaning import MISSING_LABEL
 
@@ -73,14 +74,13 @@ def train_test_split(df: DataFrame, key: str, test: float = DEFAULT_TEST_SHARE,
 
 def _fit_stats(df: DataFrame, cols: list[str], kinds: list[str]) -> dict:
     train = df.where(F.col("split") == "train")
-    exprs = []
-    for i, c in enumerate(cols):
-        x = q(c).cast("double")
-        if "standard" in kinds:
-            exprs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
-        if "minmax" in kinds:
-            exprs += [F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
-    return train.agg(*exprs).first().asDict()
+    aggs = {}
+    if "standard" in kinds:
+        aggs.update(m=F.avg, s=F.stddev_pop)
+    if "minmax" in kinds:
+        aggs.update(a=F.min, b=F.max)
+    st = column_stats(train, cols, **aggs)
+    return {f"{k}{i}": v for i, c in enumerate(cols) for k, v in st[c].items()}
 
 
 def scale(df: DataFrame, cols: list[str] | None = None, method: str = "standard") -> DataFrame:

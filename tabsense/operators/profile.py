@@ -17,7 +17,7 @@ from tabsense.functions.columns import (categorical_columns, name_of, numeric_co
                                         unpivot_numeric, unpivot_pairs)
 from tabsense.functions.frequencies import distinct_counts, top_k, value_counts
 from tabsense.functions.quantiles import quantiles
-from tabsense.functions.stats import merge_rows, null_count, round_sig, strength_label
+from tabsense.functions.stats import column_stats, merge_rows, null_count, round_sig, strength_label
 from tabsense.operators.cleaning import IQR_FACTOR, STD_FACTOR, outlier_report
 from tabsense.operators.quality import table_counts
 
@@ -274,11 +274,10 @@ def weighted_quality(df: DataFrame) -> DataFrame:
                  that are not (``try_cast``)."""
     nums, cats = numeric_columns(df), categorical_columns(df)
     ncols = len(df.columns)
-    mom = df.agg(*[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(nums)],
-                 *[F.stddev_samp(q(c)).alias(f"s{i}") for i, c in enumerate(nums)]).first() if nums else None
+    mom = column_stats(df, nums, m=F.avg, s=F.stddev_samp)
     beyond = F.lit(False)
-    for i, c in enumerate(nums):
-        m, s = mom[f"m{i}"], mom[f"s{i}"]
+    for c in nums:
+        m, s = mom[c]["m"], mom[c]["s"]
         if m is not None and s is not None:
             beyond = beyond | F.coalesce((F.abs(q(c) - F.lit(m)) > STD_FACTOR * s), F.lit(False))
     mixed = []
