@@ -12,12 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsense.functions.columns import is_floating, numeric_columns, q
+from tabsense.functions.columns import is_floating, name_of, numeric_columns, q
 from tabsense.functions.stats import null_count
 
 # Above this many columns the duplicate count first groups on a 64-bit row
 # hash, so only rows whose hash repeats are shuffled in full.
 WIDE_ROW_COLUMNS = 6
+# Above this many columns a one-row aggregate with one buffer per column
+# would pass spark.sql.codegen.maxFields (100) and lose whole-stage codegen.
+WIDE_AGG_COLUMNS = 90
 
 
 def _groupable(df: DataFrame) -> list[Column]:
@@ -76,13 +79,12 @@ def duplicate_count(df: DataFrame, method: str = "auto") -> DataFrame:
 
 
 def _missing_cells(df: DataFrame) -> Column:
+    """Missing cells of the whole table: one sum of a per-row null count (a
+    single aggregation buffer, whatever the number of columns)."""
     if not df.columns:
         return F.lit(0).cast("bigint")
-    total = None
-    for c in df.columns:
-        e = null_count(c)
-        total = e if total is None else total + e
-    return total.cast("bigint")
+    per_row = sum((q(c).isNull().cast("long") for c in df.columns[1:]), q(df.columns[0]).isNull().cast("long"))
+    return F.coalesce(F.sum(per_row), F.lit(0)).cast("bigint")
 
 
 def table_counts(df: DataFrame, method: str = "auto") -> DataFrame:
@@ -152,8 +154,19 @@ def profile_basic(df: DataFrame, method: str = "auto") -> DataFrame:
 
 def null_counts_long(df: DataFrame) -> DataFrame:
     """(position, column_name, missing_count, total_rows) for every column,
-    from a single aggregation reshaped with ``stack``."""
+    from a single aggregation reshaped to one row per column (a grouped
+    unpivot for tables wider than ``WIDE_AGG_COLUMNS``)."""
     cols = df.columns
+    if len(cols) > WIDE_AGG_COLUMNS:
+        # one buffer per column would exceed spark.sql.codegen.maxFields:
+        # group the unpivoted null flags by column instead
+        flags = df.select(F.inline(F.array(*[
+            F.struct(F.lit(i).alias("position"), q(c).isNull().cast("long").alias("m"))
+            for i, c in enumerate(cols)])))
+        g = flags.groupBy("position").agg(F.sum("m").cast("bigint").alias("missing_count"),
+                                          F.count(F.lit(1)).alias("total_rows"))
+        return g.select("position", name_of(F.col("position"), cols).alias("column_name"),
+                        "missing_count", "total_rows")
     agg = df.agg(F.count(F.lit(1)).alias("_rows"),
                  *[null_count(c).alias(f"_m{i}") for i, c in enumerate(cols)])
     if not cols:

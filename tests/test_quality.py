@@ -38,3 +38,17 @@ def test_quality_labels(spark, orders_fixture):
 def test_missing_report(orders_fixture):
     rows = {r["column_name"]: (r["missing_count"], r["missing_pct"]) for r in Q.missing_report(orders_fixture).collect()}
     assert rows == {"country": (2, 4.88), "rating": (3, 7.32)}
+
+
+def test_null_counts_wide_table_grouped_path(spark, monkeypatch):
+    """Past WIDE_AGG_COLUMNS the per-column null counts come from a grouped
+    unpivot; they equal the one-row aggregate."""
+    from pyspark.sql import functions as F
+    from tabsense.operators import quality as Q
+    df = spark.range(300).select(*[F.when((F.col("id") + i) % (i + 2) == 0, None).otherwise(F.col("id"))
+                                   .alias(f"c{i}") for i in range(120)])
+    wide = sorted(tuple(r) for r in Q.null_counts_long(df).collect())
+    monkeypatch.setattr(Q, "WIDE_AGG_COLUMNS", 10 ** 6)
+    narrow = sorted(tuple(r) for r in Q.null_counts_long(df).collect())
+    assert wide == narrow and len(wide) == 120
+    assert Q.quality_scorecard(df).first()["missing_cells"] == sum(r[2] for r in wide)
