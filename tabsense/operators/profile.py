@@ -111,21 +111,23 @@ def profile_categorical(df: DataFrame, top: int = 5) -> DataFrame:
         return df.sparkSession.createDataFrame(
             [], "column_name string, count bigint, missing bigint, missing_pct double, unique_values bigint, "
                 "most_frequent string, most_frequent_count bigint, most_frequent_pct double, top_values string")
-    vc = value_counts(df, cats)
-    summary = vc.groupBy("column_name").agg(
-        F.sum("count").cast("bigint").alias("count"),
-        F.count(F.lit(1)).cast("bigint").alias("unique_values"),
-        F.min(F.struct((-F.col("count")).alias("neg"), F.col("value").alias("value"))).alias("m"))
+    # one value-count shuffle, NULL kept: it gives the frequencies, the
+    # missing cells and the row count of every text column
+    vca = value_counts(df, cats, dropna=False)
+    vc = vca.where(F.col("value").isNotNull())
+    known = F.col("value").isNotNull()
+    summary = vca.groupBy("column_name").agg(
+        F.coalesce(F.sum(F.when(known, F.col("count"))), F.lit(0)).cast("bigint").alias("count"),
+        F.count(F.when(known, 1)).cast("bigint").alias("unique_values"),
+        F.min(F.when(known, F.struct((-F.col("count")).alias("neg"), F.col("value").alias("value")))).alias("m"),
+        F.coalesce(F.sum(F.when(~known, F.col("count"))), F.lit(0)).cast("bigint").alias("missing"),
+        F.sum("count").alias("_rows")).where(F.col("unique_values") > 0)
     tops = (top_k(vc, top).groupBy("column_name")
             .agg(F.sort_array(F.collect_list(F.struct("rank", "value", "count"))).alias("t"))
             .select("column_name", F.array_join(F.transform(
                 "t", lambda s: F.concat(s["value"], F.lit("="), s["count"].cast("string"))), "; ")
                 .alias("top_values")))
-    nulls = df.agg(F.count(F.lit(1)).alias("_rows"), *[null_count(c).alias(f"m{i}") for i, c in enumerate(cats)])
-    nulls_long = nulls.select(F.col("_rows"), F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"m{i}").alias("missing"))
-        for i, c in enumerate(cats)])).alias("r")).select("_rows", "r.*")
-    out = summary.join(tops, "column_name").join(F.broadcast(nulls_long), "column_name")
+    out = summary.join(tops, "column_name")
     return out.select(
         "column_name", "count", "missing",
         F.bround(F.col("missing") / F.col("_rows") * 100, 2).alias("missing_pct"),
