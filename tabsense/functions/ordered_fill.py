@@ -32,8 +32,7 @@ ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 20_000
 
 
-def _bucket_column(df: DataFrame, key: str, buckets: int | None) -> DataFrame:
-    """Add ``_b``: index of the key range holding each row (NULL keys: -1)."""
+def _key_double(df: DataFrame, key: str) -> DataFrame:
     dtype = df.schema[key].dataType
     if isinstance(dtype, T.DateType):
         kd = F.unix_date(q(key))
@@ -41,17 +40,25 @@ def _bucket_column(df: DataFrame, key: str, buckets: int | None) -> DataFrame:
         kd = F.unix_micros(q(key).cast("timestamp"))
     else:
         kd = q(key)
-    out = df.withColumn("_kd", kd.cast("double"))
-    if buckets is None:
-        n = out.agg(F.count("_kd").alias("n")).first()["n"]
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        buckets = min(MAX_BUCKETS, max(math.ceil(n / ROWS_PER_BUCKET), parts if n > 1000 else 1))
-    if buckets <= 1:
-        return out.withColumn("_b", F.lit(0.0))
+    return df.withColumn("_kd", kd.cast("double"))
+
+
+def _bucket_count(out: DataFrame, buckets: int | None) -> int:
+    if buckets is not None:
+        return buckets
+    n = out.agg(F.count("_kd").alias("n")).first()["n"]
+    parts = int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MAX_BUCKETS, max(math.ceil(n / ROWS_PER_BUCKET), parts if n > 1000 else 1))
+
+
+def _cut_points(out: DataFrame, buckets: int) -> list[float]:
     probs = [i / buckets for i in range(1, buckets)]
     accuracy = max(10000, 10 * buckets)
-    cuts = out.agg(F.percentile_approx("_kd", probs, accuracy).alias("c")).first()["c"] or []
-    splits = [-math.inf] + sorted(set(float(c) for c in cuts)) + [math.inf]
+    return [float(c) for c in (out.agg(F.percentile_approx("_kd", probs, accuracy).alias("c")).first()["c"] or [])]
+
+
+def _bucketize(out: DataFrame, cuts: list[float]) -> DataFrame:
+    splits = [-math.inf] + sorted(set(cuts)) + [math.inf]
     if len(splits) < 3:
         return out.withColumn("_b", F.lit(0.0))
     bz = Bucketizer(splits=splits, inputCol="_kd", outputCol="_b", handleInvalid="keep")
@@ -60,6 +67,35 @@ def _bucket_column(df: DataFrame, key: str, buckets: int | None) -> DataFrame:
         "_b", F.when(F.col("_kd").isNull(), F.lit(-1.0)).otherwise(F.col("_b")))
 
 
+def _bucket_column(df: DataFrame, key: str, buckets: int | None) -> DataFrame:
+    """Add ``_b``: index of the key range holding each row (NULL keys: -1)."""
+    out = _key_double(df, key)
+    nb = _bucket_count(out, buckets)
+    if nb <= 1:
+        return out.withColumn("_b", F.lit(0.0))
+    return _bucketize(out, _cut_points(out, nb))
+
+
+def _order_buckets(df: DataFrame, order_by: list[str], buckets: int | None) -> DataFrame:
+    """Buckets of contiguous ranges of the full order.
+
+    Normally key ranges of the first order column (no shuffle).  When one
+    value of that column fills several quantile slots (a value held by a
+    large share of the rows) and tie-break columns are given, the rows are
+    range-partitioned on the whole order key instead (Spark's range
+    partitioner samples the composite key), and the partition index is the
+    bucket, so a hot first-key value is spread over many buckets."""
+    out = _key_double(df, order_by[0])
+    nb = _bucket_count(out, buckets)
+    if nb <= 1:
+        return out.withColumn("_b", F.lit(0.0))
+    cuts = _cut_points(out, nb)
+    if len(order_by) > 1 and len(set(cuts)) < len(cuts):
+        keys = [q(c).asc_nulls_first() for c in order_by]
+        return out.repartitionByRange(nb, *keys).withColumn("_b", F.spark_partition_id().cast("double"))
+    return _bucketize(out, cuts)
+
+
 def ordered_fill(df: DataFrame, cols: list[str], order_by: list[str], direction: str = "forward",
                  buckets: int | None = None) -> DataFrame:
     """Fill NULLs of ``cols`` from the nearest earlier (``forward``) or later
@@ -70,7 +106,7 @@ def ordered_fill(df: DataFrame, cols: list[str], order_by: list[str], direction:
     if direction not in ("forward", "backward"):
         raise ValueError("direction must be 'forward' or 'backward'")
     orig = df.columns
-    b = _bucket_column(df, order_by[0], buckets)
+    b = _order_buckets(df, order_by, buckets)
     okeys = [q(c) for c in order_by]
     fwd = direction == "forward"
     # 2. inside each bucket

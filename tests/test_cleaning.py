@@ -85,3 +85,20 @@ def test_clean_idempotent_dedup(spark, orders_fixture):
 def test_preview_counts(spark, orders_fixture):
     r = preview_cleaning(orders_fixture, CleanOptions(fill_numeric="median", fill_categorical="mode")).first()
     assert r["duplicate_rows"] == 1 and r["numeric_to_fill"] == 3 and r["categorical_to_fill"] == 2
+
+
+def test_two_level_fill_hot_first_key_spreads_and_equals_window(spark):
+    """A third of the rows share one first-key value; with a tie-break key
+    the rows are range-partitioned on the whole order and still fill like
+    the plain window, without one bucket holding the hot value."""
+    from pyspark.sql import Window
+    from tabsense.functions.ordered_fill import _order_buckets, ordered_fill
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")).alias("k"), F.col("id").alias("t"),
+        F.when(F.col("id") % 4 == 1, F.col("id") * 1.0).alias("v"))
+    w = Window.orderBy("k", "t").rowsBetween(Window.unboundedPreceding, 0)
+    plain = df.select("k", "t", F.last("v", True).over(w).alias("v")).orderBy("k", "t").collect()
+    two = ordered_fill(df, ["v"], ["k", "t"], "forward", buckets=16).orderBy("k", "t").collect()
+    assert [tuple(r) for r in two] == [(r["k"], r["t"], r["v"]) for r in plain]
+    sizes = [r["count"] for r in _order_buckets(df, ["k", "t"], 16).groupBy("_b").count().collect()]
+    assert max(sizes) < 1000
