@@ -30,29 +30,35 @@ def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
 
 
 def infer_types(df: DataFrame) -> dict[str, T.DataType]:
-    """Column -> Spark type from one aggregation over the text columns."""
-    exprs = []
-    for i, c in enumerate(df.columns):
-        x = q(c)
-        exprs += [
-            F.count(x).alias(f"n{i}"),
-            F.count(F.expr(f"try_cast(`{c.replace('`', '``')}` AS BIGINT)")).alias(f"l{i}"),
-            F.count(F.when(~x.rlike("[dDfF]\\s*$") | F.lower(F.trim(x)).isin("inf", "-inf", "+inf"),
-                           F.expr(f"try_cast(`{c.replace('`', '``')}` AS DOUBLE)"))).alias(f"d{i}"),
-            F.count(F.when(F.lower(F.trim(x)).isin("true", "false"), 1)).alias(f"b{i}"),
-        ]
-    exprs.append(F.count(F.lit(1)).alias("_rows"))
-    r = df.agg(*exprs).first()
+    """Column -> Spark type from one pass over the text columns: the cells
+    are unpivoted to (position, text) and the parse counts are grouped by
+    column position (a small buffer per column at any width)."""
+    cols = df.columns
+    if not cols:
+        return {}
+    x = F.col("x")
+    low = F.lower(F.trim(x))
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("position"), q(c).cast("string").alias("x"))
+                                        for i, c in enumerate(cols)])))
+    rows = long.groupBy("position").agg(
+        F.count(x).alias("n"),
+        F.count(F.expr("try_cast(x AS BIGINT)")).alias("l"),
+        F.count(F.when(~x.rlike("[dDfF]\\s*$") | low.isin("inf", "-inf", "+inf"),
+                       F.expr("try_cast(x AS DOUBLE)"))).alias("d"),
+        F.count(F.when(low.isin("true", "false"), 1)).alias("b"),
+        F.count(F.lit(1)).alias("rows")).collect()
+    got = {r["position"]: r for r in rows}
     out = {}
-    for i, c in enumerate(df.columns):
-        n = r[f"n{i}"]
+    for i, c in enumerate(cols):
+        r = got.get(i)
+        n = r["n"] if r else 0
         if n == 0:
             out[c] = T.DoubleType()      # no value at all: float column, as pandas
-        elif r[f"l{i}"] == n:
+        elif r["l"] == n:
             out[c] = T.LongType()
-        elif r[f"d{i}"] == n:
+        elif r["d"] == n:
             out[c] = T.DoubleType()
-        elif r[f"b{i}"] == n and n == r["_rows"]:
+        elif r["b"] == n and n == r["rows"]:
             out[c] = T.BooleanType()
         else:
             out[c] = T.StringType()
