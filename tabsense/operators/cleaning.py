@@ -18,7 +18,7 @@ from tabsense.functions.columns import (INDEX_LIKE_NAMES, categorical_columns, n
 from tabsense.functions.frequencies import distinct_counts, modes, value_counts
 from tabsense.functions.ordered_fill import ordered_fill
 from tabsense.functions.quantiles import quantiles
-from tabsense.functions.stats import column_stats, null_count, null_counts
+from tabsense.functions.stats import WIDE_AGG_COLUMNS, column_stats, null_count, null_counts
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's.
@@ -92,6 +92,19 @@ def constant_columns(df: DataFrame) -> list[str]:
     cols = [f.name for f in df.schema.fields if _orderable(f.dataType)]
     if not cols:
         return []
+    if 2 * len(cols) > WIDE_AGG_COLUMNS:
+        # wide table: compare the text form of the cells (zero sign folded,
+        # as -0.0 equals 0.0) per column position in one grouped aggregate
+        def text(name):
+            c = q(name)
+            if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+                c = F.when(c == 0, F.lit(0.0).cast(df.schema[name].dataType)).otherwise(c)
+            return c.cast("string")
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("position"), text(c).alias("x"))
+                                            for i, c in enumerate(cols)])))
+        got = {r["position"]: (r["a"], r["b"])
+               for r in long.groupBy("position").agg(F.min("x").alias("a"), F.max("x").alias("b")).collect()}
+        return [c for i, c in enumerate(cols) if got.get(i, (None,))[0] is not None and got[i][0] == got[i][1]]
     r = df.agg(*[F.min(q(c)).alias(f"a{i}") for i, c in enumerate(cols)],
                *[F.max(q(c)).alias(f"b{i}") for i, c in enumerate(cols)]).first()
     return [c for i, c in enumerate(cols) if r[f"a{i}"] is not None and r[f"a{i}"] == r[f"b{i}"]]

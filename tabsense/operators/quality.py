@@ -13,14 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsense.functions.columns import is_floating, name_of, numeric_columns, q
-from tabsense.functions.stats import null_count
+from tabsense.functions.stats import WIDE_AGG_COLUMNS, null_count
 
 # Above this many columns the duplicate count first groups on a 64-bit row
 # hash, so only rows whose hash repeats are shuffled in full.
 WIDE_ROW_COLUMNS = 6
-# Above this many columns a one-row aggregate with one buffer per column
-# would pass spark.sql.codegen.maxFields (100) and lose whole-stage codegen.
-WIDE_AGG_COLUMNS = 90
 
 
 def _groupable(df: DataFrame) -> list[Column]:

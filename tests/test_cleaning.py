@@ -102,3 +102,13 @@ def test_two_level_fill_hot_first_key_spreads_and_equals_window(spark):
     assert [tuple(r) for r in two] == [(r["k"], r["t"], r["v"]) for r in plain]
     sizes = [r["count"] for r in _order_buckets(df, ["k", "t"], 16).groupBy("_b").count().collect()]
     assert max(sizes) < 1000
+
+
+def test_constant_columns_wide_path_equals_narrow(spark, monkeypatch):
+    from tabsense.operators import cleaning as C
+    df = spark.createDataFrame(
+        [(1, "a", -0.0, None, 2.5, "x"), (1, "a", 0.0, None, 3.5, "x"), (1, None, 0.0, None, 2.5, "y")],
+        "i bigint, s string, z double, n double, d double, t string")
+    narrow = C.constant_columns(df)
+    monkeypatch.setattr(C, "WIDE_AGG_COLUMNS", 0)
+    assert C.constant_columns(df) == narrow == ["i", "s", "z"]
