@@ -75,25 +75,47 @@ def duplicate_count(df: DataFrame, method: str = "auto") -> DataFrame:
     return duplicate_rows_frame(df, method)
 
 
+def _row_nulls(df: DataFrame) -> Column:
+    """Missing cells of one row."""
+    return sum((q(c).isNull().cast("long") for c in df.columns[1:]), q(df.columns[0]).isNull().cast("long"))
+
+
 def _missing_cells(df: DataFrame) -> Column:
     """Missing cells of the whole table: one sum of a per-row null count (a
     single aggregation buffer, whatever the number of columns)."""
     if not df.columns:
         return F.lit(0).cast("bigint")
-    per_row = sum((q(c).isNull().cast("long") for c in df.columns[1:]), q(df.columns[0]).isNull().cast("long"))
-    return F.coalesce(F.sum(per_row), F.lit(0)).cast("bigint")
+    return F.coalesce(F.sum(_row_nulls(df)), F.lit(0)).cast("bigint")
 
 
 def table_counts(df: DataFrame, method: str = "auto") -> DataFrame:
-    """One row: total_rows, missing_cells, duplicate_rows.
+    """One row: total_rows, missing_cells, duplicate_rows, from one scan.
 
-    The row/missing aggregate and the duplicate aggregate are separate
-    global aggregations (each one row); they are merged by a union and a
-    one-row ``max`` rather than a join.
-    """
-    a = df.agg(F.count(F.lit(1)).alias("total_rows"), _missing_cells(df).alias("missing_cells"))
-    b = duplicate_rows_frame(df, method)
-    merged = a.unionByName(b, allowMissingColumns=True)
+    ``group``: the distinct rows with their multiplicity give all three
+    counts.  ``hash``: the per-hash aggregate (which sees every row) also
+    carries the row count and the per-row missing cells; the candidate
+    hashes then feed the duplicate count as in :func:`duplicate_rows_frame`.
+    The one-row results are merged by a union and a one-row ``max``."""
+    if not df.columns:
+        return df.agg(F.count(F.lit(1)).alias("total_rows"), F.lit(0).cast("bigint").alias("missing_cells"),
+                      F.lit(0).cast("bigint").alias("duplicate_rows"))
+    if method == "auto":
+        method = "hash" if len(df.columns) > WIDE_ROW_COLUMNS else "group"
+    zero = F.lit(0).cast("bigint")
+    if method == "group":
+        g = _distinct_rows(df)
+        return g.agg(F.coalesce(F.sum("_n"), zero).cast("bigint").alias("total_rows"),
+                     F.coalesce(F.sum(F.col("_n") * _row_nulls(df)), zero).cast("bigint").alias("missing_cells"),
+                     F.coalesce(F.sum(F.col("_n") - 1), zero).cast("bigint").alias("duplicate_rows"))
+    hashed = df.select(F.xxhash64(*_hash_input(df)).alias("_h"), _row_nulls(df).alias("_z"), *_groupable(df))
+    per_hash = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_c"), F.sum("_z").alias("_m"))
+    totals = per_hash.agg(F.coalesce(F.sum("_c"), zero).cast("bigint").alias("total_rows"),
+                          F.coalesce(F.sum("_m"), zero).cast("bigint").alias("missing_cells"))
+    cand = per_hash.where(F.col("_c") > 1).select("_h")
+    dups = (hashed.drop("_z").join(cand, "_h", "left_semi")
+            .groupBy("_h", *df.columns).agg(F.count(F.lit(1)).alias("_n"))
+            .agg(F.coalesce(F.sum(F.col("_n") - 1), zero).cast("bigint").alias("duplicate_rows")))
+    merged = totals.unionByName(dups, allowMissingColumns=True)
     return merged.agg(*[F.max(c).alias(c) for c in ("total_rows", "missing_cells", "duplicate_rows")])
 
 
