@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsense.functions.columns import is_floating, q
+from tabsense.session import checkpoint_dir
 
 
 def missing_stream(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet") -> DataFrame:
@@ -30,10 +31,19 @@ def missing_stream(spark: SparkSession, path: str, schema: T.StructType | str, f
         F.bround(F.sum("m") / F.count(F.lit(1)) * 100, 2).alias("missing_pct"))
 
 
-def start_missing_monitor(spark: SparkSession, path: str, schema, out_table: str, checkpoint: str,
+def start_missing_monitor(spark: SparkSession, path: str, schema, out_table: str, checkpoint: str | None = None,
                           fmt: str = "parquet", available_now: bool = False):
     """Start the monitor writing the running report to a table (complete
-    mode, replaced each micro-batch through ``foreachBatch``)."""
+    mode, replaced each micro-batch through ``foreachBatch``).
+
+    Without ``checkpoint`` the state lives in a fixed folder per output table
+    under the session's shared ``spark.checkpoint.dir``, so a restarted
+    monitor resumes where it stopped."""
+    if checkpoint is None:
+        base = checkpoint_dir(spark)
+        if not base:
+            raise ValueError("no checkpoint location: pass one or set spark.checkpoint.dir")
+        checkpoint = f"{base.rstrip('/')}/tabsense-missing-monitor/{out_table}"
     def write(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").saveAsTable(out_table)
 

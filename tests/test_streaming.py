@@ -16,3 +16,15 @@ def test_missing_stream_counts(spark):
     q.awaitTermination(120)
     rows = {r["column_name"]: (r["rows"], r["missing"]) for r in spark.table("tabsense_missing").collect()}
     assert rows == {"a": (6, 2), "b": (6, 4)}
+
+
+def test_monitor_defaults_to_shared_checkpoint(spark):
+    from tabsense.streaming.monitor import start_missing_monitor
+    d = tempfile.mkdtemp(prefix="tabsense-stream-")
+    src = os.path.join(d, "in")
+    spark.createDataFrame([(1, None), (None, "y")], "a int, b string").write.parquet(os.path.join(src, "b1"))
+    q = start_missing_monitor(spark, os.path.join(src, "*"), "a int, b string", "tabsense_monitor_out",
+                              available_now=True)
+    q.awaitTermination(120)
+    rows = {r["column_name"]: r["missing"] for r in spark.table("tabsense_monitor_out").collect()}
+    assert rows == {"a": 1, "b": 1}
