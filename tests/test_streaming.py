@@ -1,5 +1,6 @@
 import os
 import tempfile
+import uuid
 
 from tabsense.streaming.monitor import missing_stream
 
@@ -23,8 +24,8 @@ def test_monitor_defaults_to_shared_checkpoint(spark):
     d = tempfile.mkdtemp(prefix="tabsense-stream-")
     src = os.path.join(d, "in")
     spark.createDataFrame([(1, None), (None, "y")], "a int, b string").write.parquet(os.path.join(src, "b1"))
-    q = start_missing_monitor(spark, os.path.join(src, "*"), "a int, b string", "tabsense_monitor_out",
-                              available_now=True)
+    table = "tabsense_monitor_" + uuid.uuid4().hex   # managed-table folders outlive the session catalog
+    q = start_missing_monitor(spark, os.path.join(src, "*"), "a int, b string", table, available_now=True)
     q.awaitTermination(120)
-    rows = {r["column_name"]: r["missing"] for r in spark.table("tabsense_monitor_out").collect()}
+    rows = {r["column_name"]: r["missing"] for r in spark.table(table).collect()}
     assert rows == {"a": 1, "b": 1}
