@@ -18,7 +18,7 @@ from tabsense.functions.columns import (INDEX_LIKE_NAMES, categorical_columns, n
 from tabsense.functions.frequencies import distinct_counts, modes, value_counts
 from tabsense.functions.ordered_fill import ordered_fill
 from tabsense.functions.quantiles import quantiles
-from tabsense.functions.stats import WIDE_AGG_COLUMNS, column_stats, null_count, null_counts
+from tabsense.functions.stats import WIDE_AGG_COLUMNS, column_stats, null_counts
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's.

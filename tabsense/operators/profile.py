@@ -10,7 +10,7 @@ or per column pair.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsense.functions.columns import (categorical_columns, name_of, numeric_columns, q,
@@ -18,7 +18,7 @@ from tabsense.functions.columns import (categorical_columns, name_of, numeric_co
 from tabsense.functions.frequencies import distinct_counts, top_k, value_counts
 from tabsense.functions.quantiles import quantiles
 from tabsense.functions.stats import column_stats, merge_rows, null_count, round_sig, strength_label
-from tabsense.operators.cleaning import IQR_FACTOR, STD_FACTOR, outlier_report
+from tabsense.operators.cleaning import STD_FACTOR, outlier_report
 from tabsense.operators.quality import table_counts
 
 
