@@ -109,13 +109,22 @@ def merge_rows(*frames):
 def null_counts(df, cols: list[str]) -> dict[str, int]:
     """Missing cells per column in one pass: null flags unpivoted and summed
     per column position (a small buffer per key at any table width)."""
+    return rows_and_null_counts(df, cols)[1] if cols else {}
+
+
+def rows_and_null_counts(df, cols: list[str]) -> tuple[int, dict[str, int]]:
+    """(row count, missing cells per column) from the same grouped pass; the
+    row count is that of any column group (every row emits one flag per
+    column)."""
     if not cols:
-        return {}
+        return df.count(), {}
     flags = df.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("position"), q(c).isNull().cast("long").alias("m"))
         for i, c in enumerate(cols)])))
-    got = {r["position"]: r["m"] for r in flags.groupBy("position").agg(F.sum("m").alias("m")).collect()}
-    return {c: int(got.get(i) or 0) for i, c in enumerate(cols)}
+    res = flags.groupBy("position").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("n")).collect()
+    got = {r["position"]: r["m"] for r in res}
+    rows = res[0]["n"] if res else 0
+    return rows, {c: int(got.get(i) or 0) for i, c in enumerate(cols)}
 
 
 def column_stats(df, cols: list[str], **aggs) -> dict[str, dict]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsense.functions.columns import categorical_columns, numeric_columns, q
-from tabsense.functions.stats import null_counts
+from tabsense.functions.stats import null_counts, rows_and_null_counts
 from tabsense.operators import cleaning as C
 from tabsense.session import materialize
 
@@ -98,6 +98,7 @@ def clean(df: DataFrame, opts: CleanOptions = CleanOptions()) -> tuple[DataFrame
             log.append((1, "duplicates", n - nd, MSG_DUPLICATES.format(n=_fmt(n - nd))))
             cur, n = d, nd
 
+    before = None   # missing cells per column before the fills, once known
     if opts.remove_missing_rows or opts.missing_threshold < 100:
         if opts.remove_missing_rows:
             f = C.drop_missing(cur)
@@ -105,7 +106,12 @@ def clean(df: DataFrame, opts: CleanOptions = CleanOptions()) -> tuple[DataFrame
         else:
             f = C.drop_sparse_rows(cur, opts.missing_threshold)
             msg = MSG_SPARSE_ROWS
-        nf = f.count()
+        if opts.fill_numeric or opts.fill_categorical:
+            # the fills need the missing cells of the kept rows: one pass
+            # gives them together with the kept row count
+            nf, before = rows_and_null_counts(f, numeric_columns(f) + categorical_columns(f))
+        else:
+            nf = f.count()
         if n - nf > 0:
             pct = opts.missing_threshold
             pct = int(pct) if float(pct).is_integer() else pct
@@ -119,7 +125,8 @@ def clean(df: DataFrame, opts: CleanOptions = CleanOptions()) -> tuple[DataFrame
         # missing cells of every column in one pass before the fills and one
         # after both: a numeric fill leaves text columns as they are and the
         # other way round, so each fill's count is a difference of the two
-        before = null_counts(cur, nums + cats)
+        if before is None:
+            before = null_counts(cur, nums + cats)
         if opts.fill_numeric:
             cur = _cut_if_ordered(C.impute_numeric(cur, opts.fill_numeric, order, exact=opts.exact,
                                                    null_cells=before), opts.fill_numeric)
