@@ -33,6 +33,10 @@ from tabsense.functions.columns import q
 GRID = 256
 ACCURACY = 20000
 COLLECT_BOUND = 20000
+# First round: mergeable KLL sketches, merged in two levels (per column and
+# salt, then per column), so no single task merges every map task's sketch.
+KLL_K = 4096
+KLL_MARGIN = 2e-3   # rank margin around a target for a KLL grid (error ~0.1 % at this k)
 
 
 @dataclass
@@ -83,6 +87,26 @@ def _grid_round(df, brackets, probs, accuracy):
     return {k: (row[f"b{i}"], row[f"n{i}"], row[f"g{i}"]) for i, k in enumerate(keys)}
 
 
+def _kll_grid(df: DataFrame, cols: list[str], probs: list[float], k: int = KLL_K) -> dict:
+    """Full-range first round: {col: (0, non-null count, grid of ``probs``)}.
+
+    Values are unpivoted; KLL sketches are built per (column, salt) with the
+    salt = map partition id modulo about the square root of the partition
+    count, then merged per column.  Each merge task combines about that
+    square root of sketches instead of one task combining them all."""
+    from tabsense.functions.columns import unpivot_numeric
+    salts = max(1, math.isqrt(df.rdd.getNumPartitions()))
+    long = unpivot_numeric(df, cols).withColumn("_s", F.spark_partition_id() % salts)
+    part = long.groupBy("position", "_s").agg(F.expr(f"kll_sketch_agg_double(x, {int(k)})").alias("sk"))
+    merged = part.groupBy("position").agg(F.expr("kll_merge_agg_double(sk)").alias("m"))
+    plist = "array(" + ", ".join(f"{float(p)!r}D" for p in probs) + ")"
+    rows = merged.select("position", F.expr("kll_sketch_get_n_double(m)").alias("n"),
+                         F.expr(f"CASE WHEN kll_sketch_get_n_double(m) > 0 "
+                                f"THEN kll_sketch_get_quantile_double(m, {plist}) END").alias("g")).collect()
+    got = {r["position"]: (0, int(r["n"]), r["g"]) for r in rows}
+    return {c: got.get(i, (0, 0, None)) for i, c in enumerate(cols)}
+
+
 def _narrow(t, below, inb, g, grid):
     """Shrink target ``t``'s bracket around its rank using the grid."""
     if not (below <= t.k < below + inb):
@@ -105,7 +129,8 @@ def _narrow(t, below, inb, g, grid):
 def exact_order_stats(df: DataFrame, targets: list[tuple[str, int]], counts: dict[str, int],
                       *, grid: int = GRID, accuracy: int = ACCURACY,
                       collect_bound: int = COLLECT_BOUND,
-                      first_round: dict | None = None) -> dict[tuple[str, int], float]:
+                      first_round: dict | None = None,
+                      first_margin: float = 0.0) -> dict[tuple[str, int], float]:
     """Value at each 0-based rank ``k`` of the sorted non-null values of ``col``.
 
     ``first_round`` may carry an already computed full-range grid per column
@@ -116,7 +141,10 @@ def exact_order_stats(df: DataFrame, targets: list[tuple[str, int]], counts: dic
     if first_round:
         for t in open_t:
             if t.est > collect_bound and t.col in first_round:
+                t.margin = max(t.margin, first_margin)
                 _narrow(t, *first_round[t.col], grid)
+                if t.est != math.inf:
+                    t.margin = 2.0 / accuracy
     for _round in range(64):
         if not open_t:
             break
@@ -224,9 +252,9 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     if counts is None:
         grid = kw.get("grid", GRID)
         probs_g = [j / grid for j in range(grid + 1)]
-        full = _grid_round(df, {(c, None, None): None for c in cols}, probs_g, kw.get("accuracy", ACCURACY))
-        counts = {c: full[(c, None, None)][1] for c in cols}
-        first_round = {c: full[(c, None, None)] for c in cols}
+        first_round = _kll_grid(df, cols, probs_g)
+        counts = {c: first_round[c][1] for c in cols}
+        kw = dict(kw, first_margin=KLL_MARGIN)
     targets = set()
     plan = {}
     for c in cols:
