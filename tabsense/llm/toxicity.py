@@ -34,7 +34,7 @@ from tabsense.llm.features import dense, list_array
 #: Labelled rows learned from, and lexicon terms kept (each at most 64 characters): the bounds of what is broadcast.
 SAMPLE_ROWS, LEXICON_TERMS = 20_000, 4_000
 #: Least log-likelihood ratio (G2) of a term, so that chance gives none among some 100,000 terms.
-MIN_EVIDENCE = 30.0
+MIN_EVIDENCE = 20.0
 TREES, DEPTH, THRESHOLD = 20, 4, 0.5
 SECOND_PERSON = ("you your yours yourself u ur tu te ti tus vos usted ustedes toi ton ta tes vous votre du dich dir dein deine "
                  "sie ihr euch").split()
@@ -165,12 +165,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, tr
     sample = written(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("part", part), "toxicity-sample")
     n = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     share = float((n.t or 0) / n.n) if n.n else 0.0
-    lex = lexicon(sample.where("part < 4"))
+    lex = lexicon(sample.where("part < 5"))
     rows = written(with_features(sample, lex).select("part", F.col("toxic").cast("double").alias("toxic"), array_to_vector("_features").alias("x"))
                    .repartition(4, "part"), "toxicity-features")
-    if rows.where("part >= 4 and part < 8").agg(F.countDistinct("toxic")).first()[0] < 2 or rows.where("part >= 8").agg(F.countDistinct("toxic")).first()[0] < 2:
+    if rows.where("part >= 5 and part < 8").agg(F.countDistinct("toxic")).first()[0] < 2 or rows.where("part >= 8").agg(F.countDistinct("toxic")).first()[0] < 2:
         return Model(lex, None, None, share)
-    gbt = GBTClassifier(featuresCol="x", labelCol="toxic", maxIter=trees, maxDepth=depth, seed=5).fit(rows.where("part >= 4 and part < 8"))
+    gbt = GBTClassifier(featuresCol="x", labelCol="toxic", maxIter=trees, maxDepth=depth, seed=5).fit(rows.where("part >= 5 and part < 8"))
     raw = gbt.transform(rows.where("part >= 8")).select("toxic", vector_to_array("probability")[1].alias("_raw_score"))
     isotonic = IsotonicRegression(featuresCol="_raw_score", labelCol="toxic", predictionCol="_score").fit(raw)
     return Model(lex, gbt, isotonic, share)
