@@ -9,11 +9,13 @@ order the first s shared shingles lie within the first n // 5 + s of both.
    stays if enough of these occur elsewhere.  The occurrences are summed by
    shingle; what is shared is a bitmap of bounded size, which never loses one.
 2. Whole sets of what stayed: 80 % of a set must occur in other texts.
-3. Candidates share a shingle within the first n // 5 + 1 under order A, must
-   also do so under orders B and C, and are then verified on whole sets.
-   A shingle's texts are not paired with each other: first with the least of
-   them, then with the greatest, and what is still in different components of
-   a shingle's texts is paired in full, except within the largest component.
+3. Candidates share a shingle within the first n // 5 + 1 under the order
+   rare first (the power of two of a shingle's texts, then its hash), must
+   also do so under the hash orders B and C, and are then verified on whole
+   sets.  A shingle's texts are not paired with each other: first with the
+   least of them, then with the greatest, and what is still in different
+   components of a shingle's texts is paired in full, except within the
+   largest component.
 
 Equal texts are one node (a 64-bit hash of the text), so copies cost one row.
 
@@ -37,8 +39,8 @@ from pyspark.sql import functions as F
 from tabsense.llm.common import coded, text_blocks, words, written
 
 WORDS = 5
-#: Bits of the broadcast bitmaps: 16 per shared item, 32 MB at most.
-BITS_PER_ITEM, MIN_BITS, MAX_BITS = 16, 1 << 20, 1 << 28
+#: Bits of a broadcast bitmap: 8 per item, 32 MB at most; those of the levels together hold at most twice the first one's items.
+BITS_PER_ITEM, MIN_BITS, MAX_BITS = 8, 1 << 15, 1 << 28
 _CHUNK_BITS = 32_768  # of one row of bitmap_construct_agg
 _ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd factors: orders B and C
 
@@ -124,18 +126,47 @@ class Bitmap:
         return (self.bytes[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def bitmap_of(items: DataFrame, item: str):
-    """Broadcast bitmap of a column of longs; its size follows their number up to MAX_BITS."""
-    n = items.count()
-    bits = min(max(1 << (BITS_PER_ITEM * max(n, 1) - 1).bit_length(), MIN_BITS), MAX_BITS)
-    place = F.col(item).bitwiseAND(F.lit(bits - 1).cast("long")) + 1  # Spark numbers bits from 1
-    chunks = (items.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("chunk"))
+class Levels:
+    """How often an integer occurs, as a power of two, from one bitmap for each: a function of the integer alone."""
+
+    def __init__(self, bitmaps: list[Bitmap]):
+        self.bitmaps = bitmaps
+
+    def of(self, items: np.ndarray) -> np.ndarray:
+        level = np.zeros(len(items), np.int64)
+        for bitmap in self.bitmaps:
+            level += bitmap.has(items)
+        return level
+
+
+def _bitmaps(items: DataFrame) -> dict[int, Bitmap]:
+    """A bitmap of the longs ``item`` for each ``level``; its size follows their number up to MAX_BITS."""
+    counts = {r["level"]: r["n"] for r in items.groupBy("level").agg(F.count("*").alias("n")).collect()}
+    bits = {k: min(max(1 << (BITS_PER_ITEM * n - 1).bit_length(), MIN_BITS), MAX_BITS) for k, n in counts.items()}
+    if not bits:
+        return {}
+    masks = F.create_map(*[x for k, n in bits.items() for x in (F.lit(k), F.lit(n - 1).cast("long"))])
+    place = F.col("item").bitwiseAND(masks[F.col("level")]) + 1  # Spark numbers bits from 1
+    chunks = (items.select("level", place.alias("at")).groupBy("level", F.bitmap_bucket_number("at").alias("chunk"))
               .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("raw")).collect())  # bits / 8 bytes
-    return items.sparkSession.sparkContext.broadcast(Bitmap(bits, [(r.chunk, bytes(r.raw)) for r in chunks]))
+    return {k: Bitmap(n, [(r["chunk"], bytes(r["raw"])) for r in chunks if r["level"] == k]) for k, n in bits.items()}
+
+
+def bitmap_of(items: DataFrame, item: str):
+    """Broadcast bitmap of a column of longs."""
+    made = _bitmaps(items.select(F.col(item).alias("item"), F.lit(0).alias("level")))
+    return items.sparkSession.sparkContext.broadcast(made.get(0) or Bitmap(MIN_BITS, []))
+
+
+def levels_of(counted: DataFrame):
+    """Broadcast levels of (token, n): one for n of 2 and 3, two up to 7, and so on."""
+    steps = F.sequence(F.lit(1), F.floor(F.log2(F.col("n"))).cast("int"))
+    made = _bitmaps(counted.select(F.col("token").alias("item"), F.explode(steps).alias("level")))
+    return counted.sparkSession.sparkContext.broadcast(Levels(list(made.values())))
 
 
 def _shared(tokens: DataFrame) -> DataFrame:
-    return tokens.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("token")
+    return tokens.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > 1)
 
 
 def _stay_batches(batches, shared) -> Iterator[pa.RecordBatch]:
@@ -151,13 +182,15 @@ def _stay_batches(batches, shared) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(batch.column(0).to_numpy()[stay])], names=["key"])
 
 
-def _whole_batches(batches, shared) -> Iterator[pa.RecordBatch]:
-    """Texts of which 80 % of the whole set occur elsewhere, with the first n // 5 + 1 under order A."""
+def _whole_batches(batches, levels) -> Iterator[pa.RecordBatch]:
+    """Texts of which 80 % of the whole set occur elsewhere, with what may occur elsewhere of their n // 5 + 1 rarest."""
     for rows, data, offsets in text_blocks(batches):
         keys, out = rows.column(0).to_pylist(), []
         for key, s in zip(keys, shingle_sets(data, offsets)):
-            if len(s) and 5 * shared.value.has(s.view(np.int64)).sum() >= 4 * len(s):
-                out.append((key, len(s), s[:len(s) // 5 + 1]))
+            level = levels.value.of(s)
+            if len(s) and 5 * (level > 0).sum() >= 4 * len(s):
+                head = np.lexsort((s, level))[:len(s) // 5 + 1]
+                out.append((key, len(s), s[head][level[head] > 0]))
         yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), _lists([x[2] for x in out])],
                               names=["key", "n", "head"])
 
@@ -221,7 +254,7 @@ def nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
     texts = written(keyed.select("key", "text").where(member("key")).groupBy("key").agg(F.first("text").alias("text")), "texts")
     items = texts.mapInArrow(_set_batches, "key long, items array<long>").select(F.explode("items").alias("token"))
-    whole = bitmap_of(written(_shared(items), "shared-whole"), "token")
+    whole = levels_of(written(_shared(items), "shared-whole"))
     heads = texts.mapInArrow(lambda b: _whole_batches(b, whole), "key long, n long, head array<long>")
     rows = written(heads.select("key", "n", F.explode("head").alias("token")), "heads")
 
