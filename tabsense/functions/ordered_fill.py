@@ -3,97 +3,50 @@
 ``Window.orderBy(key)`` with no partition pulls every row into one task.
 The two-level form used here:
 
-1. cut points of the order key from ``percentile_approx`` (one small job)
-   split the rows into ``buckets`` contiguous key ranges (``Bucketizer``,
-   a JVM binary search);
-2. inside each bucket a partitioned window fills from earlier (later) rows;
+1. rows are range-partitioned on the whole order key (any orderable types,
+   NULLs first), with a hash of the row as the last key, so a value or a NULL
+   that a third of the rows hold in the key is split as well; the partition
+   index is the bucket.  The rows are checkpointed, so that both readers of
+   the buckets see the same ones;
+2. inside each bucket a partitioned window fills from earlier (later) rows:
+   always the last known value up to the current row, along the ascending or
+   the descending order, which Spark computes in one pass;
 3. each bucket's last (first) non-null value is a tiny per-bucket aggregate;
    a window over the bucket table (one row per bucket, bounded) carries it
    across buckets, and it is broadcast back (size = buckets rows);
 4. ``coalesce(inside, carried)``.
 
-The order key must be unique and non-null for a well-defined fill; give
-further tie-break columns in ``order_by`` otherwise (cut points use the
-first one, which keeps buckets monotone in the full order).
+Rows that tie on the whole order key are filled in the order of their hash.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsense.functions.columns import q
+from tabsense.session import materialize
 
+#: Rows of one bucket: the number of buckets follows the rows, with one per shuffle partition at least.
 ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 20_000
 
 
-def _key_double(df: DataFrame, key: str) -> DataFrame:
-    dtype = df.schema[key].dataType
-    if isinstance(dtype, T.DateType):
-        kd = F.unix_date(q(key))
-    elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        kd = F.unix_micros(q(key).cast("timestamp"))
-    else:
-        kd = q(key)
-    return df.withColumn("_kd", kd.cast("double"))
-
-
-def _bucket_count(out: DataFrame, buckets: int | None) -> int:
+def _bucket_count(df: DataFrame, buckets: int | None) -> int:
     if buckets is not None:
         return buckets
-    n = out.agg(F.count("_kd").alias("n")).first()["n"]
-    parts = int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(MAX_BUCKETS, max(math.ceil(n / ROWS_PER_BUCKET), parts if n > 1000 else 1))
-
-
-def _cut_points(out: DataFrame, buckets: int) -> list[float]:
-    probs = [i / buckets for i in range(1, buckets)]
-    accuracy = max(10000, 10 * buckets)
-    return [float(c) for c in (out.agg(F.percentile_approx("_kd", probs, accuracy).alias("c")).first()["c"] or [])]
-
-
-def _bucketize(out: DataFrame, cuts: list[float]) -> DataFrame:
-    splits = [-math.inf] + sorted(set(cuts)) + [math.inf]
-    if len(splits) < 3:
-        return out.withColumn("_b", F.lit(0.0))
-    bz = Bucketizer(splits=splits, inputCol="_kd", outputCol="_b", handleInvalid="keep")
-    # NULL keys sort first in Spark's ascending order: put them before bucket 0
-    return bz.transform(out).withColumn(
-        "_b", F.when(F.col("_kd").isNull(), F.lit(-1.0)).otherwise(F.col("_b")))
-
-
-def _bucket_column(df: DataFrame, key: str, buckets: int | None) -> DataFrame:
-    """Add ``_b``: index of the key range holding each row (NULL keys: -1)."""
-    out = _key_double(df, key)
-    nb = _bucket_count(out, buckets)
-    if nb <= 1:
-        return out.withColumn("_b", F.lit(0.0))
-    return _bucketize(out, _cut_points(out, nb))
-
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(math.ceil(df.count() / ROWS_PER_BUCKET), parts)
 
-def _order_buckets(df: DataFrame, order_by: list[str], buckets: int | None) -> DataFrame:
-    """Buckets of contiguous ranges of the full order.
 
-    Normally key ranges of the first order column (no shuffle).  When one
-    value of that column fills several quantile slots (a value held by a
-    large share of the rows) and tie-break columns are given, the rows are
-    range-partitioned on the whole order key instead (Spark's range
-    partitioner samples the composite key), and the partition index is the
-    bucket, so a hot first-key value is spread over many buckets."""
-    out = _key_double(df, order_by[0])
-    nb = _bucket_count(out, buckets)
-    if nb <= 1:
-        return out.withColumn("_b", F.lit(0.0))
-    cuts = _cut_points(out, nb)
-    if len(order_by) > 1 and len(set(cuts)) < len(cuts):
-        keys = [q(c).asc_nulls_first() for c in order_by]
-        return out.repartitionByRange(nb, *keys).withColumn("_b", F.spark_partition_id().cast("double"))
-    return _bucketize(out, cuts)
+def order_buckets(df: DataFrame, order_by: list[str], buckets: int | None = None) -> DataFrame:
+    """``df`` with ``_tie`` (a hash of the row) and ``_b``, the index of its contiguous range of the full order."""
+    hashable = [q(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    keyed = df.withColumn("_tie", F.xxhash64(*hashable))
+    keys = [q(c).asc_nulls_first() for c in order_by] + [F.col("_tie").asc()]
+    return materialize(keyed.repartitionByRange(_bucket_count(df, buckets), *keys).withColumn("_b", F.spark_partition_id()))
 
 
 def ordered_fill(df: DataFrame, cols: list[str], order_by: list[str], direction: str = "forward",
@@ -106,27 +59,23 @@ def ordered_fill(df: DataFrame, cols: list[str], order_by: list[str], direction:
     if direction not in ("forward", "backward"):
         raise ValueError("direction must be 'forward' or 'backward'")
     orig = df.columns
-    b = _order_buckets(df, order_by, buckets)
-    okeys = [q(c) for c in order_by]
+    b = order_buckets(df, order_by, buckets)
     fwd = direction == "forward"
+    okeys = [q(c).asc_nulls_first() if fwd else q(c).desc_nulls_last() for c in order_by] + [
+        F.col("_tie").asc() if fwd else F.col("_tie").desc()]
     # 2. inside each bucket
-    w_in = Window.partitionBy("_b").orderBy(*okeys)
-    w_in = w_in.rowsBetween(Window.unboundedPreceding, 0) if fwd else w_in.rowsBetween(0, Window.unboundedFollowing)
+    w_in = Window.partitionBy("_b").orderBy(*okeys).rowsBetween(Window.unboundedPreceding, 0)
     # 3. per-bucket boundary value (ordering by a struct of the order keys)
-    okey_struct = F.struct(*okeys)
-    per_bucket = b.groupBy("_b").agg(*[
-        (F.max_by(q(c), F.when(q(c).isNotNull(), okey_struct)) if fwd
-         else F.min_by(q(c), F.when(q(c).isNotNull(), okey_struct))).alias(f"_e{i}")
-        for i, c in enumerate(cols)])
-    w_b = Window.orderBy("_b")
-    w_b = w_b.rowsBetween(Window.unboundedPreceding, -1) if fwd else w_b.rowsBetween(1, Window.unboundedFollowing)
-    carry = per_bucket.select("_b", *[
-        (F.last(f"_e{i}", ignorenulls=True) if fwd else F.first(f"_e{i}", ignorenulls=True))
-        .over(w_b).alias(f"_c{i}") for i in range(len(cols))])
+    okey_struct = F.struct(*[q(c) for c in order_by], F.col("_tie"))
+    pick = F.max_by if fwd else F.min_by
+    per_bucket = b.groupBy("_b").agg(*[pick(q(c), F.when(q(c).isNotNull(), okey_struct)).alias(f"_e{i}")
+                                       for i, c in enumerate(cols)])
+    w_b = Window.orderBy(F.col("_b").asc() if fwd else F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_bucket.select("_b", *[F.last(f"_e{i}", ignorenulls=True).over(w_b).alias(f"_c{i}") for i in range(len(cols))])
     joined = b.join(F.broadcast(carry), "_b", "left")
     filled = []
     for i, c in enumerate(cols):
-        inside = (F.last(q(c), ignorenulls=True) if fwd else F.first(q(c), ignorenulls=True)).over(w_in)
+        inside = F.last(q(c), ignorenulls=True).over(w_in)
         filled.append(F.coalesce(inside, F.col(f"_c{i}")).cast(df.schema[c].dataType).alias(c))
     fill_set = set(cols)
     return joined.select(*[filled[cols.index(c)] if c in fill_set else q(c) for c in orig])

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,22 +60,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage before a stage that several later jobs re-read.
+    """Cut lineage before a stage that several later jobs re-read: a reliable
+    ``checkpoint()`` into the folder the cluster names."""
+    require_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    Uses a reliable ``checkpoint()`` into the session's checkpoint dir so a
-    lost executor does not force recomputation of upstream shuffles.  When
-    no checkpoint dir is configured the plan is returned unchanged (Spark
-    simply recomputes), never a machine-local copy.
-    """
-    if checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
-    return df
+
+def require_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder, or an error: a machine-local one would lose data on a cluster.
+    A session on one machine (``local[...]``) may use a scratch folder of its own."""
+    d = checkpoint_dir(spark)
+    if d:
+        return d
+    if spark.sparkContext.master.startswith("local["):
+        return ensure_checkpoint_dir(spark)
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def shared_scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint dir (else the
-    warehouse dir) for jobs that write and re-read data."""
-    import uuid
-    base = checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
-    base = base.rstrip("/")
+    """A fresh folder under the cluster's shared checkpoint dir for jobs that write and re-read data."""
+    base = require_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tabsense-{name}-{uuid.uuid4().hex}"
