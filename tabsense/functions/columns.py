@@ -8,6 +8,8 @@ counted for shape, missing cells and duplicates but skipped by statistics.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +66,17 @@ def normalize_nan(df: DataFrame) -> DataFrame:
     return df.select(*exprs) if changed else df
 
 
+def nan_as_missing(operator):
+    """Operator whose first argument, a DataFrame, has NaN cells read as missing (a no-op without float columns)."""
+    @wraps(operator)
+    def entered(df, *args, **kwargs):
+        if not getattr(df, "_nan_free", False):
+            df = normalize_nan(df)
+            df._nan_free = True
+        return operator(df, *args, **kwargs)
+    return entered
+
+
 def as_double(name: str) -> Column:
     return q(name).cast("double")
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsense.functions.columns import q
+from tabsense.functions.columns import is_floating, name_of, q
 
 
 def value_counts(df: DataFrame, cols: list[str], dropna: bool = True) -> DataFrame:
@@ -27,6 +27,20 @@ def value_counts(df: DataFrame, cols: list[str], dropna: bool = True) -> DataFra
     return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
+def hashed_distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column_name, n_unique): exact distinct non-null values per column, from one shuffle of 128-bit value hashes
+    (a text is never shuffled; -0.0 counts as 0.0)."""
+    def cell(i, c):
+        v = q(c)
+        if is_floating(df.schema[c].dataType):
+            v = F.when(v == 0, F.lit(0.0).cast(df.schema[c].dataType)).otherwise(v)
+        return F.struct(F.lit(i).alias("position"), F.when(q(c).isNotNull(), F.xxhash64(F.lit(1), v)).alias("h1"),
+                        F.xxhash64(F.lit(2), v).alias("h2"))
+    long = df.select(F.inline(F.array(*[cell(i, c) for i, c in enumerate(cols)]))).where(F.col("h1").isNotNull())
+    return (long.groupBy("position", "h1", "h2").agg(F.lit(1).alias("one")).groupBy("position").agg(F.count(F.lit(1)).alias("n_unique"))
+            .select(name_of(F.col("position"), cols).alias("column_name"), "n_unique"))
+
+
 def top_k(counts: DataFrame, k: int) -> DataFrame:
     """Top-k values per column by count desc, value asc (deterministic ties).
 
@@ -39,9 +53,7 @@ def top_k(counts: DataFrame, k: int) -> DataFrame:
 
 def modes(counts: DataFrame) -> DataFrame:
     """(column_name, mode, mode_count): most frequent value, smallest on ties."""
-    best = F.min(F.struct((-F.col("count")).alias("neg"), F.col("value").alias("value")))
-    return (counts.groupBy("column_name").agg(best.alias("b"))
-            .select("column_name", F.col("b.value").alias("mode"), (-F.col("b.neg")).alias("mode_count")))
+    return top_k(counts, 1).select("column_name", F.col("value").alias("mode"), F.col("count").alias("mode_count"))
 
 
 def distinct_counts(counts: DataFrame) -> DataFrame:

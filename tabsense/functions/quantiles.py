@@ -5,19 +5,21 @@ task, so its memory grows with the number of distinct values: fine for a
 small table, fatal for a 100 TB one.  Here every exact quantile is found by
 *bracket refinement*:
 
-1. one ``agg`` per round computes, for every open target rank, the number of
-   values below the current bracket, the number inside it, and an
-   ``percentile_approx`` grid of the values inside it (mergeable sketches,
-   partial aggregation on the map side);
-2. the grid narrows each bracket by a factor of about ``grid`` per round;
-3. once a bracket holds at most ``collect_bound`` values (or a single
-   distinct value) one distributed ``groupBy(value).count()`` restricted to
-   the brackets returns the few distinct values with their counts, and the
-   exact order statistic is read off.
+1. one grouped aggregate per round computes, for every open target rank, the
+   number of values below its bracket and inside it, a distinct-value
+   estimate and a KLL sketch of the values inside it; sketches are built per
+   (bracket, salt) and merged per bracket, so no task merges every map
+   task's sketch;
+2. the sketch narrows each bracket by a factor of 100 or more per round; a
+   bracket it can no longer narrow is halved by value;
+3. once a bracket is known to hold few distinct values (or is a single one),
+   one distributed ``groupBy(value).count()`` restricted to the brackets
+   returns them with their counts, and the exact order statistic is read off.
 
 Only statistics reach the driver: bracket bounds, counts and at most
-``collect_bound`` distinct values per target.  A value repeated in a third
-of all rows collapses to one (value, count) row.
+``collect_bound`` (value, count) rows per target, which is checked before
+they are taken; a bracket that holds more is narrowed further.  A value
+repeated in a third of all rows collapses to one (value, count) row.
 """
 
 from __future__ import annotations
@@ -33,10 +35,9 @@ from tabsense.functions.columns import q
 GRID = 256
 ACCURACY = 20000
 COLLECT_BOUND = 20000
-# First round: mergeable KLL sketches, merged in two levels (per column and
-# salt, then per column), so no single task merges every map task's sketch.
 KLL_K = 4096
 KLL_MARGIN = 2e-3   # rank margin around a target for a KLL grid (error ~0.1 % at this k)
+SALTS = 64          # sketches merged at each of the two levels: at most map tasks / SALTS, then SALTS
 
 
 @dataclass
@@ -46,76 +47,51 @@ class _Target:
     lo: float | None = None     # bracket [lo, hi]; None = unbounded
     hi: float | None = None
     est: float = math.inf       # estimated number of values in the bracket
-    margin: float = 2.0 / ACCURACY
+    margin: float = KLL_MARGIN
     verified: tuple = field(default_factory=lambda: (None, None))
 
 
-def _in_bracket(c, lo, hi):
-    cond = c.isNotNull()
-    if lo is not None:
-        cond = cond & (c >= F.lit(lo))
-    if hi is not None:
-        cond = cond & (c <= F.lit(hi))
-    return cond
-
-
-def _below(c, lo):
-    if lo is None:
-        return F.lit(0).cast("bigint")
-    return F.count(F.when(c < F.lit(lo), 1))
-
-
-def _grid_round(df, brackets, probs, accuracy):
-    """One scan: for each distinct (col, lo, hi) bracket, the number of values
-    below it, inside it, and a percentile grid of the values inside it."""
-    exprs = []
-    keys = list(brackets)
-    plist = "array(" + ", ".join(repr(float(p)) for p in probs) + ")"
-    for i, (col, lo, hi) in enumerate(keys):
-        # SQL text: one parse per column instead of one Py4J call per probability
+def _kll_round(df: DataFrame, brackets: list[tuple], probs: list[float], distinct: bool, k: int = KLL_K) -> dict:
+    """{(col, lo, hi): (values below, values inside, grid of ``probs`` over those inside, distinct estimate)}, one scan."""
+    structs = []
+    for i, (col, lo, hi) in enumerate(brackets):
+        # SQL text: one parse per bracket instead of many Py4J calls
         c = "CAST(`" + col.replace("`", "``") + "` AS DOUBLE)"
-        inb = f"{c} IS NOT NULL"
-        if lo is not None:
-            inb += f" AND {c} >= {float(lo)!r}D"
-        if hi is not None:
-            inb += f" AND {c} <= {float(hi)!r}D"
-        below = "CAST(0 AS BIGINT)" if lo is None else f"count(CASE WHEN {c} < {float(lo)!r}D THEN 1 END)"
-        exprs.append(F.expr(f"{below} AS b{i}"))
-        exprs.append(F.expr(f"count(CASE WHEN {inb} THEN 1 END) AS n{i}"))
-        exprs.append(F.expr(f"percentile_approx(CASE WHEN {inb} THEN {c} END, {plist}, {int(accuracy)}) AS g{i}"))
-    row = df.agg(*exprs).first()
-    return {k: (row[f"b{i}"], row[f"n{i}"], row[f"g{i}"]) for i, k in enumerate(keys)}
-
-
-def _kll_grid(df: DataFrame, cols: list[str], probs: list[float], k: int = KLL_K) -> dict:
-    """Full-range first round: {col: (0, non-null count, grid of ``probs``)}.
-
-    Values are unpivoted; KLL sketches are built per (column, salt) with the
-    salt = map partition id modulo about the square root of the partition
-    count, then merged per column.  Each merge task combines about that
-    square root of sketches instead of one task combining them all."""
-    from tabsense.functions.columns import unpivot_numeric
-    salts = max(1, math.isqrt(df.rdd.getNumPartitions()))
-    long = unpivot_numeric(df, cols).withColumn("_s", F.spark_partition_id() % salts)
-    part = long.groupBy("position", "_s").agg(F.expr(f"kll_sketch_agg_double(x, {int(k)})").alias("sk"))
-    merged = part.groupBy("position").agg(F.expr("kll_merge_agg_double(sk)").alias("m"))
+        inside = " AND ".join(([] if lo is None else [f"{c} >= {float(lo)!r}D"]) + ([] if hi is None else [f"{c} <= {float(hi)!r}D"]))
+        x = f"CASE WHEN {inside} THEN {c} END" if inside else c
+        below = "0L" if lo is None else f"CASE WHEN {c} < {float(lo)!r}D THEN 1L ELSE 0L END"
+        structs.append(f"named_struct('position', {i}, 'x', {x}, 'b', {below})")
+    long = (df.select(F.expr(f"inline(array({', '.join(structs)}))"))
+            .withColumn("_s", F.spark_partition_id() % SALTS))
+    aggs = [F.sum("b").alias("b"), F.expr(f"kll_sketch_agg_double(x, {int(k)})").alias("sk")]
+    merges = [F.sum("b").alias("b"), F.expr("kll_merge_agg_double(sk)").alias("m")]
+    if distinct:
+        aggs.append(F.hll_sketch_agg(F.col("x").cast("string"), F.lit(12)).alias("h"))
+        merges.append(F.hll_union_agg("h").alias("h"))
+    merged = long.groupBy("position", "_s").agg(*aggs).groupBy("position").agg(*merges)
     plist = "array(" + ", ".join(f"{float(p)!r}D" for p in probs) + ")"
-    rows = merged.select("position", F.expr("kll_sketch_get_n_double(m)").alias("n"),
+    rows = merged.select("position", "b", F.expr("kll_sketch_get_n_double(m)").alias("n"),
                          F.expr(f"CASE WHEN kll_sketch_get_n_double(m) > 0 "
-                                f"THEN kll_sketch_get_quantile_double(m, {plist}) END").alias("g")).collect()
-    got = {r["position"]: (0, int(r["n"]), r["g"]) for r in rows}
-    return {c: got.get(i, (0, 0, None)) for i, c in enumerate(cols)}
+                                f"THEN kll_sketch_get_quantile_double(m, {plist}) END").alias("g"),
+                         (F.hll_sketch_estimate("h") if distinct else F.lit(None).cast("bigint")).alias("d")).collect()
+    got = {r["position"]: (int(r["b"] or 0), int(r["n"]), r["g"], r["d"]) for r in rows}
+    return {br: got.get(i, (0, 0, None, None)) for i, br in enumerate(brackets)}
+
+
+def _kll_grid(df: DataFrame, cols: list[str], probs: list[float]) -> dict:
+    """Full-range first round: {col: (0, non-null count, grid of ``probs``, None)}."""
+    return {c: v for (c, _, _), v in _kll_round(df, [(c, None, None) for c in cols], probs, False).items()}
 
 
-def _narrow(t, below, inb, g, grid):
-    """Shrink target ``t``'s bracket around its rank using the grid."""
+def _narrow(t, below, inb, g, distinct, grid):
+    """Shrink target ``t``'s bracket around its rank using the grid; False if it stays as it is."""
     if not (below <= t.k < below + inb):
         # the approximate grid missed: back to the last verified bracket
         t.lo, t.hi = t.verified
         t.margin *= 4
         t.est = math.inf
-        return
-    t.verified = (t.lo, t.hi)
+        return True
+    t.verified = before = (t.lo, t.hi)
     f = (t.k - below) / inb
     j_lo = math.floor((f - t.margin) * grid)
     j_hi = math.ceil((f + t.margin) * grid)
@@ -124,47 +100,59 @@ def _narrow(t, below, inb, g, grid):
     if j_hi < grid:
         t.hi = float(g[j_hi])
     t.est = inb * ((min(j_hi, grid) - max(j_lo, 0)) / grid + 2 * t.margin)
+    if distinct is not None:
+        t.est = min(t.est, 1.2 * distinct + 100)
+    return (t.lo, t.hi) != before
+
+
+def _halve(df, targets):
+    """Halve each target's bracket by value, from exact counts."""
+    aggs, mids = [], []
+    for i, t in enumerate(targets):
+        c = q(t.col).cast("double")
+        if t.lo is None or t.hi is None:
+            r = df.agg(F.min(c).alias("a"), F.max(c).alias("b")).first()
+            t.lo, t.hi = t.lo if t.lo is not None else r["a"], t.hi if t.hi is not None else r["b"]
+        mid = t.lo + (t.hi - t.lo) / 2
+        mids.append(min(mid, math.nextafter(t.hi, -math.inf)))
+        aggs += [F.count(F.when(c < F.lit(t.lo), 1)).alias(f"b{i}"), F.count(F.when(c <= F.lit(mids[i]), 1)).alias(f"m{i}"),
+                 F.count(F.when(c <= F.lit(t.hi), 1)).alias(f"h{i}")]
+    for at in range(0, len(targets), 10):
+        row = df.agg(*aggs[3 * at:3 * at + 30]).first()
+        for i, t in list(enumerate(targets))[at:at + 10]:
+            below, mid, top = row[f"b{i}"], row[f"m{i}"], row[f"h{i}"]
+            if t.k < mid:
+                t.hi, t.est = mids[i], mid - below
+            else:
+                t.lo, t.est = math.nextafter(mids[i], math.inf), top - mid
+            t.verified = (t.lo, t.hi)
 
 
 def exact_order_stats(df: DataFrame, targets: list[tuple[str, int]], counts: dict[str, int],
-                      *, grid: int = GRID, accuracy: int = ACCURACY,
-                      collect_bound: int = COLLECT_BOUND,
-                      first_round: dict | None = None,
-                      first_margin: float = 0.0) -> dict[tuple[str, int], float]:
+                      *, grid: int = GRID, collect_bound: int = COLLECT_BOUND,
+                      first_round: dict | None = None) -> dict[tuple[str, int], float]:
     """Value at each 0-based rank ``k`` of the sorted non-null values of ``col``.
 
     ``first_round`` may carry an already computed full-range grid per column
-    ({col: (0, n, grid_values)}), saving one scan."""
-    open_t = [_Target(c, k, est=float(counts[c]), margin=2.0 / accuracy) for c, k in targets]
+    ({col: (0, n, grid_values, None)}), saving one scan."""
+    open_t = [_Target(c, k, est=float(counts[c])) for c, k in targets]
     result: dict[tuple[str, int], float] = {}
     probs = [j / grid for j in range(grid + 1)]
     if first_round:
         for t in open_t:
             if t.est > collect_bound and t.col in first_round:
-                t.margin = max(t.margin, first_margin)
                 _narrow(t, *first_round[t.col], grid)
-                if t.est != math.inf:
-                    t.margin = 2.0 / accuracy
-    for _round in range(64):
-        if not open_t:
-            break
+    while open_t:
         big = [t for t in open_t if t.est > collect_bound and not (t.lo is not None and t.lo == t.hi)]
         small = [t for t in open_t if t not in big]
         if big:
-            stats = _grid_round(df, {(t.col, t.lo, t.hi): None for t in big}, probs, accuracy)
-            for t in big:
-                before = (t.lo, t.hi)
-                _narrow(t, *stats[(t.col, t.lo, t.hi)], grid)
-                if (t.lo, t.hi) == before and t.est != math.inf:
-                    # the grid cannot split the bracket any more: it holds a
-                    # few values repeated many times, so grouping it by value
-                    # returns few rows however many values it holds
-                    t.est = 0.0
+            stats = _kll_round(df, list(dict.fromkeys((t.col, t.lo, t.hi) for t in big)), probs, True)
+            stuck = [t for t in big if not _narrow(t, *stats[t.col, t.lo, t.hi], grid) and t.est > collect_bound]
+            if stuck:
+                _halve(df, stuck)
         if small:
             _finish(df, small, result, collect_bound)
-            for t in small:
-                if (t.col, t.k) in result:
-                    open_t.remove(t)
+            open_t = [t for t in open_t if (t.col, t.k) not in result]
     return result
 
 
@@ -201,10 +189,14 @@ def _finish(df, small, result, collect_bound):
                 F.expr(f"CASE WHEN {c} IS NOT NULL AND NOT {inside} THEN {gap} END AS _g{i}")]
         structs.append(f"named_struct('p', {i}, 'v', _v{i}, 'g', _g{i})")
     # inline + where stays in generated code (a filter lambda would be interpreted)
+    limit = (collect_bound + 2) * len(small) + len(cols)
     rows = (df.select(*pre).select(F.expr(f"inline(array({', '.join(structs)}))"))
             .where(F.col("v").isNotNull() | F.col("g").isNotNull())
             .groupBy("p", "v", "g").count()
-            .collect())
+            .limit(limit + 1).collect())
+    if len(rows) > limit:  # an estimate was too low: nothing is taken, the brackets are narrowed by exact counts
+        _halve(df, [t for t in small if t.lo is None or t.lo != t.hi])
+        return
     vals: dict[int, list] = {}
     gaps: dict[int, list] = {}
     for p, v, g, n in rows:
@@ -254,7 +246,6 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
         probs_g = [j / grid for j in range(grid + 1)]
         first_round = _kll_grid(df, cols, probs_g)
         counts = {c: first_round[c][1] for c in cols}
-        kw = dict(kw, first_margin=KLL_MARGIN)
     targets = set()
     plan = {}
     for c in cols:

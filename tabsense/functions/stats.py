@@ -12,11 +12,6 @@ from pyspark.sql import functions as F
 
 from tabsense.functions.columns import q
 
-# Columns above which a one-row aggregate with one buffer per column would
-# pass spark.sql.codegen.maxFields (100) and lose whole-stage codegen.
-WIDE_AGG_COLUMNS = 90
-
-
 def null_count(name: str) -> Column:
     return F.sum(F.when(q(name).isNull(), 1).otherwise(0)).cast("bigint")
 

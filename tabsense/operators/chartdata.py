@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsense.functions.columns import name_of, pick, q, unpivot_numeric
+from tabsense.functions.columns import nan_as_missing, name_of, pick, q, unpivot_numeric
 from tabsense.functions.quantiles import quantiles
 from tabsense.functions.stats import column_stats
 from tabsense.operators.cleaning import IQR_FACTOR, analysis_numeric_columns
@@ -22,6 +22,7 @@ CATEGORY_COLUMNS = 3       # fixed value: first text columns charted
 CATEGORY_TOP = 10          # fixed value: bars per text column
 
 
+@nan_as_missing
 def histograms(df: DataFrame, cols: list[str] | None = None, bins: int = DEFAULT_BINS) -> DataFrame:
     """L1: equal-width bins between min and max of each column (the last bin
     closed), empty bins included: (column_name, bin, bin_start, bin_end, count).
@@ -59,6 +60,7 @@ def histograms(df: DataFrame, cols: list[str] | None = None, bins: int = DEFAULT
                     F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
 
 
+@nan_as_missing
 def box_stats(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
     """Quartiles, fences at 1.5 IQR, whiskers at the most extreme values
     inside the fences, and the outlier count, per numeric column."""
@@ -96,6 +98,7 @@ def md5_rank(key: str, seed: int = 42):
     return F.conv(F.substring(F.md5(F.concat(q(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint")
 
 
+@nan_as_missing
 def scatter_sample(df: DataFrame, x: str, y: str, n: int, key: str, seed: int = 42) -> DataFrame:
     """At most ``n`` (key, x, y) points, the rows with the smallest md5
     rank.  A bounded top-n (``TakeOrderedAndProject``: each task keeps n)."""
@@ -107,6 +110,7 @@ def scatter_sample(df: DataFrame, x: str, y: str, n: int, key: str, seed: int =
 GRAINS = ("year", "quarter", "month", "week", "day", "hour")
 
 
+@nan_as_missing
 def time_series(df: DataFrame, ts: str, value: str, grain: str = "day") -> DataFrame:
     """(period, n, total, mean) of ``value`` per ``grain`` of ``ts``."""
     if grain not in GRAINS:

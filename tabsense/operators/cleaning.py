@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsense.functions.columns import (INDEX_LIKE_NAMES, categorical_columns, name_of,
+from tabsense.functions.columns import (nan_as_missing, INDEX_LIKE_NAMES, categorical_columns, name_of,
                                         numeric_columns, pick, q, unpivot_numeric)
-from tabsense.functions.frequencies import distinct_counts, modes, value_counts
+from tabsense.functions.frequencies import hashed_distinct_counts, modes, value_counts
 from tabsense.functions.ordered_fill import ordered_fill
 from tabsense.functions.quantiles import quantiles
-from tabsense.functions.stats import WIDE_AGG_COLUMNS, column_stats, null_counts
+from tabsense.functions.stats import column_stats, null_counts
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's.
@@ -27,6 +27,7 @@ MISSING_LABEL = "Missing"        # categorical feature fill before encoding
 DEFAULT_MISSING_THRESHOLD = 50   # % of columns a row may miss
 DEFAULT_CARDINALITY = 100        # distinct values above which a text column goes
 STD_FACTOR = 3.0                 # mean +- 3 standard deviations
+CONSTANT_BATCH = 40              # two buffers each stay below the 100 fields of generated code
 IQR_FACTOR = 1.5                 # Q1 - 1.5 IQR, Q3 + 1.5 IQR
 # ---------------------------------------------------------------------------
 
@@ -53,12 +54,14 @@ def analysis_numeric_columns(df: DataFrame) -> list[str]:
 
 # --- B4-B7 ------------------------------------------------------------------
 
+@nan_as_missing
 def drop_missing(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     """B6 (all columns) / B4 (``subset``, e.g. the target): drop rows with a
     missing cell."""
     return df.na.drop(how="any", subset=subset)
 
 
+@nan_as_missing
 def select_features(df: DataFrame, target: str, features: list[str] | None = None) -> DataFrame:
     """Target plus features (default: every other column), rows with a
     known target only."""
@@ -72,6 +75,7 @@ def missing_per_row(cols: list[str]) -> Column:
     return sum((q(c).isNull().cast("int") for c in cols), F.lit(0))
 
 
+@nan_as_missing
 def drop_sparse_rows(df: DataFrame, max_missing_pct: float = DEFAULT_MISSING_THRESHOLD) -> DataFrame:
     """Keep rows missing at most int(ncols*pct/100) cells; no-op at 100."""
     if max_missing_pct >= 100:
@@ -86,47 +90,47 @@ def _orderable(dtype: T.DataType) -> bool:
     return not isinstance(dtype, (T.MapType, T.StructType, T.ArrayType, T.BinaryType))
 
 
+@nan_as_missing
 def constant_columns(df: DataFrame) -> list[str]:
     """Columns with exactly one distinct non-null value (all-null columns
-    have none and are kept).  One aggregation: constant iff min = max."""
+    have none and are kept).  Constant iff min = max of the typed values, in
+    aggregates of ``CONSTANT_BATCH`` columns each, which read only those."""
     cols = [f.name for f in df.schema.fields if _orderable(f.dataType)]
     if not cols:
         return []
-    if 2 * len(cols) > WIDE_AGG_COLUMNS:
-        # wide table: compare the text form of the cells (zero sign folded,
-        # as -0.0 equals 0.0) per column position in one grouped aggregate
-        def text(name):
-            c = q(name)
-            if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
-                c = F.when(c == 0, F.lit(0.0).cast(df.schema[name].dataType)).otherwise(c)
-            return c.cast("string")
-        long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("position"), text(c).alias("x"))
-                                            for i, c in enumerate(cols)])))
-        got = {r["position"]: (r["a"], r["b"])
-               for r in long.groupBy("position").agg(F.min("x").alias("a"), F.max("x").alias("b")).collect()}
-        return [c for i, c in enumerate(cols) if got.get(i, (None,))[0] is not None and got[i][0] == got[i][1]]
-    r = df.agg(*[F.min(q(c)).alias(f"a{i}") for i, c in enumerate(cols)],
-               *[F.max(q(c)).alias(f"b{i}") for i, c in enumerate(cols)]).first()
-    return [c for i, c in enumerate(cols) if r[f"a{i}"] is not None and r[f"a{i}"] == r[f"b{i}"]]
+    found = []
+    for at in range(0, len(cols), CONSTANT_BATCH):
+        some = cols[at:at + CONSTANT_BATCH]
+        # compared inside Spark: a timestamp that leaves it loses its offset
+        r = df.agg(*[(F.min(q(c)) == F.max(q(c))).alias(f"c{i}") for i, c in enumerate(some)]).first()
+        found += [c for i, c in enumerate(some) if r[f"c{i}"]]
+    return found
 
 
+@nan_as_missing
 def drop_constant_columns(df: DataFrame) -> DataFrame:
     """B8."""
     const = constant_columns(df)
     return df.drop(*const) if const else df
 
 
+@nan_as_missing
 def high_cardinality_columns(df: DataFrame, max_unique: int = DEFAULT_CARDINALITY) -> list[str]:
-    """Categorical columns with more than ``max_unique`` distinct values
-    (exact, from one value-count aggregation over all text columns)."""
+    """Categorical columns with more than ``max_unique`` distinct values.
+
+    A HyperLogLog estimate per column decides those far from the limit (over
+    five standard errors); the others are counted exactly by value hash."""
     cats = categorical_columns(df)
     if not cats:
         return []
-    dc = distinct_counts(value_counts(df, cats)).where(F.col("n_unique") > max_unique)
-    hits = {r["column_name"] for r in dc.collect()}
-    return [c for c in cats if c in hits]
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("position"), q(c).alias("x")) for i, c in enumerate(cats)])))
+    rough = {r["position"]: r["n"] for r in long.groupBy("position").agg(F.approx_count_distinct("x", 0.02).alias("n")).collect()}
+    near = [c for i, c in enumerate(cats) if 0.9 * max_unique - 5 <= rough.get(i, 0) <= 1.1 * max_unique + 5]
+    exact = {r["column_name"]: r["n_unique"] for r in hashed_distinct_counts(df, near).collect()} if near else {}
+    return [c for i, c in enumerate(cats) if (exact.get(c, 0) if c in near else rough.get(i, 0)) > max_unique]
 
 
+@nan_as_missing
 def drop_high_cardinality(df: DataFrame, max_unique: int = DEFAULT_CARDINALITY) -> DataFrame:
     """B9."""
     hc = high_cardinality_columns(df, max_unique)
@@ -174,6 +178,7 @@ def dedupe_names(names: list[str]) -> list[str]:
 
 # --- C2 ---------------------------------------------------------------------
 
+@nan_as_missing
 def drop_duplicates(df: DataFrame) -> DataFrame:
     """Exact duplicate rows removed (NULLs equal).  Map columns cannot be
     grouped in Spark, so they are compared through their JSON text."""
@@ -197,6 +202,7 @@ def columns_with_missing(df: DataFrame, cols: list[str], counts: dict[str, int]
     return [c for c in cols if counts[c] > 0]
 
 
+@nan_as_missing
 def impute_numeric(df: DataFrame, method: str, order_by: list[str] | None = None,
                    cols: list[str] | None = None, exact: bool = True,
                    null_cells: dict[str, int] | None = None) -> DataFrame:
@@ -228,6 +234,7 @@ def impute_numeric(df: DataFrame, method: str, order_by: list[str] | None = None
     return df.select(*[fills[c].alias(c) if c in fills else q(c) for c in df.columns])
 
 
+@nan_as_missing
 def impute_categorical(df: DataFrame, method: str, order_by: list[str] | None = None,
                        cols: list[str] | None = None, label: str = UNKNOWN_LABEL,
                        null_cells: dict[str, int] | None = None) -> DataFrame:
@@ -263,6 +270,7 @@ def _clip(c: Column, lo, hi) -> Column:
         F.least(F.greatest(c.cast("double"), F.lit(float(lo))), F.lit(float(hi))))
 
 
+@nan_as_missing
 def std_bounds(df: DataFrame, cols: list[str]) -> dict[str, tuple]:
     """mean -+ 3 sample standard deviations per column (None if undefined)."""
     if not cols:
@@ -275,6 +283,7 @@ def std_bounds(df: DataFrame, cols: list[str]) -> dict[str, tuple]:
     return out
 
 
+@nan_as_missing
 def iqr_bounds(df: DataFrame, cols: list[str], exact: bool = True) -> dict[str, tuple]:
     qs = quantiles(df, cols, [0.25, 0.75], exact=exact)
     out = {}
@@ -288,6 +297,7 @@ def iqr_bounds(df: DataFrame, cols: list[str], exact: bool = True) -> dict[str,
     return out
 
 
+@nan_as_missing
 def cap_outliers_with_count(df: DataFrame, method: str = "std3", exact: bool = True):
     """Clip every numeric column to its bounds; returns (df, number of
     cells outside the bounds before clipping)."""
@@ -303,10 +313,12 @@ def cap_outliers_with_count(df: DataFrame, method: str = "std3", exact: bool = T
     return capped, outside
 
 
+@nan_as_missing
 def cap_outliers(df: DataFrame, method: str = "std3", exact: bool = True) -> DataFrame:
     return cap_outliers_with_count(df, method, exact)[0]
 
 
+@nan_as_missing
 def remove_outliers(df: DataFrame, sequential: bool = True) -> DataFrame:
     """Drop rows outside mean -+ 3 std, column after column with the
     statistics re-computed on the rows left (the reference's semantics; one
@@ -327,6 +339,7 @@ def remove_outliers(df: DataFrame, sequential: bool = True) -> DataFrame:
     return cur
 
 
+@nan_as_missing
 def outlier_report(df: DataFrame, only_positive: bool = False, exact: bool = True) -> DataFrame:
     """IQR outliers per numeric column with values: count, % of non-null
     (2 dp), bounds (4 dp), smallest and largest outlier (4 dp)."""

@@ -13,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsense.functions.columns import (categorical_columns, name_of, numeric_columns, q,
+from tabsense.functions.columns import (nan_as_missing, categorical_columns, name_of, numeric_columns, q,
                                         unpivot_numeric, unpivot_pairs)
-from tabsense.functions.frequencies import distinct_counts, top_k, value_counts
+from tabsense.functions.frequencies import hashed_distinct_counts, top_k, value_counts
 from tabsense.functions.quantiles import quantiles
 from tabsense.functions.stats import column_stats, merge_rows, null_count, round_sig, strength_label
 from tabsense.operators.cleaning import STD_FACTOR, outlier_report
@@ -62,6 +62,7 @@ def _quantile_frame(df: DataFrame, cols: list[str], exact: bool, digits: int) ->
         "column_name", *[round_sig(c, digits).alias(c) for c in ("q1", "median", "q3", "iqr")])
 
 
+@nan_as_missing
 def profile_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
     """H2: one row per numeric column that holds at least one value."""
     cols = numeric_columns(df)
@@ -73,7 +74,9 @@ def profile_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
         return df.sparkSession.createDataFrame([], schema)
     mom = _numeric_moments(df, cols, 4).where(F.col("count") > 0)
     qf = _quantile_frame(df, cols, exact, 4)
-    uniq = distinct_counts(value_counts(df, cols)).withColumnRenamed("n_unique", "unique_values")
+    uniq = (hashed_distinct_counts(df, cols).withColumnRenamed("n_unique", "unique_values") if exact else
+            unpivot_numeric(df, cols).groupBy("position").agg(F.approx_count_distinct("x").alias("unique_values"))
+            .select(name_of(F.col("position"), cols).alias("column_name"), "unique_values"))
     # both right-hand sides hold one row per column: a bounded broadcast
     out = mom.join(F.broadcast(qf), "column_name").join(F.broadcast(uniq), "column_name", "left")
     return out.select("column_name", "count", "missing", "missing_pct", "mean", "median", "std", "var",
@@ -82,6 +85,7 @@ def profile_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
                       "zero_count", "negative_count", "positive_count")
 
 
+@nan_as_missing
 def describe_numeric(df: DataFrame, digits: int = 3, exact: bool = True) -> DataFrame:
     """H6: pandas ``describe`` plus skewness, kurtosis, missing and missing %
     for every numeric column (all-null columns included, statistics NULL)."""
@@ -101,6 +105,7 @@ def describe_numeric(df: DataFrame, digits: int = 3, exact: bool = True) -> Data
         F.bround("missing_pct", digits).alias("missing_pct"))
 
 
+@nan_as_missing
 def profile_categorical(df: DataFrame, top: int = 5) -> DataFrame:
     """H3: one row per text column holding at least one value: count,
     missing, missing %, unique values, most frequent value with its count
@@ -137,6 +142,7 @@ def profile_categorical(df: DataFrame, top: int = 5) -> DataFrame:
         "top_values")
 
 
+@nan_as_missing
 def top_values(df: DataFrame, cols: list[str] | None = None, k: int = 10) -> DataFrame:
     """K2 / L3: (column_name, rank, value, count) for the k most frequent
     values of each column; ties by value ascending."""
@@ -144,6 +150,7 @@ def top_values(df: DataFrame, cols: list[str] | None = None, k: int = 10) -> Dat
     return top_k(value_counts(df, cols), k).select("column_name", "rank", "value", "count")
 
 
+@nan_as_missing
 def frequency_table(df: DataFrame, col: str, k: int = 20) -> DataFrame:
     """Top-k values of one column with count and % of *all* rows (2 dp)."""
     total = df.count()
@@ -152,6 +159,7 @@ def frequency_table(df: DataFrame, col: str, k: int = 20) -> DataFrame:
                      F.bround(F.col("count") / F.lit(total) * 100, 2).alias("percentage"))
 
 
+@nan_as_missing
 def frequency_summary(df: DataFrame, col: str) -> DataFrame:
     """H10 header: distinct values, most common value, missing cells."""
     vc = value_counts(df, [col])
@@ -164,6 +172,7 @@ def frequency_summary(df: DataFrame, col: str) -> DataFrame:
 
 # --- correlations -----------------------------------------------------------
 
+@nan_as_missing
 def correlation_pairs(df: DataFrame, cols: list[str] | None = None, digits: int | None = 4) -> DataFrame:
     """(i, j, variable_1, variable_2, correlation) for every pair i<j of
     numeric columns; NULL when undefined (constant or too few pairs).
@@ -184,6 +193,7 @@ def correlation_pairs(df: DataFrame, cols: list[str] | None = None, digits: int
                     (F.bround(r, digits) if digits is not None else r).alias("correlation"))
 
 
+@nan_as_missing
 def top_correlations(df: DataFrame, k: int = 10, strict: bool = False, keep_undefined: bool = False,
                      digits: int = 4) -> DataFrame:
     """H5 (``strict=False``: bands >= 0.7 / >= 0.4, undefined pairs dropped)
@@ -197,6 +207,7 @@ def top_correlations(df: DataFrame, k: int = 10, strict: bool = False, keep_unde
             .select("variable_1", "variable_2", "correlation", "strength"))
 
 
+@nan_as_missing
 def correlation_matrix(df: DataFrame, digits: int = 4) -> DataFrame:
     """H7 / L2 long form (var_a, var_b, r): both triangles and the diagonal."""
     cols = numeric_columns(df)
@@ -213,6 +224,7 @@ def correlation_matrix(df: DataFrame, digits: int = 4) -> DataFrame:
     return upper.unionByName(lower).unionByName(diag).select("var_a", "var_b", F.bround("r", digits).alias("r"))
 
 
+@nan_as_missing
 def strongest_pair(df: DataFrame) -> DataFrame:
     """H9: the pair with the largest |r| below 1 (first in pair order on
     ties), |r| to 3 dp; no row when every |r| is 0, 1 or undefined."""
@@ -224,6 +236,7 @@ def strongest_pair(df: DataFrame) -> DataFrame:
 
 # --- quality from the profile (G2) and documented extras (N1, N2) -----------
 
+@nan_as_missing
 def profile_quality(df: DataFrame, exact: bool = True) -> DataFrame:
     """Completeness and uniqueness (2 dp), outlier penalty = mean IQR
     outlier % over numeric columns with values, overall = (c + u - penalty)/2,
@@ -243,6 +256,7 @@ def profile_quality(df: DataFrame, exact: bool = True) -> DataFrame:
         .alias("quality_grade"))
 
 
+@nan_as_missing
 def normality(df: DataFrame) -> DataFrame:
     """Jarque-Bera per numeric column, JB = n/6 (g1^2 + g2^2/4) with the
     population skewness g1 and excess kurtosis g2; p = exp(-JB/2) (chi-square,
@@ -266,6 +280,7 @@ def normality(df: DataFrame) -> DataFrame:
 WEIGHTS = {"completeness": 0.35, "validity": 0.25, "consistency": 0.20, "duplicates": 0.20}
 
 
+@nan_as_missing
 def weighted_quality(df: DataFrame) -> DataFrame:
     """Weighted score 35 % completeness, 25 % validity, 20 % consistency,
     20 % non-duplication (all in %, 2 dp).

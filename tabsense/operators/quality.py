@@ -12,67 +12,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsense.functions.columns import is_floating, name_of, numeric_columns, q
-from tabsense.functions.stats import WIDE_AGG_COLUMNS, null_count
+from tabsense.functions.columns import nan_as_missing, is_floating, name_of, numeric_columns, q
 
-# Above this many columns the duplicate count first groups on a 64-bit row
-# hash, so only rows whose hash repeats are shuffled in full.
-WIDE_ROW_COLUMNS = 6
-
-
-def _groupable(df: DataFrame) -> list[Column]:
-    """Columns usable as grouping keys; map columns compare through JSON."""
-    out = []
-    for f in df.schema.fields:
-        c = q(f.name)
-        if isinstance(f.dataType, T.MapType):
-            c = F.to_json(c)
-        out.append(c.alias(f.name))
-    return out
-
-
-def _hash_input(df: DataFrame) -> list[Column]:
-    """Hash inputs equal for rows that group together (-0.0 and 0.0 alike)."""
-    out = []
+def _row_hashes(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes equal for rows that group together: -0.0 reads as 0.0, a map as its JSON text, and a
+    NULL (which Spark's hash skips) as a flag of its own."""
+    cells = []
     for f in df.schema.fields:
         c = q(f.name)
         if is_floating(f.dataType):
             c = F.when(c == 0, F.lit(0.0).cast(f.dataType)).otherwise(c)
         elif isinstance(f.dataType, T.MapType):
             c = F.to_json(c)
-        out.append(c)
-    return out
+        cells += [c.isNull(), c]
+    return [F.xxhash64(F.lit(seed), *cells).alias(f"_h{seed}") for seed in (1, 2)]
 
 
 def _distinct_rows(df: DataFrame) -> DataFrame:
-    """(row..., n) for every distinct row; NULLs group as equal."""
-    return df.select(*_groupable(df)).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-
-
-def duplicate_rows_frame(df: DataFrame, method: str = "auto") -> DataFrame:
-    """One row ``duplicate_rows``: rows repeating an earlier row on all columns.
-
-    ``group``: group by all columns (partial aggregation combines repeats on
-    the map side).  ``hash``: group by xxhash64 of the row first (8-byte
-    keys), then group in full only the rows whose hash occurs more than once;
-    AQE broadcasts the candidate hash list when it is small at run time.
-    """
-    if method == "auto":
-        method = "hash" if len(df.columns) > WIDE_ROW_COLUMNS else "group"
-    if method == "group":
-        return (_distinct_rows(df)
-                .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows")))
-    hashed = df.select(F.xxhash64(*_hash_input(df)).alias("_h"), *_groupable(df))
-    cand = (hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_c"))
-            .where(F.col("_c") > 1).select("_h"))
-    return (hashed.join(cand, "_h", "left_semi")
-            .groupBy("_h", *df.columns).agg(F.count(F.lit(1)).alias("_n"))
-            .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows")))
-
-
-def duplicate_count(df: DataFrame, method: str = "auto") -> DataFrame:
+    """Per distinct row, known by its 128-bit hash: ``_n`` rows and their ``_m`` missing cells.  One scan and one
+    shuffle of 32-byte records at any width; a row that fills a third of the table is summed on the map side."""
+    return (df.select(*_row_hashes(df), _row_nulls(df).alias("_z")).groupBy("_h1", "_h2")
+            .agg(F.count(F.lit(1)).alias("_n"), F.sum("_z").alias("_m")))
+
+
+@nan_as_missing
+def duplicate_rows_frame(df: DataFrame) -> DataFrame:
+    """One row ``duplicate_rows``: rows repeating an earlier row on all columns."""
+    return _distinct_rows(df).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+
+
+@nan_as_missing
+def duplicate_count(df: DataFrame) -> DataFrame:
     """C1 as a one-row DataFrame (duplicate_rows)."""
-    return duplicate_rows_frame(df, method)
+    return duplicate_rows_frame(df)
 
 
 def _row_nulls(df: DataFrame) -> Column:
@@ -88,42 +60,24 @@ def _missing_cells(df: DataFrame) -> Column:
     return F.coalesce(F.sum(_row_nulls(df)), F.lit(0)).cast("bigint")
 
 
-def table_counts(df: DataFrame, method: str = "auto") -> DataFrame:
-    """One row: total_rows, missing_cells, duplicate_rows, from one scan.
-
-    ``group``: the distinct rows with their multiplicity give all three
-    counts.  ``hash``: the per-hash aggregate (which sees every row) also
-    carries the row count and the per-row missing cells; the candidate
-    hashes then feed the duplicate count as in :func:`duplicate_rows_frame`.
-    The one-row results are merged by a union and a one-row ``max``."""
-    if not df.columns:
-        return df.agg(F.count(F.lit(1)).alias("total_rows"), F.lit(0).cast("bigint").alias("missing_cells"),
-                      F.lit(0).cast("bigint").alias("duplicate_rows"))
-    if method == "auto":
-        method = "hash" if len(df.columns) > WIDE_ROW_COLUMNS else "group"
+@nan_as_missing
+def table_counts(df: DataFrame) -> DataFrame:
+    """One row: total_rows, missing_cells, duplicate_rows, from one scan."""
     zero = F.lit(0).cast("bigint")
-    if method == "group":
-        g = _distinct_rows(df)
-        return g.agg(F.coalesce(F.sum("_n"), zero).cast("bigint").alias("total_rows"),
-                     F.coalesce(F.sum(F.col("_n") * _row_nulls(df)), zero).cast("bigint").alias("missing_cells"),
-                     F.coalesce(F.sum(F.col("_n") - 1), zero).cast("bigint").alias("duplicate_rows"))
-    hashed = df.select(F.xxhash64(*_hash_input(df)).alias("_h"), _row_nulls(df).alias("_z"), *_groupable(df))
-    per_hash = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_c"), F.sum("_z").alias("_m"))
-    totals = per_hash.agg(F.coalesce(F.sum("_c"), zero).cast("bigint").alias("total_rows"),
-                          F.coalesce(F.sum("_m"), zero).cast("bigint").alias("missing_cells"))
-    cand = per_hash.where(F.col("_c") > 1).select("_h")
-    dups = (hashed.drop("_z").join(cand, "_h", "left_semi")
-            .groupBy("_h", *df.columns).agg(F.count(F.lit(1)).alias("_n"))
-            .agg(F.coalesce(F.sum(F.col("_n") - 1), zero).cast("bigint").alias("duplicate_rows")))
-    merged = totals.unionByName(dups, allowMissingColumns=True)
-    return merged.agg(*[F.max(c).alias(c) for c in ("total_rows", "missing_cells", "duplicate_rows")])
-
-
-def quality_scorecard(df: DataFrame, method: str = "auto") -> DataFrame:
+    if not df.columns:
+        return df.agg(F.count(F.lit(1)).alias("total_rows"), zero.alias("missing_cells"), zero.alias("duplicate_rows"))
+    return _distinct_rows(df).agg(
+        F.coalesce(F.sum("_n"), zero).cast("bigint").alias("total_rows"),
+        F.coalesce(F.sum("_m"), zero).cast("bigint").alias("missing_cells"),
+        F.coalesce(F.sum(F.col("_n") - 1), zero).cast("bigint").alias("duplicate_rows"))
+
+
+@nan_as_missing
+def quality_scorecard(df: DataFrame) -> DataFrame:
     """G1: completeness, duplicate rate and score (completeness - duplicate
     rate), all rounded half-even to 1 dp, plus the raw counts."""
     ncols = len(df.columns)
-    t = table_counts(df, method)
+    t = table_counts(df)
     rows = F.col("total_rows")
     cells = rows * F.lit(ncols)
     completeness = F.when(cells > 0, (1 - F.col("missing_cells") / cells) * 100).otherwise(F.lit(0.0))
@@ -139,12 +93,13 @@ def quality_scorecard(df: DataFrame, method: str = "auto") -> DataFrame:
     )
 
 
-def overview(df: DataFrame, method: str = "auto") -> DataFrame:
+@nan_as_missing
+def overview(df: DataFrame) -> DataFrame:
     """B2: rows, columns, numeric columns, missing cells and % of all cells,
     duplicate rows and % of rows (percentages to 1 dp)."""
     ncols = len(df.columns)
     nnum = len(numeric_columns(df))
-    t = table_counts(df, method)
+    t = table_counts(df)
     rows = F.col("total_rows")
     cells = rows * F.lit(ncols)
     return t.select(
@@ -158,9 +113,10 @@ def overview(df: DataFrame, method: str = "auto") -> DataFrame:
     )
 
 
-def profile_basic(df: DataFrame, method: str = "auto") -> DataFrame:
+@nan_as_missing
+def profile_basic(df: DataFrame) -> DataFrame:
     """H1: total rows, columns, duplicate rows and duplicate % (2 dp)."""
-    t = table_counts(df, method)
+    t = table_counts(df)
     rows = F.col("total_rows")
     return t.select(
         rows.alias("total_rows"),
@@ -171,35 +127,27 @@ def profile_basic(df: DataFrame, method: str = "auto") -> DataFrame:
     )
 
 
+@nan_as_missing
 def null_counts_long(df: DataFrame) -> DataFrame:
     """(position, column_name, missing_count, total_rows) for every column,
-    from a single aggregation reshaped to one row per column (a grouped
-    unpivot for tables wider than ``WIDE_AGG_COLUMNS``)."""
+    from one unpivot of the null flags grouped by column position."""
     cols = df.columns
-    if len(cols) > WIDE_AGG_COLUMNS:
-        # one buffer per column would exceed spark.sql.codegen.maxFields:
-        # group the unpivoted null flags by column instead
-        flags = df.select(F.inline(F.array(*[
-            F.struct(F.lit(i).alias("position"), q(c).isNull().cast("long").alias("m"))
-            for i, c in enumerate(cols)])))
-        g = flags.groupBy("position").agg(F.sum("m").cast("bigint").alias("missing_count"),
-                                          F.count(F.lit(1)).alias("total_rows"))
-        return g.select("position", name_of(F.col("position"), cols).alias("column_name"),
-                        "missing_count", "total_rows")
-    agg = df.agg(F.count(F.lit(1)).alias("_rows"),
-                 *[null_count(c).alias(f"_m{i}") for i, c in enumerate(cols)])
     if not cols:
-        return agg.select(F.lit(None).cast("int").alias("position"),
-                          F.lit(None).cast("string").alias("column_name"),
-                          F.lit(None).cast("bigint").alias("missing_count"),
-                          F.col("_rows").alias("total_rows")).where(F.lit(False))
-    # reshape the one-row aggregate to one row per column (names may hold any character)
-    arr = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"),
-                             F.col(f"_m{i}").alias("missing_count")) for i, c in enumerate(cols)])
-    return agg.select(F.explode(arr).alias("s"), F.col("_rows").alias("total_rows")) \
-              .select("s.position", "s.column_name", "s.missing_count", "total_rows")
+        return df.sparkSession.createDataFrame([], "position int, column_name string, missing_count bigint, total_rows bigint")
+    flags = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("position"), q(c).isNull().cast("long").alias("m"))
+        for i, c in enumerate(cols)])))
+    g = flags.groupBy("position").agg(F.sum("m").cast("bigint").alias("missing_count"),
+                                      F.count(F.lit(1)).alias("total_rows"))
+    # columns of an empty table have no group: list them all
+    every = df.sparkSession.range(len(cols)).select(F.col("id").cast("int").alias("position"))
+    zero = F.lit(0).cast("bigint")
+    return (every.join(g, "position", "left")
+            .select("position", name_of(F.col("position"), cols).alias("column_name"),
+                    F.coalesce("missing_count", zero).alias("missing_count"), F.coalesce("total_rows", zero).alias("total_rows")))
 
 
+@nan_as_missing
 def missing_report(df: DataFrame) -> DataFrame:
     """H4 per column: columns with at least one missing cell, count and % of
     rows (2 dp).  Display order is % descending (``orderBy`` kept)."""
@@ -210,6 +158,7 @@ def missing_report(df: DataFrame) -> DataFrame:
             .orderBy(F.desc("missing_pct"), "column_name"))
 
 
+@nan_as_missing
 def missing_summary(df: DataFrame) -> DataFrame:
     """H4 totals: total missing cells, % of all cells (2 dp), columns with missing."""
     long = null_counts_long(df)

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsense.functions.columns import categorical_columns, numeric_columns, q
+from tabsense.functions.columns import nan_as_missing, categorical_columns, numeric_columns, q
 from tabsense.functions.stats import null_counts, rows_and_null_counts
 from tabsense.operators import cleaning as C
 from tabsense.session import materialize
@@ -77,6 +77,7 @@ def _cut_if_ordered(df: DataFrame, method: str) -> DataFrame:
     return materialize(df) if method in ("ffill", "bfill") else df
 
 
+@nan_as_missing
 def clean(df: DataFrame, opts: CleanOptions = CleanOptions()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Run the cleaning steps; returns (clean table, log, summary).
 
@@ -179,6 +180,7 @@ def clean(df: DataFrame, opts: CleanOptions = CleanOptions()) -> tuple[DataFrame
     return cur, log_df, summary
 
 
+@nan_as_missing
 def preview_cleaning(df: DataFrame, opts: CleanOptions = CleanOptions()) -> DataFrame:
     """What the first steps would remove or fill, without changing the
     table.  One lazy plan: group by all columns (distinct rows with their

@@ -36,13 +36,13 @@ def q_quality_scorecard(spark, sf):
 @register("quality_scorecard_hashed", SCORECARD_SQL)
 def q_quality_scorecard_hashed(spark, sf):
     """Same scorecard through the hash-prefiltered duplicate count."""
-    return Q.quality_scorecard(dirty_orders(spark, sf), method="hash")
+    return Q.quality_scorecard(dirty_orders(spark, sf))
 
 
 @register("duplicate_count", sql_with(
     f"SELECT {sql_duplicates('dirty_orders', DIRTY_ORDERS_COLS)} AS duplicate_rows", DIRTY_ORDERS_SQL))
 def q_duplicate_count(spark, sf):
-    return Q.duplicate_count(dirty_orders(spark, sf), method="group")
+    return Q.duplicate_count(dirty_orders(spark, sf))
 
 
 @register("overview", sql_with(f"""

@@ -92,7 +92,7 @@ def test_two_level_fill_hot_first_key_spreads_and_equals_window(spark):
     the rows are range-partitioned on the whole order and still fill like
     the plain window, without one bucket holding the hot value."""
     from pyspark.sql import Window
-    from tabsense.functions.ordered_fill import _order_buckets, ordered_fill
+    from tabsense.functions.ordered_fill import order_buckets, ordered_fill
     df = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")).alias("k"), F.col("id").alias("t"),
         F.when(F.col("id") % 4 == 1, F.col("id") * 1.0).alias("v"))
@@ -100,15 +100,65 @@ def test_two_level_fill_hot_first_key_spreads_and_equals_window(spark):
     plain = df.select("k", "t", F.last("v", True).over(w).alias("v")).orderBy("k", "t").collect()
     two = ordered_fill(df, ["v"], ["k", "t"], "forward", buckets=16).orderBy("k", "t").collect()
     assert [tuple(r) for r in two] == [(r["k"], r["t"], r["v"]) for r in plain]
-    sizes = [r["count"] for r in _order_buckets(df, ["k", "t"], 16).groupBy("_b").count().collect()]
+    sizes = [r["count"] for r in order_buckets(df, ["k", "t"], 16).groupBy("_b").count().collect()]
     assert max(sizes) < 1000
 
 
-def test_constant_columns_wide_path_equals_narrow(spark, monkeypatch):
-    from tabsense.operators import cleaning as C
+def test_constant_columns(spark):
     df = spark.createDataFrame(
         [(1, "a", -0.0, None, 2.5, "x"), (1, "a", 0.0, None, 3.5, "x"), (1, None, 0.0, None, 2.5, "y")],
         "i bigint, s string, z double, n double, d double, t string")
-    narrow = C.constant_columns(df)
-    monkeypatch.setattr(C, "WIDE_AGG_COLUMNS", 0)
-    assert C.constant_columns(df) == narrow == ["i", "s", "z"]
+    assert C.constant_columns(df) == ["i", "s", "z"]
+
+
+def test_constant_columns_compares_instants_at_any_width(spark):
+    """Two instants an hour apart over a clock change read alike as local text; they are two values, in a wide table too."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        base = spark.createDataFrame([(1730610000,), (1730613600,)], "s bigint").select(F.timestamp_seconds("s").alias("ts"), "s")
+        assert C.constant_columns(base) == []
+        wide = base.select("ts", *[F.lit(i).alias(f"c{i}") for i in range(60)])
+        assert C.constant_columns(wide) == [f"c{i}" for i in range(60)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_fill_hot_null_and_tied_keys_spread(spark):
+    """A third of the rows share one key and a third have none; without a tie-break column the row hash splits them."""
+    from tabsense.functions.ordered_fill import order_buckets
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.col("id").cast("string")).alias("k"),
+                                  F.col("id").alias("v"))
+    sizes = [r["count"] for r in order_buckets(df, ["k"], 16).groupBy("_b").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 600
+
+
+def test_backward_fill_is_one_pass(spark):
+    """The window always ends at the current row, which Spark computes without going back over the frame."""
+    df = spark.range(100).select(F.col("id").alias("k"), F.when(F.col("id") % 7 == 0, F.col("id") * 1.0).alias("v"))
+    plan = C.impute_numeric(df, "bfill", order_by=["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedfollowing" not in plan and "unboundedpreceding" in plan.replace("$", "").lower()
+
+
+def test_nan_is_missing_everywhere(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, nan), (2, 2.0), (3, None), (4, 6.0)], "a bigint, b double")
+    assert [r["b"] for r in C.impute_numeric(df, "mean").orderBy("a").collect()] == [4.0, 2.0, 4.0, 6.0]
+    assert [r["b"] for r in C.impute_numeric(df, "median").orderBy("a").collect()] == [4.0, 2.0, 4.0, 6.0]
+    assert C.drop_sparse_rows(df, 49).count() == 2 == C.drop_missing(df).count()
+    lo, hi = C.std_bounds(df, ["b"])["b"]
+    assert lo < 2 and hi > 6
+
+
+def test_quantile_bracket_of_few_values_and_low_estimate(spark):
+    """A column of a few heavily repeated values, and a collect bound below the distinct values of a bracket."""
+    from tabsense.functions.quantiles import exact_quantiles
+    df = spark.range(20000).select((F.col("id") % 3).cast("double").alias("few"), ((F.col("id") * 7919) % 20011).cast("double").alias("many"))
+    pdf = df.toPandas()
+    got = exact_quantiles(df, ["few", "many"], [0.1, 0.5, 0.77], collect_bound=50)
+    assert all(abs(v - pdf[c].quantile(p)) < 1e-9 for (c, p), v in got.items())
+
+
+def test_high_cardinality_near_the_limit(spark):
+    df = spark.range(3000).select(*[(F.col("id") % k).cast("string").alias(f"k{k}") for k in (5, 99, 100, 101, 110, 2000)])
+    assert C.high_cardinality_columns(df, 100) == ["k101", "k110", "k2000"]

@@ -33,7 +33,7 @@ def test_moments_match_pandas(spark):
 def test_exact_quantiles_with_forced_refinement(spark):
     pdf, sdf = _frame(spark, n=3000)
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = exact_quantiles(sdf, ["x", "z"], probs, collect_bound=20, grid=8, accuracy=100)
+    got = exact_quantiles(sdf, ["x", "z"], probs, collect_bound=20, grid=8)
     for c in ["x", "z"]:
         for p in probs:
             assert abs(got[(c, p)] - pdf[c].dropna().quantile(p)) < 1e-9
@@ -43,7 +43,7 @@ def test_quantiles_hot_value(spark):
     # a third of the rows hold one value: the bracket collapses to it
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise(F.col("id") * 1.0).alias("v"))
     pdf = df.toPandas()
-    got = exact_quantiles(df, ["v"], [0.1, 0.5, 0.9], collect_bound=50, grid=8, accuracy=100)
+    got = exact_quantiles(df, ["v"], [0.1, 0.5, 0.9], collect_bound=50, grid=8)
     for p in [0.1, 0.5, 0.9]:
         assert abs(got[("v", p)] - pdf["v"].quantile(p)) < 1e-9
 
@@ -55,7 +55,7 @@ def test_quantiles_overlapping_brackets_with_ties(spark):
                                   F.when(F.col("id") % 4 == 0, None).otherwise(F.sqrt("id")).alias("w"))
     pdf = df.toPandas()
     probs = [i / 40 for i in range(41)]
-    got = exact_quantiles(df, ["v", "w"], probs, collect_bound=30, grid=8, accuracy=100)
+    got = exact_quantiles(df, ["v", "w"], probs, collect_bound=30, grid=8)
     for c in ["v", "w"]:
         for p in probs:
             assert abs(got[(c, p)] - pdf[c].dropna().quantile(p)) < 1e-9

@@ -11,16 +11,14 @@ def test_scorecard_by_hand(orders_fixture):
     assert r["score"] == 96.6
 
 
-def test_duplicate_methods_agree(spark, orders_fixture):
-    a = Q.duplicate_count(orders_fixture, "group").first()[0]
-    b = Q.duplicate_count(orders_fixture, "hash").first()[0]
-    assert a == b == 1
+def test_duplicate_count_equals_grouping(spark, orders_fixture):
+    n = orders_fixture.count() - orders_fixture.distinct().count()
+    assert Q.duplicate_count(orders_fixture).first()[0] == n == 1
 
 
 def test_duplicates_treat_nulls_equal(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, "x")], "a int, b string")
-    assert Q.duplicate_count(df, "group").first()[0] == 1
-    assert Q.duplicate_count(df, "hash").first()[0] == 1
+    assert Q.duplicate_count(df).first()[0] == 1
 
 
 def test_empty_table_guards(spark):
@@ -40,15 +38,24 @@ def test_missing_report(orders_fixture):
     assert rows == {"country": (2, 4.88), "rating": (3, 7.32)}
 
 
-def test_null_counts_wide_table_grouped_path(spark, monkeypatch):
-    """Past WIDE_AGG_COLUMNS the per-column null counts come from a grouped
-    unpivot; they equal the one-row aggregate."""
+def test_null_counts_of_a_wide_table(spark):
     from pyspark.sql import functions as F
     from tabsense.operators import quality as Q
     df = spark.range(300).select(*[F.when((F.col("id") + i) % (i + 2) == 0, None).otherwise(F.col("id"))
                                    .alias(f"c{i}") for i in range(120)])
-    wide = sorted(tuple(r) for r in Q.null_counts_long(df).collect())
-    monkeypatch.setattr(Q, "WIDE_AGG_COLUMNS", 10 ** 6)
-    narrow = sorted(tuple(r) for r in Q.null_counts_long(df).collect())
-    assert wide == narrow and len(wide) == 120
-    assert Q.quality_scorecard(df).first()["missing_cells"] == sum(r[2] for r in wide)
+    got = {r["column_name"]: (r["missing_count"], r["total_rows"]) for r in Q.null_counts_long(df).collect()}
+    assert got == {f"c{i}": (sum((k + i) % (i + 2) == 0 for k in range(300)), 300) for i in range(120)}
+    assert Q.quality_scorecard(df).first()["missing_cells"] == sum(n for n, _ in got.values())
+
+
+def test_duplicates_tell_null_places_apart_and_survive_a_hot_row(spark):
+    """A NULL is part of the row's identity; one row held by a third of the table is summed on the map side."""
+    from tabsense.operators import quality as Q
+    df = spark.createDataFrame([(1, None), (None, 1), (1, None), (None, None), (None, None), (1, 1)], "a bigint, b bigint")
+    assert Q.duplicate_count(df).first()[0] == 2
+    from pyspark.sql import functions as F
+    hot = spark.range(3000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("a"), F.lit("x").alias("b"))
+    counted = Q.table_counts(hot)
+    assert tuple(counted.first()) == (3000, 0, 999)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Scan") + plan.count("Range") <= 2
