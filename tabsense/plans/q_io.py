@@ -53,3 +53,11 @@ def q_html_rows(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate",
                                           "o_orderpriority")
     return html_rows(o)
+
+
+@register("csv_quoted_roundtrip", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def q_csv_quoted_roundtrip(spark, sf):
+    """Texts with quotes, commas and line feeds through the CSV sink and scan."""
+    path = shared_scratch(spark, "csv-quoted")
+    write_table(table(spark, sf, "documents"), path, "csv")
+    return read_csv(spark, path)

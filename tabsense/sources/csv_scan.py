@@ -24,8 +24,14 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
-    first = spark.read.option("header", False).option("sep", sep).csv(path).first()
+def _reader(spark: SparkSession, sep: str, multiline: bool):
+    """Cells as pandas reads them: doubled quotes, line feeds inside quotes, white space kept."""
+    return (spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multiline)
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+
+
+def _header(spark: SparkSession, path: str, sep: str, multiline: bool) -> list[str]:
+    first = _reader(spark, sep, multiline).option("header", False).csv(path).first()
     return [c if c is not None else "" for c in first] if first is not None else []
 
 
@@ -66,15 +72,19 @@ def infer_types(df: DataFrame) -> dict[str, T.DataType]:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             na_tokens: tuple[str, ...] = NA_TOKENS, sep: str = ",") -> DataFrame:
-    """A1: read CSV files with a header row into a typed DataFrame."""
+             na_tokens: tuple[str, ...] = NA_TOKENS, sep: str = ",", multiline: bool = True) -> DataFrame:
+    """A1: read CSV files with a header row into a typed DataFrame.
+
+    ``multiline``: cells may hold line feeds inside quotes, as pandas reads
+    them; each file is then read by one task.  Set it to False for large
+    files known to hold none, which Spark then splits.  With ``schema`` a
+    cell that does not parse raises an error instead of becoming NULL."""
     if schema is not None:
-        df = spark.read.schema(schema).option("header", True).option("sep", sep) \
-            .option("mode", "PERMISSIVE").csv(path)
-        return normalize_nan(df)
-    raw = spark.read.option("header", True).option("sep", sep).option("inferSchema", False) \
+        return normalize_nan(_reader(spark, sep, multiline).schema(schema).option("header", True)
+                             .option("mode", "FAILFAST").csv(path))
+    raw = _reader(spark, sep, multiline).option("header", True).option("inferSchema", False) \
         .option("nullValue", None).csv(path)
-    header = _header(spark, path, sep)
+    header = _header(spark, path, sep, multiline)
     names = dedupe_names(header) if len(header) == len(raw.columns) else raw.columns
     tokens = list(na_tokens)
     text = raw.select(*[F.when(q(c).isin(tokens), F.lit(None).cast("string")).otherwise(q(c)).alias(n)

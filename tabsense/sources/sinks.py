@@ -49,7 +49,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwri
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {sorted(FORMATS)}")
     if fmt == "csv":
-        df.write.mode(mode).option("header", True).option("timestampNTZFormat", TIMESTAMP_TEXT) \
+        df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"') \
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False) \
+            .option("timestampNTZFormat", TIMESTAMP_TEXT) \
             .option("timestampFormat", TIMESTAMP_TEXT).csv(path)
     elif fmt == "json":
         df.write.mode(mode).option("ignoreNullFields", False) \

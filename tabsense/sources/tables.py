@@ -108,6 +108,33 @@ gappy_events AS (
   FROM events)"""
 
 
+def nan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events with missing values both as NULL and as NaN."""
+    ev = table(spark, sf_dir, "events")
+    eid = F.col("event_id")
+    return ev.select("event_id", F.when(eid % 6 == 0, F.lit(float("nan"))).when(eid % 4 != 0, F.col("value").cast("double")).alias("value"), "event_type")
+
+
+NAN_EVENTS_SQL = """
+nan_events AS (
+  SELECT event_id, CASE WHEN event_id % 6 = 0 THEN NULL WHEN event_id % 4 <> 0 THEN CAST(value AS DOUBLE) END AS value, event_type
+  FROM events)"""
+
+
+def hot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gappy events whose first order key holds one value in a third of the rows and NULL in a third, and a text key."""
+    ev = gappy_events(spark, sf_dir)
+    eid = F.col("event_id")
+    return ev.select(F.when(eid % 3 == 0, F.lit("hot")).when(eid % 3 == 1, F.concat(F.lit("k"), F.col("user_id").cast("string"))).alias("k"),
+                     "event_id", "value")
+
+
+HOT_EVENTS_SQL = """
+hot_events AS (
+  SELECT CASE WHEN event_id % 3 = 0 THEN 'hot' WHEN event_id % 3 = 1 THEN 'k' || CAST(user_id AS VARCHAR) END AS k, event_id, value
+  FROM gappy_events)"""
+
+
 def with_ctes(*ctes: str) -> str:
     """``WITH`` prefix joining several CTE definitions."""
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"

@@ -36,3 +36,23 @@ def test_sample_orders_shape(spark):
     assert s.count() == 50 and len(s.columns) == 8
     r = s.agg({"quantity": "max", "price": "min", "order_id": "min"}).first()
     assert r["max(quantity)"] <= 9 and r["min(price)"] >= 10 and r["min(order_id)"] == 1001
+
+
+def test_csv_reads_what_pandas_reads(spark):
+    d = tempfile.mkdtemp(prefix="tabsense-csv-")
+    with open(os.path.join(d, "t.csv"), "w") as f:
+        f.write('a,b\n1,"he said ""hi"", ok"\n2,"two\nlines"\n3,x\n4,  pad  \n5,back\\slash\n')
+    df = read_csv(spark, os.path.join(d, "t.csv"))
+    rows = {r["a"]: r["b"] for r in df.collect()}
+    assert rows == {1: 'he said "hi", ok', 2: "two\nlines", 3: "x", 4: "  pad  ", 5: "back\\slash"}
+    write_table(df, os.path.join(d, "out"), "csv")
+    assert {r["a"]: r["b"] for r in read_csv(spark, os.path.join(d, "out")).collect()} == rows
+
+
+def test_csv_with_schema_fails_on_a_bad_cell(spark):
+    import pytest
+    d = tempfile.mkdtemp(prefix="tabsense-csv-")
+    with open(os.path.join(d, "t.csv"), "w") as f:
+        f.write("a\n1\nx\n")
+    with pytest.raises(Exception):
+        read_csv(spark, os.path.join(d, "t.csv"), schema="a bigint").collect()
