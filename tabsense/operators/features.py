@@ -8,14 +8,14 @@ things that reach the driver.
 
 from __future__ import annotations
 
-import math
+import random
 
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsense.functions.columns import categorical_columns, numeric_columns, q
+from tabsense.functions.columns import nan_as_missing, categorical_columns, numeric_columns, q
 from tabsense.functions.stats import column_stats
 from tabsense.operators.chartdata import md5_rank
 from tabsense.operators.cleaning import MISSING_LABEL
@@ -29,6 +29,7 @@ DEFAULT_SEED = 42
 HASH_SPACE = 2 ** 32
 
 
+@nan_as_missing
 def detect_task(df: DataFrame, target: str) -> DataFrame:
     """(target, is_numeric, unique_values, task).  Needs at least two
     columns (a target and a feature)."""
@@ -41,6 +42,7 @@ def detect_task(df: DataFrame, target: str) -> DataFrame:
         F.lit(target).alias("target"), F.lit(is_num).alias("is_numeric"), "unique_values", task.alias("task"))
 
 
+@nan_as_missing
 def encode_labels(df: DataFrame, cols: list[str] | None = None, suffix: str = "") -> DataFrame:
     """Text columns -> 0..k-1 in sorted order of their values, missing
     cells first filled with ``Missing`` (``StringIndexer``, alphabetAsc).
@@ -72,6 +74,53 @@ def train_test_split(df: DataFrame, key: str, test: float = DEFAULT_TEST_SHARE,
     return df.withColumn("split", split_column(key, test, seed))
 
 
+#: The 32-bit rank is cut in three steps of so many bits, so the counts of a step are a few thousand per class.
+RANK_STEPS = (12, 10, 10)
+
+
+@nan_as_missing
+def stratified_split(df: DataFrame, key: str, label: str, test: float = DEFAULT_TEST_SHARE,
+                     seed: int = DEFAULT_SEED) -> DataFrame:
+    """I4: adds ``split`` with exactly ceil(test * n) test rows, dealt to the classes of ``label`` by largest remainder.
+
+    The test rows of a class are its first by md5 rank of ``key`` (ties by
+    key).  The rank at which a class is cut is found from counts per class
+    and rank prefix, 12, then 10, then 10 bits; only rows that share that very
+    rank are ordered, so a class that holds a third of the rows is never
+    sorted in one task.  NULL is a class of its own."""
+    if not TEST_SHARE_RANGE[0] <= test <= TEST_SHARE_RANGE[1]:
+        raise ValueError("test share must be between 0.10 and 0.40")
+    lab = q(label)
+    rows = df.withColumn("_r", md5_rank(key, seed))
+    classes = rows.groupBy(lab.alias("_c")).agg(F.count(F.lit(1)).alias("n"))  # one row per class
+    every = Window.partitionBy()
+    total = F.sum("n").over(every)
+    wanted = F.ceil(F.lit(test) * total).cast("bigint")
+    shares = classes.select("_c", (wanted * F.col("n")).alias("p"), total.alias("t"), wanted.alias("w")) \
+        .select("_c", F.floor(F.col("p") / F.col("t")).alias("f"), (F.col("p") % F.col("t")).alias("rest"), "w")
+    left = F.col("w") - F.sum("f").over(every)
+    place = F.row_number().over(Window.partitionBy().orderBy(F.desc("rest"), F.col("_c").asc_nulls_last()))
+    cuts = shares.select("_c", (F.col("f") + F.when(place <= left, 1).otherwise(0)).alias("need")).where("need > 0") \
+        .withColumn("prefix", F.lit(0).cast("bigint"))
+    bits = 32
+    for step in RANK_STEPS:
+        bits -= step
+        part = F.shiftright(F.col("_r"), bits)
+        inside = rows.select(lab.alias("_k"), part.alias("_p")).join(
+            cuts, F.col("_k").eqNullSafe(F.col("_c")) & (F.shiftright(F.col("_p"), step) == F.col("prefix")))
+        counts = inside.groupBy("_c", "need", "_p").agg(F.count(F.lit(1)).alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("_c").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        cuts = counts.withColumn("before", before).where((F.col("before") < F.col("need")) & (F.col("before") + F.col("n") >= F.col("need"))) \
+            .select("_c", (F.col("need") - F.col("before")).alias("need"), F.col("_p").alias("prefix"))
+    cut = rows.join(cuts, lab.eqNullSafe(F.col("_c")), "left")
+    at = F.col("prefix").isNotNull() & (F.col("_r") == F.col("prefix"))
+    tied = cut.where(at).withColumn("_n", F.row_number().over(Window.partitionBy("_c").orderBy(q(key)))) \
+        .withColumn("split", F.when(F.col("_n") <= F.col("need"), "test").otherwise("train"))
+    clear = cut.where(~at).withColumn("split", F.when(F.col("_r") < F.col("prefix"), "test").otherwise("train"))
+    columns = [q(c) for c in df.columns if c != "split"] + [F.col("split")]
+    return clear.select(*columns).unionByName(tied.select(*columns))
+
+
 def _fit_stats(df: DataFrame, cols: list[str], kinds: list[str]) -> dict:
     train = df.where(F.col("split") == "train")
     aggs = {}
@@ -83,6 +132,7 @@ def _fit_stats(df: DataFrame, cols: list[str], kinds: list[str]) -> dict:
     return {f"{k}{i}": v for i, c in enumerate(cols) for k, v in st[c].items()}
 
 
+@nan_as_missing
 def scale(df: DataFrame, cols: list[str] | None = None, method: str = "standard") -> DataFrame:
     """Fit on the ``split = 'train'`` rows, apply to every row.
 
@@ -121,13 +171,14 @@ def class_balance(train: DataFrame, label: str) -> DataFrame:
 SMOTE_CHUNK = 100_000
 
 
+@nan_as_missing
 def smote(train: DataFrame, label: str, features: list[str], k: int = 5, seed: int = DEFAULT_SEED,
           buckets: int | None = None) -> DataFrame:
     """Synthetic rows until every class has the majority count (exact).
 
     Rows of the minority classes are ordered along a seeded random
-    projection of the features and cut into range buckets (cut points from
-    ``percentile_approx``), so no class is gathered into one task however
+    projection of the features (ties by a hash of the row) and cut into
+    range buckets, so neither a class nor a repeated row is gathered into one task however
     large it is.  A row's partners are the ``k`` rows before and after it in
     that order inside its bucket (window functions, no pair join).  Each row
     of a class with n rows and deficit d seeds d // n synthetic rows, plus
@@ -136,39 +187,32 @@ def smote(train: DataFrame, label: str, features: list[str], k: int = 5, seed: i
     A synthetic row is x + u * (partner - x) with u and the partner chosen
     by hash; a row without partners (a class of one) is replicated.
     Returns (features..., label, synthetic)."""
-    from tabsense.functions.ordered_fill import _bucket_column
-    quotas = {r["class"]: r["count_before"] for r in class_balance(train, label).collect() if r["class"] is not None}
+    from tabsense.functions.ordered_fill import order_buckets
     base_cols = [q(f).cast("double").alias(f) for f in features] + [q(label).alias(label)]
     out = train.select(*base_cols, F.lit(False).alias("synthetic"))
-    if not quotas:
-        return out
-    top = max(quotas.values())
-    minority = {c: n for c, n in quotas.items() if n < top}
-    if not minority:
-        return out
-    rng = __import__("random").Random(seed)
+    # one row per class, joined by value: nothing of it reaches the driver
+    lacking = class_balance(train, label).where(F.col("class").isNotNull() & (F.col("count_before") < F.col("count_after"))) \
+        .select(F.col("class").alias("_c"), (F.col("count_after") - F.col("count_before")).alias("_deficit"), F.col("count_before").alias("_members"))
+    rng = random.Random(seed)
     proj = sum((F.coalesce(q(f).cast("double"), F.lit(0.0)) * F.lit(rng.uniform(-1, 1)) for f in features),
                F.lit(0.0))
-    m = train.where(q(label).isin(list(minority))).select(*base_cols) \
-        .withColumn("_proj", proj).withColumn("_id", F.xxhash64(*[q(f) for f in features], q(label), F.lit(seed)))
-    b = _bucket_column(m, "_proj", buckets)
+    m = train.select(*base_cols).withColumn("_proj", proj) \
+        .withColumn("_id", F.xxhash64(*[q(f) for f in features], q(label), F.lit(seed))) \
+        .join(lacking, q(label) == F.col("_c")).drop("_c")
+    b = order_buckets(m, ["_proj"], buckets)
     lab = q(label)
     per = b.groupBy(lab.alias("_c"), "_b").agg(F.count(F.lit(1)).alias("_n"))
     w_cum = Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select("_c", "_b", F.coalesce(F.sum("_n").over(w_cum), F.lit(0)).alias("_off"))
-    w_in = Window.partitionBy(lab, "_b").orderBy("_proj", "_id")
-    ranked = b.join(F.broadcast(offsets), (lab == F.col("_c")) & (b["_b"] == offsets["_b"])) \
-        .drop(offsets["_b"]).withColumn("_rank", F.col("_off") + F.row_number().over(w_in) - 1)
+    offsets = per.select("_c", F.col("_b").alias("_ob"), F.coalesce(F.sum("_n").over(w_cum), F.lit(0)).alias("_off"))
+    w_in = Window.partitionBy(lab, "_b").orderBy("_proj", "_tie", "_id")
+    ranked = b.join(offsets, (lab == F.col("_c")) & (F.col("_b") == F.col("_ob"))) \
+        .withColumn("_rank", F.col("_off") + F.row_number().over(w_in) - 1)
     partners = []
     for d in list(range(1, k + 1)) + list(range(-k, 0)):
-        first = F.lag(q(features[0]), d).over(w_in)
         partners.append(F.when(F.lag(F.col("_id"), d).over(w_in).isNotNull(),
                                F.struct(*[F.lag(q(f), d).over(w_in).alias(f) for f in features])))
     ranked = ranked.withColumn("_nb", F.array_compact(F.array(*partners)))
-    deficit = {c: top - n for c, n in minority.items()}
-    per_row = F.create_map(*[x for c in minority for x in (F.lit(c), F.lit(deficit[c] // minority[c]))])
-    rem = F.create_map(*[x for c in minority for x in (F.lit(c), F.lit(deficit[c] % minority[c]))])
-    copies = per_row[lab] + F.when(F.col("_rank") < rem[lab], 1).otherwise(0)
+    copies = F.floor(F.col("_deficit") / F.col("_members")) + F.when(F.col("_rank") < F.col("_deficit") % F.col("_members"), 1).otherwise(0)
     # a seed row may owe millions of copies (a class of one next to a class
     # holding a third of the rows): cut its copies into chunks, spread the
     # chunk rows over the cluster (an explicit partition count, which AQE

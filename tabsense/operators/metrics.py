@@ -67,14 +67,21 @@ def regression_metrics(pred: DataFrame, label: str = "label", prediction: str =
     return agg.select(*by, r2.alias("r2"), "mae", "mse", F.sqrt("mse").alias("rmse"), "n")
 
 
+MAX_CLASSES = 2_000   # a grid of more is no confusion matrix: the label is not categorical
+NO_CLASS = "Missing"
+
+
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """(actual, predicted, count) over the full grid of classes seen
-    in either column (sorted), zeros included.  The grid is built from the
-    class list (bounded by the number of classes) with two ``explode``s."""
-    cm = pred.groupBy(q(label).cast("string").alias("actual"), q(prediction).cast("string").alias("predicted")) \
-        .agg(F.count(F.lit(1)).alias("count"))
-    classes = cm.select(F.col("actual").alias("c")).union(cm.select(F.col("predicted").alias("c"))) \
-        .agg(F.sort_array(F.collect_set("c")).alias("cs"))
+    in either column (sorted), zeros included; a NULL is the class ``Missing``,
+    so the cells sum to the rows.  The grid is built from the class list (an
+    error beyond ``MAX_CLASSES``) with two ``explode``s."""
+    text = lambda c: F.coalesce(q(c).cast("string"), F.lit(NO_CLASS))
+    cm = pred.groupBy(text(label).alias("actual"), text(prediction).alias("predicted")).agg(F.count(F.lit(1)).alias("count"))
+    classes = cm.select(F.explode(F.array("actual", "predicted")).alias("c")).distinct().limit(MAX_CLASSES + 1) \
+        .agg(F.sort_array(F.collect_list("c")).alias("cs"))
+    classes = classes.select(F.when(F.size("cs") > MAX_CLASSES, F.raise_error(F.lit(f"more than {MAX_CLASSES} classes: the label is not categorical")))
+                             .otherwise(F.col("cs")).alias("cs"))
     grid = classes.select(F.explode("cs").alias("actual"), "cs") \
         .select("actual", F.explode("cs").alias("predicted"))
     return grid.join(cm, ["actual", "predicted"], "left") \
@@ -98,11 +105,14 @@ def prediction_sample(pred: DataFrame, key: list[str], n: int = 100,
 CLASSIFICATION_SERIES = [("accuracy", "Accuracy"), ("precision", "Precision"), ("recall", "Recall"),
                          ("f1", "F1-Score")]
 REGRESSION_SERIES = [("r2", "R2 Score"), ("mae", "MAE"), ("rmse", "RMSE")]
+# every scalar metric of the comparison table
+CLASSIFICATION_SCALARS = ["accuracy", "precision", "recall", "f1", "cv_mean", "cv_std"]
+REGRESSION_SCALARS = ["r2", "mae", "mse", "rmse", "cv_mean", "cv_std"]
 
 
 def model_comparison(metrics: DataFrame, task: str, by: list[str] | None = None, long: bool = True) -> DataFrame:
-    """L4 (long: model, metric, value) and J8 (wide, 4 dp, CV score only where
-    the CV mean is non-zero)."""
+    """L4 (long: model, metric, value) and J8 (wide: every scalar metric, 4 dp,
+    and the CV score, given only where the CV mean is non-zero)."""
     by = _by(by)
     series = CLASSIFICATION_SERIES if task == "classification" else REGRESSION_SERIES
     if long:
@@ -111,7 +121,8 @@ def model_comparison(metrics: DataFrame, task: str, by: list[str] | None = None,
         return metrics.select(*by, "model", "position", F.explode(arr).alias("s")).select(
             *by, "model", "position", "s.metric", "s.value")
     cv = F.when(F.col("cv_mean").isNotNull() & (F.col("cv_mean") != 0), F.bround("cv_mean", 4))
-    return metrics.select(*by, "model", "position", *[F.bround(c, 4).alias(c) for c, _ in series],
+    scalars = CLASSIFICATION_SCALARS if task == "classification" else REGRESSION_SCALARS
+    return metrics.select(*by, "model", "position", *[F.bround(c, 4).alias(c) for c in scalars],
                           cv.alias("cv_score"))
 
 
@@ -135,6 +146,16 @@ TXT_CV = ["Highly stable across {k}-fold CV (std = {v})", "Moderately stable acr
 TXT_SMALL = "Small dataset detected - consider simpler models or data augmentation"
 TXT_LARGE = "Large dataset - gradient boosting or deep learning could improve results"
 TXT_ALT = "{m} (within {v}% of best)"
+# next steps: classification below 0.8, regression below 0.85, either from 0.85 on
+NEXT_CLASSIFICATION = ["Feature Engineering: Create interaction features or polynomial features",
+                       "Hyperparameter Tuning: Use GridSearchCV or Optuna for optimization",
+                       "Ensemble Methods: Try stacking or voting classifiers"]
+NEXT_REGRESSION = ["Outlier Investigation: Review extreme values affecting predictions",
+                   "Additional Features: Consider external data sources",
+                   "Model Complexity: Try XGBoost or LightGBM with tuning"]
+NEXT_GOOD = ["Model Deployment: Ready for production deployment",
+             "Model Documentation: Document feature requirements and preprocessing",
+             "Monitoring Setup: Implement drift detection for production"]
 # ---------------------------------------------------------------------------
 
 
@@ -157,11 +178,12 @@ def _tpl(template: str, **parts: Column) -> Column:
     return F.concat(*pieces)
 
 
-def recommend(metrics: DataFrame, task: str, n_rows: int, folds: int = 5,
+def recommend(metrics: DataFrame, task: str, n_rows: int | None = None, folds: int = 5,
               by: list[str] | None = None) -> DataFrame:
     """One row per segment with the best model (score must exceed -1;
-    first on ties), its score, the reasoning lines and up to three
-    alternatives, joined with `` | `` and ``; ``."""
+    first on ties), its score, the reasoning lines, up to three alternatives
+    and the next steps, joined with `` | `` and ``; ``.  The number of rows is
+    the metrics' own ``n`` unless given."""
     by = _by(by)
     score = "accuracy" if task == "classification" else "r2"
     primary = "Accuracy" if task == "classification" else "R2 Score"
@@ -194,9 +216,13 @@ def recommend(metrics: DataFrame, task: str, n_rows: int, folds: int = 5,
     truthy = cm.isNotNull() & (cm != 0) & cs.isNotNull() & (cs != 0)
     cvn = F.when(truthy & (cs < 0.05), _tpl(TXT_CV[0], k=F.lit(str(folds)), v=_fmt(cs, 4))) \
         .when(truthy & (cs < 0.1), _tpl(TXT_CV[1], v=_fmt(cs, 4))).when(truthy, F.lit(TXT_CV[2]))
-    size = F.lit(TXT_SMALL) if n_rows < 1000 else (F.lit(TXT_LARGE) if n_rows > 100000 else F.lit(None))
+    rows = F.col("n") if n_rows is None else F.lit(n_rows)
+    size = F.when(rows < 1000, TXT_SMALL).when(rows > 100000, TXT_LARGE)
+    bs = F.col("best_score")
+    low, weak = (0.8, NEXT_CLASSIFICATION) if task == "classification" else (0.85, NEXT_REGRESSION)
+    steps = F.when(bs < low, " | ".join(weak)).when(bs >= 0.85, " | ".join(NEXT_GOOD)).otherwise("")
     lines += [cvn, size.cast("string")]
-    best = best_rows.select(*by, "best_model", "best_score", F.concat_ws(" | ", *lines).alias("reasoning"))
+    best = best_rows.select(*by, "best_model", "best_score", F.concat_ws(" | ", *lines).alias("reasoning"), steps.alias("next_steps"))
     # alternatives: other models with a numeric score within 5 points of the best
     others = ann.where(F.col(score).isNotNull() & (F.col("position") != F.col("_bp")))
     diff = (F.col("best_score") - F.col(score)) * 100
@@ -209,9 +235,9 @@ def recommend(metrics: DataFrame, task: str, n_rows: int, folds: int = 5,
         alts.select(F.lit(None).cast("string").alias("best_model"), "_a"), allowMissingColumns=True)
     if not by:
         out = out.agg(F.max("best_model").alias("best_model"), F.max("best_score").alias("best_score"),
-                      F.max("reasoning").alias("reasoning"), F.max("_a").alias("_a")) \
+                      F.max("reasoning").alias("reasoning"), F.max("next_steps").alias("next_steps"), F.max("_a").alias("_a")) \
             .where(F.col("best_model").isNotNull())
     return out.select(*by, "best_model", F.bround("best_score", 4).alias("best_score"),
                       F.lit(primary).alias("primary_metric"), "reasoning",
                       F.coalesce(F.array_join(F.transform("_a", lambda s: s["t"]), "; "), F.lit(""))
-                      .alias("alternatives"))
+                      .alias("alternatives"), "next_steps")

@@ -2,8 +2,9 @@
 
 The run mirrors the reference's sequence: rows with a known target ->
 categorical features filled with ``Missing`` and label-encoded -> text
-target encoded (classification) -> hash split -> scaler fitted on the
-training rows -> optional class rebalancing -> each selected estimator is
+target encoded (classification) -> split (exact and stratified for
+classification) -> scaler fitted on the training rows -> optional class
+rebalancing -> each selected estimator is
 fitted, evaluated on the test rows and cross-validated on the training
 rows with min(folds, 3) folds.  Every step is a distributed Spark job; the
 estimators are Spark's own.
@@ -11,13 +12,13 @@ estimators are Spark's own.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        OneVsRest, RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import MinMaxScaler, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -25,54 +26,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsense.functions.columns import q
+from tabsense.functions.columns import normalize_nan, q
 from tabsense.operators import metrics as M
 from tabsense.operators.chartdata import md5_rank
 from tabsense.operators.cleaning import MISSING_LABEL
-from tabsense.operators.features import DEFAULT_SEED, DEFAULT_TEST_SHARE, HASH_SPACE
+from tabsense.operators.features import (DEFAULT_SEED, DEFAULT_TEST_SHARE, detect_task, scale, smote,
+                                         stratified_split, train_test_split)
+from tabsense.session import materialize
 
 CLASSIFIERS = ("Random Forest", "Gradient Boosting", "Logistic Regression", "Decision Tree")
 REGRESSORS = ("Random Forest", "Gradient Boosting", "Linear Regression", "Ridge Regression")
 UNAVAILABLE = ("XGBoost", "LightGBM")
 MAX_CV_FOLDS = 3            # fixed value: folds actually run = min(chosen, 3)
-DEEP_TREE_ROWS = 5_000      # below this, trees grow to depth 30 (close to unlimited)
 RIDGE_ALPHA = 1.0
-TREES = 100
 
 
-def _depth(n_train: int) -> int:
-    return 30 if n_train < DEEP_TREE_ROWS else 10
+@dataclass(frozen=True)
+class ModelOptions:
+    """Sizes of the models, the same at every number of rows.
+
+    max_depth: of a forest's or single tree's nodes (Spark allows 30);
+    trees, rounds: of a forest and of boosting; max_bins: split candidates
+    per feature, raised where an encoded feature has more values."""
+    max_depth: int = 10
+    trees: int = 100
+    rounds: int = 100
+    max_bins: int = 32
 
 
 def make_estimator(name: str, task: str, n_train: int, n_classes: int = 2, seed: int = DEFAULT_SEED,
-                   label_std: float = 1.0):
+                   label_std: float = 1.0, options: ModelOptions = ModelOptions()):
     """Spark estimator for one of the reference's model names."""
     if name in UNAVAILABLE:
         raise ValueError(f"{name} is not available in this build (no external boosting library)")
-    d = _depth(n_train)
+    tree = dict(maxDepth=options.max_depth, maxBins=options.max_bins, seed=seed)
+    forest = dict(numTrees=options.trees, **tree)
+    boosted = dict(maxIter=options.rounds, maxDepth=3, stepSize=0.1, maxBins=options.max_bins, seed=seed)
     if task == "classification":
         if name == "Random Forest":
-            return RandomForestClassifier(numTrees=TREES, maxDepth=d, seed=seed)
+            return RandomForestClassifier(**forest)
         if name == "Gradient Boosting":
-            gbt = GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed)
+            gbt = GBTClassifier(**boosted)
             return gbt if n_classes <= 2 else OneVsRest(classifier=gbt)
         if name == "Logistic Regression":
             return LogisticRegression(maxIter=1000, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
                                       standardization=False)
         if name == "Decision Tree":
-            return DecisionTreeClassifier(maxDepth=d, seed=seed)
+            return DecisionTreeClassifier(**tree)
     else:
         if name == "Random Forest":
-            return RandomForestRegressor(numTrees=TREES, maxDepth=d, seed=seed)
+            return RandomForestRegressor(**forest)
         if name == "Gradient Boosting":
-            return GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed)
+            return GBTRegressor(**boosted)
         if name == "Linear Regression":
             return LinearRegression(regParam=0.0, solver="normal")
         if name == "Ridge Regression":
             return LinearRegression(regParam=RIDGE_ALPHA * label_std / max(n_train, 1), elasticNetParam=0.0,
                                     standardization=False, solver="normal")
         if name == "Decision Tree":
-            return DecisionTreeRegressor(maxDepth=d, seed=seed)
+            return DecisionTreeRegressor(**tree)
     raise ValueError(f"unknown model {name!r} for {task}")
 
 
@@ -88,16 +100,20 @@ class TrainingRun:
 
 def prepare(df: DataFrame, target: str, features: list[str], task: str, key: str | None,
             test: float, seed: int, scaling: str, missing: str):
-    """Encode, split and scale; returns (train, test, feature names, classes)."""
+    """Encode, split and scale; returns (train, test with columns ``_key, label, inputs...``, inputs, classes, bins)."""
+    df = normalize_nan(df)
     data = df.where(q(target).isNotNull()).select(*[q(c) for c in features], q(target).alias("_target"),
                                                   (q(key) if key else F.xxhash64(*[q(c) for c in df.columns]))
                                                   .alias("_key"))
     cats = [c for c in features if isinstance(df.schema[c].dataType, T.StringType)]
     nums = [c for c in features if c not in cats]
+    bins = 0
     if cats:
         data = data.na.fill(MISSING_LABEL, subset=cats)
-        idx = StringIndexer(inputCols=cats, outputCols=[f"{c}__idx" for c in cats], stringOrderType="alphabetAsc")
-        data = idx.fit(data).transform(data)
+        idx = StringIndexer(inputCols=cats, outputCols=[f"{c}__idx" for c in cats], stringOrderType="alphabetAsc").fit(data)
+        bins = max(len(x) for x in idx.labelsArray)
+        # codes are numbers, as the reference's encoder gives them: without the nominal attribute, scaled or not
+        data = idx.transform(data).withColumns({f"{c}__idx": F.col(f"`{c}__idx`").alias("x", metadata={}) for c in cats})
     classes = None
     if task == "classification" and isinstance(df.schema[target].dataType, T.StringType):
         ti = StringIndexer(inputCol="_target", outputCol="label", stringOrderType="alphabetAsc").fit(data)
@@ -111,66 +127,69 @@ def prepare(df: DataFrame, target: str, features: list[str], task: str, key: str
         from tabsense.operators.cleaning import impute_numeric
         data = impute_numeric(data, "median", cols=nums)
     inputs = nums + [f"{c}__idx" for c in cats]
-    data = data.withColumn("split", F.when(md5_rank("_key", seed) < F.lit(int(test * HASH_SPACE)), "test")
-                           .otherwise("train"))
-    data = VectorAssembler(inputCols=inputs, outputCol="_raw", handleInvalid="error").transform(data)
-    train, test_df = data.where("split = 'train'"), data.where("split = 'test'")
+    data = data.select("_key", "label", *[q(c).cast("double").alias(c) for c in inputs])
+    data = materialize(stratified_split(data, "_key", "label", test, seed) if task == "classification"
+                       else train_test_split(data, "_key", test, seed))
     if scaling in ("standard", "minmax") and inputs:
-        sc = (StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)
-              if scaling == "standard" else MinMaxScaler(inputCol="_raw", outputCol="features"))
-        fitted = sc.fit(train)
-        train, test_df = fitted.transform(train), fitted.transform(test_df)
-    else:
-        train = train.withColumnRenamed("_raw", "features")
-        test_df = test_df.withColumnRenamed("_raw", "features")
-    return train, test_df, inputs, classes
+        data = scale(data, inputs, scaling)
+    return data.where("split = 'train'").drop("split"), data.where("split = 'test'").drop("split"), inputs, classes, bins
 
 
 def train_models(df: DataFrame, target: str, features: list[str] | None = None, task: str | None = None,
                  names: list[str] | None = None, key: str | None = None, test: float = DEFAULT_TEST_SHARE,
                  seed: int = DEFAULT_SEED, scaling: str = "standard", cv_folds: int = 5,
-                 missing: str = "error") -> TrainingRun:
+                 missing: str = "error", balance: bool = False,
+                 options: ModelOptions = ModelOptions()) -> TrainingRun:
     """Fit each selected model; metrics on the test rows, CV on
-    the training rows (folds from the key hash)."""
-    from tabsense.operators.features import detect_task
+    the training rows (folds from the key hash).  ``balance`` first brings
+    every class of a classification up to the largest by SMOTE (I7)."""
     features = features if features is not None else [c for c in df.columns if c != target]
     task = task or detect_task(df, target).first()["task"]
     names = names or ["Random Forest"]
-    train, test_df, inputs, classes = prepare(df, target, features, task, key, test, seed, scaling, missing)
-    train = train.withColumn("fold", (md5_rank("_key", seed + 1) % min(cv_folds, MAX_CV_FOLDS)).cast("int"))
-    train = train.select("features", "label", "fold").cache()
+    train, test_df, inputs, classes, bins = prepare(df, target, features, task, key, test, seed, scaling, missing)
+    options = replace(options, max_bins=max(options.max_bins, bins))
+    if balance and task == "classification":
+        train = smote(train, "label", inputs, seed=seed).withColumn("_key", F.xxhash64("label", *[q(c) for c in inputs]))
+    assemble = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error")
+    folds = min(cv_folds, MAX_CV_FOLDS)
+    train = assemble.transform(train).withColumn("fold", (md5_rank("_key", seed + 1) % folds).cast("int"))
+    train = materialize(train.select("features", "label", "fold"))
+    test_df = assemble.transform(test_df)
     stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("sd"),
-                      F.countDistinct("label").alias("k")).first()
+                      F.countDistinct("label").alias("k"), F.countDistinct("fold").alias("folds")).first()
     n_train, label_sd, n_classes = stats["n"], stats["sd"] or 1.0, stats["k"]
     evaluator = (MulticlassClassificationEvaluator(metricName="accuracy") if task == "classification"
                  else RegressionEvaluator(metricName="r2"))
     preds, cv_rows, models = [], [], {}
     for pos, name in enumerate(names):
-        est = make_estimator(name, task, n_train, n_classes, seed, label_sd)
+        est = make_estimator(name, task, n_train, n_classes, seed, label_sd, options)
         model = Pipeline(stages=[est]).fit(train)
         models[name] = model
         p = model.transform(test_df).select(F.lit(name).alias("model"), F.lit(pos).alias("position"),
                                             "_key", "label", "prediction")
         preds.append(p)
-        try:
-            cv = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(),
-                                evaluator=evaluator, foldCol="fold", seed=seed).fit(train)
-            cv_rows.append((name, pos, float(cv.avgMetrics[0]), float(cv.stdMetrics[0])))
-        except Exception:  # the reference records a failed CV as missing
+        if stats["folds"] < folds or folds < 2:  # too few rows for every fold: recorded as missing
             cv_rows.append((name, pos, None, None))
+            continue
+        cv = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(),
+                            evaluator=evaluator, foldCol="fold", numFolds=folds, seed=seed).fit(train)
+        cv_rows.append((name, pos, float(cv.avgMetrics[0]), float(cv.stdMetrics[0])))
     all_preds = preds[0]
     for p in preds[1:]:
         all_preds = all_preds.unionByName(p)
+    all_preds = materialize(all_preds)
     met = (M.classification_metrics(all_preds, by=["model", "position"]) if task == "classification"
            else M.regression_metrics(all_preds, by=["model", "position"]))
     cvdf = df.sparkSession.createDataFrame(cv_rows, "model string, position int, cv_mean double, cv_std double")
-    train.unpersist()
+    if classes is not None:  # back to the text of the target
+        text = F.array(*[F.lit(c) for c in classes])
+        all_preds = all_preds.withColumns({f"{c}_text": F.element_at(text, (F.col(c) + 1).cast("int")) for c in ("label", "prediction")})
     return TrainingRun(metrics=met.join(cvdf, ["model", "position"]), predictions=all_preds, models=models,
                        features=inputs, task=task, label_classes=classes)
 
 
-def feature_importance(run: TrainingRun, model_name: str) -> DataFrame:
-    """(feature, importance) of a tree model, descending; multi-class
+def feature_importance(run: TrainingRun, model_name: str, k: int | None = None) -> DataFrame:
+    """(feature, importance) of a tree model, descending, the first ``k`` if given; multi-class
     boosting (one-vs-rest) averages its binary models' importances."""
     spark = run.metrics.sparkSession
     stage = run.models[model_name].stages[-1]
@@ -182,4 +201,5 @@ def feature_importance(run: TrainingRun, model_name: str) -> DataFrame:
     else:
         return spark.createDataFrame([], "feature string, importance double")
     rows = [(f, float(v)) for f, v in zip(run.features, imp)]
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"))
+    out = spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    return out if k is None else out.limit(k)

@@ -7,19 +7,21 @@ driver.  Output is (line_no, line), ready for ``sources.sinks.write_report``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsense.functions.columns import categorical_columns, numeric_columns
+from tabsense.functions.columns import nan_as_missing, categorical_columns, numeric_columns
 from tabsense.functions.frequencies import top_k, value_counts
 from tabsense.functions.stats import null_count
-from tabsense.operators.profile import _numeric_moments, correlation_pairs
+from tabsense.operators.profile import correlation_pairs, describe_numeric, profile_numeric
+from tabsense.operators.quality import null_counts_long
 
 SUMMARY_CATEGORICAL = 5    # fixed values: columns and values listed, correlation pairs
 SUMMARY_TOP_VALUES = 5
 SUMMARY_PAIRS = 5
 
 
+@nan_as_missing
 def summary_lines(df: DataFrame) -> DataFrame:
     """M1 (dataset part): shape, column classes, missing cells, the top values
     of the first text columns and the strongest correlation pairs (3 dp)."""
@@ -52,7 +54,6 @@ def summary_lines(df: DataFrame) -> DataFrame:
     if len(nums) >= 2:
         pairs = correlation_pairs(df, nums, digits=3).where(F.col("correlation").isNotNull())
         top = pairs.orderBy(F.abs("correlation").desc(), "i", "j").limit(SUMMARY_PAIRS)
-        from pyspark.sql import Window
         w = Window.orderBy(F.abs("correlation").desc(), "i", "j")  # at most 5 rows
         parts.append(top.select((F.lit(200) + F.row_number().over(w)).cast("int").alias("line_no"),
                                 F.concat(F.lit("  "), "variable_1", F.lit(" <-> "), "variable_2", F.lit(": "),
@@ -63,22 +64,114 @@ def summary_lines(df: DataFrame) -> DataFrame:
     return out
 
 
+COMPARED = ("mean", "median", "std", "min", "max", "q1", "q3", "skewness", "kurtosis")
+
+
 def compare_profiles(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Numeric profiles of two tables side by side (full outer join on the
-    column name; one row per column, bounded) with the differences b - a."""
+    """The missing-value report (H4) and numeric profile (H2) of every
+    column of two tables side by side (full outer join on the column name; one
+    row per column, bounded) with the differences b - a.  Statistics of text
+    and empty columns are NULL."""
     def prof(df, s):
-        cols = numeric_columns(df)
-        m = _numeric_moments(df, cols, 4) if cols else None
-        return m.select("column_name", F.col("count").alias(f"count_{s}"), F.col("mean").alias(f"mean_{s}"),
-                        F.col("std").alias(f"std_{s}"), F.col("missing_pct").alias(f"missing_pct_{s}"))
-    pa, pb = prof(a, "a"), prof(b, "b")
-    j = pa.join(pb, "column_name", "full_outer")
+        miss = null_counts_long(df).select(
+            "column_name", (F.col("total_rows") - F.col("missing_count")).alias(f"count_{s}"),
+            F.bround(F.when(F.col("total_rows") > 0, F.col("missing_count") / F.col("total_rows") * 100).otherwise(0.0), 2).alias(f"missing_pct_{s}"))
+        stats = profile_numeric(df).select("column_name", *[F.col(c).alias(f"{c}_{s}") for c in COMPARED])
+        return miss.join(stats, "column_name", "left")
+    j = prof(a, "a").join(prof(b, "b"), "column_name", "full_outer")
     return j.select("column_name", F.col("count_a").isNotNull().alias("in_a"), F.col("count_b").isNotNull().alias("in_b"),
-                    "count_a", "count_b", "mean_a", "mean_b",
-                    F.bround(F.col("mean_b") - F.col("mean_a"), 4).alias("mean_diff"),
-                    "std_a", "std_b", "missing_pct_a", "missing_pct_b",
-                    F.bround(F.col("missing_pct_b") - F.col("missing_pct_a"), 2).alias("missing_pct_diff"))
+                    "count_a", "count_b", "missing_pct_a", "missing_pct_b",
+                    F.bround(F.col("missing_pct_b") - F.col("missing_pct_a"), 2).alias("missing_pct_diff"),
+                    *[f"{c}_{s}" for c in COMPARED for s in "ab"],
+                    F.bround(F.col("mean_b") - F.col("mean_a"), 4).alias("mean_diff"))
+
+
+# Summary headings and templates of the numeric, quality, cleaning and model blocks.
+DESCRIBED = [("count", "count"), ("mean", "mean"), ("std", "std"), ("min", "min"), ("p25", "25%"), ("p50", "50%"), ("p75", "75%"), ("max", "max")]
+SUMMARY_IMPORTANCES, SUMMARY_FEATURES, REPORT_IMPORTANCES = 5, 10, 10
+CLASSIFICATION_LINES = [("accuracy", "Accuracy"), ("precision", "Precision"), ("recall", "Recall"), ("f1", "F1-Score")]
+REGRESSION_LINES = [("r2", "R2 Score"), ("mae", "MAE"), ("mse", "MSE"), ("rmse", "RMSE")]
+
+
+def describe_lines(df: DataFrame) -> DataFrame:
+    """The ``describe`` block as (line_no, line), one line per numeric column, 3 dp."""
+    nums = numeric_columns(df)
+    head = df.sparkSession.createDataFrame([(0, "=== Numeric Summary ===")], "line_no int, line string")
+    if not nums:
+        return head.where("false")
+    order = F.create_map(*[x for i, c in enumerate(nums) for x in (F.lit(c), F.lit(i + 1))])
+    cells = [F.concat(F.lit(label + "="), F.when(F.col(c).isNull(), "NaN").otherwise(F.format_string("%.3f", F.col(c)))) for c, label in DESCRIBED]
+    return head.unionByName(describe_numeric(df, 3).select(
+        order[F.col("column_name")].cast("int").alias("line_no"), F.concat(F.col("column_name"), F.lit(": "), F.concat_ws(", ", *cells)).alias("line")))
+
+
+def _scalars(task: str) -> list[tuple[str, str]]:
+    return (CLASSIFICATION_LINES if task == "classification" else REGRESSION_LINES) + [("cv_mean", "cv_mean"), ("cv_std", "cv_std")]
+
+
+def _top_importances(importances: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` (rank, feature, importance); one row per feature, bounded."""
+    w = Window.orderBy(F.desc("importance"), "feature")
+    return importances.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
 
+def summary_blocks(scorecard: DataFrame | None = None, cleaning_summary: DataFrame | None = None, best: DataFrame | None = None,
+                   target: str = "", task: str = "classification", features: list[str] = (), importances: DataFrame | None = None) -> DataFrame:
+    """M1: the quality, cleaning and model blocks as (line_no, line), each
+    where its one-row frame is given: a scorecard (G1), a cleaning summary
+    (F2), the best model's metrics (J5) with its importances (J6)."""
+    parts, text = [], lambda c: F.col(c).cast("string")
+
+    def block(frame, start, items):
+        rows = F.array(*[F.struct(F.lit(start + k).alias("line_no"), c.alias("line")) for k, c in enumerate(items)])
+        parts.append(frame.select(F.explode(rows).alias("s")).select("s.*").where(F.col("line").isNotNull()))
+
+    if scorecard is not None:
+        block(scorecard, 300, [F.lit("=== Data Quality Assessment ==="), F.concat(F.lit("Overall Quality Score: "), text("score"), F.lit("/100")),
+                               F.concat(F.lit("Completeness: "), text("completeness"), F.lit("%")),
+                               F.concat(F.lit("Duplicate Rate: "), text("duplicate_rate"), F.lit("%")),
+                               F.concat(F.lit("Missing Cells: "), text("missing_cells"))])
+    if cleaning_summary is not None:
+        block(cleaning_summary, 400, [F.lit("=== Data Cleaning Summary ==="), F.concat(F.lit("Rows before cleaning: "), text("rows_before")),
+                                      F.concat(F.lit("Rows after cleaning: "), text("rows_after")),
+                                      F.concat(F.lit("Rows removed: "), text("rows_removed")),
+                                      F.when(F.col("steps") > 0, F.concat(F.lit("Cleaning operations: "), text("steps"), F.lit(" steps performed")))])
+    if best is not None:
+        more = len(features) - SUMMARY_FEATURES
+        block(best, 500, [F.lit("=== Machine Learning Modeling Summary ==="), F.lit(f"Target Column: {target}"),
+                          F.lit("Features Used: " + ", ".join(features[:SUMMARY_FEATURES])),
+                          F.lit(f"  ... and {more} more features" if more > 0 else None).cast("string"),
+                          F.lit("Task Type: " + task.capitalize()), F.concat(F.lit("Best Trained Model: "), F.col("model")),
+                          F.lit("Model Performance Metrics on Test Set:"),
+                          *[F.concat(F.lit(f"  {label}: "), F.format_string("%.4f", F.col(c))) for c, label in _scalars(task) if c != "cv_std"]])
+        if importances is not None:
+            top = _top_importances(importances, SUMMARY_IMPORTANCES)
+            block(best, 550, [F.lit("Top Feature Importances (Predictive Power):")])
+            parts.append(top.select((F.lit(550) + F.col("rank")).alias("line_no"),
+                                    F.concat(F.lit("  "), "feature", F.lit(": "), F.format_string("%.4f", F.col("importance"))).alias("line")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def model_section(best: DataFrame, target: str, task: str, importances: DataFrame | None = None, section: int = 4) -> DataFrame:
+    """M2: the report's model section as (section, line_no, line): the best model's scalar metrics and its first ten importances."""
+    L = F.lit
+    rows = _lines(best, section, [
+        (0, L(f"## {section}. Machine Learning Modeling")), (1, L("")), (2, L(f"**Target Variable:** `{target}`  ")),
+        (3, L(f"**Task Type:** `{task.capitalize()}`  ")), (4, F.concat(L("**Best Algorithm:** `"), F.col("model"), L("`"))), (5, L("")),
+        (6, L("| Metric | Value |")), (7, L("|--------|-------|")),
+        *[(8 + k, F.concat(L(f"| {label} | "), F.format_string("%.4f", F.col(c)), L(" |"))) for k, (c, label) in enumerate(_scalars(task))],
+        (20, L(""))]).where(F.col("line").isNotNull())
+    if importances is None:
+        return rows
+    head = _lines(best, section, [(21, L("### Feature Importances")), (22, L("")), (23, L("| Feature | Importance |")),
+                                  (24, L("|---------|------------|")), (40, L(""))])
+    top = _top_importances(importances, REPORT_IMPORTANCES).select(
+        L(section).alias("section"), (L(section * 100 + 24) + F.col("rank")).alias("line_no"),
+        F.concat(L("| "), "feature", L(" | "), F.format_string("%.4f", F.col("importance")), L(" |")).alias("line"))
+    return rows.unionByName(head).unionByName(top)
 
 
 # Markdown report wording (decoration dropped).
@@ -98,11 +191,15 @@ def _lines(frame: DataFrame, section: int, items: list) -> DataFrame:
         for k, c in items])).alias("s")).select("s.*")
 
 
+@nan_as_missing
 def report_frame(df: DataFrame, file_name: str, generated_at: str, scorecard: DataFrame | None = None,
-                 cleaning_summary: DataFrame | None = None, cleaning_log: DataFrame | None = None) -> DataFrame:
+                 cleaning_summary: DataFrame | None = None, cleaning_log: DataFrame | None = None,
+                 best: DataFrame | None = None, target: str = "", task: str = "classification",
+                 importances: DataFrame | None = None) -> DataFrame:
     """M2: Markdown report as (section, line_no, line): header, dataset
-    overview, quality assessment (if a scorecard is given) and cleaning
-    summary (if a cleaning summary is given), numbered by what is present."""
+    overview, quality assessment (if a scorecard is given), cleaning
+    summary (if one is given) and model section (if the best model's metrics
+    are given), numbered by what is present."""
     nums, cats = numeric_columns(df), categorical_columns(df)
     ncols = len(df.columns)
     base = df.agg(F.count(F.lit(1)).alias("rows"),
@@ -142,6 +239,8 @@ def report_frame(df: DataFrame, file_name: str, generated_at: str, scorecard: Da
                                        F.concat(L("- "), F.col("message")).alias("line"))
             parts += [head, body]
         section += 1
+    if best is not None:
+        parts.append(model_section(best, target, task, importances, section))
     parts.append(_lines(base, 9, [(0, L("---")), (1, L(REPORT_FOOTER.format(ts=generated_at)))]))
     out = parts[0]
     for p in parts[1:]:

@@ -404,3 +404,40 @@ def q_report_frame(spark, sf):
     d = dirty_orders(spark, sf)
     _, log, summary = clean(d, CLEAN_OPTS)
     return report_frame(d, "dirty_orders", _TS, quality_scorecard(d), summary, log)
+
+
+# --- NaN as missing; fills along a hot, partly missing text key -------------------
+
+from tabsense.operators.quality import missing_report  # noqa: E402
+from tabsense.sources.tables import HOT_EVENTS_SQL, NAN_EVENTS_SQL, hot_events, nan_events  # noqa: E402
+
+
+@register("missing_report_nan", sql_with("""
+SELECT 'value' AS column_name, count(*) - count(value) AS missing_count,
+  round_even((count(*) - count(value)) / count(*) * 100, 2) AS missing_pct FROM nan_events""", NAN_EVENTS_SQL))
+def q_missing_report_nan(spark, sf):
+    return missing_report(nan_events(spark, sf))
+
+
+@register("impute_mean_nan", sql_with("""
+SELECT event_id, round_even_sig(coalesce(value, (SELECT avg(value) FROM nan_events)), 6) AS value, event_type FROM nan_events""", NAN_EVENTS_SQL))
+def q_impute_mean_nan(spark, sf):
+    from tabsense.functions.stats import round_sig
+    return C.impute_numeric(nan_events(spark, sf), "mean", cols=["value"]).select("event_id", round_sig("value", 6).alias("value"), "event_type")
+
+
+_HOT_ORDER = "ORDER BY k ASC NULLS FIRST, event_id"
+
+
+@register("impute_ffill_hot_key", sql_with(f"""
+SELECT k, event_id, last_value(value IGNORE NULLS) OVER ({_HOT_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value
+FROM hot_events""", GAPPY_EVENTS_SQL, HOT_EVENTS_SQL))
+def q_impute_ffill_hot_key(spark, sf):
+    return C.impute_numeric(hot_events(spark, sf), "ffill", order_by=["k", "event_id"], cols=["value"])
+
+
+@register("impute_bfill_hot_key", sql_with(f"""
+SELECT k, event_id, first_value(value IGNORE NULLS) OVER ({_HOT_ORDER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS value
+FROM hot_events""", GAPPY_EVENTS_SQL, HOT_EVENTS_SQL))
+def q_impute_bfill_hot_key(spark, sf):
+    return C.impute_numeric(hot_events(spark, sf), "bfill", order_by=["k", "event_id"], cols=["value"])

@@ -223,7 +223,7 @@ def q_model_comparison(spark, sf):
 
 @register("comparison_table", sql_with("""
 SELECT model, position, round_even(accuracy, 4) AS accuracy, round_even(precision, 4) AS precision,
-  round_even(recall, 4) AS recall, round_even(f1, 4) AS f1,
+  round_even(recall, 4) AS recall, round_even(f1, 4) AS f1, round_even(cv_mean, 4) AS cv_mean, round_even(cv_std, 4) AS cv_std,
   CASE WHEN cv_mean IS NOT NULL AND cv_mean <> 0 THEN round_even(cv_mean, 4) END AS cv_score FROM mt""",
     *_cls_table_sql()))
 def q_comparison_table(spark, sf):
@@ -240,6 +240,20 @@ def _fmt(x, d):
     return f"printf('%.{d}f', round_even({x}, {d}))"
 
 
+def _next_sql(score, low, weak):
+    return (f"CASE WHEN {score} < {low} THEN '{' | '.join(weak)}' WHEN {score} >= 0.85 THEN '{' | '.join(M.NEXT_GOOD)}' ELSE '' END")
+
+
+@register("comparison_table_regression", sql_with(
+    "SELECT model, position, round_even(r2, 4) AS r2, round_even(mae, 4) AS mae, round_even(mse, 4) AS mse, round_even(rmse, 4) AS rmse, "
+    "round_even(cv_mean, 4) AS cv_mean, round_even(cv_std, 4) AS cv_std, "
+    "CASE WHEN cv_mean IS NOT NULL AND cv_mean <> 0 THEN round_even(cv_mean, 4) END AS cv_score FROM rt "
+    "WHERE model = 'Rounded price'", *_reg_table_sql()))
+def q_comparison_table_regression(spark, sf):
+    t = M.model_comparison(regression_table(spark, sf), "regression", long=False)
+    return t.where(F.col("model") == "Rounded price")  # the others' errors pass 12 significant digits
+
+
 def _recommend_cls_sql():
     size = ("CASE WHEN (SELECT count(*) FROM lineitem) < 1000 THEN 'Small dataset detected - consider simpler models or data augmentation' "
             "WHEN (SELECT count(*) FROM lineitem) > 100000 THEN 'Large dataset - gradient boosting or deep learning could improve results' END")
@@ -261,14 +275,14 @@ SELECT b.model AS best_model, round_even(b.accuracy, 4) AS best_score, 'Accuracy
   concat_ws(' | ', {perf}, {bal}, {f1}, {cv}, {size}) AS reasoning,
   coalesce((SELECT string_agg(model || ' (within ' || {_pct1('(b.accuracy - accuracy) * 100')} || '% of best)', '; ' ORDER BY position)
             FROM (SELECT * FROM mt o WHERE o.position <> b.position AND o.accuracy IS NOT NULL
-                  AND (b.accuracy - o.accuracy) * 100 < 5 ORDER BY o.position LIMIT 3)), '') AS alternatives
+                  AND (b.accuracy - o.accuracy) * 100 < 5 ORDER BY o.position LIMIT 3)), '') AS alternatives,
+  {_next_sql("b.accuracy", 0.8, M.NEXT_CLASSIFICATION)} AS next_steps
 FROM (SELECT * FROM mt WHERE accuracy > -1 ORDER BY accuracy DESC, position LIMIT 1) b""", *_cls_table_sql())
 
 
 @register("recommendation", _recommend_cls_sql())
 def q_recommendation(spark, sf):
-    n = table(spark, sf, "lineitem").count()
-    return M.recommend(classification_table(spark, sf), "classification", n_rows=n, folds=FOLDS)
+    return M.recommend(classification_table(spark, sf), "classification", folds=FOLDS)
 
 
 def _recommend_reg_sql():
@@ -288,14 +302,14 @@ SELECT b.model AS best_model, round_even(b.r2, 4) AS best_score, 'R2 Score' AS p
   concat_ws(' | ', {perf}, 'Prediction error: RMSE = ' || {_fmt('b.rmse', 4)}, {cv}, {size}) AS reasoning,
   coalesce((SELECT string_agg(model || ' (within ' || {_pct1('(b.r2 - r2) * 100')} || '% of best)', '; ' ORDER BY position)
             FROM (SELECT * FROM rt o WHERE o.position <> b.position AND o.r2 IS NOT NULL
-                  AND (b.r2 - o.r2) * 100 < 5 ORDER BY o.position LIMIT 3)), '') AS alternatives
+                  AND (b.r2 - o.r2) * 100 < 5 ORDER BY o.position LIMIT 3)), '') AS alternatives,
+  {_next_sql("b.r2", 0.85, M.NEXT_REGRESSION)} AS next_steps
 FROM (SELECT * FROM rt WHERE r2 > -1 ORDER BY r2 DESC, position LIMIT 1) b""", *_reg_table_sql())
 
 
 @register("recommendation_regression", _recommend_reg_sql())
 def q_recommendation_regression(spark, sf):
-    n = table(spark, sf, "lineitem").count()
-    return M.recommend(regression_table(spark, sf), "regression", n_rows=n, folds=FOLDS)
+    return M.recommend(regression_table(spark, sf), "regression", folds=FOLDS)
 
 
 # --- J7 ----------------------------------------------------------------------
@@ -356,6 +370,32 @@ def q_split_counts(spark, sf):
     return o.groupBy("o_orderstatus", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("stratified_split", f"""
+WITH r AS (SELECT o_orderkey, o_orderstatus,
+             CAST(('0x' || substr(md5(concat(CAST(o_orderkey AS VARCHAR), '42')), 1, 8)) AS BIGINT) AS r FROM orders),
+tot AS (SELECT count(*) AS t, CAST(ceil(0.2 * count(*)) AS BIGINT) AS w FROM orders),
+fl AS (SELECT o_orderstatus, w, (w * count(*)) // t AS f, (w * count(*)) % t AS rest FROM orders, tot GROUP BY o_orderstatus, t, w),
+quota AS (SELECT o_orderstatus, f + CASE WHEN row_number() OVER (ORDER BY rest DESC, o_orderstatus) <= w - sum(f) OVER () THEN 1 ELSE 0 END AS q FROM fl)
+SELECT o_orderkey, o_orderstatus,
+  CASE WHEN row_number() OVER (PARTITION BY o_orderstatus ORDER BY r, o_orderkey) <= q THEN 'test' ELSE 'train' END AS split
+FROM r JOIN quota USING (o_orderstatus)""")
+def q_stratified_split(spark, sf):
+    return FE.stratified_split(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus")
+
+
+@register("confusion_matrix_missing", f"""
+WITH p AS (SELECT coalesce(l_returnflag, 'Missing') AS actual, coalesce(CASE WHEN l_quantity IS NOT NULL THEN {_RULE_A} END, 'Missing') AS predicted
+           FROM dirty_lineitem),
+     cm AS (SELECT actual, predicted, count(*) AS n FROM p GROUP BY ALL),
+     cls AS (SELECT actual AS c FROM cm UNION SELECT predicted FROM cm)
+SELECT a.c AS actual, b.c AS predicted, CAST(coalesce(cm.n, 0) AS BIGINT) AS count
+FROM cls a, cls b LEFT JOIN cm ON cm.actual = a.c AND cm.predicted = b.c""".replace("WITH p AS", "WITH " + DIRTY_LINEITEM_SQL.strip() + ",\np AS"))
+def q_confusion_matrix_missing(spark, sf):
+    d = dirty_lineitem(spark, sf)
+    pred = F.when(F.col("l_quantity").isNotNull(), F.expr(_RULE_A))
+    return M.confusion_matrix(d.select(F.col("l_returnflag").alias("label"), pred.alias("prediction")))
+
+
 _SCALE_COLS = ["o_totalprice", "o_custkey"]
 
 
@@ -412,28 +452,73 @@ def _li_keyed(spark, sf):
     return li.withColumn("row_key", F.xxhash64(*li.columns))
 
 
-@register("train_classifier")
-def q_train_classifier(spark, sf):
-    # forests (100 trees) and boosting (one-vs-rest: 300 rounds) stay available
-    # through the API; the registered run keeps to the single-pass models
-    run = ML.train_models(_li_keyed(spark, sf), "l_returnflag", _CLS_FEATURES, "classification",
-                          ["Logistic Regression", "Decision Tree"], key="row_key")
+#: Sizes of the registered forests and boosted trees (documented parameters of the operator).
+_SMALL = ML.ModelOptions(max_depth=5, trees=10, rounds=5)
+
+
+def _classifier(spark, sf, names, **kw):
+    run = ML.train_models(_li_keyed(spark, sf), "l_returnflag", _CLS_FEATURES, "classification", names, key="row_key", options=_SMALL, **kw)
     return run.metrics.select("model", "position", *[F.bround(c, 4).alias(c) for c in
                                                      ("accuracy", "precision", "recall", "f1", "cv_mean", "cv_std")], "n")
 
 
-@register("train_regressor")
-def q_train_regressor(spark, sf):
-    run = ML.train_models(_li_keyed(spark, sf), "l_extendedprice", _REG_FEATURES, "regression",
-                          ["Linear Regression", "Ridge Regression", "Decision Tree"], key="row_key")
+def _regressor(spark, sf, names):
+    run = ML.train_models(_li_keyed(spark, sf), "l_extendedprice", _REG_FEATURES, "regression", names, key="row_key", options=_SMALL)
     return run.metrics.select("model", "position", *[round_sig(c, 4).alias(c) for c in
                                                      ("r2", "mae", "mse", "rmse", "cv_mean", "cv_std")], "n")
 
 
+@register("train_classifier")
+def q_train_classifier(spark, sf):
+    return _classifier(spark, sf, ["Logistic Regression", "Decision Tree"])
+
+
+@register("train_classifier_ensembles")
+def q_train_classifier_ensembles(spark, sf):
+    return _classifier(spark, sf, ["Random Forest", "Gradient Boosting"])
+
+
+@register("train_classifier_balanced")
+def q_train_classifier_balanced(spark, sf):
+    return _classifier(spark, sf, ["Decision Tree"], balance=True)
+
+
+@register("train_regressor")
+def q_train_regressor(spark, sf):
+    return _regressor(spark, sf, ["Linear Regression", "Ridge Regression", "Decision Tree"])
+
+
+@register("train_regressor_ensembles")
+def q_train_regressor_ensembles(spark, sf):
+    return _regressor(spark, sf, ["Random Forest", "Gradient Boosting"])
+
+
+_ONE_X = "CAST(l_quantity AS DOUBLE)"
+_RANK = "CAST(('0x' || substr(md5(concat(CAST({k} AS VARCHAR), '{s}')), 1, 8)) AS BIGINT)"
+
+
+@register("linear_one_feature", f"""
+WITH s AS (SELECT {_ONE_X} AS x, l_extendedprice AS y,
+             {_RANK.format(k="l_orderkey * 100 + l_linenumber", s=42)} < 858993459 AS held,
+             {_RANK.format(k="l_orderkey * 100 + l_linenumber", s=43)} % 3 AS fold FROM lineitem),
+fit AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM s WHERE NOT held),
+met AS (SELECT 1 - avg((y - a * x - b) * (y - a * x - b)) / var_pop(y) AS r2, avg(abs(y - a * x - b)) AS mae, count(*) AS n FROM s, fit WHERE held),
+folds AS (SELECT f.fold, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM s, (VALUES (0), (1), (2)) f(fold) WHERE NOT held AND s.fold <> f.fold GROUP BY f.fold),
+cv AS (SELECT s.fold, 1 - avg((y - a * x - b) * (y - a * x - b)) / var_pop(y) AS r2 FROM s JOIN folds USING (fold) WHERE NOT held GROUP BY s.fold)
+SELECT 'Linear Regression' AS model, round_even(r2, 6) AS r2, round_even(mae, 4) AS mae,
+  (SELECT round_even(avg(cv.r2), 6) FROM cv) AS cv_mean, n FROM met""")
+def q_linear_one_feature(spark, sf):
+    """A one-feature fit, its held-out error and its cross-validation against DuckDB's closed form."""
+    li = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("key"),
+                                             F.col("l_quantity").cast("double").alias("l_quantity"), "l_extendedprice")
+    run = ML.train_models(li, "l_extendedprice", ["l_quantity"], "regression", ["Linear Regression"], key="key")
+    return run.metrics.select("model", F.bround("r2", 6).alias("r2"), F.bround("mae", 4).alias("mae"), F.bround("cv_mean", 6).alias("cv_mean"), "n")
+
+
 @register("feature_importance")
 def q_feature_importance(spark, sf):
     run = ML.train_models(_li_keyed(spark, sf), "l_returnflag", _CLS_FEATURES, "classification",
-                          ["Decision Tree"], key="row_key")
+                          ["Decision Tree"], key="row_key", options=_SMALL)
     return ML.feature_importance(run, "Decision Tree")
 
 
@@ -450,3 +535,64 @@ def q_smote_rows(spark, sf):
     the class quotas themselves are checked by ``smote_class_counts``)."""
     o = FE.train_test_split(table(spark, sf, "orders"), "o_orderkey").where(F.col("split") == "train")
     return FE.smote(o, "o_orderpriority", ["o_totalprice", "o_custkey"], k=5)
+
+
+# --- model blocks of the summary (M1) and the report (M2) -----------------------
+
+from tabsense.operators import profile as PR  # noqa: E402
+from tabsense.operators import reporting as RP  # noqa: E402
+
+_IMP_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+def _stand_in_importances(spark, sf):
+    """|correlation| of each feature with the price, standing in for a model's importances so that DuckDB can check the lines."""
+    cols = [*_IMP_FEATURES, "l_extendedprice"]
+    pairs = PR.correlation_pairs(table(spark, sf, "lineitem"), cols, digits=None).where(F.col("variable_2") == "l_extendedprice")
+    return pairs.select(F.col("variable_1").alias("feature"), F.abs("correlation").alias("importance"))
+
+
+_IMP_SQL = "imp AS (SELECT *, row_number() OVER (ORDER BY importance DESC, feature) AS rk FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, abs(corr({c}, l_extendedprice)) AS importance FROM lineitem" for c in _IMP_FEATURES) + "))"
+_BEST_SQL = "b AS (SELECT * FROM mt ORDER BY accuracy DESC, position LIMIT 1)"
+
+
+@register("report_model_section", sql_with("""
+SELECT CAST(4 AS INTEGER) AS section, CAST(line_no AS INTEGER) AS line_no, line FROM (
+  SELECT 400 AS line_no, '## 4. Machine Learning Modeling' AS line UNION ALL SELECT 401, ''
+  UNION ALL SELECT 402, '**Target Variable:** `l_returnflag`  ' UNION ALL SELECT 403, '**Task Type:** `Classification`  '
+  UNION ALL SELECT 404, '**Best Algorithm:** `' || model || '`' FROM b UNION ALL SELECT 405, ''
+  UNION ALL SELECT 406, '| Metric | Value |' UNION ALL SELECT 407, '|--------|-------|'
+  UNION ALL SELECT 408, '| Accuracy | ' || printf('%.4f', accuracy) || ' |' FROM b
+  UNION ALL SELECT 409, '| Precision | ' || printf('%.4f', precision) || ' |' FROM b
+  UNION ALL SELECT 410, '| Recall | ' || printf('%.4f', recall) || ' |' FROM b
+  UNION ALL SELECT 411, '| F1-Score | ' || printf('%.4f', f1) || ' |' FROM b
+  UNION ALL SELECT 412, '| cv_mean | ' || printf('%.4f', cv_mean) || ' |' FROM b
+  UNION ALL SELECT 413, '| cv_std | ' || printf('%.4f', cv_std) || ' |' FROM b
+  UNION ALL SELECT 420, '' UNION ALL SELECT 421, '### Feature Importances' UNION ALL SELECT 422, ''
+  UNION ALL SELECT 423, '| Feature | Importance |' UNION ALL SELECT 424, '|---------|------------|'
+  UNION ALL SELECT 424 + rk, '| ' || feature || ' | ' || printf('%.4f', importance) || ' |' FROM imp WHERE rk <= 10
+  UNION ALL SELECT 440, '')""", *_cls_table_sql(), _BEST_SQL, _IMP_SQL))
+def q_report_model_section(spark, sf):
+    best = M.best_model(classification_table(spark, sf), "accuracy")
+    return RP.model_section(best, "l_returnflag", "classification", _stand_in_importances(spark, sf), 4) \
+        .select(F.col("section").cast("int"), F.col("line_no").cast("int"), "line")
+
+
+@register("summary_model_block", sql_with(f"""
+SELECT CAST(line_no AS INTEGER) AS line_no, line FROM (
+  SELECT 500 AS line_no, '=== Machine Learning Modeling Summary ===' AS line UNION ALL SELECT 501, 'Target Column: l_returnflag'
+  UNION ALL SELECT 502, 'Features Used: {", ".join(_IMP_FEATURES)}' UNION ALL SELECT 504, 'Task Type: Classification'
+  UNION ALL SELECT 505, 'Best Trained Model: ' || model FROM b UNION ALL SELECT 506, 'Model Performance Metrics on Test Set:'
+  UNION ALL SELECT 507, '  Accuracy: ' || printf('%.4f', accuracy) FROM b
+  UNION ALL SELECT 508, '  Precision: ' || printf('%.4f', precision) FROM b
+  UNION ALL SELECT 509, '  Recall: ' || printf('%.4f', recall) FROM b
+  UNION ALL SELECT 510, '  F1-Score: ' || printf('%.4f', f1) FROM b
+  UNION ALL SELECT 511, '  cv_mean: ' || printf('%.4f', cv_mean) FROM b
+  UNION ALL SELECT 550, 'Top Feature Importances (Predictive Power):'
+  UNION ALL SELECT 550 + rk, '  ' || feature || ': ' || printf('%.4f', importance) FROM imp WHERE rk <= 5)""",
+    *_cls_table_sql(), _BEST_SQL, _IMP_SQL))
+def q_summary_model_block(spark, sf):
+    best = M.best_model(classification_table(spark, sf), "accuracy")
+    return RP.summary_blocks(best=best, target="l_returnflag", features=_IMP_FEATURES, importances=_stand_in_importances(spark, sf)) \
+        .select(F.col("line_no").cast("int"), "line")

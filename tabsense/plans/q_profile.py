@@ -284,19 +284,46 @@ def q_summary_lines(spark, sf):
     return RP.summary_lines(dirty_orders(spark, sf))
 
 
-def _prof_sql(tab, cols, s):
+def _prof_sql(tab, cols, numeric, s):
+    def stat(c):
+        x = f"CAST({c} AS DOUBLE)"
+        q = lambda e: f"round_even_sig({e}, 4)"
+        if c not in numeric:
+            return {k: "CAST(NULL AS DOUBLE)" for k in RP.COMPARED}
+        return {"mean": q(f"avg({x})"), "median": q(f"quantile_cont({x}, 0.5)"), "std": q(f"stddev_samp({x})"), "min": q(f"min({x})"),
+                "max": q(f"max({x})"), "q1": q(f"quantile_cont({x}, 0.25)"), "q3": q(f"quantile_cont({x}, 0.75)"),
+                "skewness": _skew_sql(x, 4), "kurtosis": _kurt_sql(x, 4)}
     return " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, count({c}) AS count_{s}, round_even_sig(avg(CAST({c} AS DOUBLE)), 4) AS mean_{s}, "
-        f"round_even_sig(stddev_samp(CAST({c} AS DOUBLE)), 4) AS std_{s}, "
-        f"round_even((count(*) - count({c})) / count(*) * 100, 2) AS missing_pct_{s} FROM {tab}" for c in cols)
+        f"SELECT '{c}' AS column_name, count({c}) AS count_{s}, round_even((count(*) - count({c})) / count(*) * 100, 2) AS missing_pct_{s}, "
+        + ", ".join(f"{e} AS {k}_{s}" for k, e in stat(c).items()) + f" FROM {tab}" for c in cols)
+
+
+_ORDERS_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
 @register("compare_profiles", sql_with(f"""
 SELECT coalesce(pa.column_name, pb.column_name) AS column_name, count_a IS NOT NULL AS in_a, count_b IS NOT NULL AS in_b,
-  count_a, count_b, mean_a, mean_b, round_even(mean_b - mean_a, 4) AS mean_diff, std_a, std_b,
-  missing_pct_a, missing_pct_b, round_even(missing_pct_b - missing_pct_a, 2) AS missing_pct_diff
-FROM ({_prof_sql('orders', ['o_orderkey', 'o_custkey', 'o_totalprice'], 'a')}) pa
-FULL OUTER JOIN ({_prof_sql('dirty_orders', _DO_NUM, 'b')}) pb ON pa.column_name = pb.column_name""",
+  count_a, count_b, missing_pct_a, missing_pct_b, round_even(missing_pct_b - missing_pct_a, 2) AS missing_pct_diff,
+  {', '.join(f'{c}_{t}' for c in RP.COMPARED for t in 'ab')}, round_even(mean_b - mean_a, 4) AS mean_diff
+FROM ({_prof_sql('orders', _ORDERS_COLS, ['o_orderkey', 'o_custkey', 'o_totalprice'], 'a')}) pa
+FULL OUTER JOIN ({_prof_sql('dirty_orders', DIRTY_ORDERS_COLS, _DO_NUM_PRESENT, 'b')}) pb ON pa.column_name = pb.column_name""",
     DIRTY_ORDERS_SQL))
 def q_compare_profiles(spark, sf):
-    return RP.compare_profiles(table(spark, sf, "orders"), dirty_orders(spark, sf))
+    return RP.compare_profiles(table(spark, sf, "orders").select(*_ORDERS_COLS), dirty_orders(spark, sf))
+
+
+def _describe_lines_sql():
+    def cell(e, label):
+        return f"'{label}=' || coalesce(printf('%.3f', round_even_sig({e}, 3)), 'NaN')"
+    parts = ["SELECT 0 AS line_no, '=== Numeric Summary ===' AS line"]
+    for i, c in enumerate(_DO_NUM):
+        x = f"CAST({c} AS DOUBLE)"
+        cells = [cell(f"CAST(count({c}) AS DOUBLE)", "count"), cell(f"avg({x})", "mean"), cell(f"stddev_samp({x})", "std"), cell(f"min({x})", "min"),
+                 cell(f"quantile_cont({x}, 0.25)", "25%"), cell(f"quantile_cont({x}, 0.5)", "50%"), cell(f"quantile_cont({x}, 0.75)", "75%"), cell(f"max({x})", "max")]
+        parts.append(f"SELECT {i + 1}, '{c}: ' || " + " || ', ' || ".join(cells) + " FROM dirty_orders")
+    return sql_with("SELECT CAST(line_no AS INTEGER) AS line_no, line FROM (" + " UNION ALL ".join(parts) + ")", DIRTY_ORDERS_SQL)
+
+
+@register("describe_lines", _describe_lines_sql())
+def q_describe_lines(spark, sf):
+    return RP.describe_lines(dirty_orders(spark, sf))

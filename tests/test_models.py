@@ -81,3 +81,48 @@ def test_smote_chunked_copies_equal_unchunked(spark, monkeypatch):
     monkeypatch.setattr(FE, "SMOTE_CHUNK", 7)
     chunked = sorted(FE.smote(df, "cls", ["x", "y"], k=3, buckets=4).collect())
     assert chunked == whole and len(whole) == 900
+
+
+def test_tree_sees_sixty_categories_scaled_or_not(spark):
+    """A text feature of 60 values that determines the target exactly."""
+    from tabsense.operators import models as ML
+    df = spark.range(1200).select(F.concat(F.lit("v"), F.lpad((F.col("id") % 60).cast("string"), 2, "0")).alias("x"),
+                                  F.floor((F.col("id") % 60) / 7 % 2).cast("double").alias("y"), F.col("id").alias("k"))
+    for scaling in ("none", "standard", "minmax"):
+        run = ML.train_models(df, "y", ["x"], "classification", ["Decision Tree"], key="k", scaling=scaling, options=ML.ModelOptions(max_depth=10))
+        assert run.metrics.first()["accuracy"] > 0.95, scaling
+
+
+def test_stratified_split_is_exact(spark):
+    df = spark.range(1003).select("id", F.when(F.col("id") < 7, "rare").when(F.col("id") % 3 == 0, None).otherwise("big").alias("c"))
+    out = FE.stratified_split(df, "id", "c", 0.2)
+    n = {(r["c"], r["split"]): r["count"] for r in out.groupBy("c", "split").count().collect()}
+    assert sum(v for (_, s), v in n.items() if s == "test") == 201 and sum(n.values()) == 1003
+    for c in ("rare", "big", None):
+        assert abs(n[c, "test"] - 0.2 * (n[c, "test"] + n[c, "train"])) < 1
+
+
+def test_confusion_matrix_counts_missing_and_rejects_continuous(spark):
+    import pytest
+    cm = M.confusion_matrix(spark.createDataFrame([("a", None), (None, "b"), ("a", "a")], "label string, prediction string")).collect()
+    assert sum(r["count"] for r in cm) == 3
+    wide = spark.range(5000).select(F.col("id").alias("label"), F.col("id").alias("prediction"))
+    with pytest.raises(Exception, match="not categorical"):
+        M.confusion_matrix(wide).collect()
+
+
+def test_training_maps_text_targets_back_and_balances(spark):
+    from tabsense.operators import models as ML
+    df = spark.range(400).select(F.col("id").alias("k"), (F.col("id") % 50).cast("double").alias("x"),
+                                 F.when(F.col("id") % 50 < 5, "low").otherwise("high").alias("y"))
+    run = ML.train_models(df, "y", ["x"], "classification", ["Decision Tree"], key="k", balance=True)
+    p = run.predictions.collect()
+    assert {r["prediction_text"] for r in p} == {"low", "high"} and len(p) == 80
+    assert all((r["label_text"] == "low") == (r["label"] == 1.0) for r in p)
+    assert run.metrics.first()["accuracy"] == 1.0
+
+
+def test_next_steps(spark):
+    m = spark.createDataFrame([("A", 0, 0.75, 0.7, 0.7, 0.7, None, None, 5000)],
+                              "model string, position int, accuracy double, precision double, recall double, f1 double, cv_mean double, cv_std double, n bigint")
+    assert M.recommend(m, "classification").first()["next_steps"] == " | ".join(M.NEXT_CLASSIFICATION)
