@@ -61,7 +61,7 @@ def dense(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out[:, 12] = per_text(again, owner, n) / words_
         mixed = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
         h = np.zeros(len(codes), np.uint64)
-        for k in range(5):
+        for k in range(min(5, len(codes))):
             h[:len(codes) - k] = h[:len(codes) - k] * np.uint64(0x100000001B3) ^ mixed[k:]
         whole = np.append(owner[4:] == owner[:-4], np.zeros(min(4, len(owner)), bool)) if len(owner) > 4 else np.zeros(len(owner), bool)
         mine = h[whole] ^ (owner[whole].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

@@ -66,7 +66,8 @@ def count_batches(batches: Iterator[pa.RecordBatch], path: str, table, max_token
         size = lengths[hit].astype(np.int64)
         missed = np.flatnonzero(hit == len(spans))
         if len(missed):
-            size[missed] = enc.size[enc.slots(distinct.take(pa.array(missed)))]
+            at = enc.slots(distinct.take(pa.array(missed)))
+            size[missed] = enc.size[at]
         before = np.append(0, np.cumsum(size[codes]))[np.searchsorted(starts, offsets, "left")] if len(codes) else np.zeros(len(offsets), np.int64)
         n = np.diff(before)
         yield pa.record_batch([rows.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(n, pa.int64()), pa.array(n > max_tokens)],
@@ -77,7 +78,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, max_tokens: int = 512, table_s
     """One row per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit."""
     spans = frequent_spans(docs, tokenizer, table_spans)
     enc = encoder(tokenizer, spaced=True)
-    lengths = enc.size[enc.slots(pa.array(spans, pa.large_binary()))].astype(np.int32)
+    at = enc.slots(pa.array(spans, pa.large_binary()))
+    lengths = enc.size[at].astype(np.int32)
     table = docs.sparkSession.sparkContext.broadcast((spans, lengths))
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         lambda b: count_batches(b, tokenizer, table, max_tokens),
