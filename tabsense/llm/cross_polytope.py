@@ -15,7 +15,9 @@ input and nothing is capped.
 Defined results: rows whose id or vector is NULL, empty, zero, or holds a NULL
 or non-finite component take no part, as query or as candidate; repeated rows
 count once; ties go to the smaller id; vectors of another length than the
-query's are not its candidates; other columns are ignored.
+query's are not its candidates; other columns are ignored.  A query whose
+buckets hold fewer than k others is compared with all, so it gets k results
+wherever there are k.
 """
 
 from __future__ import annotations
@@ -118,14 +120,8 @@ def valid(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding")
     return vectors.where(good).select(F.col(id_col).cast("long").alias("id"), v.alias("vector"))
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = K, tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> DataFrame:
-    """For each id of ``vectors`` (id, vector) divisible by ``every`` its k nearest found: query_id, rank, vec_id, score."""
-    ranked = Window.partitionBy("vector").orderBy("id")
-    entries = written(vectors.distinct().withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1)
-                      .groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("e", F.col("ids")[0]), "entries")
-    asked = written(vectors.where(F.col("id") % every == 0).distinct().join(entries.select("vector", "e"), "vector").select("id", "e", "vector"), "queries")
-    index = buckets(entries.select(F.col("e").alias("id"), "vector"), tables, 1, seed)
-    probed = buckets(asked.select(F.col("e").alias("id"), "vector").distinct(), tables, probes, seed)
+def _candidates(index: DataFrame, probed: DataFrame, k: int, seed: int) -> DataFrame:
+    """q, e, score: of each bucket, split by salts, the k + 1 entries nearest to each query that probes it."""
     key = ["tab", "bucket", "dim"]
     sizes = F.broadcast(index.groupBy(*key).agg(F.ceil(F.count("*") / GROUP_ENTRIES).cast("int").alias("parts")))  # tables * 2 * dimension rows
     loads = F.broadcast(probed.groupBy(*key).agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("blocks")))
@@ -135,8 +131,25 @@ def search(vectors: DataFrame, every: int = 100, k: int = K, tables: int = TABLE
     right = probed.join(sizes, key).join(loads, key).withColumn("block", salt("blocks")).withColumn("part", spread("parts"))
     columns = [*key, "part", "block", "id", "vec"]
     both = left.select(*columns, F.lit(False).alias("query")).unionByName(right.select(*columns, F.lit(True).alias("query")))
-    found = (both.groupBy(*key, "part", "block").applyInArrow(lambda g: _nearest(g, k), "q long, e long, score double")
-             .groupBy("q", "e").agg(F.min("score").alias("score")))
+    return (both.groupBy(*key, "part", "block").applyInArrow(lambda g: _nearest(g, k), "q long, e long, score double")
+            .groupBy("q", "e").agg(F.min("score").alias("score")))
+
+
+def search(vectors: DataFrame, every: int = 100, k: int = K, tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> DataFrame:
+    """For each id of ``vectors`` (id, vector) divisible by ``every`` its k nearest found: query_id, rank, vec_id, score."""
+    ranked = Window.partitionBy("vector").orderBy("id")
+    entries = written(vectors.distinct().withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1)
+                      .groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("e", F.col("ids")[0]), "entries")
+    asked = written(vectors.where(F.col("id") % every == 0).distinct().join(entries.select("vector", "e"), "vector").select("id", "e", "vector"), "queries")
+    index = buckets(entries.select(F.col("e").alias("id"), "vector"), tables, 1, seed)
+    queries = asked.select(F.col("e").alias("id"), "vector").distinct()
+    found = written(_candidates(index, buckets(queries, tables, probes, seed), k, seed), "found")
+    # a query whose buckets hold too few entries goes through all buckets of one table
+    short = queries.join(found.groupBy(F.col("q").alias("id")).count(), "id", "left").where(F.coalesce("count", F.lit(0)) <= k).select("id", "vector")
+    if not short.isEmpty():
+        every_axis = buckets(short, 1, 1 << 30, seed)
+        found = (found.unionByName(_candidates(index.where("tab = 0"), every_axis, k, seed))
+                 .groupBy("q", "e").agg(F.min("score").alias("score")))
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("score", "e"))).where(F.col("n") <= k + 1)
     pairs = (asked.select(F.col("id").alias("query_id"), F.col("e").alias("q")).join(best.join(entries.select("e", "ids"), "e"), "q")
              .select("query_id", "score", F.explode("ids").alias("vec_id")).where(F.col("query_id") != F.col("vec_id")))

@@ -27,6 +27,7 @@ def dense(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """texts x NAMES; all finite, an empty text has zeros and no_words = 1."""
     n = len(offsets) - 1
     out = np.zeros((n, len(NAMES)))
+    out[:, 14] = 1.0  # nothing is repeated
     size = np.diff(offsets).astype(float)
     starts, ends, owner = words(data, offsets)
     count = per_text(np.ones(len(starts)), owner, n)

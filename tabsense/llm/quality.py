@@ -126,10 +126,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return fit(p, u, prior), prior
 
 
-def score_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def score_batches(batches: Iterator[pa.RecordBatch], model, into: str) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in text_blocks(batches):
         s = model.value.score(dense(data, offsets)) if model.value else np.full(rows.num_rows, 0.5)
-        yield pa.record_batch([*(rows.column(i) for i in range(rows.num_columns)), pa.array(s)], names=[*rows.schema.names, "score"])
+        yield pa.record_batch([*(rows.column(i) for i in range(rows.num_columns)), pa.array(s)], names=[*rows.schema.names, into])
 
 
 def score(docs: DataFrame, model: Model | None, into: str = "score") -> DataFrame:
@@ -137,4 +137,4 @@ def score(docs: DataFrame, model: Model | None, into: str = "score") -> DataFram
     docs = docs.drop(into)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*docs.schema.fields, StructField(into, DoubleType())])
-    return docs.mapInArrow(lambda b: score_batches(b, shared), schema)
+    return docs.mapInArrow(lambda b: score_batches(b, shared, into), schema)
