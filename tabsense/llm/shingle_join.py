@@ -10,9 +10,9 @@ order the first s shared shingles lie within the first n // 5 + s of both.
    shingle; what is shared is a bitmap of bounded size, which never loses one.
 2. Whole sets of what stayed: 80 % of a set must occur in other texts.
 3. Candidates share a shingle within the first n // 5 + 1 under the order
-   rare first (the power of two of a shingle's texts, then its hash), must
-   also do so under the hash orders B and C, and are then verified on whole
-   sets.  A shingle's texts are not paired with each other: first with the
+   rare first (the power of two of a shingle's texts, then its hash), early
+   enough in both for their sizes, must also do so under the hash orders B
+   and C, and are then verified on whole sets.  A shingle's texts are not paired with each other: first with the
    least of them, then with the greatest, and what is still in different
    components of a shingle's texts is paired in full, except within the
    largest component.
@@ -183,16 +183,18 @@ def _stay_batches(batches, shared) -> Iterator[pa.RecordBatch]:
 
 
 def _whole_batches(batches, levels) -> Iterator[pa.RecordBatch]:
-    """Texts of which 80 % of the whole set occur elsewhere, with what may occur elsewhere of their n // 5 + 1 rarest."""
+    """Of the texts of which 80 % of the whole set occur elsewhere: what may occur elsewhere of their n // 5 + 1 rarest, and its place."""
     for rows, data, offsets in text_blocks(batches):
-        keys, out = rows.column(0).to_pylist(), []
-        for key, s in zip(keys, shingle_sets(data, offsets)):
+        found = [[], [], [], []]
+        for key, s in zip(rows.column(0).to_pylist(), shingle_sets(data, offsets)):
             level = levels.value.of(s)
             if len(s) and 5 * (level > 0).sum() >= 4 * len(s):
                 head = np.lexsort((s, level))[:len(s) // 5 + 1]
-                out.append((key, len(s), s[head][level[head] > 0]))
-        yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), _lists([x[2] for x in out])],
-                              names=["key", "n", "head"])
+                place = np.flatnonzero(level[head] > 0)
+                for column, x in zip(found, (np.full(len(place), key), np.full(len(place), len(s)), s[head[place]].view(np.int64), place)):
+                    column.append(x.astype(np.int64))
+        columns = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in found]
+        yield pa.record_batch(columns, names=["key", "n", "token", "pos"])
 
 
 def _linked_batches(batches) -> Iterator[pa.RecordBatch]:
@@ -234,8 +236,12 @@ def _key(text: Column) -> Column:
 
 
 def _pairs(rows: DataFrame, to: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """Distinct pairs of a row and one of ``to`` (token, other, other_n, other_root) in another component, of sizes that may link, not tested before."""
-    found = (rows.join(to, "token").where("root <> other_root and 5 * least(n, other_n) >= 4 * greatest(n, other_n)")
+    """Distinct pairs of a row and one of ``to`` (token, other, other_n, other_pos, other_root) in another component, not tested
+    before, that may link by size and place: they link with at least 4 / 9 of both sizes in common, so their first common
+    shingle has at most the rest of each before it."""
+    common = "((4 * (n + other_n) + 8) div 9)"
+    found = (rows.join(to, "token").where(f"root <> other_root and 5 * least(n, other_n) >= 4 * greatest(n, other_n) "
+                                          f"and pos <= n - {common} and other_pos <= other_n - {common}")
              .select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct())
     return found if tested is None else found.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
@@ -255,8 +261,7 @@ def nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     texts = written(keyed.select("key", "text").where(member("key")).groupBy("key").agg(F.first("text").alias("text")), "texts")
     items = texts.mapInArrow(_set_batches, "key long, items array<long>").select(F.explode("items").alias("token"))
     whole = levels_of(written(_shared(items), "shared-whole"))
-    heads = texts.mapInArrow(lambda b: _whole_batches(b, whole), "key long, n long, head array<long>")
-    rows = written(heads.select("key", "n", F.explode("head").alias("token")), "heads")
+    rows = written(texts.mapInArrow(lambda b: _whole_batches(b, whole), "key long, n long, token long, pos long"), "heads")
 
     root_of, links, tested = None, None, None
     for step in ("least", "greatest", "rest"):
@@ -270,11 +275,12 @@ def nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
             main = (active.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token")
                     .agg(F.max(F.struct("c", "root")).alias("x")).select("token", F.col("x.root").alias("main")))
             minor = active.join(main, "token").where("root <> main").drop("main")
-            to = active.select("token", F.col("key").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"))
+            to = active.select("token", F.col("key").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("root").alias("other_root"))
             pairs = _pairs(minor, to, tested)
         else:
-            one = (F.min if step == "least" else F.max)(F.struct("key", "n", "root"))
-            to = active.groupBy("token").agg(one.alias("x")).select("token", F.col("x.key").alias("other"), F.col("x.n").alias("other_n"), F.col("x.root").alias("other_root"))
+            one = (F.min if step == "least" else F.max)(F.struct("key", "n", "root", "pos"))
+            to = active.groupBy("token").agg(one.alias("x")).select("token", F.col("x.key").alias("other"), F.col("x.n").alias("other_n"),
+                                                                    F.col("x.pos").alias("other_pos"), F.col("x.root").alias("other_root"))
             pairs = _pairs(active, to, tested)
         done = written(_verify(pairs, texts), "verified")
         tested = done if tested is None else tested.unionByName(done)
