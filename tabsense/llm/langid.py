@@ -25,6 +25,8 @@ from tabsense.llm.common import coded, text_blocks, words
 
 ORDERS, BUCKETS, SMOOTHING = (1, 2, 3, 4), 1 << 15, 0.5
 MAX_LANGUAGES = 256
+#: Distinct words whose n-grams are held at a time.
+WORDS_AT_ONCE = 30_000
 UNDETERMINED = "und"
 
 _ALPHA: list[np.ndarray] = []
@@ -72,6 +74,14 @@ def ngrams(distinct: pa.Array, orders=ORDERS, buckets: int = BUCKETS) -> tuple[n
     return np.concatenate(found), np.concatenate(of), has[:len(distinct)]
 
 
+def gram_blocks(distinct: pa.Array, orders, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, slice, np.ndarray]]:
+    """The n-grams of WORDS_AT_ONCE distinct words at a time: buckets, words, the words' place, which have a letter."""
+    for at in range(0, len(distinct), WORDS_AT_ONCE):
+        some = distinct.slice(at, WORDS_AT_ONCE)
+        bucket, of, has = ngrams(some, orders, buckets)
+        yield bucket, of, slice(at, at + len(some)), has
+
+
 def train_batches(batches: Iterator[pa.RecordBatch], orders, buckets: int) -> Iterator[pa.RecordBatch]:
     """(language, bucket, n): this task's n-gram counts; bucket -1 counts rows."""
     sums: dict[str, np.ndarray] = {}
@@ -80,13 +90,13 @@ def train_batches(batches: Iterator[pa.RecordBatch], orders, buckets: int) -> It
         codes, distinct = coded(data, starts, ends)
         langs = rows.column(rows.schema.get_field_index("lang")).dictionary_encode()
         names, lang = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        bucket, of, _ = ngrams(distinct, orders, buckets) if len(distinct) else (np.zeros(0, np.int64),) * 3
+        times = []
         for i, name in enumerate(names):
-            mine = np.bincount(codes[lang[owner] == i], minlength=len(distinct))
-            own = sums.setdefault(name, np.zeros(buckets + 1))
-            if len(bucket):
-                own[:-1] += np.bincount(bucket, weights=mine[of], minlength=buckets)
-            own[-1] += (lang == i).sum()
+            times.append(np.bincount(codes[lang[owner] == i], minlength=len(distinct)))
+            sums.setdefault(name, np.zeros(buckets + 1))[-1] += (lang == i).sum()
+        for bucket, of, place, _ in gram_blocks(distinct, orders, buckets):
+            for name, mine in zip(names, times):
+                sums[name][:-1] += np.bincount(bucket, weights=mine[place][of], minlength=buckets)
     for name, own in sums.items():
         at = np.flatnonzero(own)
         yield pa.record_batch([pa.array([name] * len(at)), pa.array(np.where(at == buckets, -1, at), pa.int64()), pa.array(own[at].astype(np.int64))],
@@ -125,9 +135,11 @@ def predict_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Rec
         codes, distinct = coded(data, starts, ends)
         best, score = np.full(n, len(m.languages)), np.zeros(n)
         if len(codes) and m.languages:
-            bucket, of, has = ngrams(distinct, m.orders, len(m.log_p))
-            hits = m.log_p[bucket]
-            word = np.stack([np.bincount(of, weights=hits[:, k], minlength=len(distinct)) for k in range(len(m.languages))])
+            word, has = np.zeros((len(m.languages), len(distinct))), np.zeros(len(distinct), bool)
+            for bucket, of, place, letters in gram_blocks(distinct, m.orders, len(m.log_p)):
+                hits, has[place] = m.log_p[bucket], letters
+                for k in range(len(m.languages)):
+                    word[k, place] = np.bincount(of, weights=hits[:, k], minlength=len(letters))
             total = np.stack([np.bincount(owner, weights=word[k][codes], minlength=n) for k in range(len(m.languages))], 1) + m.prior
             total = np.exp(total - total.max(1, keepdims=True))
             total /= total.sum(1, keepdims=True)
