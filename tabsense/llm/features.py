@@ -18,6 +18,9 @@ STOP[[ord(c) for c in ".,;:?"]] = True
 MARK = np.zeros(256, bool)
 MARK[[i for i in range(33, 127) if not (chr(i).isalnum() or chr(i) in ".,;:?'\"-()")]] = True
 
+#: Text bytes worked on at a time: some twenty numbers of four or eight bytes are held for each.
+FEATURE_BYTES = 2 << 20
+
 NAMES = ("log_bytes", "log_words", "upper", "digits", "stops", "marks", "beyond_ascii", "lines", "word_length", "word_length_sd",
          "distinct_words", "word_entropy", "same_as_last", "top_word", "distinct_shingles", "marked_words", "shouted_words", "signless_words",
          "long_words", "title_words", "mark_words", "line_ends", "short_lines", "no_words")
@@ -34,7 +37,8 @@ def dense(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     some, bytes_, words_ = count > 0, np.maximum(size, 1), np.maximum(count, 1)
 
     def bytes_of(mask):
-        total = np.append(0, np.cumsum(mask[data], dtype=np.int64))
+        total = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(mask[data], out=total[1:])
         return total, np.diff(total[offsets]) / bytes_
 
     upper, f_upper = bytes_of(UPPER)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tabsense.llm.common import text_blocks
-from tabsense.llm.features import NAMES, dense, list_array
+from tabsense.llm.features import FEATURE_BYTES, NAMES, dense, list_array
 
 SAMPLE_ROWS, HIDDEN, EPOCHS, THRESHOLD = 12_000, 16, 40, 0.7
 
@@ -98,7 +98,7 @@ def estimate_prior(positive_scores: np.ndarray, unlabelled_scores: np.ndarray, d
 
 
 def feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in text_blocks(batches):
+    for rows, data, offsets in text_blocks(batches, limit=FEATURE_BYTES):
         yield pa.record_batch([rows.column(0), list_array(dense(data, offsets))], names=["kind", "features"])
 
 
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], model, into: str) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in text_blocks(batches):
+    for rows, data, offsets in text_blocks(batches, limit=FEATURE_BYTES):
         s = model.value.score(dense(data, offsets)) if model.value else np.full(rows.num_rows, 0.5)
         yield pa.record_batch([*(rows.column(i) for i in range(rows.num_columns)), pa.array(s)], names=[*rows.schema.names, into])
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tabsense.llm.common import coded, per_text, text_blocks, words, written
-from tabsense.llm.features import dense, list_array
+from tabsense.llm.features import FEATURE_BYTES, dense, list_array
 
 #: Labelled rows learned from, and lexicon terms kept (each at most 64 characters): the bounds of what is broadcast.
 SAMPLE_ROWS, LEXICON_TERMS = 20_000, 4_000
@@ -137,7 +137,7 @@ def features(data: np.ndarray, offsets: np.ndarray, lex: dict[str, float]) -> np
 
 
 def feature_batches(batches: Iterator[pa.RecordBatch], lex) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in text_blocks(batches):
+    for rows, data, offsets in text_blocks(batches, limit=FEATURE_BYTES):
         yield pa.record_batch([*(rows.column(i) for i in range(rows.num_columns)), list_array(features(data, offsets, lex.value))],
                               names=[*rows.schema.names, "_features"])
 
