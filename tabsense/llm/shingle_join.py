@@ -12,10 +12,11 @@ order the first s shared shingles lie within the first n // 5 + s of both.
 3. Candidates share a shingle within the first n // 5 + 1 under the order
    rare first (the power of two of a shingle's texts, then its hash), early
    enough in both for their sizes, must also do so under the hash orders B
-   and C, and are then verified on whole sets.  A shingle's texts are not paired with each other: first with the
-   least of them, then with the greatest, and what is still in different
-   components of a shingle's texts is paired in full, except within the
-   largest component.
+   and C, and are then verified on whole sets.  A shingle's texts are not
+   paired with each other: first with the least of them, then with the
+   greatest, then twice with one that differs by shingle; only what is still
+   in different components of a shingle's texts is paired in full, except
+   within the largest component.
 
 Equal texts are one node (a 64-bit hash of the text), so copies cost one row.
 
@@ -264,7 +265,8 @@ def nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     rows = written(texts.mapInArrow(lambda b: _whole_batches(b, whole), "key long, n long, token long, pos long"), "heads")
 
     root_of, links, tested = None, None, None
-    for step in ("least", "greatest", "rest"):
+    centres = {"least": F.col("key"), "greatest": F.bitwise_not("key"), "mixed": F.xxhash64("key", "token"), "mixed again": F.xxhash64("token", "key")}
+    for step in (*centres, "rest"):
         active = rows.withColumn("root", F.col("key")) if root_of is None else (
             rows.join(root_of, "key", "left").withColumn("root", F.coalesce("root", "key")))
         several = active.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
@@ -278,7 +280,7 @@ def nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
             to = active.select("token", F.col("key").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("root").alias("other_root"))
             pairs = _pairs(minor, to, tested)
         else:
-            one = (F.min if step == "least" else F.max)(F.struct("key", "n", "root", "pos"))
+            one = F.min(F.struct(centres[step].alias("order"), "key", "n", "root", "pos"))
             to = active.groupBy("token").agg(one.alias("x")).select("token", F.col("x.key").alias("other"), F.col("x.n").alias("other_n"),
                                                                     F.col("x.pos").alias("other_pos"), F.col("x.root").alias("other_root"))
             pairs = _pairs(active, to, tested)
