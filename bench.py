@@ -25,6 +25,8 @@ HEADLINE = [
     "top_correlations", "frequency_table", "histogram", "box_stats", "time_series",
     "classification_metrics", "regression_metrics", "confusion_matrix", "recommendation",
     "train_test_split", "scale_standard",
+    # added after the first round: backward and hot-key fills, split, balancing, training, CSV and report
+    "impute_bfill", "impute_bfill_hot_key", "stratified_split", "smote_rows", "linear_one_feature", "csv_quoted_roundtrip", "report_frame",
 ]
 
 
