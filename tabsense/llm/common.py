@@ -38,6 +38,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """The cache that this worker keeps between tasks.  It keeps one: asking for another empties those before it."""
+    for other in [k for k in _CACHES if k != name]:
+        del _CACHES[other]
+    return _CACHES.setdefault(name, {})
+
+
 def fold(doc_id, folds: int):
     """crc32 of the id's decimal text, modulo ``folds``; a NULL id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
@@ -59,6 +69,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text",
             to = min(max(to, at + 1), len(col))
             yield batch.slice(at, to - at), data[ends[at]:ends[to]], ends[at:to + 1] - ends[at]
             at = to
+    pa.default_memory_pool().release_unused()
 
 
 SPACE = np.zeros(256, bool)

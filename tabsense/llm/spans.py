@@ -15,10 +15,10 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from tabsense.llm.common import SPACE, coded, gather
+from tabsense.llm.common import SPACE, coded, gather, worker_cache
 
 #: Spans kept by one worker; past it those used in fewer than two blocks go.
-CACHE_SPANS = 600_000
+CACHE_SPANS = 400_000
 
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -179,11 +179,9 @@ def _room(a: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-_ENCODERS: dict[tuple[str, bool], SpanEncoder] = {}
-
-
 def encoder(path: str, spaced: bool) -> SpanEncoder:
     """This worker's encoder; it stays between tasks."""
-    if (path, spaced) not in _ENCODERS:
-        _ENCODERS[path, spaced] = SpanEncoder(path, spaced)
-    return _ENCODERS[path, spaced]
+    kept = worker_cache("spans")
+    if (path, spaced) not in kept:
+        kept[path, spaced] = SpanEncoder(path, spaced)
+    return kept[path, spaced]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from tabsense.llm.common import coded, per_text, text_blocks, words, written
+from tabsense.llm.common import coded, per_text, text_blocks, words, worker_cache, written
 from tabsense.llm.features import FEATURE_BYTES, dense, list_array
 
 #: Labelled rows learned from, and lexicon terms kept (each at most 64 characters): the bounds of what is broadcast.
@@ -40,7 +40,7 @@ SECOND_PERSON = ("you your yours yourself u ur tu te ti tus vos usted ustedes to
                  "sie ihr euch").split()
 #: Signs read as the letters they stand for in a disguised word.
 LOOKALIKE = str.maketrans("01345@$!", "oieasasi")
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 200_000
 
 
 def normal(word: str) -> tuple[str, bool]:
@@ -89,16 +89,12 @@ def lexicon(sample: DataFrame, size: int = LEXICON_TERMS, evidence: float = MIN_
     return {r.term: float(r.w) for r in rows}
 
 
-_SCORED: dict[int, tuple[dict, dict[bytes, tuple[float, bool, bool]]]] = {}
-
-
 def _weights(distinct: pa.Array, lex: dict[str, float]) -> np.ndarray:
     """Per distinct word: lexicon weight, second person, obfuscated.  A worker keeps what it has looked up."""
-    kept = _SCORED.get(id(lex))
-    if kept is None or kept[0] is not lex:
-        _SCORED.clear()
-        kept = _SCORED[id(lex)] = (lex, {})
-    cache, keys = kept[1], distinct.to_pylist()
+    kept = worker_cache("toxicity")
+    if kept.get("lexicon") is not lex:
+        kept.update(lexicon=lex, words={})
+    cache, keys = kept["words"], distinct.to_pylist()
     if len(cache) + len(keys) > _WORDS_KEPT:
         cache.clear()
     second, out = set(SECOND_PERSON), []
