@@ -69,7 +69,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         distances = [_apart(_segment(q, s), _segment(c, s)) for s in range(SEGMENTS)]
         first = reduce(lambda rest, s: F.when(distances[s] == radius, F.lit(s)).otherwise(rest), reversed(range(SEGMENTS)), F.lit(-1))
         least = F.least(*distances)
-        p, x = probes.alias("p"), index.alias("x")
+        # the optimizer sees the queries, not the many values each explodes to: never broadcast them
+        p, x = probes.alias("p"), index.hint("shuffle_hash").alias("x")
         pairs = (p.join(x, (F.col("p.seg") == F.col("x.seg")) & (F.col("p.val") == F.col("x.val")) & (_apart(q, c) <= F.col("worst"))
                         & (least == radius) & (first == F.col("p.seg")))
                  .select("q", "code", "least", _apart(q, c).alias("distance")))
