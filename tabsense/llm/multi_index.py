@@ -63,7 +63,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         masks = [sum(1 << b for b in bits) for bits in combinations(range(WIDTH), radius)]
         probes = (active.select("q", "worst", F.explode(F.array(*(F.struct(F.lit(s).alias("seg"), _segment(F.col("q"), s).alias("own")) for s in range(SEGMENTS)))).alias("x"))
                   .select("q", "worst", "x.seg", "x.own"))
-        probes = (probes.withColumn("mask", F.explode(_constant(masks)))
+        # a few queries make many probes: spread them first, over a number of tasks that stays as it is
+        parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        probes = (probes.repartition(parts, "q", "seg").withColumn("mask", F.explode(_constant(masks)))
                   .select("q", "worst", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("val")))
         q, c = F.col("q"), F.col("code")
         distances = [_apart(_segment(q, s), _segment(c, s)) for s in range(SEGMENTS)]
