@@ -452,18 +452,14 @@ def _li_keyed(spark, sf):
     return li.withColumn("row_key", F.xxhash64(*li.columns))
 
 
-#: Sizes of the registered forests and boosted trees (documented parameters of the operator).
-_SMALL = ML.ModelOptions(max_depth=5, trees=10, rounds=5)
-
-
 def _classifier(spark, sf, names, **kw):
-    run = ML.train_models(_li_keyed(spark, sf), "l_returnflag", _CLS_FEATURES, "classification", names, key="row_key", options=_SMALL, **kw)
+    run = ML.train_models(_li_keyed(spark, sf), "l_returnflag", _CLS_FEATURES, "classification", names, key="row_key", **kw)
     return run.metrics.select("model", "position", *[F.bround(c, 4).alias(c) for c in
                                                      ("accuracy", "precision", "recall", "f1", "cv_mean", "cv_std")], "n")
 
 
 def _regressor(spark, sf, names):
-    run = ML.train_models(_li_keyed(spark, sf), "l_extendedprice", _REG_FEATURES, "regression", names, key="row_key", options=_SMALL)
+    run = ML.train_models(_li_keyed(spark, sf), "l_extendedprice", _REG_FEATURES, "regression", names, key="row_key")
     return run.metrics.select("model", "position", *[round_sig(c, 4).alias(c) for c in
                                                      ("r2", "mae", "mse", "rmse", "cv_mean", "cv_std")], "n")
 
@@ -518,7 +514,7 @@ def q_linear_one_feature(spark, sf):
 @register("feature_importance")
 def q_feature_importance(spark, sf):
     run = ML.train_models(_li_keyed(spark, sf), "l_returnflag", _CLS_FEATURES, "classification",
-                          ["Decision Tree"], key="row_key", options=_SMALL)
+                          ["Decision Tree"], key="row_key")
     return ML.feature_importance(run, "Decision Tree")
 
 

@@ -126,3 +126,30 @@ def test_next_steps(spark):
     m = spark.createDataFrame([("A", 0, 0.75, 0.7, 0.7, 0.7, None, None, 5000)],
                               "model string, position int, accuracy double, precision double, recall double, f1 double, cv_mean double, cv_std double, n bigint")
     assert M.recommend(m, "classification").first()["next_steps"] == " | ".join(M.NEXT_CLASSIFICATION)
+
+
+def test_registered_runs_have_the_operators_own_sizes(spark, monkeypatch):
+    """Depth, trees and rounds of the registered model queries are the defaults of train_models."""
+    import inspect
+
+    import pytest
+    from conftest import SF_SMALL
+    from tabsense.operators import models as ML
+    from tabsense.plans import catalog
+    given, sign = [], inspect.signature(ML.train_models)
+
+    class Given(Exception):
+        pass
+
+    def stand_in(*args, **kw):
+        bound = sign.bind(*args, **kw)
+        bound.apply_defaults()
+        given.append(bound.arguments["options"])
+        raise Given
+
+    monkeypatch.setattr(ML, "train_models", stand_in)
+    for name in ("train_classifier", "train_classifier_ensembles", "train_classifier_balanced", "train_regressor",
+                 "train_regressor_ensembles", "feature_importance"):
+        with pytest.raises(Given):
+            catalog.queries()[name](spark, SF_SMALL)
+    assert given == [ML.ModelOptions(max_depth=10, trees=100, rounds=100)] * 6
