@@ -254,6 +254,16 @@ def q_comparison_table_regression(spark, sf):
     return t.where(F.col("model") == "Rounded price")  # the others' errors pass 12 significant digits
 
 
+@register("comparison_table_regression_all", sql_with(
+    "SELECT model, position, " + _rsig(["r2", "mae", "mse", "rmse", "cv_mean", "cv_std"]) + ", "
+    "CASE WHEN cv_mean IS NOT NULL AND cv_mean <> 0 THEN round_even_sig(cv_mean, 4) END AS cv_score FROM rt", *_reg_table_sql()))
+def q_comparison_table_regression_all(spark, sf):
+    """Every model of the table, compared by significant digits."""
+    t = M.model_comparison(regression_table(spark, sf), "regression", long=False)
+    return t.select("model", "position", *[round_sig(c, 4).alias(c) for c in
+                                           ("r2", "mae", "mse", "rmse", "cv_mean", "cv_std", "cv_score")])
+
+
 def _recommend_cls_sql():
     size = ("CASE WHEN (SELECT count(*) FROM lineitem) < 1000 THEN 'Small dataset detected - consider simpler models or data augmentation' "
             "WHEN (SELECT count(*) FROM lineitem) > 100000 THEN 'Large dataset - gradient boosting or deep learning could improve results' END")
