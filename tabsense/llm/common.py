@@ -74,6 +74,13 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text",
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes between words of letters and digits: ASCII ones that are neither; bytes of other characters belong to words.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A copy with A-Z, and nothing else, in lower case."""
+    return data + ((data >= 65) & (data <= 90)) * np.uint8(32)
 
 
 def binary_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -96,12 +103,12 @@ def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, sizes) + np.arange(total)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of bytes other than ASCII white space: starts, ends, and the text each belongs to."""
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes other than ``space`` (ASCII white space): starts, ends, and the text each belongs to."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    solid = ~SPACE[data]
+    solid = ~space[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     inner = offsets[(offsets < len(data))]

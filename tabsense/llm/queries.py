@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabsense.llm import (chunked_bpe, cross_polytope, langid, line_spread, multi_index, packing, quality, shingle_join,
-                          token_counts, toxicity)
+from tabsense.llm import (chunked_bpe, cross_polytope, langid, license_scan, line_spread, multi_index, packing, quality,
+                          shingle_join, token_counts, toxicity)
 from tabsense.llm.common import fold, read
 
 
@@ -79,9 +79,18 @@ def op10_cross_polytope(spark, sf_dir):
     return cross_polytope.search(cross_polytope.valid(read(spark, sf_dir, "embeddings")))
 
 
+def op12_license_scan(spark, sf_dir):
+    found = license_scan.scan(read(spark, sf_dir, "documents"))
+    base = F.filter("finds", lambda f: f["kind"] == "base")
+    starts = F.transform(base, lambda f: f["first_word"])
+    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+                        F.array_max(starts).alias("last_word"), license_scan.labels_of(base).alias("base_labels"),
+                        license_scan.labels_of(F.col("finds")).alias("labels"), license_scan.evidence(F.col("finds")).alias("score"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_hierarchical_packing, op2_line_spread, op3_pu_quality, op4_multi_index_hashing, op5_chunked_bpe, op6_gbt_toxicity,
-    op7_token_counts, op8_nb_langid, op9_shingle_join, op10_cross_polytope)}
+    op7_token_counts, op8_nb_langid, op9_shingle_join, op10_cross_polytope, op12_license_scan)}
 
 ORACLE = {
     "op2_line_spread": f"""
