@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabsense.llm import (chunked_bpe, cross_polytope, langid, license_scan, line_spread, multi_index, packing, quality,
-                          shingle_join, token_counts, toxicity)
+                          shingle_join, stratified_search, token_counts, toxicity)
 from tabsense.llm.common import fold, read
 
 
@@ -79,6 +79,10 @@ def op10_cross_polytope(spark, sf_dir):
     return cross_polytope.search(cross_polytope.valid(read(spark, sf_dir, "embeddings")))
 
 
+def op11_stratified_search(spark, sf_dir):
+    return stratified_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op12_license_scan(spark, sf_dir):
     found = license_scan.scan(read(spark, sf_dir, "documents"))
     base = F.filter("finds", lambda f: f["kind"] == "base")
@@ -90,7 +94,7 @@ def op12_license_scan(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_hierarchical_packing, op2_line_spread, op3_pu_quality, op4_multi_index_hashing, op5_chunked_bpe, op6_gbt_toxicity,
-    op7_token_counts, op8_nb_langid, op9_shingle_join, op10_cross_polytope, op12_license_scan)}
+    op7_token_counts, op8_nb_langid, op9_shingle_join, op10_cross_polytope, op11_stratified_search, op12_license_scan)}
 
 ORACLE = {
     "op2_line_spread": f"""
@@ -138,4 +142,28 @@ reach AS (
   UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
 SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.component_id
 FROM sets JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON sets.doc_id = c.a""",
+    "op11_stratified_search": """
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'i', item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+words AS (
+  SELECT kind, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM texts),
+counts AS (SELECT kind, id, term, CAST(count(*) AS BIGINT) AS tf FROM words GROUP BY ALL),
+lengths AS (SELECT id, CAST(sum(tf) AS BIGINT) AS n FROM counts WHERE kind = 'd' GROUP BY id),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM counts, totals WHERE kind = 'd' GROUP BY term),
+norms AS (SELECT id, 100 - 75 + ((75 * n * docs) // terms) AS m FROM lengths, totals),
+scores AS (
+  SELECT i.id AS item_id, d.id AS doc_id,
+         CAST(sum(i.tf * w * ((1000000000 * d.tf) // (1000 * d.tf + 8 * m))) AS BIGINT) AS score
+  FROM counts i JOIN counts d ON i.term = d.term AND i.kind = 'i' AND d.kind = 'd'
+       JOIN weights ON weights.term = i.term JOIN norms ON norms.id = d.id
+  GROUP BY i.id, d.id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 10""",
 }

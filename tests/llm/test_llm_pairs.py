@@ -22,7 +22,7 @@ def plan(df):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF_SMALL}/{t}.parquet'")
     df, want = queries.QUERIES[name](spark, SF_SMALL), con.sql(queries.ORACLE[name])
     order = sorted(df.columns)
