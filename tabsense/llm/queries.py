@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabsense.llm import (chunked_bpe, cross_polytope, langid, license_scan, line_spread, multi_index, packing, quality,
-                          shingle_join, stratified_search, token_counts, toxicity)
+from tabsense.llm import (chunked_bpe, cross_polytope, hard_negatives, langid, license_scan, line_spread, multi_index, packing,
+                          quality, shingle_join, stratified_search, token_counts, toxicity)
 from tabsense.llm.common import fold, read
 
 
@@ -92,9 +92,14 @@ def op12_license_scan(spark, sf_dir):
                         license_scan.labels_of(F.col("finds")).alias("labels"), license_scan.evidence(F.col("finds")).alias("score"))
 
 
+def op13_hard_negatives(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.mine(hard_negatives.integer_vectors(rows))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_hierarchical_packing, op2_line_spread, op3_pu_quality, op4_multi_index_hashing, op5_chunked_bpe, op6_gbt_toxicity,
-    op7_token_counts, op8_nb_langid, op9_shingle_join, op10_cross_polytope, op11_stratified_search, op12_license_scan)}
+    op7_token_counts, op8_nb_langid, op9_shingle_join, op10_cross_polytope, op11_stratified_search, op12_license_scan, op13_hard_negatives)}
 
 ORACLE = {
     "op2_line_spread": f"""
@@ -166,4 +171,23 @@ scores AS (
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
 WHERE rank <= 10""",
+    "op13_hard_negatives": """
+WITH rows AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vec
+  FROM embeddings WHERE label IS NOT NULL),
+pairs AS (
+  SELECT a.id AS anchor_id, r.id, a.label = r.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.vec, r.vec), lambda x: x[1] * x[2])) AS BIGINT) AS score
+  FROM rows a JOIN rows r ON a.id <> r.id WHERE a.id % 100 = 0),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+ranked AS (
+  SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS rank,
+         id AS negative_id, positive_score, score AS negative_score
+  FROM positives JOIN pairs USING (anchor_id)
+  WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE rank <= 10""",
 }
