@@ -11,12 +11,12 @@ order the first s shared shingles lie within the first n // 5 + s of both.
 2. Whole sets of what stayed: 80 % of a set must occur in other texts.
 3. Candidates share a shingle within the first n // 5 + 1 under the order
    rare first (the power of two of a shingle's texts, then its hash), early
-   enough in both for their sizes, must also do so under the hash orders B
-   and C, and are then verified on whole sets.  A shingle's texts are not
-   paired with each other: first with the least of them, then with the
-   greatest, then twice with one that differs by shingle; only what is still
-   in different components of a shingle's texts is paired in full, except
-   within the largest component.
+   enough in both for their sizes, and s within the first n // 5 + s under
+   each of the hash orders B and C; only then do texts move, and whole sets
+   are verified.  A shingle's texts are not paired with each other: first with
+   the one whose shingles are most common, then with the least and with one
+   that differs by shingle; only what is still in different components of a
+   shingle's texts is paired in full, except within the largest component.
 
 Equal texts are one node (a 64-bit hash of the text), so copies cost one row.
 
@@ -78,14 +78,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two ascending sets link, after the filters of orders B and C."""
+    """Whether two ascending sets link."""
     n, m = len(a), len(b)
     if not n or not m or 5 * min(n, m) < 4 * max(n, m):
         return False
-    for factor in _ORDERS:
-        heads = [x[np.argpartition(x * np.uint64(factor), len(x) // 5)[:len(x) // 5 + 1]] for x in (a, b)]
-        if not len(np.intersect1d(*heads, assume_unique=True)):
-            return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= 80 * (n + m - both)
 
@@ -183,19 +179,34 @@ def _stay_batches(batches, shared) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(batch.column(0).to_numpy()[stay])], names=["key"])
 
 
+def _int_lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.append(0, np.cumsum([len(p) for p in parts]))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.int32()))
+
+
 def _whole_batches(batches, levels) -> Iterator[pa.RecordBatch]:
-    """Of the texts of which 80 % of the whole set occur elsewhere: what may occur elsewhere of their n // 5 + 1 rarest, and its place."""
+    """Of the texts of which 80 % of the whole set occur elsewhere: what may occur elsewhere of their n // 5 + 1 rarest, with
+    its places; the n // 5 + s first under the orders B and C, in 32 bits, and how many of them a link needs; the more a text's shingles are common ones, the less
+    is ``unlike``."""
     for rows, data, offsets in text_blocks(batches):
-        found = [[], [], [], []]
+        keys, sizes, tokens, places, unlike, heads, needs = [], [], [], [], [], ([], []), []
         for key, s in zip(rows.column(0).to_pylist(), shingle_sets(data, offsets)):
             level = levels.value.of(s)
             if len(s) and 5 * (level > 0).sum() >= 4 * len(s):
-                head = np.lexsort((s, level))[:len(s) // 5 + 1]
+                first = len(s) // 5 + 1
+                head = np.lexsort((s, level))[:first]
                 place = np.flatnonzero(level[head] > 0)
-                for column, x in zip(found, (np.full(len(place), key), np.full(len(place), len(s)), s[head[place]].view(np.int64), place)):
-                    column.append(x.astype(np.int64))
-        columns = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in found]
-        yield pa.record_batch(columns, names=["key", "n", "token", "pos"])
+                keys.append(key), sizes.append(len(s)), unlike.append(-int(1000 * level.mean()))
+                tokens.append(s[head[place]]), places.append(place)
+                spare = 1 + len(s) // 5
+                length = len(s) // 5 + spare
+                for out, factor in zip(heads, _ORDERS):
+                    ranked = np.partition(s * np.uint64(factor), length - 1)[:length]
+                    out.append(np.unique((ranked >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+                needs.append(spare - length + min(len(out[-1]) for out in heads))  # those equal in 32 bits count once
+        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(unlike, pa.int64()), _lists(tokens),
+                               _int_lists(places), *(_int_lists(h) for h in heads), pa.array(needs, pa.int64())],
+                              names=["key", "n", "unlike", "tokens", "places", "b", "c", "need"])
 
 
 def _linked_batches(batches) -> Iterator[pa.RecordBatch]:
@@ -207,6 +218,14 @@ def _linked_batches(batches) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([rows.column(0), rows.column(1), pa.array(ok)], names=["a", "b", "ok"])
 
 
+def _ordered(pairs: DataFrame, orders: DataFrame) -> DataFrame:
+    """The pairs that also share enough prefix shingles under order B and under order C: no text has moved yet."""
+    of = lambda x: orders.select(F.col("key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("b", "c", "need")))
+    need = F.greatest(F.least("need_a", "need_b"), F.lit(1))
+    enough = [F.size(F.array_intersect(f"{c}_a", f"{c}_b")) >= need for c in ("b", "c")]
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(enough[0] & enough[1]).select("a", "b")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b of ``pairs`` with whether they link."""
     left = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
@@ -262,10 +281,15 @@ def nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     texts = written(keyed.select("key", "text").where(member("key")).groupBy("key").agg(F.first("text").alias("text")), "texts")
     items = texts.mapInArrow(_set_batches, "key long, items array<long>").select(F.explode("items").alias("token"))
     whole = levels_of(written(_shared(items), "shared-whole"))
-    rows = written(texts.mapInArrow(lambda b: _whole_batches(b, whole), "key long, n long, token long, pos long"), "heads")
+    heads = written(texts.mapInArrow(lambda b: _whole_batches(b, whole),
+                                     "key long, n long, unlike long, tokens array<long>, places array<int>, b array<int>, c array<int>, need long"), "heads")
+    rows = (heads.select("key", "n", "unlike", F.explode(F.arrays_zip(F.col("tokens").alias("token"), F.col("places").alias("pos"))).alias("x"))
+            .select("key", "n", "unlike", "x.token", F.col("x.pos").cast("long").alias("pos")))
+    orders = heads.select("key", "b", "c", "need")
 
     root_of, links, tested = None, None, None
-    centres = {"least": F.col("key"), "greatest": F.bitwise_not("key"), "mixed": F.xxhash64("key", "token"), "mixed again": F.xxhash64("token", "key")}
+    # the most usual text of near copies is the likeliest to link with the others: their edits differ, what they left does not
+    centres = {"usual": F.struct("unlike", "key"), "least": F.struct("key"), "mixed": F.struct(F.xxhash64("key", "token"))}
     for step in (*centres, "rest"):
         active = rows.withColumn("root", F.col("key")) if root_of is None else (
             rows.join(root_of, "key", "left").withColumn("root", F.coalesce("root", "key")))
@@ -284,9 +308,11 @@ def nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
             to = active.groupBy("token").agg(one.alias("x")).select("token", F.col("x.key").alias("other"), F.col("x.n").alias("other_n"),
                                                                     F.col("x.pos").alias("other_pos"), F.col("x.root").alias("other_root"))
             pairs = _pairs(active, to, tested)
-        done = written(_verify(pairs, texts), "verified")
+        done = written(_verify(_ordered(pairs, orders), texts), "verified")
         tested = done if tested is None else tested.unionByName(done)
         new = done.where("ok").select("a", "b")
+        if new.isEmpty():
+            continue
         links = new if links is None else links.unionByName(new)
         root_of = connected(links)
     return sketch.select("doc_id", "key", "n"), root_of

@@ -195,6 +195,47 @@ def test_join_equals_brute_force(spark, seed):
     assert {r.doc_id for r in kept if not shingles(r.text)} == {d for d, t in rows if not shingles(t)}
 
 
+def mosaics(seed, n=110, passages=30, of=8):
+    """Texts that share passages and do not link, with a few near copies of some, and a family whose copies have edits of their own."""
+    rng = random.Random(seed)
+    parts = [" ".join(f"p{i}x{j}" for j in range(40)) for i in range(passages)]
+    rows = [(i, " ".join(rng.sample(parts, of))) for i in range(n)]
+    for i in range(0, n, 10):
+        w = rows[i][1].split()
+        w[rng.randrange(len(w))] = "edited"
+        rows.append((n + i, " ".join(w)))
+    base = [f"b{i}" for i in range(150)]
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randint(1, 5)):
+            w[rng.randrange(len(w))] = f"e{i}"
+        rows.append((1000 + i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mosaics_and_families_equal_brute_force(spark, seed):
+    rows = mosaics(seed)
+    got = shingle_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(repr((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(rows)
+
+
+def test_orders_prune_before_texts_move(spark, monkeypatch):
+    """Of the pairs of mosaics that share a shingle, few are left to verify."""
+    moved = []
+    verify = shingle_join._verify
+    monkeypatch.setattr(shingle_join, "_verify", lambda pairs, texts: moved.append(pairs.count()) or verify(pairs, texts))
+    rows = [r for r in mosaics(3, n=200) if r[0] < 200]
+    assert shingle_join.join(spark.createDataFrame(rows, "doc_id long, text string")).count() == 200
+    assert sum(moved) < 200 * 199 / 2 * 0.15
+
+
+def test_join_takes_a_very_long_text(spark):
+    text = " ".join(f"w{i % 90_001}" for i in range(250_000))
+    rows = [(1, text), (2, text + " end"), (3, "short")]
+    assert [r.component_id for r in shingle_join.join(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()] == [1, 1, 3]
+
+
 def test_join_without_rows_or_links(spark):
     docs = spark.createDataFrame([(1, "all alone here"), (2, None)], "doc_id long, text string")
     assert sorted(map(tuple, shingle_join.join(docs).collect())) == [(1, 1, 1), (2, 0, 2)]
