@@ -6,27 +6,30 @@ target encoded (classification) -> split (exact and stratified for
 classification) -> scaler fitted on the training rows -> optional class
 rebalancing -> each selected estimator is
 fitted, evaluated on the test rows and cross-validated on the training
-rows with min(folds, 3) folds.  Every step is a distributed Spark job; the
-estimators are Spark's own.
+rows with min(folds, 3) folds.  Every step is a distributed Spark job.
+
+Forests and boosting grow all folds' models in the same jobs (``trees``),
+linear and ridge regression come from one Gram matrix per fold (``linear``);
+logistic regression and the single tree are Spark's own.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
-                                   RandomForestRegressor)
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsense.functions.columns import normalize_nan, q
+from tabsense.operators import linear, trees
 from tabsense.operators import metrics as M
 from tabsense.operators.chartdata import md5_rank
 from tabsense.operators.cleaning import MISSING_LABEL
@@ -54,37 +57,13 @@ class ModelOptions:
     max_bins: int = 32
 
 
-def make_estimator(name: str, task: str, n_train: int, n_classes: int = 2, seed: int = DEFAULT_SEED,
-                   label_std: float = 1.0, options: ModelOptions = ModelOptions()):
-    """Spark estimator for one of the reference's model names."""
-    if name in UNAVAILABLE:
-        raise ValueError(f"{name} is not available in this build (no external boosting library)")
+def make_estimator(name: str, task: str, n_train: int, seed: int = DEFAULT_SEED, options: ModelOptions = ModelOptions()):
+    """Spark's estimator for one of the reference's model names that this library does not fit itself."""
     tree = dict(maxDepth=options.max_depth, maxBins=options.max_bins, seed=seed)
-    forest = dict(numTrees=options.trees, **tree)
-    boosted = dict(maxIter=options.rounds, maxDepth=3, stepSize=0.1, maxBins=options.max_bins, seed=seed)
-    if task == "classification":
-        if name == "Random Forest":
-            return RandomForestClassifier(**forest)
-        if name == "Gradient Boosting":
-            gbt = GBTClassifier(**boosted)
-            return gbt if n_classes <= 2 else OneVsRest(classifier=gbt)
-        if name == "Logistic Regression":
-            return LogisticRegression(maxIter=1000, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
-                                      standardization=False)
-        if name == "Decision Tree":
-            return DecisionTreeClassifier(**tree)
-    else:
-        if name == "Random Forest":
-            return RandomForestRegressor(**forest)
-        if name == "Gradient Boosting":
-            return GBTRegressor(**boosted)
-        if name == "Linear Regression":
-            return LinearRegression(regParam=0.0, solver="normal")
-        if name == "Ridge Regression":
-            return LinearRegression(regParam=RIDGE_ALPHA * label_std / max(n_train, 1), elasticNetParam=0.0,
-                                    standardization=False, solver="normal")
-        if name == "Decision Tree":
-            return DecisionTreeRegressor(**tree)
+    if task == "classification" and name == "Logistic Regression":
+        return LogisticRegression(maxIter=1000, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False)
+    if name == "Decision Tree":
+        return DecisionTreeClassifier(**tree) if task == "classification" else DecisionTreeRegressor(**tree)
     raise ValueError(f"unknown model {name!r} for {task}")
 
 
@@ -150,30 +129,22 @@ def train_models(df: DataFrame, target: str, features: list[str] | None = None,
     options = replace(options, max_bins=max(options.max_bins, bins))
     if balance and task == "classification":
         train = smote(train, "label", inputs, seed=seed).withColumn("_key", F.xxhash64("label", *[q(c) for c in inputs]))
-    assemble = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error")
     folds = min(cv_folds, MAX_CV_FOLDS)
-    train = assemble.transform(train).withColumn("fold", (md5_rank("_key", seed + 1) % folds).cast("int"))
-    train = materialize(train.select("features", "label", "fold"))
-    test_df = assemble.transform(test_df)
-    stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("sd"),
-                      F.countDistinct("label").alias("k"), F.countDistinct("fold").alias("folds")).first()
-    n_train, label_sd, n_classes = stats["n"], stats["sd"] or 1.0, stats["k"]
-    evaluator = (MulticlassClassificationEvaluator(metricName="accuracy") if task == "classification"
-                 else RegressionEvaluator(metricName="r2"))
+    train = materialize(train.withColumn("fold", (md5_rank("_key", seed + 1) % folds).cast("int")).select("_key", *[q(c) for c in inputs], "label", "fold"))
+    stats = train.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fold").alias("folds")).first()
+    crossed = folds >= 2 and stats["folds"] == folds  # else too few rows for every fold: recorded as missing
+    fitters = {"spark": _SparkFits, "trees": _TreeFits, "linear": _LinearFits}
+    made: dict = {}
     preds, cv_rows, models = [], [], {}
     for pos, name in enumerate(names):
-        est = make_estimator(name, task, n_train, n_classes, seed, label_sd, options)
-        model = Pipeline(stages=[est]).fit(train)
+        kind = _fitted_by(name, task)
+        if kind not in made:
+            made[kind] = fitters[kind](train, inputs, task, folds if crossed else 0, stats["n"], seed, options)
+        model, scores = made[kind].fit(name)
         models[name] = model
-        p = model.transform(test_df).select(F.lit(name).alias("model"), F.lit(pos).alias("position"),
-                                            "_key", "label", "prediction")
-        preds.append(p)
-        if stats["folds"] < folds or folds < 2:  # too few rows for every fold: recorded as missing
-            cv_rows.append((name, pos, None, None))
-            continue
-        cv = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(),
-                            evaluator=evaluator, foldCol="fold", numFolds=folds, seed=seed).fit(train)
-        cv_rows.append((name, pos, float(cv.avgMetrics[0]), float(cv.stdMetrics[0])))
+        preds.append(model.transform(made[kind].rows(test_df)).select(F.lit(name).alias("model"), F.lit(pos).alias("position"), "_key", "label", "prediction"))
+        known = [x for x in scores if x is not None] if scores else []
+        cv_rows.append((name, pos, float(np.mean(known)), float(np.std(known))) if known else (name, pos, None, None))
     all_preds = preds[0]
     for p in preds[1:]:
         all_preds = all_preds.unionByName(p)
@@ -188,17 +159,94 @@ def train_models(df: DataFrame, target: str, features: list[str] | None = None,
                        features=inputs, task=task, label_classes=classes)
 
 
+def _fitted_by(name: str, task: str) -> str:
+    if name in UNAVAILABLE:
+        raise ValueError(f"{name} is not available in this build (no external boosting library)")
+    if name in ("Random Forest", "Gradient Boosting"):
+        return "trees"
+    if task == "regression" and name in ("Linear Regression", "Ridge Regression"):
+        return "linear"
+    return "spark"
+
+
+class _SparkFits:
+    """Fits of Spark's own estimators; cross-validation fits each fold's model beside the others."""
+
+    def __init__(self, train, inputs, task, folds, n_train, seed, options):
+        self.assemble = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error")
+        self.train = materialize(self.rows(train).select("features", "label", "fold"))
+        self.task, self.folds, self.n_train, self.seed, self.options = task, folds, n_train, seed, options
+
+    def rows(self, df: DataFrame) -> DataFrame:
+        return self.assemble.transform(df)
+
+    def fit(self, name: str):
+        estimator = make_estimator(name, self.task, self.n_train, self.seed, self.options)
+        model = Pipeline(stages=[estimator]).fit(self.train)
+        if not self.folds:
+            return model, None
+        evaluator = (MulticlassClassificationEvaluator(metricName="accuracy") if self.task == "classification"
+                     else RegressionEvaluator(metricName="r2"))
+        cv = CrossValidator(estimator=estimator, estimatorParamMaps=ParamGridBuilder().build(), evaluator=evaluator, foldCol="fold",
+                            numFolds=self.folds, seed=self.seed, parallelism=self.folds, collectSubModels=False).fit(self.train)
+        # Spark gives the mean and the deviation: two values with both stand for the folds'
+        return model, [cv.avgMetrics[0] - cv.stdMetrics[0], cv.avgMetrics[0] + cv.stdMetrics[0]]
+
+
+class _TreeFits:
+    """Forests and boosting on rows that are binned once."""
+
+    def __init__(self, train, inputs, task, folds, n_train, seed, options):
+        self.labels = None
+        if task == "classification":
+            found = [r[0] for r in train.select("label").distinct().limit(M.MAX_CLASSES + 1).collect()]
+            if len(found) > M.MAX_CLASSES:
+                raise ValueError(f"more than {M.MAX_CLASSES} classes: the target is not categorical")
+            self.labels = np.array(sorted(found), np.float64)
+        self.cuts = trees.cut_points(train, inputs, options.max_bins)
+        self.binned = trees.binned(train, inputs, self.cuts, self.labels)
+        self.inputs, self.folds, self.seed, self.options = inputs, folds, seed, options
+
+    def rows(self, df: DataFrame) -> DataFrame:
+        return df
+
+    def fit(self, name: str):
+        shape = (self.binned, self.inputs, self.cuts, self.labels, self.folds)
+        if name == "Random Forest":
+            model = trees.forest(*shape, self.options.trees, self.options.max_depth, self.seed)
+        else:
+            model = trees.boosting(*shape, self.options.rounds, self.seed)
+        if not self.folds:
+            return model, None
+        held = model.held_out(self.binned)
+        met = M.classification_metrics(held, by=["fold"]) if self.labels is not None else M.regression_metrics(held, by=["fold"])
+        return model, [r[0] for r in met.select("accuracy" if self.labels is not None else "r2").collect()]  # one row per fold
+
+
+class _LinearFits:
+    """Least squares from the folds' Gram matrices, summed once for all models."""
+
+    def __init__(self, train, inputs, task, folds, n_train, seed, options):
+        self.inputs, self.folds = inputs, folds
+        self.grams, self.shift = linear.grams(train, inputs, max(folds, MAX_CV_FOLDS))
+
+    def rows(self, df: DataFrame) -> DataFrame:
+        return df
+
+    def fit(self, name: str):
+        model, scores = linear.fit(self.grams, self.shift, self.inputs, RIDGE_ALPHA if name == "Ridge Regression" else 0.0)
+        return model, scores if self.folds else None
+
+
 def feature_importance(run: TrainingRun, model_name: str, k: int | None = None) -> DataFrame:
-    """(feature, importance) of a tree model, descending, the first ``k`` if given; multi-class
-    boosting (one-vs-rest) averages its binary models' importances."""
+    """(feature, importance) of a tree model, descending, the first ``k`` if given."""
     spark = run.metrics.sparkSession
-    stage = run.models[model_name].stages[-1]
-    if hasattr(stage, "featureImportances"):
-        imp = stage.featureImportances.toArray().tolist()
-    elif hasattr(stage, "models") and all(hasattr(m, "featureImportances") for m in stage.models):
-        arrs = [m.featureImportances.toArray() for m in stage.models]
-        imp = (sum(arrs) / len(arrs)).tolist()
+    model = run.models[model_name]
+    if hasattr(model, "importances"):
+        imp = model.importances()
     else:
+        imp = model.stages[-1].featureImportances.toArray().tolist() if hasattr(model.stages[-1], "featureImportances") else None
+    if imp is None:
         return spark.createDataFrame([], "feature string, importance double")
     rows = [(f, float(v)) for f, v in zip(run.features, imp)]
     out = spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")

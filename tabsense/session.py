@@ -36,6 +36,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def worker_path(spark: SparkSession) -> None:
+    """Python workers inherit the folder of the package, in case the session was started elsewhere."""
+    if ROOT not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder the cluster names for checkpoints, if any."""
     d = spark.sparkContext.getCheckpointDir()
