@@ -136,3 +136,35 @@ def column_stats(df, cols: list[str], **aggs) -> dict[str, dict]:
         *[fn(x).alias(name) for name, fn in aggs.items()]).collect()
     got = {r["position"]: r.asDict() for r in rows}
     return {c: {name: got.get(i, {}).get(name) for name in aggs} for i, c in enumerate(cols)}
+
+
+def fixed(c, decimals: int):
+    """Text of a number with ``decimals`` places, rounded as C and Python do: by the double's exact binary value, exact ties to
+    even.  (``format_string`` rounds the shortest decimal form half up: 0.33375, which is a little less, gives 0.3338.)
+
+    x * 10^d = p + e exactly, with p the rounded product and e its error from splitting both factors in halves; the
+    fraction of p decides, and e where that is one half.  From 2^52 / 10^d on, a double has no further places to round."""
+    scale = 10.0 ** decimals
+    s_split = scale * 134217729.0
+    s_high = s_split - (s_split - scale)
+    s_low = scale - s_high
+    let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  a value that is used often, once
+
+    def error(x, p):
+        high = let(x * F.lit(134217729.0), lambda split: split - (split - x))
+        return let(high, lambda h: ((h * F.lit(s_high) - p) + h * F.lit(s_low) + (x - h) * F.lit(s_high)) + (x - h) * F.lit(s_low))
+
+    def rounded(x, p, whole):
+        rest = p - whole.cast("double")
+        tie = let(error(x, p), lambda e: (e > 0) | ((e == 0) & (whole % 2 == 1)))
+        return whole + F.when((rest > 0.5) | ((rest == 0.5) & tie), F.lit(1)).otherwise(F.lit(0))
+
+    def text(n):
+        digits = F.lpad(n.cast("string"), F.greatest(F.length(n.cast("string")), F.lit(decimals + 1)), F.lit("0"))
+        point = F.length(digits) - decimals
+        return F.concat(F.substring(digits, F.lit(1), point), F.lit("." if decimals else ""), F.substring(digits, point + 1, F.lit(decimals)))
+
+    def shown(x):
+        return let(x * F.lit(scale), lambda p: F.when(p < 2.0 ** 52, let(rounded(x, p, F.floor(p)), text)).otherwise(F.format_string(f"%.{decimals}f", x)))
+
+    return F.when(c.isNotNull(), F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")), let(F.abs(c.cast("double")), shown)))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsense.functions.columns import q
+from tabsense.functions.stats import fixed
 
 
 def _by(by):
@@ -160,8 +161,8 @@ NEXT_GOOD = ["Model Deployment: Ready for production deployment",
 
 
 def _fmt(c: Column, decimals: int) -> Column:
-    """Fixed-decimals text of an already half-even-rounded number."""
-    return F.format_string(f"%.{decimals}f", F.bround(c, decimals))
+    """Fixed-decimals text."""
+    return fixed(c, decimals)
 
 
 def _tpl(template: str, **parts: Column) -> Column:

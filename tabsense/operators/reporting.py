@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tabsense.functions.columns import nan_as_missing, categorical_columns, numeric_columns
 from tabsense.functions.frequencies import top_k, value_counts
-from tabsense.functions.stats import null_count
+from tabsense.functions.stats import fixed, null_count
 from tabsense.operators.profile import correlation_pairs, describe_numeric, profile_numeric
 from tabsense.operators.quality import null_counts_long
 
@@ -100,7 +100,7 @@ def describe_lines(df: DataFrame) -> DataFrame:
     if not nums:
         return head.where("false")
     order = F.create_map(*[x for i, c in enumerate(nums) for x in (F.lit(c), F.lit(i + 1))])
-    cells = [F.concat(F.lit(label + "="), F.when(F.col(c).isNull(), "NaN").otherwise(F.format_string("%.3f", F.col(c)))) for c, label in DESCRIBED]
+    cells = [F.concat(F.lit(label + "="), F.when(F.col(c).isNull(), "NaN").otherwise(fixed(F.col(c), 3))) for c, label in DESCRIBED]
     return head.unionByName(describe_numeric(df, 3).select(
         order[F.col("column_name")].cast("int").alias("line_no"), F.concat(F.col("column_name"), F.lit(": "), F.concat_ws(", ", *cells)).alias("line")))
 
@@ -143,12 +143,12 @@ def summary_blocks(scorecard: DataFrame | None = None, cleaning_summary: DataFra
                           F.lit(f"  ... and {more} more features" if more > 0 else None).cast("string"),
                           F.lit("Task Type: " + task.capitalize()), F.concat(F.lit("Best Trained Model: "), F.col("model")),
                           F.lit("Model Performance Metrics on Test Set:"),
-                          *[F.concat(F.lit(f"  {label}: "), F.format_string("%.4f", F.col(c))) for c, label in _scalars(task) if c != "cv_std"]])
+                          *[F.concat(F.lit(f"  {label}: "), fixed(F.col(c), 4)) for c, label in _scalars(task) if c != "cv_std"]])
         if importances is not None:
             top = _top_importances(importances, SUMMARY_IMPORTANCES)
             block(best, 550, [F.lit("Top Feature Importances (Predictive Power):")])
             parts.append(top.select((F.lit(550) + F.col("rank")).alias("line_no"),
-                                    F.concat(F.lit("  "), "feature", F.lit(": "), F.format_string("%.4f", F.col("importance"))).alias("line")))
+                                    F.concat(F.lit("  "), "feature", F.lit(": "), fixed(F.col("importance"), 4)).alias("line")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -162,7 +162,7 @@ def model_section(best: DataFrame, target: str, task: str, importances: DataFram
         (0, L(f"## {section}. Machine Learning Modeling")), (1, L("")), (2, L(f"**Target Variable:** `{target}`  ")),
         (3, L(f"**Task Type:** `{task.capitalize()}`  ")), (4, F.concat(L("**Best Algorithm:** `"), F.col("model"), L("`"))), (5, L("")),
         (6, L("| Metric | Value |")), (7, L("|--------|-------|")),
-        *[(8 + k, F.concat(L(f"| {label} | "), F.format_string("%.4f", F.col(c)), L(" |"))) for k, (c, label) in enumerate(_scalars(task))],
+        *[(8 + k, F.concat(L(f"| {label} | "), fixed(F.col(c), 4), L(" |"))) for k, (c, label) in enumerate(_scalars(task))],
         (20, L(""))]).where(F.col("line").isNotNull())
     if importances is None:
         return rows
@@ -170,7 +170,7 @@ def model_section(best: DataFrame, target: str, task: str, importances: DataFram
                                   (24, L("|---------|------------|")), (40, L(""))])
     top = _top_importances(importances, REPORT_IMPORTANCES).select(
         L(section).alias("section"), (L(section * 100 + 24) + F.col("rank")).alias("line_no"),
-        F.concat(L("| "), "feature", L(" | "), F.format_string("%.4f", F.col("importance")), L(" |")).alias("line"))
+        F.concat(L("| "), "feature", L(" | "), fixed(F.col("importance"), 4), L(" |")).alias("line"))
     return rows.unionByName(head).unionByName(top)
 
 

@@ -245,19 +245,9 @@ def _next_sql(score, low, weak):
 
 
 @register("comparison_table_regression", sql_with(
-    "SELECT model, position, round_even(r2, 4) AS r2, round_even(mae, 4) AS mae, round_even(mse, 4) AS mse, round_even(rmse, 4) AS rmse, "
-    "round_even(cv_mean, 4) AS cv_mean, round_even(cv_std, 4) AS cv_std, "
-    "CASE WHEN cv_mean IS NOT NULL AND cv_mean <> 0 THEN round_even(cv_mean, 4) END AS cv_score FROM rt "
-    "WHERE model = 'Rounded price'", *_reg_table_sql()))
-def q_comparison_table_regression(spark, sf):
-    t = M.model_comparison(regression_table(spark, sf), "regression", long=False)
-    return t.where(F.col("model") == "Rounded price")  # the others' errors pass 12 significant digits
-
-
-@register("comparison_table_regression_all", sql_with(
     "SELECT model, position, " + _rsig(["r2", "mae", "mse", "rmse", "cv_mean", "cv_std"]) + ", "
     "CASE WHEN cv_mean IS NOT NULL AND cv_mean <> 0 THEN round_even_sig(cv_mean, 4) END AS cv_score FROM rt", *_reg_table_sql()))
-def q_comparison_table_regression_all(spark, sf):
+def q_comparison_table_regression(spark, sf):
     """Every model of the table, compared by significant digits."""
     t = M.model_comparison(regression_table(spark, sf), "regression", long=False)
     return t.select("model", "position", *[round_sig(c, 4).alias(c) for c in
@@ -521,6 +511,31 @@ def q_linear_one_feature(spark, sf):
     return run.metrics.select("model", F.bround("r2", 6).alias("r2"), F.bround("mae", 4).alias("mae"), F.bround("cv_mean", 6).alias("cv_mean"), "n")
 
 
+@register("linear_two_features", f"""
+WITH s AS (SELECT CAST(l_quantity AS DOUBLE) AS x1, l_discount * 100 AS x2, l_extendedprice AS y,
+             {_RANK.format(k="l_orderkey * 100 + l_linenumber", s=42)} < 858993459 AS held,
+             {_RANK.format(k="l_orderkey * 100 + l_linenumber", s=43)} % 3 AS fold FROM lineitem),
+t AS (SELECT f.fit, x1, x2, y FROM s, (VALUES (-1), (0), (1), (2)) f(fit) WHERE NOT held AND s.fold <> f.fit),
+g AS (SELECT fit, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, count(*) * var_pop(x1) AS s11, count(*) * var_pop(x2) AS s22,
+        count(*) * covar_pop(x1, x2) AS s12, count(*) * covar_pop(x1, y) AS s1y, count(*) * covar_pop(x2, y) AS s2y FROM t GROUP BY fit),
+w AS (SELECT fit, model, position, m1, m2, my, ((s22 + a) * s1y - s12 * s2y) / ((s11 + a) * (s22 + a) - s12 * s12) AS b1,
+        ((s11 + a) * s2y - s12 * s1y) / ((s11 + a) * (s22 + a) - s12 * s12) AS b2
+      FROM g, (VALUES ('Linear Regression', 0, 0.0), ('Ridge Regression', 1, 1.0)) k(model, position, a)),
+e AS (SELECT model, position, fit, held, y, y - my - b1 * (x1 - m1) - b2 * (x2 - m2) AS err
+      FROM s JOIN w ON (s.held AND w.fit = -1) OR (NOT s.held AND w.fit = s.fold)),
+r AS (SELECT model, position, fit, 1 - avg(err * err) / var_pop(y) AS r2, avg(abs(err)) AS mae, count(*) AS n FROM e GROUP BY ALL)
+SELECT model, CAST(position AS INTEGER) AS position, round_even(any_value(r2) FILTER (WHERE fit = -1), 6) AS r2, round_even(any_value(mae) FILTER (WHERE fit = -1), 4) AS mae,
+  round_even(avg(r2) FILTER (WHERE fit >= 0), 6) AS cv_mean, round_even(stddev_pop(r2) FILTER (WHERE fit >= 0), 6) AS cv_std,
+  any_value(n) FILTER (WHERE fit = -1) AS n FROM r GROUP BY model, position""")
+def q_linear_two_features(spark, sf):
+    """Least squares and ridge on two features, held-out error and cross-validation, against DuckDB's closed form."""
+    li = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("key"), F.col("l_quantity").cast("double").alias("l_quantity"),
+                                             (F.col("l_discount") * 100).alias("discount_percent"), "l_extendedprice")
+    run = ML.train_models(li, "l_extendedprice", ["l_quantity", "discount_percent"], "regression", ["Linear Regression", "Ridge Regression"], key="key", scaling="none")
+    return run.metrics.select("model", "position", F.bround("r2", 6).alias("r2"), F.bround("mae", 4).alias("mae"), F.bround("cv_mean", 6).alias("cv_mean"),
+                              F.bround("cv_std", 6).alias("cv_std"), "n")
+
+
 @register("feature_importance")
 def q_feature_importance(spark, sf):
     run = ML.train_models(_li_keyed(spark, sf), "l_returnflag", _CLS_FEATURES, "classification",

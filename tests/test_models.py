@@ -158,5 +158,5 @@ def test_registered_runs_have_the_operators_own_sizes(spark, monkeypatch):
 def test_regression_comparison_keeps_every_model(spark):
     from conftest import SF_SMALL
     from tabsense.plans import catalog
-    rows = catalog.queries()["comparison_table_regression_all"](spark, SF_SMALL).collect()
+    rows = catalog.queries()["comparison_table_regression"](spark, SF_SMALL).collect()
     assert {r["model"] for r in rows} == {"Quantity x1500", "Rounded price", "Quantity x1000"} and len(rows) == 3

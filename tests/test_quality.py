@@ -59,3 +59,18 @@ def test_duplicates_tell_null_places_apart_and_survive_a_hot_row(spark):
     assert tuple(counted.first()) == (3000, 0, 999)
     plan = counted._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Scan") + plan.count("Range") <= 2
+
+
+def test_fixed_digits_equal_c(spark):
+    """Ties, near ties on both sides, signs, small and large numbers, as Python formats the binary value."""
+    import random
+    from pyspark.sql import functions as F
+    from tabsense.functions.stats import fixed
+    rng = random.Random(1)
+    values = [0.33375, 0.5, 1.5, 2.5, -2.5, 0.125, 0.375, -0.125, 1e-9, -1e-9, 0.0, 99.995, 1.005, 2.675, 9.9999, 9.99995, 1e8 + 0.5, 123456789.00005, 3e20, 1e11 + 0.3]
+    values += [rng.randint(0, 10 ** 6) / 10 ** rng.randint(1, 7) for _ in range(3000)] + [rng.randint(0, 2 ** 20) / 2 ** rng.randint(1, 12) for _ in range(2000)]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randint(-6, 9) for _ in range(2000)] + [float(f"{rng.randint(0, 9999)}.{rng.randint(0, 9999):04d}5") for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    for d in (0, 1, 2, 3, 4):
+        got = [r[0] for r in df.select(fixed(F.col("x"), d)).collect()]
+        assert got == [f"{v:.{d}f}" for v in values] + [None]
