@@ -96,17 +96,6 @@ def unpivot_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
         for i, c in enumerate(cols)])))
 
 
-def unpivot_pairs(df: DataFrame, cols: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
-    """Long form ``(i, j, a, b)`` for each column pair, both values NULL unless
-    both are present (pairwise-complete rows, as pandas ``corr``)."""
-    def pair(i, j):
-        a, b = q(cols[i]).cast("double"), q(cols[j]).cast("double")
-        both = a.isNotNull() & b.isNotNull()
-        return F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                        F.when(both, a).alias("a"), F.when(both, b).alias("b"))
-    return df.select(F.inline(F.array(*[pair(i, j) for i, j in pairs])))
-
-
 def name_of(position: Column, cols: list[str]) -> Column:
     """Column name for a 0-based position, from a literal array of names."""
     return F.element_at(F.array(*[F.lit(c) for c in cols]), position + 1)

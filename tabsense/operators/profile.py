@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsense.functions.columns import (nan_as_missing, categorical_columns, name_of, numeric_columns, q,
-                                        unpivot_numeric, unpivot_pairs)
+                                        unpivot_numeric)
+from tabsense.functions.comoments import pair_moments
 from tabsense.functions.frequencies import hashed_distinct_counts, top_k, value_counts
 from tabsense.functions.quantiles import quantiles
 from tabsense.functions.stats import column_stats, merge_rows, null_count, round_sig, strength_label
@@ -177,16 +178,15 @@ def correlation_pairs(df: DataFrame, cols: list[str] | None = None, digits: int
     """(i, j, variable_1, variable_2, correlation) for every pair i<j of
     numeric columns; NULL when undefined (constant or too few pairs).
 
-    One scan: the pairwise-complete values of every pair are unpivoted and
-    grouped by pair, so the aggregation buffer stays small (codegen) and the
-    map side emits one partial row per pair."""
+    The pairs' sums come from matrix products over blocks of columns: a task
+    gives one row per column, whatever the number of rows and pairs."""
     cols = cols if cols is not None else numeric_columns(df)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     schema = "i int, j int, variable_1 string, variable_2 string, correlation double"
     if not pairs:
         return df.sparkSession.createDataFrame([], schema)
-    g = unpivot_pairs(df, cols, pairs).groupBy("i", "j").agg(
-        F.covar_pop("a", "b").alias("cov"), (F.stddev_pop("a") * F.stddev_pop("b")).alias("den"))
+    every = F.broadcast(df.sparkSession.createDataFrame(pairs, "i int, j int"))  # a pair without a common row is there too
+    g = every.join(pair_moments(df, cols), ["i", "j"], "left")
     r = F.when(F.col("den") > 0, F.try_divide(F.col("cov"), F.col("den")))
     return g.select("i", "j", name_of(F.col("i"), cols).alias("variable_1"),
                     name_of(F.col("j"), cols).alias("variable_2"),

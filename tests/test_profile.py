@@ -1,7 +1,9 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from tabsense.functions import comoments
 from tabsense.functions.quantiles import exact_quantiles
 from tabsense.operators import profile as P
 
@@ -88,3 +90,49 @@ def test_top_values_ties(spark):
     df = spark.createDataFrame([("b",), ("a",), ("c",), ("c",)], "v string")
     rows = P.top_values(df, ["v"], 2).orderBy("rank").collect()
     assert [(r["value"], r["count"]) for r in rows] == [("c", 2), ("a", 1)]
+
+
+def _plain_pairs(x):
+    """Correlations over pairwise-complete rows by numpy, None where undefined."""
+    out = {}
+    for i in range(x.shape[1]):
+        for j in range(i + 1, x.shape[1]):
+            ok = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            a, b = x[ok, i], x[ok, j]
+            out[i, j] = None if len(a) < 2 or len(set(a)) < 2 or len(set(b)) < 2 else float(np.corrcoef(a, b)[0, 1])
+    return out
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 12])
+def test_pair_moments_equal_numpy(spark, monkeypatch, cells):
+    """Missing and NaN cells, a constant, a column far from zero, a column that is constant where another is present."""
+    monkeypatch.setattr(comoments, "STRIP_CELLS", cells)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 6))
+    x[:, 1] = 0.5 * x[:, 0] + 0.1 * x[:, 1]
+    x[:, 2] = 0.1
+    x[:, 3] = 1e7 + x[:, 0] + 0.5 * x[:, 3]
+    x[rng.random((300, 6)) < 0.2] = np.nan
+    x[:, 5] = np.where(np.isnan(x[:, 4]), x[:, 5], 0.3)
+    x[:150, 0] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(v) and i % 2 else float(v) for v in r) for i, r in enumerate(x)], ", ".join(f"c{i} double" for i in range(6))).repartition(4)
+    want = _plain_pairs(x)
+    got = {(r.i, r.j): r.correlation for r in P.correlation_pairs(df, digits=None).collect()}
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert (got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-7), (k, got[k], v)
+
+
+def test_correlations_of_three_hundred_columns(spark):
+    df = spark.range(2000).select(*[((F.col("id") * (i + 3)) % (17 + i)).cast("double").alias(f"c{i}") for i in range(300)])
+    pairs = P.correlation_pairs(df, digits=None)
+    assert pairs.count() == 300 * 299 // 2
+    r = pairs.where("i = 3 and j = 299").first()["correlation"]
+    k = np.arange(2000)
+    assert abs(r - np.corrcoef(k * 6 % 20, k * 302 % 316)[0, 1]) < 1e-9
+
+
+def test_correlations_of_few_rows(spark):
+    df = spark.createDataFrame([(1.0, None), (None, 2.0)], "a double, b double")
+    for rows in (df, df.where("false")):
+        assert [tuple(r) for r in P.correlation_pairs(rows).collect()] == [(0, 1, "a", "b", None)]
