@@ -155,6 +155,87 @@ def summary_blocks(scorecard: DataFrame | None = None, cleaning_summary: DataFra
     return out
 
 
+# Wording of the modelling details and of the full context, and where a score's band begins.
+DETAILS_TITLE = "=== MODELING RESULTS DETAILS ==="
+ACCURACY_BANDS = [(0.9, "EXCELLENT - Model is highly accurate"), (0.8, "GOOD - Model performs well"), (0.7, "MODERATE - Model has reasonable accuracy")]
+ACCURACY_LOW = "NEEDS IMPROVEMENT - Consider feature engineering or more data"
+R2_BANDS = [(0.9, "EXCELLENT - Model explains 90%+ variance"), (0.7, "GOOD - Model explains 70%+ variance"), (0.5, "MODERATE - Model explains 50%+ variance")]
+R2_LOW = "NEEDS IMPROVEMENT - Low explanatory power"
+DETAILS_IMPORTANCES = 3
+CONTEXT_COLUMNS, CONTEXT_CATEGORICAL, CONTEXT_VALUES = 15, 4, 3
+# ---------------------------------------------------------------------------
+
+
+def _numbered(frame: DataFrame, items: list) -> DataFrame:
+    """(line_no, line) rows from (line_no, Column) items over a one-row frame; lines that are NULL are left out."""
+    rows = F.array(*[F.struct(F.lit(k).alias("line_no"), c.cast("string").alias("line")) for k, c in items])
+    return frame.select(F.explode(rows).alias("s")).select("s.*").where(F.col("line").isNotNull())
+
+
+def model_details(best: DataFrame, target: str, task: str = "classification", importances: DataFrame | None = None) -> DataFrame:
+    """M1: the modelling details as (line_no, line): the best model's (J5) score, its band, and its first three features."""
+    L = F.lit
+    if task == "classification":
+        score, bands, low = F.col("accuracy"), ACCURACY_BANDS, ACCURACY_LOW
+        scores = [F.concat(L("Best model accuracy: "), fixed(score, 4), L(" ("), fixed(score * 100, 1), L("%)")),
+                  F.concat(L("Best model F1-Score: "), fixed(F.col("f1"), 4))]
+    else:
+        score, bands, low = F.col("r2"), R2_BANDS, R2_LOW
+        scores = [F.concat(L("Best model R² score: "), fixed(score, 4)), F.concat(L("Best model RMSE: "), fixed(F.col("rmse"), 4))]
+    band = L(low)
+    for least, text in reversed(bands):
+        band = F.when(score >= least, L(text)).otherwise(band)
+    out = _numbered(best, [(600, L(DETAILS_TITLE)), (601, F.concat(L("Best performing model: "), F.col("model"))), (602, L(f"Task: {task} - predicting '{target}'")),
+                           (603, scores[0]), (604, scores[1]), (605, F.concat(L("Performance: "), band))])
+    if importances is None:
+        return out
+    top = _top_importances(importances, DETAILS_IMPORTANCES).agg(F.sort_array(F.collect_list(F.struct("rank", "feature"))).alias("t")).where(F.size("t") > 0)
+    names = F.array_join(F.transform("t", lambda s: s["feature"]), ", ")
+    return out.unionByName(_numbered(top, [(606, F.concat(L("Top 3 influential features: "), names))]))
+
+
+@nan_as_missing
+def full_context(df: DataFrame, scorecard: DataFrame | None = None, cleaning_summary: DataFrame | None = None, best: DataFrame | None = None,
+                 target: str = "", task: str = "classification", columns: int = CONTEXT_COLUMNS, categorical: int = CONTEXT_CATEGORICAL,
+                 values: int = CONTEXT_VALUES) -> DataFrame:
+    """M1: the whole context as (line_no, line): shape, the first ``columns`` names, ``describe`` to 2 dp per numeric column, the
+    first ``values`` values of the first ``categorical`` text columns, and the scorecard (G1), model (J5) and cleaning (F2) given."""
+    L, text = F.lit, lambda c: F.col(c).cast("string")
+    nums, cats, more = numeric_columns(df), categorical_columns(df), len(df.columns) - columns
+    parts = [_numbered(df.agg(F.count(L(1)).alias("rows")), [
+        (0, F.concat(L("Shape: "), text("rows"), L(f" rows × {len(df.columns)} columns"))), (1, L("Columns: " + ", ".join(df.columns[:columns]))),
+        (2, L(f"... and {more} more columns" if more > 0 else None))])]
+    one = df.sparkSession.range(1)
+    if nums:
+        order = F.create_map(*[x for i, c in enumerate(nums) for x in (L(c), L(i))])
+        cells = [F.concat(L(label + "="), F.coalesce(fixed(F.col(c), 2), L("NaN"))) for c, label in DESCRIBED]
+        parts += [_numbered(one, [(1000, L("Numeric Statistics:"))]), describe_numeric(df, 2).select(
+            (L(1001) + order[F.col("column_name")]).alias("line_no"), F.concat(F.col("column_name"), L(": "), F.concat_ws(", ", *cells)).alias("line"))]
+    shown = cats[:categorical]
+    if shown:
+        order = F.create_map(*[x for i, c in enumerate(shown) for x in (L(c), L(i))])
+        pair = F.concat(L("'"), F.col("value"), L("': "), text("count"))
+        tops = top_k(value_counts(df, shown), values).groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct("rank", pair.alias("t")))).alias("t"))
+        names = df.sparkSession.createDataFrame([(c,) for c in shown], "column_name string")  # a column without values has a line too
+        listed = F.concat(L("  "), F.col("column_name"), L(": {"), F.coalesce(F.array_join(F.transform("t", lambda s: s["t"]), ", "), L("")), L("}"))
+        parts += [_numbered(one, [(2000, L("Categorical Columns:"))]),
+                  names.join(tops, "column_name", "left").select((L(2001) + order[F.col("column_name")]).alias("line_no"), listed.alias("line"))]
+    if scorecard is not None:
+        parts.append(_numbered(scorecard, [(3000, F.concat(L("Data Quality Score: "), text("score"), L("/100"))),
+                                           (3001, F.concat(L("Completeness: "), text("completeness"), L("%")))]))
+    if best is not None:
+        parts.append(_numbered(best, [
+            (4000, F.concat(L("Machine Learning Model: "), F.col("model"))), (4001, L(f"Predicting Target: {target}")), (4002, L(f"Task type: {task}")),
+            (4003, L("Model Performance Metrics:")), *[(4004 + k, F.concat(L(f"  {label}: "), fixed(F.col(c), 4))) for k, (c, label) in enumerate(_scalars(task))]]))
+    if cleaning_summary is not None:
+        parts.append(_numbered(cleaning_summary, [(5000, L("Cleaning Summary:")), (5001, F.concat(L("  - Rows before: "), text("rows_before"))),
+                                                  (5002, F.concat(L("  - Rows after: "), text("rows_after"))), (5003, F.concat(L("  - Rows removed: "), text("rows_removed")))]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(F.col("line_no").cast("int").alias("line_no"), "line")
+
+
 def model_section(best: DataFrame, target: str, task: str, importances: DataFrame | None = None, section: int = 4) -> DataFrame:
     """M2: the report's model section as (section, line_no, line): the best model's scalar metrics and its first ten importances."""
     L = F.lit

@@ -617,3 +617,50 @@ def q_summary_model_block(spark, sf):
     best = M.best_model(classification_table(spark, sf), "accuracy")
     return RP.summary_blocks(best=best, target="l_returnflag", features=_IMP_FEATURES, importances=_stand_in_importances(spark, sf)) \
         .select(F.col("line_no").cast("int"), "line")
+
+
+@register("model_details", sql_with("""
+SELECT CAST(line_no AS INTEGER) AS line_no, line FROM (
+  SELECT 600 AS line_no, '=== MODELING RESULTS DETAILS ===' AS line
+  UNION ALL SELECT 601, 'Best performing model: ' || model FROM b
+  UNION ALL SELECT 602, 'Task: classification - predicting ''l_returnflag'''
+  UNION ALL SELECT 603, 'Best model accuracy: ' || printf('%.4f', accuracy) || ' (' || printf('%.1f', accuracy * 100) || '%)' FROM b
+  UNION ALL SELECT 604, 'Best model F1-Score: ' || printf('%.4f', f1) FROM b
+  UNION ALL SELECT 605, 'Performance: ' || CASE WHEN accuracy >= 0.9 THEN 'EXCELLENT - Model is highly accurate'
+    WHEN accuracy >= 0.8 THEN 'GOOD - Model performs well' WHEN accuracy >= 0.7 THEN 'MODERATE - Model has reasonable accuracy'
+    ELSE 'NEEDS IMPROVEMENT - Consider feature engineering or more data' END FROM b
+  UNION ALL SELECT 606, 'Top 3 influential features: ' || string_agg(feature, ', ' ORDER BY rk) FROM imp WHERE rk <= 3)""",
+    *_cls_table_sql(), _BEST_SQL, _IMP_SQL))
+def q_model_details(spark, sf):
+    best = M.best_model(classification_table(spark, sf), "accuracy")
+    return RP.model_details(best, "l_returnflag", "classification", _stand_in_importances(spark, sf)).select(F.col("line_no").cast("int"), "line")
+
+
+def _full_context_sql():
+    nums, cats = ["p_partkey", "p_size", "p_retailprice"], ["p_name", "p_brand", "p_type"]
+
+    def cell(e, label):
+        return f"'{label}=' || printf('%.2f', round_even_sig({e}, 2))"
+
+    def numeric(i, c):
+        x = f"CAST({c} AS DOUBLE)"
+        cells = [cell(f"CAST(count({c}) AS DOUBLE)", "count"), cell(f"avg({x})", "mean"), cell(f"stddev_samp({x})", "std"), cell(f"min({x})", "min"),
+                 *[cell(f"quantile_cont({x}, {p})", label) for p, label in ((0.25, "25%"), (0.5, "50%"), (0.75, "75%"))], cell(f"max({x})", "max")]
+        return f"SELECT {1001 + i}, '{c}: ' || " + " || ', ' || ".join(cells) + " FROM part"
+
+    values = " UNION ALL ".join(f"SELECT {i} AS pos, '{c}' AS col, {c} AS v, count(*) AS n FROM part WHERE {c} IS NOT NULL GROUP BY {c}" for i, c in enumerate(cats))
+    lines = ["SELECT 0 AS line_no, 'Shape: ' || CAST(count(*) AS VARCHAR) || ' rows × 6 columns' AS line FROM part",
+             "SELECT 1, 'Columns: p_partkey, p_name, p_brand, p_type, p_size, p_retailprice'", "SELECT 1000, 'Numeric Statistics:'",
+             *[numeric(i, c) for i, c in enumerate(nums)], "SELECT 2000, 'Categorical Columns:'",
+             "SELECT 2001 + pos, '  ' || col || ': {' || string_agg('''' || v || ''': ' || CAST(n AS VARCHAR), ', ' ORDER BY rk) || '}' "
+             f"FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC, v) AS rk FROM ({values})) WHERE rk <= 3 GROUP BY pos, col",
+             "SELECT 4000, 'Machine Learning Model: ' || model FROM b", "SELECT 4001, 'Predicting Target: l_returnflag'", "SELECT 4002, 'Task type: classification'",
+             "SELECT 4003, 'Model Performance Metrics:'",
+             *[f"SELECT {4004 + k}, '  {label}: ' || printf('%.4f', {c}) FROM b" for k, (c, label) in enumerate(RP._scalars("classification"))]]
+    return sql_with("SELECT CAST(line_no AS INTEGER) AS line_no, line FROM (" + " UNION ALL ".join(lines) + ")", *_cls_table_sql(), _BEST_SQL)
+
+
+@register("full_context", _full_context_sql())
+def q_full_context(spark, sf):
+    best = M.best_model(classification_table(spark, sf), "accuracy")
+    return RP.full_context(table(spark, sf, "part"), best=best, target="l_returnflag")
