@@ -4,13 +4,13 @@ Trusted positives are labelled good rows of the training folds; the
 unlabelled set is drawn from all rows of those folds with labels unseen.  The
 class prior is estimated by best-bin estimation: a first model ranks positives
 against unlabelled text, and the prior is the smallest ratio of the unlabelled
-to the positive share above a score, with a confidence margin, on rows kept
-aside.  The scorer, a small network, then minimises the non-negative unbiased
+to the positive share above a score, with a confidence margin, on all rows that
+the first model has not seen: one histogram of scores over the corpus.  The scorer, a small network, then minimises the non-negative unbiased
 risk: pi * R+(g) + max(0, Ru-(g) - pi * Rp-(g)), with the gradient turned
 around in batches where the second term is negative.
 
-The two samples are bounded by ``sample_rows`` and drawn by the hash of the
-id; scoring is one pass over all rows that shuffles nothing.
+The two samples that the networks are fitted on are bounded by ``sample_rows``
+and drawn by the hash of the id; scoring is one pass over all rows that shuffles nothing.
 
 Defined results: a NULL or empty text is scored by its features (zeros);
 where no positive label exists every score is 0.5; repeated rows are scored
@@ -86,43 +86,74 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, hidde
     return m
 
 
-def estimate_prior(positive_scores: np.ndarray, unlabelled_scores: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
-    """Best-bin estimation of the positives' share among the unlabelled."""
-    p, u = np.sort(positive_scores), np.sort(unlabelled_scores)
+def prior_of(positive_scores: np.ndarray, above, n: int, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """Best-bin estimation of the positives' share among ``n`` unlabelled; ``above(cuts)`` counts those that score at least each cut."""
+    p = np.sort(positive_scores)
     cuts = np.unique(p)
     qp = 1 - np.searchsorted(p, cuts, "left") / len(p)
-    qu = 1 - np.searchsorted(u, cuts, "left") / len(u)
-    margin = np.sqrt(np.log(4 / delta) / (2 * len(u))) + np.sqrt(np.log(4 / delta) / (2 * len(p)))
+    qu = above(cuts) / n
+    margin = np.sqrt(np.log(4 / delta) / (2 * n)) + np.sqrt(np.log(4 / delta) / (2 * len(p)))
     best = np.argmin((qu + (1 + gamma) * margin) / qp)
     return float(np.clip(qu[best] / qp[best], 0.01, 0.99))
 
 
+def estimate_prior(positive_scores: np.ndarray, unlabelled_scores: np.ndarray) -> float:
+    """``prior_of`` for scores at hand."""
+    u = np.sort(unlabelled_scores)
+    return prior_of(positive_scores, lambda cuts: len(u) - np.searchsorted(u, cuts, "left"), len(u))
+
+
+def _histogram_batches(batches, model, cuts) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(len(cuts.value) + 1, np.int64)
+    for _, data, offsets in text_blocks(batches, limit=FEATURE_BYTES):
+        place = np.searchsorted(cuts.value, model.value.score(dense(data, offsets)), "right")
+        counts += np.bincount(place, minlength=len(counts))
+    some = np.flatnonzero(counts)
+    yield pa.record_batch([pa.array(some, pa.int64()), pa.array(counts[some])], names=["place", "n"])
+
+
+def corpus_prior(docs: DataFrame, model: Model, positive_scores: np.ndarray) -> float:
+    """The positives' share among all rows of ``docs`` (text), from one histogram of their scores."""
+    cuts = np.unique(positive_scores)
+    context = docs.sparkSession.sparkContext
+    shared, at = context.broadcast(model), context.broadcast(cuts)
+    found = (docs.select("text").mapInArrow(lambda b: _histogram_batches(b, shared, at), "place long, n long")
+             .groupBy("place").agg(F.sum("n").alias("n")).collect())  # one row per cut at most
+    counts = np.zeros(len(cuts) + 1, np.int64)
+    for r in found:
+        counts[r["place"]] = r["n"]
+    least = counts[::-1].cumsum()[::-1]  # rows that score at least the cut before
+    return prior_of(positive_scores, lambda _: least[1:], max(int(counts.sum()), 1))
+
+
 def feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in text_blocks(batches, limit=FEATURE_BYTES):
-        yield pa.record_batch([rows.column(0), list_array(dense(data, offsets))], names=["kind", "features"])
+        yield pa.record_batch([rows.column(0), rows.column(1), list_array(dense(data, offsets))], names=["doc_id", "kind", "features"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Model | None, float]:
-    """Learn from the rows of ``docs`` (doc_id, text) given: positives by ``labels`` (doc_id, good), and as many with labels unseen."""
-    docs, order = docs.select("doc_id", "text"), F.xxhash64("doc_id", F.lit(11))
+    """Learn from the rows of ``docs`` (doc_id, text) given: positives by ``labels`` (doc_id, good), and as many with labels unseen.
+    An id that several rows have stands for one of them."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     good = (labels.where((F.col("good") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-            .join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(order, "doc_id").limit(sample_rows))
+            .join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample_rows))
     web = docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(12)), "doc_id").limit(sample_rows)
     chosen = good.withColumn("kind", F.lit(1)).unionByName(web.withColumn("kind", F.lit(0))).toPandas()  # at most 2 * sample_rows ids
-    picked = docs.sparkSession.createDataFrame(list(zip(map(int, chosen["doc_id"]), map(int, chosen["kind"]))), "doc_id long, kind int")
-    rows = (docs.join(F.broadcast(picked), "doc_id").select("kind", "text")
-            .mapInArrow(feature_batches, "kind int, features array<double>").toPandas())
+    # every other id of each kind is kept from the first model
+    first = np.random.default_rng(3).permutation(len(chosen)) % 2 == 0
+    picked = docs.sparkSession.createDataFrame([(int(i), int(k) * 2 + int(f)) for i, k, f in zip(chosen["doc_id"], chosen["kind"], first)], "doc_id long, kind int")
+    rows = (docs.join(F.broadcast(picked), "doc_id").select("doc_id", "kind", "text")
+            .mapInArrow(feature_batches, "doc_id long, kind int, features array<double>")
+            .groupBy("doc_id", "kind").agg(F.min("features").alias("features")).toPandas().sort_values(["kind", "doc_id"]))
     x = np.stack(rows["features"].to_numpy()) if len(rows) else np.zeros((0, len(NAMES)))
     kind = rows["kind"].to_numpy()
-    order = np.lexsort([*x.T, kind])  # one order, however the rows came
-    p, u = x[order][kind[order] == 1], x[order][kind[order] == 0]
+    p, u = x[kind >= 2], x[kind < 2]
     if not len(p) or not len(u):
         return None, 0.5
-    rng = np.random.default_rng(3)
-    p, u = p[rng.permutation(len(p))], u[rng.permutation(len(u))]
-    hp, hu = (len(p) + 1) // 2, (len(u) + 1) // 2
-    first = fit(p[:hp], u[:hu], None, epochs=15)
-    prior = estimate_prior(first.score(p[hp:] if len(p) > 1 else p), first.score(u[hu:] if len(u) > 1 else u))
+    halves = [x[kind == k] if (kind == k).any() else whole for k, whole in ((3, p), (2, p), (1, u))]
+    model = fit(halves[0], halves[2], None, epochs=15)
+    seen = F.broadcast(picked.where("kind = 1").select("doc_id"))
+    prior = corpus_prior(docs.join(seen, "doc_id", "left_anti"), model, model.score(halves[1]))
     return fit(p, u, prior), prior
 
 

@@ -1,7 +1,7 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-Three disjoint parts of a bounded sample of labelled rows serve in turn: the
-first weighs lexicon terms (words and their first five letters) by the log
+Three disjoint parts of a bounded sample of labelled rows, into which each class
+is dealt by itself, serve in turn: the first weighs lexicon terms (words and their first five letters) by the log
 odds of their document frequencies, the second grows the trees, the third
 calibrates.  Features of a whole text: lexicon densities, nearness of lexicon
 words to the second person, capitals, punctuation and obfuscation rates.
@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -150,25 +151,46 @@ class Model:
         self.lex, self.trees, self.isotonic, self.share = lex, trees, isotonic, share
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = TREES, depth: int = DEPTH) -> Model:
-    """Learn from rows of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), both of the training folds."""
+#: A class is dealt over the parts in this order of rank: trees, calibration, lexicon, ... half of it for the lexicon.
+DEAL = ("trees", "calibration", "lexicon", "trees", "lexicon", "calibration", "lexicon", "trees", "lexicon", "lexicon")
+
+
+def _dealt(labels: DataFrame, sample_rows: int) -> pd.DataFrame:
+    """doc_id, toxic, part, weight of at most ``sample_rows`` labelled ids, by the hash of the id: up to half of them toxic, and
+    others.  A class is dealt over all three parts (one of fewer than three rows is in each); the weight makes up for the
+    class's share of the labels."""
+    known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+             .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
+    totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("doc_id", F.lit(21))
-    chosen = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-              .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-              .orderBy(order, "doc_id").limit(sample_rows).toPandas())
-    picked = docs.sparkSession.createDataFrame([(int(a), int(b)) for a, b in zip(chosen["doc_id"], chosen["toxic"])], "doc_id long, toxic int")
-    part = F.pmod(F.xxhash64("doc_id", F.lit(22)), F.lit(10))
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("part", part), "toxicity-sample")
-    n = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
-    share = float((n.t or 0) / n.n) if n.n else 0.0
-    lex = lexicon(sample.where("part < 5"))
-    rows = written(with_features(sample, lex).select("part", F.col("toxic").cast("double").alias("toxic"), array_to_vector("_features").alias("x"))
-                   .repartition(4, "part"), "toxicity-features")
-    if rows.where("part >= 5 and part < 8").agg(F.countDistinct("toxic")).first()[0] < 2 or rows.where("part >= 8").agg(F.countDistinct("toxic")).first()[0] < 2:
+    toxic = min(totals.get(1, 0), sample_rows // 2)
+    out = []
+    for kind, most in ((1, toxic), (0, sample_rows - toxic)):
+        ids = known.where(F.col("toxic") == kind).orderBy(order, "doc_id").limit(most).select("doc_id").toPandas()["doc_id"].astype("int64")
+        every = ids if len(ids) >= 3 else pd.concat([ids] * 3)
+        part = [DEAL[i % len(DEAL)] for i in range(len(ids))] if len(ids) >= 3 else [p for p in DEAL[:3] for _ in range(len(ids))]
+        out.append(pd.DataFrame({"doc_id": every.to_numpy(), "toxic": kind, "part": part, "weight": totals.get(kind, 0) / max(len(ids), 1)}))
+    return pd.concat(out)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = TREES, depth: int = DEPTH) -> Model:
+    """Learn from rows of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), both of the training folds; an id that several
+    rows have stands for one of them."""
+    shared = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    present = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").join(shared.select("doc_id").distinct(), "doc_id", "left_semi")
+    dealt = _dealt(present, sample_rows)
+    picked = docs.sparkSession.createDataFrame(dealt, "doc_id long, toxic int, part string, weight double")
+    sample = written(shared.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "part", "toxic", "weight").agg(F.min("text").alias("text")), "toxicity-sample")
+    n = dealt.drop_duplicates("doc_id").groupby("toxic")["weight"].sum()
+    share = float(n.get(1, 0.0) / n.sum()) if len(n) else 0.0
+    lex = lexicon(sample.where("part = 'lexicon'"))
+    if len(n) < 2:
         return Model(lex, None, None, share)
-    gbt = GBTClassifier(featuresCol="x", labelCol="toxic", maxIter=trees, maxDepth=depth, seed=5).fit(rows.where("part >= 5 and part < 8"))
-    raw = gbt.transform(rows.where("part >= 8")).select("toxic", vector_to_array("probability")[1].alias("_raw_score"))
-    isotonic = IsotonicRegression(featuresCol="_raw_score", labelCol="toxic", predictionCol="_score").fit(raw)
+    rows = written(with_features(sample, lex).select("part", F.col("toxic").cast("double").alias("toxic"), "weight", array_to_vector("_features").alias("x"))
+                   .repartition(4, "part"), "toxicity-features")
+    gbt = GBTClassifier(featuresCol="x", labelCol="toxic", weightCol="weight", maxIter=trees, maxDepth=depth, seed=5).fit(rows.where("part = 'trees'"))
+    raw = gbt.transform(rows.where("part = 'calibration'")).select("toxic", "weight", vector_to_array("probability")[1].alias("_raw_score"))
+    isotonic = IsotonicRegression(featuresCol="_raw_score", labelCol="toxic", weightCol="weight", predictionCol="_score").fit(raw)
     return Model(lex, gbt, isotonic, share)
 
 

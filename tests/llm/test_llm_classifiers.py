@@ -1,5 +1,6 @@
 """Language, quality and toxicity: held-out accuracy, and the defined results of odd input."""
 
+import random
 import zlib
 
 import numpy as np
@@ -136,6 +137,33 @@ def test_word_forms():
     assert toxicity.normal("***") == ("", False) and toxicity.normal("12") == ("", False)
 
 
+def test_prior_of_the_corpus_equals_scores_at_hand(spark, odd_docs):
+    """One histogram over all rows gives what the scores themselves give."""
+    model = quality.fit(np.random.default_rng(0).normal(size=(50, len(NAMES))), np.random.default_rng(1).normal(size=(50, len(NAMES))), None, epochs=1)
+    docs = odd_docs.unionByName(odd_docs).select("text").repartition(3)
+    scores = np.array([r.s for r in quality.score(docs, model, "s").collect()])
+    for positive in (np.array([0.5]), np.quantile(scores, [0.3, 0.5, 0.9]), np.array([0.0, 2.0])):
+        assert quality.corpus_prior(docs, model, positive) == quality.estimate_prior(positive, scores)
+
+
+def test_toxic_rows_are_learned_however_rare(spark):
+    """Three toxic rows among many; and one id on a third of the rows."""
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(200)]
+    rows = [(i, " ".join(rng.choices(words, k=12))) for i in range(1500)] + [(5000 + i, " ".join(["vileword you"] * 6)) for i in range(3)]
+    rows += [(7, rows[7][1])] * 700
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 5000)) for i in {i for i, _ in rows}], "doc_id long, toxic int")
+    dealt = toxicity._dealt(labels, 600)
+    assert len(dealt) == 600 and dealt.groupby("toxic")["part"].nunique().tolist() == [3, 3]
+    assert abs(dealt.groupby("toxic")["weight"].sum()[0] - 1500) < 1e-6
+    model = toxicity.train(docs, labels, 600)
+    assert model.trees is not None and abs(model.share - 3 / 1503) < 1e-9
+    for n in (1, 2):
+        few = toxicity._dealt(labels.where(f"toxic = 0 or doc_id < {5000 + n}"), 600)
+        assert sorted(few[few.toxic == 1].part) == sorted(["trees", "calibration", "lexicon"] * n)
+
+
 def test_classifiers_odd_input(spark, odd_docs):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1), (3, None, None), (3, 1, 0)], "doc_id long, good int, toxic int")
     model, _ = quality.train(odd_docs, labels)

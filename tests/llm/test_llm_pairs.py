@@ -90,6 +90,21 @@ def test_multi_index_equals_brute_force(spark, k):
     assert sorted(map(tuple, got)) == want
 
 
+@pytest.mark.parametrize("dim", [1, 7, 128, 200])
+def test_multi_index_takes_every_component(spark, dim):
+    """Codes of any length; vectors that differ in their last components only; shorter ones among them."""
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(90, dim))
+    x[30:60, :max(dim - 3, 0)] = x[30, :max(dim - 3, 0)]
+    rows = [(i, [float(c) for c in (v[:dim // 2] if i % 9 == 4 and dim > 1 else v)]) for i, v in enumerate(x)]
+    bits = {i: np.pad(np.array(v) > 0, (0, dim - len(v))) for i, v in rows}
+    coded = multi_index.codes(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    want = [(q, r + 1, i, int(d)) for q in range(0, 90, 20)
+            for r, (d, i) in enumerate(sorted(((bits[q] != bits[i]).sum(), i) for i in bits if i != q)[:5])]
+    assert sorted(map(tuple, multi_index.search(coded, coded.where("id % 20 = 0"), 5).collect())) == want
+    assert multi_index.search(coded.where("false"), coded).count() == 0
+
+
 def test_multi_index_few_rows(spark):
     rows, df = vectors(spark, 100)
     few = multi_index.codes(df.where("vec_id in (0, 7, 20)"))
