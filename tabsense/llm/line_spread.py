@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 MIN_SITES = 8
 #: HyperLogLog precision, and the relative band around the threshold that is counted exactly (over 4 standard errors).
 LOG_REGISTERS, BAND = 10, 0.15
+#: Parts that the rows of one line are dealt over where lines are looked up.
+SALTS = 16
 
 
 def _hashes(c: Column, a: str, b: str) -> tuple[Column, Column]:
@@ -31,11 +33,20 @@ def _hashes(c: Column, a: str, b: str) -> tuple[Column, Column]:
 
 def _lines(docs: DataFrame, *columns: Column) -> DataFrame:
     """One row per line that is not blank: the columns, its position and its hashes."""
-    every = docs.where(F.col("text").isNotNull()).select(*columns, F.posexplode(F.split("text", "\n", -1)).alias("_at", "_line"))
+    # the columns first: beside the lines they would be computed, from the whole text, for each line anew
+    rows = docs.where(F.col("text").isNotNull()).select(*columns, F.split("text", "\n", -1).alias("_split"))
+    every = rows.select(*(c for c in rows.columns if c != "_split"), F.posexplode("_split").alias("_at", "_line"))
     trimmed = F.trim("_line")
     return every.where(F.length(trimmed) > 0).select(*(c for c in every.columns if c != "_line"), *_hashes(trimmed, "_h1", "_h2"))
 
 
+def _looked_up(lines: DataFrame, by: str, wanted: DataFrame) -> DataFrame:
+    """The ``lines`` whose hashes are in ``wanted``: a line that a third of all rows hold goes to SALTS tasks, by the column ``by``."""
+    salted = lines.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    every = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(every, ["_h1", "_h2", "_salt"], "left_semi").drop("_salt")
+
+
 def spread(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
     """_h1, _h2 of the lines held by at least ``min_sites`` distinct sites."""
     lines = _lines(docs, F.col(site).alias("_site")).where(F.col("_site").isNotNull())
@@ -46,7 +57,7 @@ def spread(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, ba
     wide = sketched.where(F.col("_sites") > low)
     sure = wide.where(F.col("_sites") >= high).select("_h1", "_h2")
     near = wide.where(F.col("_sites") < high).select("_h1", "_h2")
-    exact = (lines.select("_h1", "_h2", "_site").join(near, ["_h1", "_h2"], "left_semi")
+    exact = (_looked_up(lines.select("_h1", "_h2", "_site"), "_site", near)
              .groupBy("_h1", "_h2", "_site").agg(F.lit(1).alias("_one"))
              .groupBy("_h1", "_h2").agg(F.count("*").alias("_sites"))
              .where(F.col("_sites") >= min_sites).select("_h1", "_h2"))
@@ -57,14 +68,14 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
     """All columns of ``docs`` with ``text`` cleaned, and n_lines, n_removed (long)."""
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     docs = docs.select(*(F.col(f"`{c}`") for c in columns))
-    dropped = (_lines(docs, *_hashes(F.col("text"), "_k1", "_k2"))
-               .join(spread(docs, site, min_sites), ["_h1", "_h2"], "left_semi")
+    dropped = (_looked_up(_lines(docs, *_hashes(F.col("text"), "_k1", "_k2")), "_k1", spread(docs, site, min_sites))
                .groupBy("_k1", "_k2").agg(F.collect_set("_at").alias("_drop")))
     rows = docs.withColumns(dict(zip(("_k1", "_k2"), _hashes(F.col("text"), "_k1", "_k2"))))
-    joined = rows.join(dropped.hint("shuffle_hash"), ["_k1", "_k2"], "left")
-    split = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_drop", i)), "\n")
+    joined = rows.join(dropped.hint("shuffle_hash"), ["_k1", "_k2"], "left").withColumn("_split", F.split("text", "\n", -1))
+    # positions that stay, by one hash set; then their lines
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("_drop"))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(F.col("_split"), i)), "\n")
     text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept)
     return joined.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in columns),
-                         F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
+                         F.coalesce(F.size("_split"), F.lit(0)).cast("long").alias("n_lines"),
                          F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_removed"))

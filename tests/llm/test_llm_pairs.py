@@ -52,6 +52,15 @@ def test_lines_equal_brute_force(spark):
     assert line_spread.remove_boilerplate(docs.where("false")).count() == 0
 
 
+def test_lines_of_a_very_long_text(spark):
+    """200,000 lines, half of them on many sites."""
+    long = "\n".join(f"mine {i}" if i % 2 else f"menu {i % 10}" for i in range(200_000))
+    menu = "\n".join(f"menu {i}" for i in range(0, 10, 2))
+    docs = spark.createDataFrame([(i, f"site{i}", menu) for i in range(9)] + [(100, "own", long)], "doc_id long, source string, text string")
+    r = line_spread.remove_boilerplate(docs).where("doc_id = 100").first()
+    assert (r.n_lines, r.n_removed) == (200_000, 100_000) and r.text == "\n".join(f"mine {i}" for i in range(1, 200_000, 2))
+
+
 def test_lines_stay_in_spark(spark):
     text = plan(queries.op2_line_spread(spark, SF_SMALL))
     assert not re.search("Python|Pandas|Arrow|Cartesian|BroadcastNestedLoop", text)
