@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tabsense.functions.columns import (nan_as_missing, INDEX_LIKE_NAMES, categorical_columns, name_of,
                                         numeric_columns, pick, q, unpivot_numeric)
-from tabsense.functions.frequencies import hashed_distinct_counts, modes, value_counts
+from tabsense.functions.frequencies import hashed_distinct_counts, top_k
 from tabsense.functions.ordered_fill import ordered_fill
 from tabsense.functions.quantiles import quantiles
 from tabsense.functions.stats import column_stats, null_counts
@@ -252,7 +252,7 @@ def impute_categorical(df: DataFrame, method: str, order_by: list[str] | None =
     if method == "unknown":
         fills = {c: F.coalesce(q(c), F.lit(label)) for c in todo}
     elif method == "mode":
-        m = {r["column_name"]: r["mode"] for r in modes(value_counts(df, todo)).collect()}
+        m = {r["column_name"]: r["value"] for r in top_k(df, todo, 1).collect()}
         fills = {c: F.coalesce(q(c), F.lit(m[c])) for c in todo if m.get(c) is not None}
     else:
         raise ValueError(f"unknown categorical fill {method!r}")

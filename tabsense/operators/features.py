@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import random
 
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsense.functions.columns import nan_as_missing, categorical_columns, numeric_columns, q
+from tabsense.functions.labels import encode, label_dictionary
 from tabsense.functions.stats import column_stats
 from tabsense.operators.chartdata import md5_rank
 from tabsense.operators.cleaning import MISSING_LABEL
@@ -44,18 +44,28 @@ def detect_task(df: DataFrame, target: str) -> DataFrame:
 
 @nan_as_missing
 def encode_labels(df: DataFrame, cols: list[str] | None = None, suffix: str = "") -> DataFrame:
-    """Text columns -> 0..k-1 in sorted order of their values, missing
-    cells first filled with ``Missing`` (``StringIndexer``, alphabetAsc).
-    Returns the table with the encoded columns (double) replacing the text."""
+    """Text columns -> 0..k-1 in sorted order of their values, missing
+    cells first filled with ``Missing``.  Returns the table with the encoded
+    columns (double) replacing the text."""
     cols = cols if cols is not None else categorical_columns(df)
     if not cols:
         return df
-    filled = df.na.fill(MISSING_LABEL, subset=cols)
-    idx = StringIndexer(inputCols=cols, outputCols=[f"_{c}_idx" for c in cols],
-                        stringOrderType="alphabetAsc", handleInvalid="error")
-    model = idx.fit(filled)
-    out = model.transform(filled)
-    return out.select(*[F.col(f"_{c}_idx").alias(c + suffix) if c in cols else q(c) for c in df.columns])
+    out, _ = encode(df.na.fill(MISSING_LABEL, subset=cols), cols)
+    return out.select(*[q(c).cast("double").alias(c + suffix) if c in cols else q(c) for c in df.columns])
+
+
+@nan_as_missing
+def encode_target(df: DataFrame, target: str, code: str = "target_code") -> DataFrame:
+    """``df`` with the code (double) of a text target in the column ``code`` beside it, 0..k-1 in sorted order; rows without
+    a target go.  The text is kept, so each code's class is known (:func:`target_classes`)."""
+    out, _ = encode(df.where(q(target).isNotNull()), [target], [code])
+    return out.withColumn(code, q(code).cast("double"))
+
+
+@nan_as_missing
+def target_classes(df: DataFrame, target: str) -> DataFrame:
+    """I3, the inverse mapping: (code, class, rows) of a text target."""
+    return label_dictionary(df, [target]).select(F.col("code").cast("double").alias("code"), F.col("value").alias("class"), F.col("count").alias("rows"))
 
 
 def split_column(key: str, test: float = DEFAULT_TEST_SHARE, seed: int = DEFAULT_SEED):

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsense.functions.columns import normalize_nan, q
+from tabsense.functions.labels import encode
 from tabsense.operators import linear, trees
 from tabsense.operators import metrics as M
 from tabsense.operators.chartdata import md5_rank
@@ -89,10 +90,9 @@ def prepare(df: DataFrame, target: str, features: list[str], task: str, key: str
     bins = 0
     if cats:
         data = data.na.fill(MISSING_LABEL, subset=cats)
-        idx = StringIndexer(inputCols=cats, outputCols=[f"{c}__idx" for c in cats], stringOrderType="alphabetAsc").fit(data)
-        bins = max(len(x) for x in idx.labelsArray)
-        # codes are numbers, as the reference's encoder gives them: without the nominal attribute, scaled or not
-        data = idx.transform(data).withColumns({f"{c}__idx": F.col(f"`{c}__idx`").alias("x", metadata={}) for c in cats})
+        # codes are numbers, as the reference's encoder gives them: no nominal attribute, scaled or not
+        data, labels = encode(data, cats, [f"{c}__idx" for c in cats])
+        bins = max(labels)
     classes = None
     if task == "classification" and isinstance(df.schema[target].dataType, T.StringType):
         ti = StringIndexer(inputCol="_target", outputCol="label", stringOrderType="alphabetAsc").fit(data)

@@ -4,7 +4,7 @@ Every statistic family is one aggregation over the whole table: moments,
 counts and sign counts of all columns, and the correlations of all column
 pairs, come from one unpivot grouped by column (or pair) position; exact
 quantiles through bracket refinement; distinct values and frequencies through
-a single unpivot + ``groupBy``.  Results are small long-form DataFrames, one row per column
+a single unpivot of value hashes + ``groupBy``.  Results are small long-form DataFrames, one row per column
 or per column pair.
 """
 
@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from tabsense.functions.columns import (nan_as_missing, categorical_columns, name_of, numeric_columns, q,
                                         unpivot_numeric)
 from tabsense.functions.comoments import pair_moments
-from tabsense.functions.frequencies import hashed_distinct_counts, top_k, value_counts
+from tabsense.functions.frequencies import frequent_values, hashed_distinct_counts, top_k
 from tabsense.functions.quantiles import quantiles
-from tabsense.functions.stats import column_stats, merge_rows, null_count, round_sig, strength_label
+from tabsense.functions.stats import column_stats, merge_rows, round_sig, strength_label
 from tabsense.operators.cleaning import STD_FACTOR, outlier_report
 from tabsense.operators.quality import table_counts
 
@@ -117,30 +117,18 @@ def profile_categorical(df: DataFrame, top: int = 5) -> DataFrame:
         return df.sparkSession.createDataFrame(
             [], "column_name string, count bigint, missing bigint, missing_pct double, unique_values bigint, "
                 "most_frequent string, most_frequent_count bigint, most_frequent_pct double, top_values string")
-    # one value-count shuffle, NULL kept: it gives the frequencies, the
-    # missing cells and the row count of every text column
-    vca = value_counts(df, cats, dropna=False)
-    vc = vca.where(F.col("value").isNotNull())
-    known = F.col("value").isNotNull()
-    summary = vca.groupBy("column_name").agg(
-        F.coalesce(F.sum(F.when(known, F.col("count"))), F.lit(0)).cast("bigint").alias("count"),
-        F.count(F.when(known, 1)).cast("bigint").alias("unique_values"),
-        F.min(F.when(known, F.struct((-F.col("count")).alias("neg"), F.col("value").alias("value")))).alias("m"),
-        F.coalesce(F.sum(F.when(~known, F.col("count"))), F.lit(0)).cast("bigint").alias("missing"),
-        F.sum("count").alias("_rows")).where(F.col("unique_values") > 0)
-    tops = (top_k(vc, top).groupBy("column_name")
-            .agg(F.sort_array(F.collect_list(F.struct("rank", "value", "count"))).alias("t"))
-            .select("column_name", F.array_join(F.transform(
-                "t", lambda s: F.concat(s["value"], F.lit("="), s["count"].cast("string"))), "; ")
-                .alias("top_values")))
-    out = summary.join(tops, "column_name")
+    tops = frequent_values(df, cats, top).where("n_unique > 0")
+    first = F.col("rank") == 1
+    out = tops.groupBy("column_name").agg(
+        F.max("known").alias("count"), F.max("missing").alias("missing"), F.max("n_unique").alias("unique_values"),
+        F.max(F.when(first, F.col("value"))).alias("most_frequent"), F.max(F.when(first, F.col("count"))).alias("most_frequent_count"),
+        F.sort_array(F.collect_list(F.struct("rank", "value", "count"))).alias("t"))  # ``top`` rows per column
     return out.select(
         "column_name", "count", "missing",
-        F.bround(F.col("missing") / F.col("_rows") * 100, 2).alias("missing_pct"),
-        "unique_values", F.col("m.value").alias("most_frequent"),
-        (-F.col("m.neg")).cast("bigint").alias("most_frequent_count"),
-        F.bround(-F.col("m.neg") / F.col("count") * 100, 2).alias("most_frequent_pct"),
-        "top_values")
+        F.bround(F.col("missing") / (F.col("count") + F.col("missing")) * 100, 2).alias("missing_pct"),
+        "unique_values", "most_frequent", "most_frequent_count",
+        F.bround(F.col("most_frequent_count") / F.col("count") * 100, 2).alias("most_frequent_pct"),
+        F.array_join(F.transform("t", lambda s: F.concat(s["value"], F.lit("="), s["count"].cast("string"))), "; ").alias("top_values"))
 
 
 @nan_as_missing
@@ -148,27 +136,21 @@ def top_values(df: DataFrame, cols: list[str] | None = None, k: int = 10) -> Dat
     """K2 / L3: (column_name, rank, value, count) for the k most frequent
     values of each column; ties by value ascending."""
     cols = cols if cols is not None else categorical_columns(df)
-    return top_k(value_counts(df, cols), k).select("column_name", "rank", "value", "count")
+    return top_k(df, cols, k)
 
 
 @nan_as_missing
 def frequency_table(df: DataFrame, col: str, k: int = 20) -> DataFrame:
     """Top-k values of one column with count and % of *all* rows (2 dp)."""
-    total = df.count()
-    vc = top_k(value_counts(df, [col]), k)
-    return vc.select("rank", "value", "count",
-                     F.bround(F.col("count") / F.lit(total) * 100, 2).alias("percentage"))
+    return frequent_values(df, [col], k).where(F.col("rank").isNotNull()).select(
+        "rank", "value", "count", F.bround(F.col("count") / (F.col("known") + F.col("missing")) * 100, 2).alias("percentage"))
 
 
 @nan_as_missing
 def frequency_summary(df: DataFrame, col: str) -> DataFrame:
     """H10 header: distinct values, most common value, missing cells."""
-    vc = value_counts(df, [col])
-    s = vc.agg(F.count(F.lit(1)).cast("bigint").alias("unique_values"),
-               F.min(F.struct((-F.col("count")).alias("neg"), F.col("value").alias("value"))).alias("m"))
-    miss = df.agg(null_count(col).alias("missing"))
-    return merge_rows(s, miss).select(F.lit(col).alias("column_name"), "unique_values",
-                               F.col("m.value").alias("most_common"), "missing")
+    return frequent_values(df, [col], 1).select("column_name", F.col("n_unique").alias("unique_values"),
+                                                F.col("value").alias("most_common"), "missing")
 
 
 # --- correlations -----------------------------------------------------------

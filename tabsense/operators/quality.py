@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tabsense.functions.columns import nan_as_missing, is_floating, name_of, numeric_columns, q
 
-def _row_hashes(df: DataFrame) -> list[Column]:
+def row_hashes(df: DataFrame) -> list[Column]:
     """Two 64-bit hashes equal for rows that group together: -0.0 reads as 0.0, a map as its JSON text, and a
     NULL (which Spark's hash skips) as a flag of its own."""
     cells = []
@@ -31,7 +31,7 @@ def _row_hashes(df: DataFrame) -> list[Column]:
 def _distinct_rows(df: DataFrame) -> DataFrame:
     """Per distinct row, known by its 128-bit hash: ``_n`` rows and their ``_m`` missing cells.  One scan and one
     shuffle of 32-byte records at any width; a row that fills a third of the table is summed on the map side."""
-    return (df.select(*_row_hashes(df), _row_nulls(df).alias("_z")).groupBy("_h1", "_h2")
+    return (df.select(*row_hashes(df), _row_nulls(df).alias("_z")).groupBy("_h1", "_h2")
             .agg(F.count(F.lit(1)).alias("_n"), F.sum("_z").alias("_m")))
 
 

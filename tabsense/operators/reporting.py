@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsense.functions.columns import nan_as_missing, categorical_columns, numeric_columns
-from tabsense.functions.frequencies import top_k, value_counts
+from tabsense.functions.frequencies import top_k
 from tabsense.functions.stats import fixed, null_count
 from tabsense.operators.profile import correlation_pairs, describe_numeric, profile_numeric
 from tabsense.operators.quality import null_counts_long
@@ -42,7 +42,7 @@ def summary_lines(df: DataFrame) -> DataFrame:
     shown = cats[:SUMMARY_CATEGORICAL]
     if shown:
         pos = {c: i for i, c in enumerate(shown)}
-        tops = top_k(value_counts(df, shown), SUMMARY_TOP_VALUES)
+        tops = top_k(df, shown, SUMMARY_TOP_VALUES)
         items = F.sort_array(F.collect_list(F.struct("rank", F.concat(
             F.lit("'"), F.col("value"), F.lit("': "), F.col("count").cast("string")).alias("t"))))
         order = F.create_map(*[x for c, i in pos.items() for x in (F.lit(c), F.lit(i))])
@@ -215,7 +215,7 @@ def full_context(df: DataFrame, scorecard: DataFrame | None = None, cleaning_sum
     if shown:
         order = F.create_map(*[x for i, c in enumerate(shown) for x in (L(c), L(i))])
         pair = F.concat(L("'"), F.col("value"), L("': "), text("count"))
-        tops = top_k(value_counts(df, shown), values).groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct("rank", pair.alias("t")))).alias("t"))
+        tops = top_k(df, shown, values).groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct("rank", pair.alias("t")))).alias("t"))
         names = df.sparkSession.createDataFrame([(c,) for c in shown], "column_name string")  # a column without values has a line too
         listed = F.concat(L("  "), F.col("column_name"), L(": {"), F.coalesce(F.array_join(F.transform("t", lambda s: s["t"]), ", "), L("")), L("}"))
         parts += [_numbered(one, [(2000, L("Categorical Columns:"))]),

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tabsense.functions.columns import nan_as_missing, categorical_columns, numeric_columns, q
 from tabsense.functions.stats import null_counts, rows_and_null_counts
 from tabsense.operators import cleaning as C
+from tabsense.operators.quality import row_hashes
 from tabsense.session import materialize
 
 NUMERIC_FILLS = ("median", "mean", "zero", "ffill", "bfill")
@@ -183,30 +184,31 @@ def clean(df: DataFrame, opts: CleanOptions = CleanOptions()) -> tuple[DataFrame
 @nan_as_missing
 def preview_cleaning(df: DataFrame, opts: CleanOptions = CleanOptions()) -> DataFrame:
     """What the first steps would remove or fill, without changing the
-    table.  One lazy plan: group by all columns (distinct rows with their
-    multiplicity), then one aggregation yields every count."""
+    table.  One lazy plan: distinct rows, known by a 128-bit hash, with their
+    multiplicity and missing cells, then one aggregation yields every count."""
     opts.validate()
     cols = df.columns
     nums, cats = set(numeric_columns(df)), set(categorical_columns(df))
-    grouped = df.groupBy(*[q(c) for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
+    missing = lambda some: sum((q(c).isNull().cast("long") for c in cols if c in some), F.lit(0).cast("long"))
+    facts = {"_all": missing(set(cols)), "_num": missing(nums), "_cat": missing(cats)}
+    grouped = (df.select(*row_hashes(df), *(v.alias(k) for k, v in facts.items()))
+               .groupBy("_h1", "_h2", *facts).agg(F.count(F.lit(1)).alias("_n")))
     # per distinct row: how many copies survive dedup
     keep_n = F.lit(1) if opts.remove_duplicates else F.col("_n")
     if opts.remove_missing_rows:
-        kept = C.missing_per_row(cols) == 0
+        kept = F.col("_all") == 0
     elif opts.missing_threshold < 100:
-        kept = C.missing_per_row(cols) <= int(len(cols) * opts.missing_threshold / 100)
+        kept = F.col("_all") <= int(len(cols) * opts.missing_threshold / 100)
     else:
         kept = F.lit(True)
-    num_missing = sum((q(c).isNull().cast("long") for c in cols if c in nums), F.lit(0).cast("long"))
-    cat_missing = sum((q(c).isNull().cast("long") for c in cols if c in cats), F.lit(0).cast("long"))
     kept_rows = F.when(kept, keep_n).otherwise(0)
     res = grouped.agg(
         F.sum("_n").cast("bigint").alias("rows_before"),
         F.sum(F.col("_n") - 1).cast("bigint").alias("duplicate_rows"),
         F.sum(keep_n).cast("bigint").alias("_after_dedup"),
         F.sum(kept_rows).cast("bigint").alias("rows_after"),
-        F.sum(kept_rows * num_missing).cast("bigint").alias("numeric_missing"),
-        F.sum(kept_rows * cat_missing).cast("bigint").alias("categorical_missing"),
+        F.sum(kept_rows * F.col("_num")).cast("bigint").alias("numeric_missing"),
+        F.sum(kept_rows * F.col("_cat")).cast("bigint").alias("categorical_missing"),
     )
     rb, ra = F.coalesce(F.col("rows_before"), F.lit(0)), F.coalesce(F.col("rows_after"), F.lit(0))
     return res.select(

@@ -353,6 +353,22 @@ def q_encode_labels(spark, sf):
     return FE.encode_labels(d, ["l_returnflag", "l_linestatus"])
 
 
+@register("encode_target", sql_with("""
+SELECT l_orderkey, l_linenumber, l_returnflag, CAST(dense_rank() OVER (ORDER BY l_returnflag) - 1 AS DOUBLE) AS target_code
+FROM dirty_lineitem WHERE l_returnflag IS NOT NULL""", DIRTY_LINEITEM_SQL))
+def q_encode_target(spark, sf):
+    d = dirty_lineitem(spark, sf).select("l_orderkey", "l_linenumber", "l_returnflag")
+    return FE.encode_target(d, "l_returnflag")
+
+
+@register("target_classes", """
+SELECT CAST(dense_rank() OVER (ORDER BY text) - 1 AS DOUBLE) AS code, text AS class, count(*) AS rows
+FROM documents WHERE text IS NOT NULL GROUP BY text""")
+def q_target_classes(spark, sf):
+    """The label dictionary over a text column of long, mostly unique values."""
+    return FE.target_classes(table(spark, sf, "documents").select("text", "lang"), "text")
+
+
 _SPLIT_SQL = ("CASE WHEN CAST(('0x' || substr(md5(concat(CAST(o_orderkey AS VARCHAR), '42')), 1, 8)) AS BIGINT) "
               "< 858993459 THEN 'test' ELSE 'train' END")
 
