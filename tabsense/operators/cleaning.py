@@ -9,6 +9,8 @@ second value via the ``*_with_count`` variants used by the cleaning plan.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,7 @@ from tabsense.functions.frequencies import hashed_distinct_counts, top_k
 from tabsense.functions.ordered_fill import ordered_fill
 from tabsense.functions.quantiles import quantiles
 from tabsense.functions.stats import column_stats, null_counts
+from tabsense.session import shared_scratch
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's.
@@ -318,25 +321,97 @@ def cap_outliers(df: DataFrame, method: str = "std3", exact: bool = True) -> Dat
     return cap_outliers_with_count(df, method, exact)[0]
 
 
+#: A row is set aside for the removal steps if a cell is NULL or lies so many standard deviations from its column's mean.
+ASIDE_FACTOR = 2.5
+#: Least share of a column's squared deviations that may be left after subtraction (so much of the precision is kept).
+LEAST_LEFT = 1e-4
+
+
 @nan_as_missing
 def remove_outliers(df: DataFrame, sequential: bool = True) -> DataFrame:
     """Drop rows outside mean -+ 3 std, column after column with the
-    statistics re-computed on the rows left (the reference's semantics; one
-    aggregation per numeric column).  A NULL cell fails the test, so its row
-    goes, and a column without a defined std removes every row.
-    ``sequential=False`` takes all bounds from the input in one pass."""
+    statistics re-computed on the rows left (the reference's semantics).  A
+    NULL cell fails the test, so its row goes, and a column without a defined
+    std removes every row.  ``sequential=False`` takes all bounds from the
+    input in one pass.
+
+    The steps do not scan the table each: its moments come from one scan, the
+    rows that any step may remove are set aside by a second one, and a step
+    subtracts the removed rows among them from the moments
+    (:func:`_sequential_bounds`)."""
     cols = numeric_columns(df)
-    cur = df
-    if not sequential:
-        bounds = std_bounds(df, cols)
-        for c in cols:
-            lo, hi = bounds[c]
-            cur = cur.where(F.lit(False) if lo is None else q(c).between(F.lit(lo), F.lit(hi)))
-    else:
-        for c in cols:
-            (lo, hi), = std_bounds(cur, [c]).values()
-            cur = cur.where(F.lit(False) if lo is None else q(c).between(F.lit(lo), F.lit(hi)))
-    return cur
+    bounds = _sequential_bounds(df, cols) if sequential else std_bounds(df, cols)
+    for c, (lo, hi) in bounds.items():
+        df = df.where(_inside(c, lo, hi))
+    return df
+
+
+def _inside(c: str, lo: float | None, hi: float | None) -> Column:
+    return F.lit(False) if lo is None else q(c).between(F.lit(lo), F.lit(hi))
+
+
+def _sequential_bounds(df: DataFrame, cols: list[str]) -> dict[str, tuple]:
+    """Bounds of each column over the rows that the columns before it leave; nothing after a column that removes every row.
+
+    All removed rows are among those set aside as long as a column's bounds
+    lie beyond ASIDE_FACTOR deviations of the first scan.  Where they do not,
+    or where too little of the squared deviations is left to subtract from, the
+    two scans are repeated on the rows that are left, which settles at least
+    one column more."""
+    out: dict[str, tuple] = {}
+    while len(out) < len(cols):
+        left = cols[len(out):]
+        rows = df
+        for c, (lo, hi) in out.items():
+            rows = rows.where(_inside(c, lo, hi))
+        st = column_stats(rows, left, n=F.count, m=F.avg, s=F.stddev_samp, low=F.min, high=F.max)
+        for x in st.values():
+            if x["s"] is not None and x["low"] == x["high"]:
+                x["m"], x["s"] = x["low"], 0.0  # summed moments of equal values may be off by their last digit
+        far = F.lit(False)
+        for c in left:
+            if st[c]["s"] is not None:
+                far = far | q(c).isNull() | (F.abs(q(c).cast("double") - F.lit(st[c]["m"])) > F.lit(ASIDE_FACTOR * st[c]["s"]))
+        aside = None
+        kept = F.lit(True)  # of the rows set aside, those that the columns of this round leave
+        for c in left:
+            n, m, s = st[c]["n"], st[c]["m"], st[c]["s"]
+            if s is not None and c != left[0]:
+                if aside is None:
+                    path = shared_scratch(df.sparkSession, "aside")
+                    rows.where(far).select(*[q(x).cast("double").alias(f"x{i}") for i, x in enumerate(left)]).write.parquet(path)
+                    aside = df.sparkSession.read.parquet(path)
+                n, m, s = _without(aside.where(~kept), f"x{left.index(c)}", n, m, s)
+                if s is None and n >= 2:
+                    break
+            if s is None:
+                out[c] = (None, None)
+                return out
+            lo, hi = m - STD_FACTOR * s, m + STD_FACTOR * s
+            if c != left[0] and (lo > st[c]["m"] - ASIDE_FACTOR * st[c]["s"] or hi < st[c]["m"] + ASIDE_FACTOR * st[c]["s"]):
+                break
+            out[c] = (lo, hi)
+            if not math.isfinite(hi - lo):
+                break  # infinite cells: the next scan sees what is left
+            kept = kept & F.coalesce(F.col(f"x{left.index(c)}").between(F.lit(lo), F.lit(hi)), F.lit(False))
+    return out
+
+
+def _without(removed: DataFrame, c: str, n: int, m: float, s: float) -> tuple:
+    """Count, mean and sample std of a column of n, m and s without the rows ``removed``; no std if it cannot be told from
+    these (n of 2 or more), or if it is undefined (n below 2)."""
+    if not math.isfinite(m) or not math.isfinite(s):
+        return n, m, None
+    d = F.col(c) - F.lit(m)
+    r = removed.agg(F.count(c).alias("n"), F.coalesce(F.sum(d), F.lit(0.0)).alias("d"), F.coalesce(F.sum(d * d), F.lit(0.0)).alias("dd")).first()
+    left = n - r["n"]
+    if left < 2:
+        return left, m, None
+    squares = s * s * (n - 1)
+    rest = squares - r["dd"] - r["d"] ** 2 / left
+    if not math.isfinite(rest) or rest < LEAST_LEFT * squares:
+        return left, m, None
+    return left, m - r["d"] / left, math.sqrt(rest / (left - 1))
 
 
 @nan_as_missing
