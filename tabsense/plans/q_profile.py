@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tabsense.operators import profile as P
 from tabsense.plans.catalog import (DIRTY_LINEITEM_NUMERIC, DIRTY_ORDERS_COLS, register,
                                     sql_duplicates, sql_missing_cells)
+from tabsense.session import shared_scratch
+from tabsense.sources.sinks import write_report
 from tabsense.sources.tables import (DIRTY_LINEITEM_SQL, DIRTY_ORDERS_SQL, dirty_lineitem,
                                      dirty_orders, sql_with, table)
 
@@ -284,6 +286,15 @@ def q_summary_lines(spark, sf):
     return RP.summary_lines(dirty_orders(spark, sf))
 
 
+@register("report_text_roundtrip", f"SELECT CAST(row_number() OVER (ORDER BY line_no) AS INTEGER) AS line_no, line FROM ({_summary_sql()})")
+def q_report_text_roundtrip(spark, sf):
+    """The summary written as one text file and read back, lines numbered as they stand in the file."""
+    path = shared_scratch(spark, "report")
+    write_report(RP.summary_lines(dirty_orders(spark, sf)), path)
+    lines = F.split(F.rtrim(F.col("value"), F.lit("\n")), "\n")
+    return spark.read.text(path, wholetext=True).select(F.posexplode(lines).alias("n", "line")).select((F.col("n") + 1).alias("line_no"), "line")
+
+
 def _prof_sql(tab, cols, numeric, s):
     def stat(c):
         x = f"CAST({c} AS DOUBLE)"
