@@ -18,21 +18,26 @@ from pyspark.sql import types as T
 
 from tabsense.functions.columns import normalize_nan, q
 from tabsense.operators.cleaning import dedupe_names
+from tabsense.sources.csv_records import records
 
 # Text read as a missing cell (pandas' default NA tokens).
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def _reader(spark: SparkSession, sep: str, multiline: bool):
-    """Cells as pandas reads them: doubled quotes, line feeds inside quotes, white space kept."""
-    return (spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multiline)
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
-
-
-def _header(spark: SparkSession, path: str, sep: str, multiline: bool) -> list[str]:
-    first = _reader(spark, sep, multiline).option("header", False).csv(path).first()
-    return [c if c is not None else "" for c in first] if first is not None else []
+def _cells(spark: SparkSession, path: str, sep: str, multiline: bool) -> tuple[list[str], DataFrame]:
+    """(header, the rows' cells as text columns ``_c0`` ...), cells as pandas reads them: doubled quotes, line feeds inside
+    quotes, white space kept."""
+    if multiline:
+        rows = records(spark, path, sep)
+        first = rows.where("header").orderBy("file").select("cells").first()
+        header = list(first["cells"]) if first is not None else []
+        return header, rows.where(~F.col("header")).select(*[F.get("cells", F.lit(i)).alias(f"_c{i}") for i in range(len(header))])
+    reader = lambda header: (spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("header", header)
+                             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+    first = reader(False).csv(path).first()
+    raw = reader(True).csv(path)
+    return [c if c is not None else "" for c in first or []], raw.toDF(*[f"_c{i}" for i in range(len(raw.columns))])
 
 
 def infer_types(df: DataFrame) -> dict[str, T.DataType]:
@@ -71,20 +76,31 @@ def infer_types(df: DataFrame) -> dict[str, T.DataType]:
     return out
 
 
+def _typed(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    if len(raw.columns) != len(schema.fields):
+        raise ValueError(f"the files have {len(raw.columns)} columns, the schema {len(schema.fields)}")
+    out = []
+    for c, field in zip(raw.columns, schema.fields):
+        cell = F.nullif(q(c), F.lit(""))
+        value = cell.try_cast(field.dataType)
+        bad = F.raise_error(F.concat(F.lit(f"not a {field.dataType.simpleString()} in column {field.name}: "), cell))
+        out.append(F.when(cell.isNotNull() & value.isNull(), bad.cast(field.dataType)).otherwise(value).alias(field.name))
+    return raw.select(*out)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              na_tokens: tuple[str, ...] = NA_TOKENS, sep: str = ",", multiline: bool = True) -> DataFrame:
     """A1: read CSV files with a header row into a typed DataFrame.
 
-    ``multiline``: cells may hold line feeds inside quotes, as pandas reads
-    them; each file is then read by one task.  Set it to False for large
-    files known to hold none, which Spark then splits.  With ``schema`` a
-    cell that does not parse raises an error instead of becoming NULL."""
+    ``multiline``: cells may hold line feeds inside quotes, as pandas reads them; a file is still read by as many tasks as
+    it has ranges of ``spark.sql.files.maxPartitionBytes`` (:mod:`tabsense.sources.csv_records`), and its records are
+    written to the shared folder once, from which types and rows come.  Set it to False for files known to hold no such
+    cell, which are then only read.  A row with fewer cells than the header is filled with missing ones, further cells are
+    left out.  With ``schema`` an empty cell is NULL, and a cell that does not parse raises an error."""
+    header, raw = _cells(spark, path, sep, multiline)
     if schema is not None:
-        return normalize_nan(_reader(spark, sep, multiline).schema(schema).option("header", True)
-                             .option("mode", "FAILFAST").csv(path))
-    raw = _reader(spark, sep, multiline).option("header", True).option("inferSchema", False) \
-        .option("nullValue", None).csv(path)
-    header = _header(spark, path, sep, multiline)
+        wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        return normalize_nan(_typed(raw, wanted))
     names = dedupe_names(header) if len(header) == len(raw.columns) else raw.columns
     tokens = list(na_tokens)
     text = raw.select(*[F.when(q(c).isin(tokens), F.lit(None).cast("string")).otherwise(q(c)).alias(n)
