@@ -19,6 +19,7 @@ from tabsense.functions.labels import encode, label_dictionary
 from tabsense.functions.stats import column_stats
 from tabsense.operators.chartdata import md5_rank
 from tabsense.operators.cleaning import MISSING_LABEL
+from tabsense.session import shared_scratch
 
 # A numeric target with more than this many distinct values is
 # a regression target; test share 10-40 %, default 20 %, seed 42.
@@ -186,43 +187,48 @@ def smote(train: DataFrame, label: str, features: list[str], k: int = 5, seed: i
           buckets: int | None = None) -> DataFrame:
     """Synthetic rows until every class has the majority count (exact).
 
-    Rows of the minority classes are ordered along a seeded random
-    projection of the features (ties by a hash of the row) and cut into
-    range buckets, so neither a class nor a repeated row is gathered into one task however
-    large it is.  A row's partners are the ``k`` rows before and after it in
-    that order inside its bucket (window functions, no pair join).  Each row
-    of a class with n rows and deficit d seeds d // n synthetic rows, plus
-    one for the rows whose exact rank along the projection is below d % n
-    (rank = rows of the class in earlier buckets + position in its bucket).
+    A row's partners are the ``k`` nearest other rows of its class by Euclidean distance over the features as given (a
+    missing one counts as 0), exactly (:mod:`tabsense.operators.neighbours`), equal distances by the features.  Equal rows are one
+    point with a count, and partners of each other at distance 0.
+    The points of a class are ordered along a seeded random projection and cut into range buckets, so neither a class nor
+    a repeated row is gathered into one task however large it is.  Each row of a class with n rows and deficit d seeds
+    d // n synthetic rows, plus one for the first d % n rows of that order.
     A synthetic row is x + u * (partner - x) with u and the partner chosen
     by hash; a row without partners (a class of one) is replicated.
     Returns (features..., label, synthetic)."""
     from tabsense.functions.ordered_fill import order_buckets
+    from tabsense.operators.neighbours import nearest
+    spark = train.sparkSession
     base_cols = [q(f).cast("double").alias(f) for f in features] + [q(label).alias(label)]
     out = train.select(*base_cols, F.lit(False).alias("synthetic"))
     # one row per class, joined by value: nothing of it reaches the driver
     lacking = class_balance(train, label).where(F.col("class").isNotNull() & (F.col("count_before") < F.col("count_after"))) \
-        .select(F.col("class").alias("_c"), (F.col("count_after") - F.col("count_before")).alias("_deficit"), F.col("count_before").alias("_members"))
+        .select(F.col("class").alias("_c"), (F.col("count_after") - F.col("count_before")).alias("_deficit"), F.col("count_before").alias("_members"),
+                F.row_number().over(Window.partitionBy().orderBy("class")).alias("_k"))
     rng = random.Random(seed)
-    proj = sum((F.coalesce(q(f).cast("double"), F.lit(0.0)) * F.lit(rng.uniform(-1, 1)) for f in features),
-               F.lit(0.0))
-    m = train.select(*base_cols).withColumn("_proj", proj) \
-        .withColumn("_id", F.xxhash64(*[q(f) for f in features], q(label), F.lit(seed))) \
-        .join(lacking, q(label) == F.col("_c")).drop("_c")
-    b = order_buckets(m, ["_proj"], buckets)
-    lab = q(label)
-    per = b.groupBy(lab.alias("_c"), "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w_cum = Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select("_c", F.col("_b").alias("_ob"), F.coalesce(F.sum("_n").over(w_cum), F.lit(0)).alias("_off"))
-    w_in = Window.partitionBy(lab, "_b").orderBy("_proj", "_tie", "_id")
-    ranked = b.join(offsets, (lab == F.col("_c")) & (F.col("_b") == F.col("_ob"))) \
-        .withColumn("_rank", F.col("_off") + F.row_number().over(w_in) - 1)
-    partners = []
-    for d in list(range(1, k + 1)) + list(range(-k, 0)):
-        partners.append(F.when(F.lag(F.col("_id"), d).over(w_in).isNotNull(),
-                               F.struct(*[F.lag(q(f), d).over(w_in).alias(f) for f in features])))
-    ranked = ranked.withColumn("_nb", F.array_compact(F.array(*partners)))
-    copies = F.floor(F.col("_deficit") / F.col("_members")) + F.when(F.col("_rank") < F.col("_deficit") % F.col("_members"), 1).otherwise(0)
+    proj = sum((F.get("_x", F.lit(i)) * F.lit(rng.uniform(-1, 1)) for i in range(len(features))), F.lit(0.0))
+    # + 0.0 makes one value of both zeros
+    vector = F.array(*[F.coalesce(q(f), F.lit(0.0)) + F.lit(0.0) for f in features]).alias("_x")
+    path = shared_scratch(spark, "smote-points")
+    train.select(*base_cols).join(lacking, q(label) == F.col("_c")).groupBy("_k", "_deficit", "_members", q(label).alias("_label"), vector) \
+        .agg(F.count("*").alias("_m"), *[F.min(q(f)).alias(f"_f{i}") for i, f in enumerate(features)]) \
+        .withColumn("_pid", F.monotonically_increasing_id()).withColumn("_proj", proj) \
+        .withColumn("_id", F.xxhash64("_x", "_label", F.lit(seed))).write.parquet(path)
+    points = spark.read.parquet(path)
+    near = nearest(points.select("_k", "_pid", F.col("_x").alias("x"), F.col("_m").alias("m")), k)
+    b = order_buckets(points, ["_proj"], buckets)
+    per = b.groupBy(F.col("_k").alias("_ok"), F.col("_b").alias("_ob")).agg(F.sum("_m").alias("_n"))
+    w_cum = Window.partitionBy("_ok").orderBy("_ob").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select("_ok", "_ob", F.coalesce(F.sum("_n").over(w_cum), F.lit(0)).alias("_off"))
+    w_in = Window.partitionBy("_k", "_b").orderBy("_proj", "_id", "_x").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_off") + F.coalesce(F.sum("_m").over(w_in), F.lit(0))
+    ranked = b.join(offsets, (F.col("_k") == F.col("_ok")) & (F.col("_b") == F.col("_ob"))).withColumn("_rank", before)
+    extra = F.greatest(F.least(F.col("_rank") + F.col("_m"), F.col("_deficit") % F.col("_members")) - F.col("_rank"), F.lit(0))
+    copies = F.col("_m") * F.floor(F.col("_deficit") / F.col("_members")) + extra
+    # a point's first k partner rows: its own copies, then each neighbour as often as it occurs
+    own = F.array_repeat(F.col("_x"), F.least(F.col("_m") - 1, F.lit(k)).cast("int"))
+    others = F.flatten(F.transform("near", lambda p: F.array_repeat(p["x"], F.least(p["m"], F.lit(k)).cast("int"))))
+    ranked = ranked.join(near, ["_k", "_pid"]).withColumn("_nb", F.slice(F.concat(own, others), 1, k))
     # a seed row may owe millions of copies (a class of one next to a class
     # holding a third of the rows): cut its copies into chunks, spread the
     # chunk rows over the cluster (an explicit partition count, which AQE
@@ -239,6 +245,6 @@ def smote(train: DataFrame, label: str, features: list[str], k: int = 5, seed: i
     h = F.xxhash64("_id", "_copy", F.lit(seed))
     nb = F.when(F.size("_nb") > 0, F.element_at("_nb", (F.pmod(h, F.greatest(F.size("_nb"), F.lit(1))) + 1).cast("int")))
     u = F.pmod(F.xxhash64(h, F.lit(seed + 1)), F.lit(1_000_000)) / 1_000_000.0
-    syn = syn.select(*[F.coalesce(q(f) + u * (nb[f] - q(f)), q(f)).alias(f) for f in features], lab.alias(label),
+    syn = syn.select(*[F.coalesce(F.col(f"_f{i}") + u * (F.get(nb, F.lit(i)) - F.col(f"_f{i}")), F.col(f"_f{i}")).alias(f) for i, f in enumerate(features)], F.col("_label").alias(label),
                      F.lit(True).alias("synthetic"))
     return out.unionByName(syn)

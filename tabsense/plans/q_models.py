@@ -566,6 +566,25 @@ def q_cross_validate(spark, sf):
     return run.metrics.select("model", "cv_mean", "cv_std")
 
 
+@register("smote_quota_ranges", f"""
+WITH train AS (SELECT * FROM orders WHERE {_SPLIT_SQL} = 'train'),
+c AS (SELECT o_orderpriority AS class, count(*) AS n FROM train GROUP BY o_orderpriority)
+SELECT class, max(n) OVER () AS rows_after, max(n) OVER () - n AS synthetic_rows, max(n) OVER () - n AS rows_inside FROM c""")
+def q_smote_quota_ranges(spark, sf):
+    """Per class: rows after balancing, synthetic ones, and those inside the ranges of the class's own cells."""
+    o = FE.train_test_split(table(spark, sf, "orders"), "o_orderkey").where(F.col("split") == "train")
+    cols = ["o_totalprice", "o_custkey"]
+    done = FE.smote(o, "o_orderpriority", cols, k=5)
+    ranges = o.groupBy(F.col("o_orderpriority").alias("class")).agg(
+        *[f(c).cast("double").alias(f"{n}_{c}") for c in cols for n, f in (("a", F.min), ("b", F.max))])
+    inside = F.lit(True)
+    for c in cols:  # the margin is the rounding of x + u * (partner - x)
+        inside = inside & F.col(c).between(F.col(f"a_{c}") - F.abs(f"a_{c}") * 1e-12, F.col(f"b_{c}") + F.abs(f"b_{c}") * 1e-12)
+    return done.join(F.broadcast(ranges), F.col("o_orderpriority") == F.col("class")).groupBy("class").agg(
+        F.count(F.lit(1)).alias("rows_after"), F.count_if("synthetic").alias("synthetic_rows"),
+        F.count_if(F.col("synthetic") & inside).alias("rows_inside"))
+
+
 @register("smote_rows")
 def q_smote_rows(spark, sf):
     """Training rows of orders rebalanced on o_orderpriority (rows-only;
