@@ -186,8 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, tr
     lex = lexicon(sample.where("part = 'lexicon'"))
     if len(n) < 2:
         return Model(lex, None, None, share)
-    rows = written(with_features(sample, lex).select("part", F.col("toxic").cast("double").alias("toxic"), "weight", array_to_vector("_features").alias("x"))
-                   .repartition(4, "part"), "toxicity-features")
+    rows = written(with_features(sample, lex).select("doc_id", "part", F.col("toxic").cast("double").alias("toxic"), "weight", array_to_vector("_features").alias("x"))
+                   .repartition(4, "doc_id"), "toxicity-features")
     gbt = GBTClassifier(featuresCol="x", labelCol="toxic", weightCol="weight", maxIter=trees, maxDepth=depth, seed=5).fit(rows.where("part = 'trees'"))
     raw = gbt.transform(rows.where("part = 'calibration'")).select("toxic", "weight", vector_to_array("probability")[1].alias("_raw_score"))
     isotonic = IsotonicRegression(featuresCol="_raw_score", labelCol="toxic", weightCol="weight", predictionCol="_score").fit(raw)
