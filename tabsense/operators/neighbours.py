@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsense.session import shared_scratch
+from tabsense.session import shared_scratch, worker_path
 
 #: Points of one block; a class of at most so many is one cell.
 BLOCK_POINTS = 4_096
@@ -121,6 +121,7 @@ def nearest(points: DataFrame, k: int) -> DataFrame:
     """(_k, _pid, near) for ``points`` (_k class, _pid, x, m), whose x differ inside a class and hold no NULL: the k nearest other
     points of the class (all, if fewer), nearest first, ties by x.  Only pivots and the radii of their cells reach the driver."""
     spark = points.sparkSession
+    worker_path(spark)
     sizes = {r["_k"]: r["n"] for r in points.groupBy("_k").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return spark.createDataFrame([], _FOUND)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabsense.session import shared_scratch
+from tabsense.session import shared_scratch, worker_path
 
 #: Text that one output batch of a task holds, about.
 BATCH_CHARS = 4 << 20
@@ -171,6 +171,7 @@ def records(spark: SparkSession, path: str, sep: str) -> DataFrame:
     The source is read twice, for the states and for the records, which are written to the shared folder once.  What is
     broadcast is one small row per range that begins inside quotes, at most one per
     ``spark.sql.files.maxPartitionBytes`` of input."""
+    worker_path(spark)
     begin = shared_scratch(spark, "csv-ranges")
     beginnings(spark, path, sep).where("inside").write.parquet(begin)
     inside = F.broadcast(spark.read.schema("file string, start long, inside boolean").parquet(begin))
