@@ -8,13 +8,20 @@ histograms inside each task, adds the tasks' histograms up by (model, node) and
 returns each node's best split: no row is shuffled.  Trees go into one job as
 long as their open nodes' histograms stay within ``CELLS``.
 
+Rows with equal bins cannot be told apart by a split.  Where they are few enough
+beside the rows, all jobs after the first work on one record per combination of
+bins with its sums, not on rows.
+
 * Forest: each tree draws every row as often as a Poisson(1) number from a hash
-  of the row and the tree says, and every node looks at a random choice of
-  features (their square root for classes, all for numbers); a forest predicts
-  the mean of its trees' class shares or means.
+  of the row and the tree says (summed per tree and combination, if these are at
+  most a quarter of the rows and their sums at most ``DRAWN`` numbers), and every
+  node looks at a random choice of features (their square root for classes, all
+  for numbers); a forest predicts the mean of its trees' class shares or means.
 * Boosting: trees of depth 3 on the residuals of the class probabilities (of
-  the values, for regression), each leaf one Newton step times the rate.  The
-  rows' scores are written out every ``SCORE_ROUNDS`` rounds; in between they
+  the values, for regression), each leaf one Newton step times the rate.  Rows
+  of equal bins, fold and class are one record with a weight (for regression,
+  of equal bins and fold, with their mean: squared error needs no more).  The
+  scores are written out every ``SCORE_ROUNDS`` rounds; in between they
   are computed from the trees since then.
 
 Splits are on quantiles of each feature: ``x <= cut`` goes left.  Equal gains
@@ -37,12 +44,14 @@ from tabsense.session import shared_scratch, worker_path
 #: Numbers that one task's histograms of one job may hold (96 MB); rounds of boosting between two tables of scores.
 CELLS, SCORE_ROUNDS = 12 << 20, 10
 BOOST_DEPTH, RATE = 3, 0.1
+#: Numbers that the written draws of a forest may hold, of all combinations of bins and of one (a batch holds 10,000).
+DRAWN, DRAWN_EACH = 1 << 30, 2_048
 #: Nodes whose histograms travel together.
 NODE_BLOCK = 64
 _MIN_GAIN = 1e-9  # of what the node's rows differ: below it a gain is rounding
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -148,6 +157,7 @@ class Plan:
     seed: int
     centre: float = 0.0          # of the target, for regression
     start: np.ndarray | None = None  # (model, class) scores before the first tree
+    drawn: bool = False          # forest: the records are combinations of bins with each tree's drawn sums
     since: list = field(default_factory=list)  # boosting: (trees, leaf values) since the scores were written
 
     @property
@@ -159,6 +169,15 @@ class Plan:
         """Scores of one model."""
         return 1 if self.classes <= 2 else self.classes
 
+    @property
+    def drawn_sums(self) -> tuple[int, int]:
+        """(trees, sums of one tree) that a combination of bins has."""
+        return self.per_model * (self.folds + 1), self.classes or 2
+
+    @property
+    def drawn_type(self) -> str:
+        return "<f4" if self.classes else "<f8"  # counts of a batch's rows are exact in four bytes
+
     def model_of(self, tree: int) -> int:
         return tree // self.per_model
 
@@ -199,7 +218,13 @@ def _histograms(batches, known, level: int, group: list[int]) -> Iterator[pa.Rec
         n = batch.num_rows
         if not n:
             continue
-        key, y, fold = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+        if plan.drawn:
+            bins = _matrix(batch.column(0), n)
+            sums = np.frombuffer(b"".join(batch.column(1).to_pylist()), plan.drawn_type).reshape(n, *plan.drawn_sums)
+            for g, tree in enumerate(group):
+                _add_drawn(plan, held[g], grown.leaves(tree, bins, level) - first, bins, sums[:, tree].astype(np.float64))
+            continue
+        key, y, fold = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))  # boosting: weight for key
         bins = _matrix(batch.column(3), n)
         missed = {}
         if plan.kind == "boosting":
@@ -210,7 +235,7 @@ def _histograms(batches, known, level: int, group: list[int]) -> Iterator[pa.Rec
                 if model not in missed:
                     missed[model] = residuals(plan, y, score[:, model * plan.outputs:(model + 1) * plan.outputs])
                 miss, curve = (x[:, tree % plan.per_model] for x in missed[model])
-                weight = used(plan, fold, model).astype(np.float64)
+                weight = key * used(plan, fold, model)
             else:
                 weight = draws(key, tree, plan.seed) * used(plan, fold, model)
             node = grown.leaves(tree, bins, level) - first
@@ -237,6 +262,66 @@ def _histograms(batches, known, level: int, group: list[int]) -> Iterator[pa.Rec
                           names=["tree", "part", "cells", "sums"])
 
 
+def _add_drawn(plan: Plan, held: np.ndarray, node: np.ndarray, bins: np.ndarray, sums: np.ndarray) -> None:
+    """Adds a tree's drawn sums of combinations of bins to its histograms."""
+    n_nodes, nb = held.shape[0], plan.bins
+    weight = sums.sum(1) if plan.classes else sums[:, 0]
+    at = np.flatnonzero((node >= 0) & (weight > 0))
+    stats = np.concatenate([weight[at, None], sums[at] if plan.classes else sums[at, 1:]], 1)
+    for f in range(plan.features):
+        cell = node[at] * nb + bins[at, f]
+        for k in range(plan.n_stats):
+            held[:, f, :, k] += np.bincount(cell, stats[:, k], n_nodes * nb).reshape(n_nodes, nb)
+
+
+def _draw_batches(batches, known) -> Iterator[pa.RecordBatch]:
+    """One record per combination of bins in a piece of rows that are sorted by bins: how often each tree draws its rows, by
+    class, or the number and the sum of their values."""
+    plan = known.value
+    trees, s = plan.drawn_sums
+    step = max(1, CELLS // (trees * s))
+    for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+        key, y, fold = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+        bins = _matrix(batch.column(3), batch.num_rows)
+        new = np.append(True, (bins[1:] != bins[:-1]).any(1))
+        at, cells = np.cumsum(new) - 1, int(new.sum())
+        sums = np.zeros((cells, trees, s), plan.drawn_type)
+        uses = [used(plan, fold, model) for model in range(plan.folds + 1)]
+        for tree in range(trees):
+            w = draws(key, tree, plan.seed) * uses[plan.model_of(tree)]
+            if plan.classes:
+                sums[:, tree] = np.bincount(at * s + y.astype(np.int64), w, cells * s).reshape(cells, s)
+            else:
+                sums[:, tree, 0], sums[:, tree, 1] = np.bincount(at, w, cells), np.bincount(at, w * (y - plan.centre), cells)
+        yield pa.record_batch([_list(bins[new]), pa.array([x.tobytes() for x in sums], pa.binary())], names=["bins", "sums"])
+
+
+def drawn(rows: DataFrame, plan: Plan) -> DataFrame | None:
+    """Combinations of bins with the sums that each tree draws (one may have several records), written out; None where rows
+    are as good."""
+    trees, s = plan.drawn_sums
+    cells = rows.groupBy("bins").agg(F.count("*").alias("n"))
+    found = cells.agg(F.count("*").alias("cells"), F.sum("n").alias("n")).first()
+    if not found["n"] or trees * s > DRAWN_EACH or found["cells"] * trees * s > DRAWN or found["cells"] * 4 > found["n"]:
+        return None
+    spark = rows.sparkSession
+    parts = spark.sparkContext.defaultParallelism
+    # a combination that holds more rows than a quarter of a task's share is dealt over all tasks (at most 4 * parts of them)
+    hot = cells.where(F.col("n") > found["n"] / (4 * parts)).select(F.col("bins").alias("_hot"))
+    dealt = rows.join(F.broadcast(hot), F.col("bins") == F.col("_hot"), "left").withColumn(
+        "_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("key"), F.lit(parts))).otherwise(F.lit(0)))
+    known = spark.sparkContext.broadcast(plan)
+    sorted_rows = dealt.repartition(parts, "bins", "_salt").sortWithinPartitions("bins").select("key", "y", "fold", "bins")
+    return written(sorted_rows.mapInArrow(lambda b: _draw_batches(b, known), "bins array<smallint>, sums binary"), "drawn")
+
+
+def weighted(rows: DataFrame, plan: Plan) -> DataFrame:
+    """weight, y, fold, bins of the rows that boosting cannot tell apart, written out."""
+    same = ["fold", "bins", *(["y"] if plan.classes else [])]
+    found = rows.groupBy(*same).agg(F.count("*").cast("double").alias("weight"), *([] if plan.classes else [F.avg("y").alias("y")]))
+    return written(found.select("weight", "y", "fold", "bins").repartition(rows.sparkSession.sparkContext.defaultParallelism), "weighted")
+
+
 def best_splits(plan: Plan, histograms: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, ...]:
     """feature (-1: none), cut, gain, statistics of the rows, and of those that go left, of (node, feature, bin, statistic) sums."""
     nodes = np.arange(len(histograms))
@@ -394,7 +479,7 @@ def binned(train: DataFrame, inputs: list[str], cuts: list[np.ndarray], labels:
     key = F.xxhash64("_key", "label", *[q(c) for c in inputs])
     plain = (train.select(key.alias("key"), label.alias("y"), F.col("fold").cast("int").alias("fold"), *[q(c) for c in inputs])
              .repartition(context.defaultParallelism, "key"))  # each level reads them: spread once over all cores
-    return _written(plain.mapInArrow(lambda b: _bin_batches(b, shared), "key long, y double, fold int, bins array<smallint>"), "binned")
+    return written(plain.mapInArrow(lambda b: _bin_batches(b, shared), "key long, y double, fold int, bins array<smallint>"), "binned")
 
 
 def forest(rows: DataFrame, inputs, cuts, labels, folds: int, trees: int, depth: int, seed: int) -> TreeModel:
@@ -402,7 +487,9 @@ def forest(rows: DataFrame, inputs, cuts, labels, folds: int, trees: int, depth:
     wanted = max(1, int(len(inputs) ** 0.5)) if classes else len(inputs)
     centre = 0.0 if classes else rows.agg(F.avg("y")).first()[0]
     plan = Plan("forest", classes, len(inputs), max(len(c) for c in cuts) + 1, folds, trees, wanted, seed, centre)
-    grown = grow(rows, plan, trees * (folds + 1), depth)
+    records = drawn(rows, plan)
+    plan.drawn = records is not None
+    grown = grow(records if plan.drawn else rows, plan, trees * (folds + 1), depth)
     size = np.maximum(grown.stats[:, :, :1], 1e-300)
     value = grown.stats[:, :, 1:] / size + (0 if classes else centre)
     return TreeModel(plan, list(inputs), cuts, labels, [(grown, value)], depth)
@@ -427,7 +514,7 @@ def boosting(rows: DataFrame, inputs, cuts, labels, folds: int, rounds: int, see
     classes = 0 if labels is None else len(labels)
     plan = Plan("boosting", classes, len(inputs), max(len(c) for c in cuts) + 1, folds, 1 if classes <= 2 else classes, len(inputs), seed)
     plan.start = _start(rows, plan)
-    made, state = [], rows
+    made, state = [], weighted(rows, plan)
     scale = (classes - 1) / classes if classes > 2 else 1.0
     for turn in range(rounds):
         grown = grow(state, plan, (folds + 1) * plan.outputs, BOOST_DEPTH)
@@ -443,7 +530,7 @@ def boosting(rows: DataFrame, inputs, cuts, labels, folds: int, rounds: int, see
 
 
 def _scored(state: DataFrame, plan: Plan) -> DataFrame:
-    """The rows with their scores so far, written out."""
+    """The weighted records with their scores so far, written out."""
     known = state.sparkSession.sparkContext.broadcast(plan)
 
     def scored(batches):
@@ -451,6 +538,6 @@ def _scored(state: DataFrame, plan: Plan) -> DataFrame:
             n = batch.num_rows
             if n:
                 score = scores_of(known.value, _matrix(batch.column(3), n), _matrix(batch.column(4), n) if batch.num_columns > 4 else None)
-                yield pa.record_batch([*batch.columns[:4], _list(score)], names=["key", "y", "fold", "bins", "scores"])
+                yield pa.record_batch([*batch.columns[:4], _list(score)], names=["weight", "y", "fold", "bins", "scores"])
 
-    return _written(state.mapInArrow(scored, "key long, y double, fold int, bins array<smallint>, scores array<double>"), "scores")
+    return written(state.mapInArrow(scored, "weight double, y double, fold int, bins array<smallint>, scores array<double>"), "scores")

@@ -174,3 +174,40 @@ def test_constant_target_and_feature(spark):
     df = spark.createDataFrame([(i, 1.0, 2.0) for i in range(40)], "k long, a double, y double")
     run = ML.train_models(df, "y", ["a"], "regression", ["Random Forest", "Gradient Boosting", "Linear Regression"], key="k", options=OPTIONS)
     assert {r["prediction"] for r in run.predictions.collect()} == {2.0}
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_forest_of_combinations_equals_forest_of_rows(spark, monkeypatch, classes):
+    """Few combinations of bins, one of which holds a third of the rows: their drawn sums are those of the rows."""
+    rng = np.random.default_rng(4)
+    n = 900
+    x = rng.integers(0, 3, (n, 3)).astype(float)
+    x[: n // 3] = 1.0
+    y, fold = (x[:, 0] + rng.integers(0, 3, n)) % classes if classes else x[:, 0] * x[:, 1] + rng.normal(size=n), rng.integers(0, 3, n)
+    labels = np.arange(classes, dtype=float) if classes else None
+    rows, cuts, bins, held = binned(spark, x, y.astype(float), fold, labels)
+    shape = (rows, ["a", "b", "c"], cuts, labels, 3, 4, 4, 5)
+    fast = trees.forest(*shape)
+    records = trees.drawn(rows, fast.plan)
+    assert fast.plan.drawn and records.count() < n // 2
+    s = fast.plan.drawn_sums
+    sums = sum(np.frombuffer(r["sums"], fast.plan.drawn_type).reshape(s) for r in records.collect())
+    for tree in range(s[0]):
+        w = trees.draws(held["key"].to_numpy(), tree, 5) * trees.used(fast.plan, held["fold"].to_numpy(), tree // 4)
+        assert sums[tree].sum() == w.sum() if classes else sums[tree, 0] == w.sum()
+    monkeypatch.setattr(trees, "DRAWN", 0)
+    slow = trees.forest(*shape)
+    assert not slow.plan.drawn
+    for m in range(4):
+        assert np.allclose(fast.outputs(bins, m), slow.outputs(bins, m), atol=1e-9)
+
+
+def test_boosting_works_on_combinations(spark, monkeypatch):
+    """No job of a round reads more records than there are combinations of bins, fold and class."""
+    x, y, fold = data(600, classes=2)
+    x = np.tile((x > 0).astype(float), (2, 1))
+    rows, cuts, _, held = binned(spark, x, np.tile(y, 2), np.tile(fold, 2), np.arange(2.0))
+    read, grow = [], trees.grow
+    monkeypatch.setattr(trees, "grow", lambda state, *a: read.append(state.count()) or grow(state, *a))
+    trees.boosting(rows, ["a", "b", "c"], cuts, np.arange(2.0), 3, 2, 1)
+    assert max(read) == len({(*b, f, t) for b, f, t in zip(held["bins"], held["fold"], held["y"])}) < len(held) / 4
