@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from tabsense.operators import features as FE
 from tabsense.operators import metrics as M
+from tabsense.operators import models as ML
 
 
 def test_classification_metrics_vs_formula(spark):
@@ -160,3 +161,29 @@ def test_regression_comparison_keeps_every_model(spark):
     from tabsense.plans import catalog
     rows = catalog.queries()["comparison_table_regression"](spark, SF_SMALL).collect()
     assert {r["model"] for r in rows} == {"Quantity x1500", "Rounded price", "Quantity x1000"} and len(rows) == 3
+
+
+def test_stratified_split_leaves_rows_where_they_are(spark):
+    """Rows are not gathered by class, whatever the sizes that the planner guesses; a rank column of one's own gives the same split."""
+    from tabsense.operators.chartdata import md5_rank
+    df = spark.range(0, 400, 1, 8).select("id", (F.col("id") % 20 == 0).cast("string").alias("label"))
+    want = {tuple(r) for r in FE.stratified_split(df, "id", "label").collect()}
+    ranked = FE.stratified_split(df.withColumn("rank", md5_rank("id", FE.DEFAULT_SEED)), "id", "label", rank="rank")
+    assert ranked.columns == ["id", "label", "split"] and {tuple(r) for r in ranked.collect()} == want
+    old = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for c, v in zip(old, ("-1", "false")):
+        spark.conf.set(c, v)
+    try:
+        plan = FE.stratified_split(df, "id", "label")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 4
+
+
+def test_rows_of_spark_fits_are_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(ML, "ROWS_PER_TASK", 50)
+    train = spark.range(0, 1000, 1, 1).select(F.col("id").cast("double").alias("x"), (F.col("id") % 2).cast("double").alias("label"), (F.col("id") % 3).cast("int").alias("fold"))
+    made = ML._SparkFits(train, ["x"], "classification", 3, 1000, 1, ML.ModelOptions())
+    sizes = [len(p) for p in made.train.rdd.glom().collect()]
+    assert len(sizes) == 20 and max(sizes) <= 100
