@@ -176,3 +176,20 @@ def test_classifiers_odd_input(spark, odd_docs):
     assert len(out) == odd_docs.count() and all(0 <= r.score <= 1 for r in out)
     assert {r.score for r in toxicity.score(odd_docs, toxicity.train(odd_docs, labels.where("false"))).collect()} == {0.0}
     assert quality.score(odd_docs.where("false"), model).count() == 0
+
+
+def test_features_of_many_texts_hold_little_memory():
+    """What a worker holds beside its batch is that of one block of text; an executor has a worker for each of its cores."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(5000)]
+    batch = pa.record_batch([pa.array([" ".join(rng.choices(words, k=160)) for _ in range(6000)])], names=["text"])
+    lex = SimpleNamespace(value={w: 1.0 for w in words[:100]})
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in toxicity.feature_batches(iter([batch]), lex))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 6000 and peak < 100e6
