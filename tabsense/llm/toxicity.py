@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tabsense.llm.common import coded, per_text, text_blocks, words, worker_cache, written
-from tabsense.llm.features import FEATURE_BYTES, dense, list_array
+from tabsense.llm.features import dense, list_array
 
 #: Labelled rows learned from, and lexicon terms kept (each at most 64 characters): the bounds of what is broadcast.
 SAMPLE_ROWS, LEXICON_TERMS = 20_000, 4_000
 #: Least log-likelihood ratio (G2) of a term, so that chance gives none among some 100,000 terms.
 MIN_EVIDENCE = 20.0
 TREES, DEPTH, THRESHOLD = 20, 4, 0.5
+#: Text bytes whose features are computed at a time: they take some 70 bytes for each, in every worker of an executor.
+BLOCK_BYTES = 1 << 20
 SECOND_PERSON = ("you your yours yourself u ur tu te ti tus vos usted ustedes toi ton ta tes vous votre du dich dir dein deine "
                  "sie ihr euch").split()
 #: Signs read as the letters they stand for in a disguised word.
@@ -134,7 +136,7 @@ def features(data: np.ndarray, offsets: np.ndarray, lex: dict[str, float]) -> np
 
 
 def feature_batches(batches: Iterator[pa.RecordBatch], lex) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in text_blocks(batches, limit=FEATURE_BYTES):
+    for rows, data, offsets in text_blocks(batches, limit=BLOCK_BYTES):
         yield pa.record_batch([*(rows.column(i) for i in range(rows.num_columns)), list_array(features(data, offsets, lex.value))],
                               names=[*rows.schema.names, "_features"])
 
