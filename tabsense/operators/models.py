@@ -224,7 +224,7 @@ class _TreeFits:
         if not self.folds:
             return model, None
         held = model.held_out(self.binned)
-        met = M.classification_metrics(held, by=["fold"]) if self.labels is not None else M.regression_metrics(held, by=["fold"])
+        met = M.classification_metrics(held, by=["fold"], weight="n") if self.labels is not None else M.regression_metrics(held, by=["fold"])
         return model, [r[0] for r in met.select("accuracy" if self.labels is not None else "r2").collect()]  # one row per fold
 
 

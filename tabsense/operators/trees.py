@@ -10,7 +10,10 @@ long as their open nodes' histograms stay within ``CELLS``.
 
 Rows with equal bins cannot be told apart by a split.  Where they are few enough
 beside the rows, all jobs after the first work on one record per combination of
-bins with its sums, not on rows.
+bins with its sums, not on rows.  Where a task can hold all combinations
+(``WHOLE``), it grows whole trees from them, one after another: a few of a
+forest's, or all rounds of one model of boosting.  That is one job instead of
+one per level; the trees are the same.
 
 * Forest: each tree draws every row as often as a Poisson(1) number from a hash
   of the row and the tree says (summed per tree and combination, if these are at
@@ -46,6 +49,8 @@ CELLS, SCORE_ROUNDS = 12 << 20, 10
 BOOST_DEPTH, RATE = 3, 0.1
 #: Numbers that the written draws of a forest may hold, of all combinations of bins and of one (a batch holds 10,000).
 DRAWN, DRAWN_EACH = 1 << 30, 2_048
+#: Numbers that a task may hold to grow whole trees from all combinations of bins (192 MB).
+WHOLE = 24 << 20
 #: Nodes whose histograms travel together.
 NODE_BLOCK = 64
 _MIN_GAIN = 1e-9  # of what the node's rows differ: below it a gain is rounding
@@ -120,6 +125,14 @@ class Grown:
             node = np.where(f < 0, node, 2 * node + 1 + right)
         return node
 
+    def put(self, tree: int, nodes: np.ndarray, feature, cut, gain, stats, left) -> np.ndarray:
+        """Takes in the splits of nodes of one level; those that split."""
+        reached, split = stats[:, 0] > 0, nodes[feature >= 0]
+        self.stats[tree, nodes[reached]] = stats[reached]
+        self.feature[tree, nodes], self.cut[tree, nodes], self.gain[tree, nodes] = feature, cut, gain
+        self.stats[tree, 2 * split + 1], self.stats[tree, 2 * split + 2] = left[feature >= 0], (stats - left)[feature >= 0]
+        return split
+
 
 def _hashed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -128,12 +141,19 @@ def _hashed(x: np.ndarray) -> np.ndarray:
 
 
 _POISSON = np.cumsum(np.exp(-1) / np.cumprod(np.append(1.0, np.arange(1, 16))))
+_LIMITS = np.ceil(_POISSON * 2.0 ** 53).astype(np.uint64)  # of 53 bits
 
 
 def draws(key: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """How often the tree draws each row."""
-    mixed = _hashed(key.view(np.uint64) + _hashed(np.array([(seed << 32) + tree + 1], np.uint64)))
-    return np.searchsorted(_POISSON, (mixed >> np.uint64(11)) / 2.0 ** 53, "right")
+    mixed = _hashed(key.view(np.uint64) + _hashed(np.array([(seed << 32) + tree + 1], np.uint64))) >> np.uint64(11)
+    found = np.zeros(len(mixed), np.int8)
+    for limit in _LIMITS:
+        more = mixed >= limit
+        if not more.any():
+            break
+        found += more
+    return found.astype(np.int64)
 
 
 def choice(tree: int, node: np.ndarray, features: int, wanted: int, seed: int) -> np.ndarray:
@@ -158,6 +178,9 @@ class Plan:
     centre: float = 0.0          # of the target, for regression
     start: np.ndarray | None = None  # (model, class) scores before the first tree
     drawn: bool = False          # forest: the records are combinations of bins with each tree's drawn sums
+    cells: int = 0               # combinations of bins, once they are counted
+    whole: int = 0               # trees that one task grows whole; 0: level by level
+    step: float = 1.0            # boosting: of a leaf
     since: list = field(default_factory=list)  # boosting: (trees, leaf values) since the scores were written
 
     @property
@@ -287,22 +310,26 @@ def _draw_batches(batches, known) -> Iterator[pa.RecordBatch]:
         at, cells = np.cumsum(new) - 1, int(new.sum())
         sums = np.zeros((cells, trees, s), plan.drawn_type)
         uses = [used(plan, fold, model) for model in range(plan.folds + 1)]
+        into = at * s + y.astype(np.int64) if plan.classes else at
         for tree in range(trees):
             w = draws(key, tree, plan.seed) * uses[plan.model_of(tree)]
             if plan.classes:
-                sums[:, tree] = np.bincount(at * s + y.astype(np.int64), w, cells * s).reshape(cells, s)
+                sums[:, tree] = np.bincount(into, w, cells * s).reshape(cells, s)
             else:
                 sums[:, tree, 0], sums[:, tree, 1] = np.bincount(at, w, cells), np.bincount(at, w * (y - plan.centre), cells)
         yield pa.record_batch([_list(bins[new]), pa.array([x.tobytes() for x in sums], pa.binary())], names=["bins", "sums"])
 
 
-def drawn(rows: DataFrame, plan: Plan) -> DataFrame | None:
+def drawn(rows: DataFrame, plan: Plan, depth: int = 1) -> DataFrame | None:
     """Combinations of bins with the sums that each tree draws (one may have several records), written out; None where rows
-    are as good."""
+    are as good.  ``plan`` is told how many combinations there are, and how many trees of ``depth`` a task can grow whole."""
     trees, s = plan.drawn_sums
     cells = rows.groupBy("bins").agg(F.count("*").alias("n"))
     found = cells.agg(F.count("*").alias("cells"), F.sum("n").alias("n")).first()
-    if not found["n"] or trees * s > DRAWN_EACH or found["cells"] * trees * s > DRAWN or found["cells"] * 4 > found["n"]:
+    plan.cells = found["cells"]
+    plan.whole = whole_trees(plan, depth, rows.sparkSession.sparkContext.defaultParallelism)
+    if not found["n"] or trees * s > DRAWN_EACH or found["cells"] * trees * s > DRAWN or (found["cells"] * 4 > found["n"] and not plan.whole):
+        plan.whole = 0
         return None
     spark = rows.sparkSession
     parts = spark.sparkContext.defaultParallelism
@@ -359,8 +386,154 @@ def _splits(batches, known, level: int) -> Iterator[pa.RecordBatch]:
             found, (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())))], names=["tree", "first", "feature", "cut", "gain", "stats", "left"])
 
 
-def grow(rows: DataFrame, plan: Plan, trees: int, depth: int) -> Grown:
-    """``trees`` trees, level by level."""
+def whole_trees(plan: Plan, depth: int, parallelism: int) -> int:
+    """How many trees of a forest (models of boosting: one) a task grows whole; 0 where it cannot hold the combinations."""
+    if 2 ** (depth - 1) * plan.features * plan.bins * plan.n_stats > CELLS:
+        return 0
+    if plan.kind == "boosting":
+        return int(plan.cells * (plan.features + 4 * plan.outputs + 10) <= WHOLE)
+    trees, s = plan.drawn_sums
+    room = WHOLE // max(plan.cells, 1) - plan.features - 2 * plan.n_stats - 8  # for the sums that it is dealt
+    return max(0, min(room // s, -(-trees // (4 * parallelism))))
+
+
+def whole_tree(plan: Plan, bins: list[np.ndarray], stats: list[np.ndarray], tree: int, depth: int) -> tuple[Grown, np.ndarray]:
+    """The tree of combinations with such bins (one array per feature) and statistics (one array each), and the node at which
+    each of them ends."""
+    grown, nb = Grown.empty(1, depth, plan.n_stats), plan.bins
+    ends, at = np.zeros(len(stats[0]), np.int64), np.flatnonzero(stats[0] > 0)
+    for level in range(depth):
+        first, n_nodes = 2 ** level - 1, 2 ** level
+        looks = choice(tree, first + np.arange(n_nodes), plan.features, plan.wanted, plan.seed)
+        node, own = ends[at] - first, [x[at] for x in stats]
+        held = np.zeros((n_nodes, plan.features, nb, plan.n_stats))
+        for f in range(plan.features):
+            # a node's sums are those of the first feature
+            some = slice(None) if f == 0 or plan.wanted >= plan.features else np.flatnonzero(looks[node, f])
+            cell = node[some] * nb + bins[f][at[some]]
+            for k, x in enumerate(own):
+                held[:, f, :, k] = np.bincount(cell, x[some], n_nodes * nb).reshape(n_nodes, nb)
+        for i in range(0, n_nodes, NODE_BLOCK):
+            part = slice(i, i + NODE_BLOCK)
+            feature, cut, gain, whole, left = best_splits(plan, held[part], looks[part])
+            grown.put(0, first + np.arange(n_nodes)[part], feature, cut, gain, whole, left)
+        at = at[grown.feature[0][ends[at]] >= 0]
+        if not len(at):
+            break
+        feature, cut, go = grown.feature[0][ends[at]], grown.cut[0][ends[at]], np.empty(len(at), bool)
+        for f in range(plan.features):
+            here = np.flatnonzero(feature == f)
+            go[here] = bins[f][at[here]] > cut[here]
+        ends[at] = 2 * ends[at] + 1 + go
+    return grown, ends
+
+
+_GROWN = "turn int, tree int, feature binary, cut binary, stats binary, gain binary"
+
+
+def _grown_rows(turn: int, trees: list[int], grown: list[Grown]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([turn] * len(trees), pa.int32()), pa.array(trees, pa.int32()),
+                            *(pa.array([getattr(g, c)[0].tobytes() for g in grown], pa.binary()) for c in ("feature", "cut", "stats", "gain"))],
+                           names=["turn", "tree", "feature", "cut", "stats", "gain"])
+
+
+def _deal_trees(batches, known) -> Iterator[pa.RecordBatch]:
+    """Records of :func:`drawn` for the tasks that grow the trees: bins, and the sums of a task's trees."""
+    plan = known.value
+    trees, _ = plan.drawn_sums
+    tasks = range(-(-trees // plan.whole))
+    for batch in batches:
+        n = batch.num_rows
+        if n:
+            bins = np.ascontiguousarray(_matrix(batch.column(0), n), "<i2").tobytes()
+            sums = np.frombuffer(b"".join(batch.column(1).to_pylist()), plan.drawn_type).reshape(n, *plan.drawn_sums)
+            yield pa.record_batch([pa.array(tasks, pa.int32()), pa.array([bins] * len(tasks), pa.binary()),
+                                   pa.array([sums[:, t * plan.whole:(t + 1) * plan.whole].tobytes() for t in tasks], pa.binary())], names=["task", "bins", "sums"])
+
+
+def _whole_forest(batches, known, depth: int) -> Iterator[pa.RecordBatch]:
+    plan = known.value
+    trees, s = plan.drawn_sums
+    dealt: dict[int, list] = {}
+    for batch in batches:
+        for task, bins, sums in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            dealt.setdefault(task, []).append((bins, sums))
+    for task in sorted(dealt):
+        own = range(task * plan.whole, min((task + 1) * plan.whole, trees))
+        parts = dealt.pop(task)
+        bins = np.frombuffer(b"".join(b for b, _ in parts), "<i2").reshape(-1, plan.features)
+        sums = np.concatenate([np.frombuffer(x, plan.drawn_type).reshape(-1, len(own), s) for _, x in parts])
+        parts.clear()
+        columns = [np.ascontiguousarray(bins[:, f]) for f in range(plan.features)]
+        for i, tree in enumerate(own):
+            mine = [sums[:, i, k].astype(np.float64) for k in range(s)]
+            yield _grown_rows(0, [tree], [whole_tree(plan, columns, [sum(mine), *mine] if plan.classes else mine, tree, depth)[0]])
+
+
+def _whole_boosting(batches, known, depth: int, rounds: int) -> Iterator[pa.RecordBatch]:
+    """All rounds of the models whose weighted records come, sorted by bins.  Combinations of bins, with the shares of the
+    classes (the mean) of their rows, give the sums of the residuals."""
+    plan = known.value
+    dealt: dict[int, list] = {}
+    for batch in batches:
+        model, y, weight = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+        bins = _matrix(batch.column(3), batch.num_rows)
+        for m in np.unique(model):
+            dealt.setdefault(int(m), []).append((y[model == m], weight[model == m], bins[model == m]))
+    for m in sorted(dealt):
+        y, weight, bins = (np.concatenate(x) for x in zip(*dealt.pop(m)))
+        new = np.append(True, (bins[1:] != bins[:-1]).any(1))
+        at, cells = np.cumsum(new) - 1, int(new.sum())
+        columns = [np.ascontiguousarray(bins[new, f]) for f in range(plan.features)]
+        total = np.bincount(at, weight, cells)
+        wanted = [weight * y] if not plan.classes else [weight * (y == k) for k in ([1] if plan.classes == 2 else range(plan.classes))]
+        share = np.stack([np.bincount(at, x, cells) / total for x in wanted])
+        score = np.repeat(plan.start[m][:, None], cells, axis=1)
+        for turn in range(rounds):
+            p = score if not plan.classes else 1 / (1 + np.exp(-score)) if plan.classes == 2 else np.exp(score - score.max(0))
+            p = p / p.sum(0) if plan.classes > 2 else p
+            own, made = [m * plan.outputs + o for o in range(plan.outputs)], []
+            moved = np.empty_like(score)
+            for o, tree in enumerate(own):
+                grown, ends = whole_tree(plan, columns, [total, total * (share[o] - p[o]), total * (p[o] * (1 - p[o])) if plan.classes else total], tree, depth)
+                moved[o] = leaf_steps(plan, grown)[0][ends]
+                made.append(grown)
+            score += moved
+            yield _grown_rows(turn, own, made)
+
+
+def leaf_steps(plan: Plan, grown: Grown) -> np.ndarray:
+    """(tree, node) values of boosted trees."""
+    _, miss, curve = np.moveaxis(grown.stats, -1, 0)
+    return np.where(np.abs(curve) > 1e-150, plan.step * miss / np.where(curve == 0, 1, curve), 0.0)
+
+
+def _grow_whole(rows: DataFrame, plan: Plan, trees: int, depth: int, rounds: int) -> list[Grown]:
+    known = rows.sparkSession.sparkContext.broadcast(plan)
+    if plan.kind == "forest":
+        tasks = -(-trees // plan.whole)
+        dealt = rows.select("bins", "sums").mapInArrow(lambda b: _deal_trees(b, known), "task int, bins binary, sums binary").repartitionById(tasks, F.col("task"))
+        found = dealt.mapInArrow(lambda b: _whole_forest(b, known, depth), _GROWN)
+    else:
+        models = F.array(*[F.when(F.lit(m == 0) | (F.col("fold") != m - 1), F.lit(m)) for m in range(plan.folds + 1)])
+        dealt = rows.select(F.explode(models).alias("model"), "y", "weight", "bins").where(F.col("model").isNotNull())
+        if plan.classes:  # folds add up
+            dealt = dealt.groupBy("model", "y", "bins").agg(F.sum("weight").alias("weight"))
+        dealt = dealt.select("model", "y", "weight", "bins").repartitionById(plan.folds + 1, F.col("model")).sortWithinPartitions("model", "bins")
+        found = dealt.mapInArrow(lambda b: _whole_boosting(b, known, depth, rounds), _GROWN)
+    grown = [Grown.empty(trees, depth, plan.n_stats) for _ in range(rounds)]
+    for r in found.collect():  # the trees themselves
+        for c in ("feature", "cut", "stats", "gain"):
+            into = getattr(grown[r["turn"]], c)[r["tree"]]
+            into[...] = np.frombuffer(r[c], into.dtype).reshape(into.shape)
+    known.unpersist()
+    return grown
+
+
+def grow(rows: DataFrame, plan: Plan, trees: int, depth: int, rounds: int = 1) -> list[Grown]:
+    """``trees`` trees, level by level; where tasks grow them whole, all ``rounds`` of them."""
+    if plan.whole:
+        return _grow_whole(rows, plan, trees, depth, rounds)
     spark = rows.sparkSession
     grown = Grown.empty(trees, depth, plan.n_stats)
     open_nodes = np.ones(trees, np.int64)
@@ -378,16 +551,11 @@ def grow(rows: DataFrame, plan: Plan, trees: int, depth: int) -> Grown:
             known.unpersist()
         open_nodes[:] = 0
         for r in found:
-            t, feature = r["tree"], np.array(r["feature"])
-            nodes = r["first"] + np.arange(len(feature))
+            feature = np.array(r["feature"])
             stats, left = (np.array(r[c]).reshape(len(feature), -1) for c in ("stats", "left"))
-            reached = stats[:, 0] > 0
-            grown.stats[t, nodes[reached]] = stats[reached]
-            split = nodes[feature >= 0]
-            grown.feature[t, nodes], grown.cut[t, nodes], grown.gain[t, nodes] = feature, r["cut"], r["gain"]
-            grown.stats[t, 2 * split + 1], grown.stats[t, 2 * split + 2] = left[feature >= 0], (stats - left)[feature >= 0]
-            open_nodes[t] += 2 * len(split)
-    return grown
+            split = grown.put(r["tree"], r["first"] + np.arange(len(feature)), feature, r["cut"], r["gain"], stats, left)
+            open_nodes[r["tree"]] += 2 * len(split)
+    return [grown]
 
 
 # --- models ------------------------------------------------------------------
@@ -441,7 +609,7 @@ class TreeModel:
         return plain.mapInArrow(scored, schema.add("prediction", "double"))
 
     def held_out(self, rows: DataFrame) -> DataFrame:
-        """fold, label, prediction: each row by the model that did not see its fold."""
+        """fold, label, prediction, n: rows by the model that did not see their fold; for classes, n rows of equal bins at once."""
         model = rows.sparkSession.sparkContext.broadcast(self)
 
         def scored(batches):
@@ -452,10 +620,11 @@ class TreeModel:
                 for f in np.unique(fold):
                     out[fold == f] = m.predict(bins[fold == f], int(f) + 1)
                 y = batch.column(1).to_numpy()
-                yield pa.record_batch([batch.column(2), pa.array(m.labels[y.astype(int)] if m.labels is not None else y, pa.float64()), pa.array(out, pa.float64())],
-                                      names=["fold", "label", "prediction"])
+                yield pa.record_batch([batch.column(2), pa.array(m.labels[y.astype(int)] if m.labels is not None else y, pa.float64()), pa.array(out, pa.float64()),
+                                       batch.column(0)], names=["fold", "label", "prediction", "n"])
 
-        return rows.select("key", "y", "fold", "bins").mapInArrow(scored, "fold int, label double, prediction double")
+        same = rows.withColumn("n", F.lit(1).cast("bigint")) if self.labels is None else rows.groupBy("y", "fold", "bins").agg(F.count("*").alias("n"))
+        return same.select("n", "y", "fold", "bins").mapInArrow(scored, "fold int, label double, prediction double, n bigint")
 
     def importances(self) -> list[float]:
         """Share of each input in what the splits gain."""
@@ -487,9 +656,9 @@ def forest(rows: DataFrame, inputs, cuts, labels, folds: int, trees: int, depth:
     wanted = max(1, int(len(inputs) ** 0.5)) if classes else len(inputs)
     centre = 0.0 if classes else rows.agg(F.avg("y")).first()[0]
     plan = Plan("forest", classes, len(inputs), max(len(c) for c in cuts) + 1, folds, trees, wanted, seed, centre)
-    records = drawn(rows, plan)
+    records = drawn(rows, plan, depth)
     plan.drawn = records is not None
-    grown = grow(records if plan.drawn else rows, plan, trees * (folds + 1), depth)
+    grown, = grow(records if plan.drawn else rows, plan, trees * (folds + 1), depth)
     size = np.maximum(grown.stats[:, :, :1], 1e-300)
     value = grown.stats[:, :, 1:] / size + (0 if classes else centre)
     return TreeModel(plan, list(inputs), cuts, labels, [(grown, value)], depth)
@@ -515,11 +684,15 @@ def boosting(rows: DataFrame, inputs, cuts, labels, folds: int, rounds: int, see
     plan = Plan("boosting", classes, len(inputs), max(len(c) for c in cuts) + 1, folds, 1 if classes <= 2 else classes, len(inputs), seed)
     plan.start = _start(rows, plan)
     made, state = [], weighted(rows, plan)
-    scale = (classes - 1) / classes if classes > 2 else 1.0
+    plan.step = rate * ((classes - 1) / classes if classes > 2 else 1.0)
+    plan.cells = state.select("bins").distinct().count()
+    plan.whole = whole_trees(plan, BOOST_DEPTH, 1)
+    if plan.whole:
+        grown = grow(state, plan, (folds + 1) * plan.outputs, BOOST_DEPTH, rounds)
+        return TreeModel(plan, list(inputs), cuts, labels, [(g, leaf_steps(plan, g)) for g in grown], BOOST_DEPTH)
     for turn in range(rounds):
-        grown = grow(state, plan, (folds + 1) * plan.outputs, BOOST_DEPTH)
-        _, miss, curve = np.moveaxis(grown.stats, -1, 0)
-        value = np.where(np.abs(curve) > 1e-150, rate * scale * miss / np.where(curve == 0, 1, curve), 0.0)
+        grown, = grow(state, plan, (folds + 1) * plan.outputs, BOOST_DEPTH)
+        value = leaf_steps(plan, grown)
         made.append((grown, value))
         plan.since = [*plan.since, (grown, value)]
         if len(plan.since) == SCORE_ROUNDS and turn + 1 < rounds:

@@ -211,3 +211,44 @@ def test_boosting_works_on_combinations(spark, monkeypatch):
     monkeypatch.setattr(trees, "grow", lambda state, *a: read.append(state.count()) or grow(state, *a))
     trees.boosting(rows, ["a", "b", "c"], cuts, np.arange(2.0), 3, 2, 1)
     assert max(read) == len({(*b, f, t) for b, f, t in zip(held["bins"], held["fold"], held["y"])}) < len(held) / 4
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_whole_trees_equal_trees_level_by_level(spark, monkeypatch, classes):
+    """A forest's trees and the rounds of boosting, each grown by one task in one job, are those grown level by level."""
+    x, y, fold = data(400, 5, classes)
+    x[:150, 1:] = x[0, 1:]  # a combination with many rows
+    labels = np.arange(classes, dtype=float) if classes else None
+    rows, cuts, bins, _ = binned(spark, x, y, fold, labels)
+    shape = (rows, ["a", "b", "c"], cuts, labels, 3)
+    makes = (lambda: trees.forest(*shape, 5, 4, 5)), (lambda: trees.boosting(*shape, 11, 1))
+    whole = [make() for make in makes]
+    monkeypatch.setattr(trees, "WHOLE", 0)
+    for make, fast in zip(makes, whole):
+        slow = make()
+        assert fast.plan.whole and not slow.plan.whole
+        for (a, value), (b, slow_value) in zip(fast.rounds, slow.rounds, strict=True):
+            assert (a.feature == b.feature).all() and (a.cut == b.cut).all()
+            assert np.allclose(a.stats, b.stats, atol=1e-8) and np.allclose(value, slow_value, atol=1e-8)
+        for m in range(4):
+            assert np.allclose(fast.outputs(bins, m), slow.outputs(bins, m), atol=1e-8)
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_jobs_do_not_grow_with_rounds_and_levels(spark, classes):
+    x, y, fold = data(300, 6, classes)
+    labels = np.arange(classes, dtype=float) if classes else None
+    rows, cuts, _, _ = binned(spark, x, y, fold, labels)
+    shape, context = (rows, ["a", "b", "c"], cuts, labels, 3), spark.sparkContext
+
+    def jobs(group, make):
+        context.setJobGroup(group, group)
+        try:
+            make()
+            return len(context.statusTracker().getJobIdsForGroup(group))
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+
+    for name, few, many in (("forest", lambda: trees.forest(*shape, 3, 2, 5), lambda: trees.forest(*shape, 3, 6, 5)),
+                            ("boosting", lambda: trees.boosting(*shape, 2, 1), lambda: trees.boosting(*shape, 14, 1))):
+        assert jobs(f"few {name} {classes}", few) == jobs(f"many {name} {classes}", many) > 0
