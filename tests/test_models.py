@@ -187,3 +187,32 @@ def test_rows_of_spark_fits_are_dealt_evenly(spark, monkeypatch):
     made = ML._SparkFits(train, ["x"], "classification", 3, 1000, 1, ML.ModelOptions())
     sizes = [len(p) for p in made.train.rdd.glom().collect()]
     assert len(sizes) == 20 and max(sizes) <= 100
+
+
+def test_folds_are_scored_one_by_one_on_many_rows(spark, monkeypatch):
+    """One score a fold, that of a fit on the other folds; beyond ROWS_AT_ONCE no two fits hold their rows at the same time, and
+    no fold is cached as a table."""
+    import threading
+
+    from tabsense.operators import models as ML
+    monkeypatch.setattr(ML, "ROWS_AT_ONCE", 100)
+    train = spark.range(0, 600, 1, 2).select((F.col("id") % 37).cast("double").alias("x"), (F.col("id") % 37 % 4 > 1).cast("double").alias("label"), (F.col("id") % 3).cast("int").alias("fold"))
+    made = ML._SparkFits(train, ["x"], "classification", 3, 600, 1, ML.ModelOptions(max_depth=2))
+    busy, score, cached = threading.Lock(), made._score, []
+    monkeypatch.setattr(type(made.train), "cache", lambda df: cached.append(df) or df)
+
+    def alone(estimator, fold):
+        assert busy.acquire(blocking=False)
+        try:
+            return score(estimator, fold)
+        finally:
+            busy.release()
+
+    made._score = alone
+    _, scores = made.fit("Decision Tree")
+    want = []
+    for f in range(3):
+        tree = ML.make_estimator("Decision Tree", "classification", 600, 1, ML.ModelOptions(max_depth=2)).fit(made.train.where(F.col("fold") != f))
+        p = tree.transform(made.train.where(F.col("fold") == f)).select("label", "prediction").collect()
+        want.append(sum(r[0] == r[1] for r in p) / len(p))
+    assert scores == want and not cached and len(set(scores)) > 1

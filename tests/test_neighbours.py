@@ -50,3 +50,21 @@ def test_smote_rows_lie_between_a_row_and_one_of_its_nearest(spark):
         assert min(gaps) < 1e-6
     lone = FE.smote(df, "label", ["x", "m"], k=k).where("synthetic AND label = 'n'").agg(F.count("x"), F.count("*"), F.min("m")).first()
     assert tuple(lone) == (0, 149, 3.0)
+
+
+def test_a_block_is_searched_as_arrays():
+    """A block's search takes and gives Arrow tables (no Python object per row) and orders ties by the features; a row of many
+    equal distances, a block smaller than k and an empty one."""
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    for n, k in ((60, 5), (3, 5), (0, 5)):
+        x = np.unique(rng.integers(0, 4, (n, 3)), axis=0).astype(float) if n else np.zeros((0, 3))
+        x = x[rng.permutation(len(x))]
+        held = pa.table({"hx": pa.array(x.tolist(), pa.list_(pa.float64())), "h_pid": pa.array(range(len(x)), pa.int64()), "hm": pa.array([2] * len(x), pa.int64())})
+        asked = x if n else np.ones((2, 3))
+        asking = pa.table({"_k": pa.array([1] * len(asked), pa.int32()), "_pid": pa.array(range(len(asked)), pa.int64()), "x": pa.array(asked.tolist(), pa.list_(pa.float64()))})
+        got = NB._block(k)(asking, held).to_pylist()
+        for i, r in enumerate(got):
+            order = sorted((float(np.sqrt(((asked[i] - y) ** 2).sum())), tuple(y)) for j, y in enumerate(x) if j != i)[:k]
+            assert r["_pid"] == i and [(e["d"], tuple(e["x"])) for e in r["near"]] == order and all(e["m"] == 2 for e in r["near"])
+        assert len(got) == len(asked)
