@@ -321,8 +321,8 @@ def _draw_batches(batches, known) -> Iterator[pa.RecordBatch]:
 
 
 def drawn(rows: DataFrame, plan: Plan, depth: int = 1) -> DataFrame | None:
-    """Combinations of bins with the sums that each tree draws (one may have several records), written out; None where rows
-    are as good.  ``plan`` is told how many combinations there are, and how many trees of ``depth`` a task can grow whole."""
+    """Combinations of bins with the sums that each tree draws (one may have several records), written out if they are read
+    level by level; None where rows are as good.  ``plan`` is told how many combinations there are, and how many trees of ``depth`` a task can grow whole."""
     trees, s = plan.drawn_sums
     cells = rows.groupBy("bins").agg(F.count("*").alias("n"))
     found = cells.agg(F.count("*").alias("cells"), F.sum("n").alias("n")).first()
@@ -339,7 +339,8 @@ def drawn(rows: DataFrame, plan: Plan, depth: int = 1) -> DataFrame | None:
         "_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("key"), F.lit(parts))).otherwise(F.lit(0)))
     known = spark.sparkContext.broadcast(plan)
     sorted_rows = dealt.repartition(parts, "bins", "_salt").sortWithinPartitions("bins").select("key", "y", "fold", "bins")
-    return written(sorted_rows.mapInArrow(lambda b: _draw_batches(b, known), "bins array<smallint>, sums binary"), "drawn")
+    records = sorted_rows.mapInArrow(lambda b: _draw_batches(b, known), "bins array<smallint>, sums binary")
+    return records if plan.whole else written(records, "drawn")  # whole trees read them once
 
 
 def weighted(rows: DataFrame, plan: Plan) -> DataFrame:
@@ -447,6 +448,8 @@ def _deal_trees(batches, known) -> Iterator[pa.RecordBatch]:
         if n:
             bins = np.ascontiguousarray(_matrix(batch.column(0), n), "<i2").tobytes()
             sums = np.frombuffer(b"".join(batch.column(1).to_pylist()), plan.drawn_type).reshape(n, *plan.drawn_sums)
+            if plan.classes:  # counts, in as few bytes as hold them
+                sums = sums.astype("<u1" if sums.max() < 1 << 8 else "<u2" if sums.max() < 1 << 16 else "<u4")
             yield pa.record_batch([pa.array(tasks, pa.int32()), pa.array([bins] * len(tasks), pa.binary()),
                                    pa.array([sums[:, t * plan.whole:(t + 1) * plan.whole].tobytes() for t in tasks], pa.binary())], names=["task", "bins", "sums"])
 
@@ -462,7 +465,8 @@ def _whole_forest(batches, known, depth: int) -> Iterator[pa.RecordBatch]:
         own = range(task * plan.whole, min((task + 1) * plan.whole, trees))
         parts = dealt.pop(task)
         bins = np.frombuffer(b"".join(b for b, _ in parts), "<i2").reshape(-1, plan.features)
-        sums = np.concatenate([np.frombuffer(x, plan.drawn_type).reshape(-1, len(own), s) for _, x in parts])
+        kind = lambda b, x: f"<u{2 * plan.features * len(x) // (len(b) * len(own) * s)}" if plan.classes else plan.drawn_type  # noqa: E731, B023
+        sums = np.concatenate([np.frombuffer(x, kind(b, x)).reshape(-1, len(own), s) for b, x in parts])
         parts.clear()
         columns = [np.ascontiguousarray(bins[:, f]) for f in range(plan.features)]
         for i, tree in enumerate(own):
